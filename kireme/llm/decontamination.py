@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -140,6 +140,12 @@ def _stretches(text: str | None, on: np.ndarray) -> list[dict]:
     return out
 
 
+def without(text: Column, spans: Column) -> Column:
+    """The text without the given stretches (start, end), each replaced by one space."""
+    pieces = F.transform(spans, lambda s, i: F.substring(text, F.when(i > 0, F.get(spans, i - 1)["end"]).otherwise(0) + 1, s["start"] - F.when(i > 0, F.get(spans, i - 1)["end"]).otherwise(0)))
+    return F.concat_ws(" ", pieces, F.substring(text, F.element_at(spans, -1)["end"] + 1, F.char_length(text)))
+
+
 def contamination_digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256 and contaminated for every document."""
     return contamination(docs, benchmark).select(

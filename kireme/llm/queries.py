@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kireme.llm import decontamination, packing, quality, sharding, simhash
+from kireme.llm import decontamination, html_text, language, language_model, packing, pii, quality, sharding, simhash, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,18 +17,38 @@ def word_vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pii_digest(table(spark, sf_dir, "documents"))
+
+
 def op2_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.document_shards(table(spark, sf_dir, "documents"), 40)
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.languages(table(spark, sf_dir, "documents"))
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contamination_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_main_text(table(spark, sf_dir, "pages"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.pseudo_likelihood(table(spark, sf_dir, "documents"))
+
+
 def op9_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_report(table(spark, sf_dir, "documents"))
 
@@ -37,5 +57,7 @@ def op10_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_documents(table(spark, sf_dir, "documents"), word_vocabulary())
 
 
-QUERIES = {f.__name__: f for f in (op2_hilbert_shards, op5_decontaminate, op7_simhash, op9_quality_ledger, op10_best_two_fit)}
+QUERIES = {f.__name__: f for f in (
+    op1_pii, op2_hilbert_shards, op3_toxicity, op4_language, op5_decontaminate, op6_main_text, op7_simhash, op8_pseudo_likelihood, op9_quality_ledger, op10_best_two_fit
+)}
 ORACLE_SQL = {"op5_decontaminate": decontamination.CONTAMINATION_SQL, "op9_quality_ledger": quality.QUALITY_SQL}
