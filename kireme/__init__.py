@@ -1,0 +1 @@
+"""Word segmentation of unspaced text as Spark dataflow."""
