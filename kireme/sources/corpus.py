@@ -95,7 +95,10 @@ PARSERS = {"full": parse_full, "partial": parse_partial}
 
 
 def parse_annotated(line: Column, kind: str = "full") -> Column:
-    """(text, tags, error) of an annotated line; null for lines without characters."""
+    """(text, tags, error) of an annotated line without a carriage return at its end; nulls for lines without characters.
+
+    Validity is asked of the raw bytes, before any function could replace bad ones.
+    """
 
     @F.pandas_udf(PARSED)
     def parse(lines: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -103,7 +106,7 @@ def parse_annotated(line: Column, kind: str = "full") -> Column:
             rows = []
             for value in batch:
                 try:
-                    found = PARSERS[kind](value) if value is not None else None
+                    found = PARSERS[kind](value.removesuffix("\r")) if value is not None else None
                     rows.append((*found, None) if found else (None, None, None))
                 except MalformedCorpus as e:
                     rows.append((None, None, f"{e.code}: {e}"))
@@ -119,7 +122,7 @@ def annotated(lines: DataFrame, kind: str = "full", text: str = "text", strict:
     ``strict`` fails the query on a bad line; otherwise bad lines stay with their error.
     """
     rest = [c for c in lines.columns if c != text]
-    found = lines.select(*rest, parse_annotated(strip_cr(F.col(text)), kind).alias("_p")).select(*rest, "_p.text", "_p.tags", "_p.error")
+    found = lines.select(*rest, parse_annotated(F.col(text), kind).alias("_p")).select(*rest, "_p.text", "_p.tags", "_p.error")
     if strict:
         found = found.withColumn("error", F.when(F.col("error").isNotNull(), F.raise_error(F.col("error")).cast("string")))
     return found.filter(F.col("text").isNotNull() | F.col("error").isNotNull())

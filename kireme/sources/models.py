@@ -150,6 +150,24 @@ def _word(r: Reader, levels: int) -> int:
     return bits
 
 
+def _subword(r: Reader, levels: int) -> None:
+    _skip_string(r)
+    for _ in range(levels):
+        for _ in range(r.value("I")):
+            _skip_string(r)
+            r.take(8)
+
+
+def _skip_readings(r: Reader) -> None:
+    """The language model of one level's readings."""
+    order = r.value("I")
+    if order:
+        r.take(4)
+        for _ in range(r.value("I")):
+            n = r.value("I")
+            r.take(2 * n + 8 + (0 if n == order else 8))
+
+
 def char_ids(char_map: str) -> dict[str, int]:
     """Ids from 1 in the order of first occurrence; repeats take none."""
     out: dict[str, int] = {}
@@ -190,6 +208,9 @@ def parse_linear(data: bytes) -> LinearModel:
             _skip_string(r)
         _skip_classifier(r)
     words = {text(k): v for k, v in _patterns(r, lambda x: _word(x, levels))}
+    _patterns(r, lambda x: _subword(x, levels))
+    for _ in range(levels):
+        _skip_readings(r)
     return LinearModel(cw, tw, dn, multiplier, int(biases[0]) if biases.size else 0, chars, types, words, dict_vector, char_map).check()
 
 
