@@ -77,4 +77,4 @@ def egc_split(text: Column) -> Column:
                 out.append(np.concatenate([[0], np.cumsum(sizes)]).astype(int).tolist())
             yield pd.Series(out)
 
-    return F.when(F.is_valid_utf8(text), split(text))
+    return F.when(F.is_valid_utf8(text), split(F.try_validate_utf8(text)))

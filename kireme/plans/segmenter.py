@@ -70,7 +70,7 @@ class Segmenter:
 
     def segment(self, text: Column) -> Column:
         """(start, end) byte offsets of every word; they tile the text. Null for null and for invalid UTF-8."""
-        return F.when(F.is_valid_utf8(text), self._words()(text))
+        return F.when(F.is_valid_utf8(text), self._words()(F.try_validate_utf8(text)))
 
     def boundary_scores(self, text: Column) -> Column:
         """The score of every gap between units, in order; null for null and for invalid UTF-8."""
@@ -88,7 +88,7 @@ class Segmenter:
                     offsets.append(offsets[-1][-1] + np.cumsum(np.maximum(np.diff(u.first) - 1, 0)))
                 yield pa.ListArray.from_arrays(pa.array(np.concatenate(offsets).astype(np.int32)), pa.array(np.concatenate(parts)))
 
-        return F.when(F.is_valid_utf8(text), scores(text))
+        return F.when(F.is_valid_utf8(text), scores(F.try_validate_utf8(text)))
 
     def surfaces(self, text: Column) -> Column:
         """The words themselves. Offsets are cut from the text's bytes in expressions."""

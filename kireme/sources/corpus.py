@@ -113,7 +113,7 @@ def parse_annotated(line: Column, kind: str = "full") -> Column:
             yield pd.DataFrame(rows, columns=["text", "tags", "error"]).astype(object)
 
     bad = F.struct(F.lit(None).cast("string").alias("text"), F.lit(None).cast("array<tinyint>").alias("tags"), F.lit(InvalidUtf8.code).alias("error"))
-    return F.when(F.is_valid_utf8(line), parse(line)).otherwise(bad)
+    return F.when(F.is_valid_utf8(line), parse(F.try_validate_utf8(line))).otherwise(bad)
 
 
 def annotated(lines: DataFrame, kind: str = "full", text: str = "text", strict: bool = True) -> DataFrame:
