@@ -9,6 +9,7 @@ then take their places by their rank in the order of length, found by one range
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -22,15 +23,19 @@ from kireme.llm.storage import ranked
 CAPACITY = 2048
 END_ID = 0
 #: Distinct blank-separated chunks whose ids a worker remembers before it starts anew (a single text may add more).
-REMEMBERED = 200_000
+REMEMBERED = 500_000
 #: Chunks longer than this are encoded each time.
 CHUNK_CHARS = 64
+#: Stands alone as a token, and is no blank.
+MARK = "\x01"
 
 
 @lru_cache(maxsize=2)
 def _tokenizer(path: str):
     from tokenizers import Tokenizer
 
+    # tasks are the parallelism: threads of its own would only contend for their cores
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
     return Tokenizer.from_file(path)
 
 
@@ -38,25 +43,41 @@ class _Encoder:
     """Ids of whole texts through ids of their blank-separated chunks.
 
     The vocabulary's pre-tokenizer drops white space and never joins across it, and its normalizer works inside a run
-    without blanks, so the ids of a text are those of its chunks in order.
+    without blanks, so the ids of a text are those of its chunks in order. Chunks that are not remembered are encoded
+    together, with a control character between them whose id marks where each one ends.
     """
 
     def __init__(self, path: str):
         self.tokenizer = _tokenizer(path)
         self.known: dict[str, bytes] = {}
+        self.mark = self._encode(MARK)
+
+    def _encode(self, text: str) -> np.ndarray:
+        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+
+    def learn(self, chunks: list[str]) -> None:
+        joins = len(self.mark) == 1
+        plain = [c for c in chunks if joins and MARK not in c and len(c) <= CHUNK_CHARS]
+        alone = [c for c in chunks if not joins or MARK in c or len(c) > CHUNK_CHARS]
+        for at in range(0, len(plain), 512):
+            part = plain[at : at + 512]
+            ids = self._encode(f" {MARK} ".join(part))
+            ends = np.flatnonzero(ids == self.mark[0]).tolist()
+            first = 0
+            for c, end in zip(part, [*ends, len(ids)], strict=True):
+                self.known[c] = ids[first:end].tobytes()
+                first = end + 1
+        for c in alone:
+            self.known[c] = self._encode(c).tobytes()
 
     def ids(self, text: str) -> np.ndarray:
         chunks = text.replace("\n", " ").split(" ")
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
         known = self.known
-        new = [c for c in set(chunks) if c not in known]
+        new = [c for c in dict.fromkeys(chunks) if c not in known]
         if new:
-            if len(known) + len(new) > REMEMBERED:
-                known.clear()
-                new = list(set(chunks))
-            for at in range(0, len(new), 1000):
-                part = new[at : at + 1000]
-                for c, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                    known[c] = np.asarray(e.ids, "<u4").tobytes()
+            self.learn(new)
         out = np.frombuffer(b"".join(map(known.__getitem__, chunks)), "<u4")
         for c in new:
             if len(c) > CHUNK_CHARS:

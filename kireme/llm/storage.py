@@ -33,13 +33,14 @@ def stored(df: DataFrame, name: str = "table") -> DataFrame:
 def ranked(df: DataFrame, *keys: str, rank: str = "rank", name: str = "ranked") -> DataFrame:
     """Gapless global position (from 0) of every row in the order of ``keys``, without a single-task window.
 
-    One range shuffle sorts the rows, the sorted table is stored with each row's partition and place in it, and the
+    ``df`` is stored first, because the range bounds are sampled from it before it is read again for the shuffle. One
+    range shuffle sorts the rows, the sorted table is stored with each row's partition and place in it, and the
     rows before each partition are summed over one row per partition (as many as shuffle partitions, whatever the
     data). Hot keys do not matter if the last key tells rows apart: range bounds then cut through them. Equal keys get
     neighbouring positions in any order. Nulls come first. An empty table gives an empty table.
     """
     placed = stored(
-        df.repartitionByRange(*[F.col(k).asc_nulls_first() for k in keys])
+        stored(df, name).repartitionByRange(*[F.col(k).asc_nulls_first() for k in keys])
         .sortWithinPartitions(*[F.col(k).asc_nulls_first() for k in keys])
         .withColumn("_pid", F.spark_partition_id())
         .withColumn("_idx", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))),
