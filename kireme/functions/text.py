@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kireme.functions.arrays import running_sums
+
 # Characters that models see in another form. Most move from ASCII to the full-width block.
 _FULL_WIDTH = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789(){}<>[]/_,%?+:!&*@="
 _OTHERS = {"-": "−", ".": "。", '"': "”", "'": "’", "｢": "「", "｣": "」", "～": "〜", "－": "ー", "､": "、", "―": "ー", "･": "・", "─": "ー", "–": "ー", "｡": "。"}
@@ -83,9 +85,8 @@ def unescape_words(line: Column, keep_empty: bool = True) -> Column:
 
 def boundary_offsets(words: Column) -> Column:
     """Byte offsets inside the joined words at which a word ends, without repeats."""
-    # running sums of a line's words; a line is short, so the array is walked once per word
-    ends = F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - 1, F.lit(1))), lambda n: F.octet_length(F.array_join(F.slice(words, F.lit(1), n), "")))
-    return F.when(F.size(words) > 1, F.array_distinct(ends)).otherwise(F.expr("cast(array() as array<int>)"))
+    ends = running_sums(F.transform(words, lambda w: F.octet_length(w).cast("long")))
+    return F.array_distinct(F.slice(ends, F.lit(1), F.greatest(F.size(words) - 1, F.lit(0))))
 
 
 def explode_chars(lines: DataFrame, *keys: str, text: str = "text") -> DataFrame:

@@ -64,3 +64,10 @@ def test_integer_arithmetic(spark):
     assert q == 2 * (32767 - 10000)
     y = spark.range(1).select(numeric.bce(F.lit(-3.0), F.lit(1.0))).first()[0]
     assert abs(y - np.log1p(np.exp(3))) < 1e-12
+
+
+def test_running_sums(spark):
+    from kireme.functions.arrays import running_sums
+
+    for n in (0, 1, 31, 32, 33, 200):
+        assert spark.createDataFrame([(list(range(n)),)], "v array<long>").select(running_sums(F.col("v"))).first()[0] == np.cumsum(range(n)).tolist()
