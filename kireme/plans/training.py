@@ -165,15 +165,18 @@ def train(examples: DataFrame, dev: DataFrame | None, c: Config, o: Options, sta
     examples = examples.filter("status = 'example'")
     params = start or (signed_start(c, o.seed) if o.diffusion else Parameters.init(c, o.seed))
     diffusion, best, best_params, losses, waited, epoch = o.diffusion, None, params, [], 0, 0
-    parts = (examples.agg(F.max(F.spark_partition_id())).first()[0] or 0) + 1
+    parts = (examples.select(F.spark_partition_id().alias("part")).agg(F.max("part")).first()[0] or 0) + 1
     levels = max(1, int(np.ceil(np.log(parts) / np.log(FAN) - 1e-9)))
     for epoch in range(1, o.epochs + 1):  # noqa: B007
         copies = _epoch(examples, c, o, params, diffusion, epoch)
         for _ in range(levels):
             copies = copies.groupBy(F.floor(F.col("slot") / FAN).alias("g")).applyInPandas(_merge, "slot long, weight double, loss double, params binary")
-        row = copies.first()
-        if row is None:
+        # a plan that is dealt anew may have more partitions than were counted: then merge further
+        while len(rows := copies.take(2)) > 1:
+            copies = copies.groupBy(F.floor(F.col("slot") / FAN).alias("g")).applyInPandas(_merge, "slot long, weight double, loss double, params binary")
+        if not rows:
             break
+        row = rows[0]
         raw = bytes(row["params"])
         size = len(params.pack())
         params = params.unpack(raw[:size])
