@@ -146,8 +146,8 @@ GENERATORS = (
     Generator("phone", r"(?<![0-9A-Za-z.+])\+?[0-9]{0,3}[ .-]?\(?[0-9]{2,4}\)?(?:[ .-]\(?[0-9]{2,4}\)?){2,5}(?![0-9A-Za-z])", "[0-9]", lambda h: h.rlike(r"[+(]") & _phone(h), lambda h: h.rlike(r"^\+[0-9]") & _phone(h)),
     Generator("card", r"(?<![0-9A-Za-z])[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z])", "[0-9]{4}", _card, _card),
     Generator("ip", r"(?<![0-9A-Za-z.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9])", "[0-9][.]", _ip, _ip),
-    Generator("secret", r"(?i)(?<![A-Za-z])(?:token|password|passwd|pwd|secret|api[_-]?key|access[_-]?key|auth)\"? {0,3}[=:] {0,3}[\"']?[A-Za-z0-9+/_.-]{4,200}+[\"']?", "[=:]", lambda h: let(F.regexp_extract(h, r"[=:] *[\"']?(.*)$", 1), lambda v: (F.length(v) >= 8) & _mixed(v)), _never),
-    Generator("secret", r"(?<![A-Za-z0-9_])[A-Za-z0-9_]{16,200}+", "[0-9]", _mixed, _never),
+    Generator("secret", r"(?i)(?<![A-Za-z])(?:token|password|passwd|pwd|secret|api[_-]?key|access[_-]?key|auth)\"? {0,3}[=:] {0,3}[\"']?[A-Za-z0-9+/_.-]{4,}+[\"']?", "[=:]", lambda h: let(F.regexp_extract(h, r"[=:] *[\"']?(.*)$", 1), lambda v: (F.length(v) >= 8) & _mixed(v)), _never),
+    Generator("secret", r"(?<![A-Za-z0-9_])[A-Za-z0-9_]{16,}+", "[0-9]", _mixed, _never),
     Generator("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", "[A-Z]{2}[0-9]{2}", lambda h: F.length(_digits(h)) >= 10, _never),
     Generator("ssn", r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])", "[0-9]-[0-9]", lambda h: ~h.rlike("^(?:000|666|9)"), _never),
 )

@@ -67,3 +67,10 @@ def test_stages_on_awkward_rows(spark, awkward):
 
 def test_run(spark, stages):
     assert P.run(spark, SF).count() == stages[-1][1].count()
+
+
+def test_redaction_of_long_secrets(spark, docs):
+    """Secrets of any length go whole, bare and after a key word."""
+    long = "a1B2c3D4" * 625
+    got = {r.doc_id: r.text for r in P.redact(spark, docs(f"see {long} there", f"x token={long}/+.{long} y").select(*P.COLUMNS), SF).collect()}
+    assert got == {0: "see [SECRET] there", 1: "x [SECRET] y"}
