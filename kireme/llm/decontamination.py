@@ -15,12 +15,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 WINDOW = 10
-#: Characters of item texts behind one automaton. A larger benchmark is scanned in several passes over the documents.
+#: Characters of item texts behind one automaton. A larger benchmark is scanned block by block.
 BLOCK_CHARS = 4_000_000
+#: Bytes of document text that a task holds for a round of all blocks, if there are several.
+HELD_BYTES = 32_000_000
 
 
 def words_of(text: str | None) -> list[str]:
@@ -77,52 +80,66 @@ def _blocks(benchmark: DataFrame, limit: int) -> Iterator[list]:
     yield block
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_chars: int = BLOCK_CHARS, offsets: bool = False) -> DataFrame:
-    """One row per document: doc_id, n_words, n_hit, items (sorted strings of item ids); with ``offsets`` also ``spans``.
+def _chunks(batches: Iterator[pa.RecordBatch], text: int, size: int) -> Iterator[list[pa.RecordBatch]]:
+    """Batches in lists of at least ``size`` bytes of text, the last one less."""
+    part, held = [], 0
+    for batch in batches:
+        part.append(batch)
+        held += batch.column(text).nbytes
+        if held >= size:
+            yield part
+            part, held = [], 0
+    if part:
+        yield part
 
-    ``spans`` lists the hit stretches as start and end code points of the original text. The automaton is broadcast in
-    blocks of at most ``block_chars`` characters of item text (and one item), so its size is bounded; a benchmark of
-    more blocks is scanned block by block, each block once over all documents, and hits are joined by ``doc_id``, which
-    must then tell rows apart. Null texts have no words; items without words match nothing.
+
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_chars: int = BLOCK_CHARS, offsets: bool = False, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """One row per row of ``docs``: its columns ``carry``, n_words, n_hit, items (sorted strings of item ids); with ``offsets`` also ``full`` and ``spans``.
+
+    ``spans`` lists the hit stretches as start and end code points of the original text, ``full`` tells whether a whole
+    window of an item occurs (not only items shorter than one). A task holds one automaton at a time, of at most
+    ``block_chars`` characters of item text (and one item). Rows are held against all blocks in turn where they are, and
+    their hits united before stretches are made, so that neither ids nor the number of blocks change a result. Null
+    texts have no words; items without words match nothing.
     """
-    spark = docs.sparkSession
-    fields = "doc_id long, n_words long, hits array<int>, items array<string>" + (", spans array<struct<start:int,end:int>>" if offsets else "")
-
-    def scan(block: list) -> DataFrame:
-        shared = spark.sparkContext.broadcast(block)
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            automaton = Automaton(shared.value, window)
-            for batch in batches:
-                n_words, hits, items, at = [], [], [], []
-                for t in batch.column(1):
-                    text = t.as_py()
-                    words = words_of(text)
+    shared = [docs.sparkSession.sparkContext.broadcast(block) for block in _blocks(benchmark, block_chars)]
+    # with several blocks, each automaton is built anew for so many bytes of text
+    held = HELD_BYTES if len(shared) > 1 else 0
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = None
+        for part in _chunks(batches, len(carry), held):
+            texts = pa.chunked_array([batch.column(len(carry)) for batch in part])
+            n = len(texts)
+            n_words, full, on, owners = np.zeros(n, np.int64), np.zeros(n, bool), [None] * n, [()] * n
+            for block in shared:
+                if automaton is None or len(shared) > 1:
+                    automaton = None  # frees the last one first
+                    automaton = Automaton(block.value, window)
+                for i, t in enumerate(texts):
+                    words = words_of(t.as_py())
+                    n_words[i] = len(words)
                     spans, found = automaton.match(words)
-                    on = np.flatnonzero(covered(spans, len(words))) if len(spans) else np.zeros(0, np.int64)
-                    n_words.append(len(words)), hits.append(on), items.append(sorted(map(str, found)))
-                    if offsets:
-                        at.append(_stretches(text, on))
-                columns = [batch.column(0), pa.array(n_words, pa.int64()), pa.array(hits, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))]
+                    if len(spans):
+                        mask = covered(spans, len(words))
+                        on[i] = mask if on[i] is None else on[i] | mask
+                        owners[i] = found.union(owners[i])
+                        full[i] |= bool((spans[:, 1] - spans[:, 0] == window).any())
+            at = 0
+            for batch in part:
+                rows = range(at, at + len(batch))
+                at += len(batch)
+                columns = [batch.column(i) for i in range(len(carry))]
+                columns += [pa.array(n_words[rows.start : rows.stop]), pa.array([0 if on[i] is None else int(on[i].sum()) for i in rows], pa.int64()), pa.array([sorted(map(str, owners[i])) for i in rows], pa.list_(pa.string()))]
                 if offsets:
-                    columns.append(pa.array(at, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))))
+                    stretches = [[] if on[i] is None else _stretches(texts[i].as_py(), np.flatnonzero(on[i])) for i in rows]
+                    columns += [pa.array(full[rows.start : rows.stop]), pa.array(stretches, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))]
                 yield pa.RecordBatch.from_arrays(columns, names)
 
-        names = ["doc_id", "n_words", "hits", "items"] + ["spans"] * offsets
-        return docs.select("doc_id", "text").mapInArrow(run, fields)
-
-    parts = [scan(block) for block in _blocks(benchmark, block_chars)]
-    out = parts[0]
-    if len(parts) > 1:
-        for part in parts[1:]:
-            out = out.unionByName(part)
-        out = out.groupBy("doc_id").agg(
-            F.max("n_words").alias("n_words"),
-            F.array_distinct(F.flatten(F.collect_list("hits"))).alias("hits"),
-            F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
-            *([F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans")] if offsets else []),
-        )
-    return out.withColumn("n_hit", F.size("hits").cast("long")).drop("hits")
+    more = "n_words long, n_hit long, items array<string>" + (", full boolean, spans array<struct<start:int,end:int>>" if offsets else "")
+    fields = T.StructType([docs.schema[c] for c in carry] + T.StructType.fromDDL(more).fields)
+    names = fields.names
+    return docs.select(*carry, F.col("text").alias("_text")).mapInArrow(run, fields)
 
 
 def _stretches(text: str | None, on: np.ndarray) -> list[dict]:

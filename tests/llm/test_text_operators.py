@@ -197,6 +197,16 @@ def test_contamination(spark, docs):
     assert cut.select(decontamination.without(F.col("text"), F.col("spans"))).first()[0] == "x   y"
 
 
+def test_contamination_is_the_same_in_blocks(spark, docs):
+    """Rows of null and repeated ids stay apart, and nested hits of several blocks make one stretch."""
+    ten = "one two three four five six seven eight nine ten"
+    bench = spark.createDataFrame([(1, ten), (2, "two three"), (3, "Short item"), (4, "ten more")], "item_id long, text string")
+    rows = docs((None, f"x {ten} y"), (None, "none"), (7, "a short item"), (7, "a short item"), (7, f"{ten} more"), (8, None))
+    one, many = (decontamination.contamination(rows, bench, block_chars=n, offsets=True).collect() for n in (10**6, 5))
+    assert one == many and [r.n_hit for r in many] == [10, 0, 2, 2, 11, 0]
+    assert [[tuple(s) for s in r.spans] for r in many][4] == [(0, len(ten) + 5)] and [r.full for r in many] == [True, False, False, False, True, False]
+
+
 def test_shards(spark, docs, awkward):
     curve = sharding.hilbert_index(np.array([(x, y) for x in range(16) for y in range(16)]), 4)
     assert sorted(curve.tolist()) == list(range(256))
