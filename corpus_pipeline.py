@@ -26,18 +26,17 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document of the smallest id of each component; of repeated ids, rows stay as they are."""
-    kept = simhash.near_duplicates(docs).filter("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*COLUMNS)
+    """Keep one row of each component: that of the smallest id, null ids last, and of equal ids one."""
+    rows = stored(docs.select(*COLUMNS).withColumn("_row", F.monotonically_increasing_id()), "rows")
+    return rows.join(simhash.representatives(rows, "_row"), "_row", "left_semi").select(*COLUMNS)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that hold a benchmark passage; cut the words of items shorter than a window out of the rest."""
-    found = decontamination.contamination(docs, table(spark, sf_dir, "benchmark"), offsets=True).filter("n_hit > 0").select("doc_id", "n_hit", "spans").dropDuplicates(["doc_id"])
-    cut = docs.join(stored(found, "contaminated"), "doc_id", "left")
-    kept = cut.filter(F.col("n_hit").isNull() | (F.col("n_hit") < FULL_WINDOW))
-    body = decontamination.without(F.col("text"), F.col("spans"))
-    return kept.withColumn("text", F.when(F.col("n_hit").isNull(), F.col("text")).otherwise(body)).withColumn("n_chars", F.when(F.col("n_hit").isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast("long"))).select(*COLUMNS)
+    found = decontamination.contamination(docs, table(spark, sf_dir, "benchmark"), offsets=True, carry=COLUMNS)
+    some = F.col("n_hit") > 0
+    kept = found.filter(F.col("n_hit") < FULL_WINDOW).withColumn("text", F.when(some, decontamination.without(F.col("text"), F.col("spans"))).otherwise(F.col("text")))
+    return kept.withColumn("n_chars", F.when(some, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

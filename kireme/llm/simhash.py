@@ -53,15 +53,16 @@ def fingerprint(text: str | None, words: int = 3) -> int:
     return int.from_bytes(np.packbits(2 * ones > n, bitorder="little").tobytes(), "little")
 
 
-def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
-    """``doc_id`` and ``fp`` (long, the unsigned value's bits) of every row's whole text."""
+def fingerprints(docs: DataFrame, words: int = 3, *keys: str) -> DataFrame:
+    """``doc_id``, further ``keys`` (long) and ``fp`` (long, the unsigned value's bits) of every row's whole text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.fromiter((fingerprint(t.as_py(), words) for t in batch.column(1)), np.uint64, len(batch))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+            fps = np.fromiter((fingerprint(t.as_py(), words) for t in batch.column(len(names))), np.uint64, len(batch))
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(names))), pa.array(fps.view(np.int64))], [*names, "fp"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long")
+    names = ["doc_id", *keys]
+    return docs.select(*names, "text").mapInArrow(run, "".join(f"{k} long, " for k in names) + "fp long")
 
 
 def _linked(a: str, b: str):
@@ -104,6 +105,19 @@ def _stars(keyed: DataFrame, *keys: str) -> DataFrame:
     )
 
 
+def _labelled(distinct: DataFrame) -> DataFrame:
+    """Distinct fingerprints (column ``fp``) with ``component``, the smallest fingerprint that links reach."""
+    found = components(links(distinct.select("fp")))
+    return distinct.join(found.select(F.col("node").alias("fp"), "component"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+
+
+def representatives(docs: DataFrame, key: str, words: int = 3) -> DataFrame:
+    """``key`` (long, unique) of one row per component: of those with the smallest doc_id (nulls last) that of the smallest key."""
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", key)).alias("first")
+    labelled = _labelled(stored(fingerprints(docs, words, key).groupBy("fp").agg(first), "distinct"))
+    return labelled.groupBy("component").agg(F.min("first").alias("first")).select(F.col("first")[key].alias(key))
+
+
 def near_duplicates(docs: DataFrame, words: int = 3) -> DataFrame:
     """One row per row of ``docs``: doc_id, fingerprint (16 hex digits) and component_id.
 
@@ -113,9 +127,7 @@ def near_duplicates(docs: DataFrame, words: int = 3) -> DataFrame:
     each returned. Exact copies are one fingerprint from the first aggregation on, whose partial sums absorb large groups.
     """
     prints = stored(fingerprints(docs, words), "fingerprints")
-    distinct = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct")
-    found = components(links(distinct.select("fp")))
-    labelled = distinct.join(found.select(F.col("node").alias("fp"), "component"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    labelled = _labelled(stored(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct"))
     names = labelled.groupBy("component").agg(F.min("first_id").alias("component_id"))
     named = labelled.join(names, "component").select("fp", "component_id")
     return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

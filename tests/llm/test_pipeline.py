@@ -74,3 +74,26 @@ def test_redaction_of_long_secrets(spark, docs):
     long = "a1B2c3D4" * 625
     got = {r.doc_id: r.text for r in P.redact(spark, docs(f"see {long} there", f"x token={long}/+.{long} y").select(*P.COLUMNS), SF).collect()}
     assert got == {0: "see [SECRET] there", 1: "x [SECRET] y"}
+
+
+def test_near_duplicates_without_good_ids(spark, docs):
+    """Null ids and ids that repeat lose no text and spare no copy."""
+    a, b, c = ("one two three four five six", "quite another text stands in here", "and a third text of its own words")
+    rows = docs((None, a), (None, b), (None, b), (5, c), (5, c), (5, "yet one more text under an id that repeats"), (None, c))
+    got = sorted((r.doc_id or 0, r.text) for r in P.near_duplicates(spark, rows.select(*P.COLUMNS), SF).collect())
+    assert got == sorted([(0, a), (0, b), (5, c), (5, "yet one more text under an id that repeats")])
+
+
+@pytest.fixture
+def short_items(spark, tmp_path):
+    items = [(1, "forty two"), (2, "one two three four five six seven eight nine ten eleven")]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    return str(tmp_path)
+
+
+def test_decontamination_without_good_ids(spark, docs, short_items):
+    """Each row is judged by its own text."""
+    leak = "so one two three four five six seven eight nine ten it is"
+    rows = docs((None, leak), (None, "clean"), (5, leak), (5, "clean too"), (5, "is forty two here"), (6, None))
+    got = [(r.doc_id, r.text) for r in P.decontaminate(spark, rows.select(*P.COLUMNS), short_items).collect()]
+    assert got == [(None, "clean"), (5, "clean too"), (5, "is   here"), (6, None)]
