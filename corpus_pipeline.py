@@ -14,8 +14,6 @@ from kireme.llm.queries import table, word_vocabulary
 from kireme.llm.storage import stored
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-#: A document with as many hit words as a full window goes; the words of shorter items are only cut out.
-FULL_WINDOW = decontamination.WINDOW
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,10 +30,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that hold a benchmark passage; cut the words of items shorter than a window out of the rest."""
+    """Drop documents that hold a full window of a benchmark item; cut the words of items shorter than a window out of the rest."""
     found = decontamination.contamination(docs, table(spark, sf_dir, "benchmark"), offsets=True, carry=COLUMNS)
     some = F.col("n_hit") > 0
-    kept = found.filter(F.col("n_hit") < FULL_WINDOW).withColumn("text", F.when(some, decontamination.without(F.col("text"), F.col("spans"))).otherwise(F.col("text")))
+    kept = found.filter(~F.col("full")).withColumn("text", F.when(some, decontamination.without(F.col("text"), F.col("spans"))).otherwise(F.col("text")))
     return kept.withColumn("n_chars", F.when(some, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 
 

@@ -97,3 +97,9 @@ def test_decontamination_without_good_ids(spark, docs, short_items):
     rows = docs((None, leak), (None, "clean"), (5, leak), (5, "clean too"), (5, "is forty two here"), (6, None))
     got = [(r.doc_id, r.text) for r in P.decontaminate(spark, rows.select(*P.COLUMNS), short_items).collect()]
     assert got == [(None, "clean"), (5, "clean too"), (5, "is   here"), (6, None)]
+
+
+def test_scattered_short_items_are_only_cut_out(spark, docs, short_items):
+    text = "word forty two other " * 30
+    got = P.decontaminate(spark, docs(text, "forty two " * 9).select(*P.COLUMNS), short_items).collect()
+    assert [r.text.split() for r in got] == [["word", "other"] * 30, []] and got[0].n_chars == len(got[0].text)
