@@ -32,8 +32,6 @@ SIZE = CLASSES * IN_CLASS
 RARE = 63
 DIMENSIONS, HIDDEN, SIDE = 12, 32, 2
 ROUNDS, BATCH, RATE = 2, 2048, 0.1
-#: Each round trains on every STRIDE-th place of every document, another one in each round.
-STRIDE = 8
 #: Places that are scored at once, and parameter copies that one task averages.
 SCORED, FAN = 8192, 32
 #: Words whose ids a worker remembers.
@@ -191,8 +189,13 @@ def _average(copies: DataFrame) -> bytes | None:
     return bytes(copies.first()["params"])
 
 
+def dealt(n: int, r: int, rounds: int) -> np.ndarray:
+    """The places of a text of ``n`` tokens that round ``r`` trains on; over all rounds each place is used once."""
+    return np.arange((r + n) % rounds, n, rounds)
+
+
 def train(table: DataFrame, rounds: int = ROUNDS, seed: int = 3) -> dict[str, np.ndarray]:
-    """Parameters trained on every document of an encoded table; without tokens the starting ones."""
+    """Parameters trained on every place of every document of an encoded table; without tokens the starting ones."""
     shared = table.sparkSession.sparkContext
     params = pack(start(seed))
     for r in range(rounds):
@@ -205,7 +208,7 @@ def train(table: DataFrame, rounds: int = ROUNDS, seed: int = 3) -> dict[str, np
             for batch in batches:
                 for t in batch.column(0):
                     ids = _ids(t)
-                    places = np.arange((r * STRIDE // rounds + len(ids)) % STRIDE, len(ids), STRIDE)
+                    places = dealt(len(ids), r, rounds)
                     if not places.size:
                         continue
                     contexts.append(around(ids, places))

@@ -138,3 +138,12 @@ def test_language_model_sums_to_one_and_long_texts(docs):
     want = language_model.log_probabilities(p, language_model.around(ids, np.arange(len(ids))), ids).sum(dtype=np.float64)
     assert whole.n_tokens == 24000 and abs(whole.sum_logprob - want) < 1e-2
     assert language_model.pseudo_likelihood(docs()).count() == 0
+
+
+def test_language_model_trains_on_every_place(docs):
+    for rounds in (1, 2, 8):
+        for n in range(20):
+            assert sorted(np.concatenate([language_model.dealt(n, r, rounds) for r in range(rounds)])) == list(range(n))
+    for text in ("a", "a b", "a b c"):
+        table = language_model.encoded(docs(text), ["a", "b", "c"])
+        assert not np.array_equal(language_model.train(table)["bc"], language_model.start()["bc"])
