@@ -12,6 +12,7 @@ copies, grows with the input.
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from collections.abc import Iterator
@@ -28,21 +29,30 @@ from kireme.llm.storage import stored
 WORD = re.compile(r"\w+|[^\w\s]")
 CLASSES, IN_CLASS = 48, 48
 SIZE = CLASSES * IN_CLASS
+#: A word of so many occurrences has an id of its own, and at least the SIZE most frequent ones do; larger vocabularies
+#: take more classes and more words in each.
+MIN_COUNT = 100
 #: Ids kept for words outside the vocabulary, by hash; id 0 is the text's edge.
 RARE = 63
 DIMENSIONS, HIDDEN, SIDE = 12, 32, 2
 ROUNDS, BATCH, RATE = 2, 2048, 0.1
-#: Places that are scored at once, and parameter copies that one task averages.
-SCORED, FAN = 8192, 32
+#: Places that are scored at once; parameter copies that one task averages, and their bytes (two copies at least).
+SCORED, FAN, AVERAGED = 8192, 32, 64_000_000
 #: Words whose ids a worker remembers.
 REMEMBERED = 500_000
 
 
 def vocabulary(docs: DataFrame, text: str = "text") -> list[str]:
-    """The most frequent tokens of all documents, ties by token: as many as the network has ids for."""
+    """The tokens that occur MIN_COUNT times in all documents, but at least as many of the most frequent as the smallest network has ids for; ties by token."""
     words = docs.select(F.explode(F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]"), F.lit(0))).alias("w"))
-    top = words.groupBy("w").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "w").limit(SIZE - RARE - 1)
-    return [r[0] for r in top.collect()]
+    counts = stored(words.groupBy("w").agg(F.count(F.lit(1)).alias("n")), "word-counts")
+    least = max(SIZE - RARE - 1, counts.filter(F.col("n") >= MIN_COUNT).count())
+    return [r[0] for r in counts.orderBy(F.desc("n"), "w").limit(least).collect()]
+
+
+def classes_for(words: list[str]) -> int:
+    """Classes, and words in each, of a network with ids for ``words``."""
+    return max(CLASSES, math.isqrt(len(words) + RARE) + 1)
 
 
 class _Rare(dict):
@@ -60,35 +70,59 @@ class Tokens:
         self.ids = _Rare({w: RARE + 1 + i for i, w in enumerate(words)})
 
     def encode(self, text: str | None) -> np.ndarray:
-        return np.array([*map(self.ids.__getitem__, WORD.findall(text.lower()))] if text else [], np.uint16)
+        return self.split(text)[0]
+
+    def split(self, text: str | None) -> tuple[np.ndarray, list[str]]:
+        """Ids of all tokens, and the tokens outside the vocabulary."""
+        words = WORD.findall(text.lower()) if text else []
+        ids = np.array([*map(self.ids.__getitem__, words)], np.uint32)
+        return ids, [words[i] for i in np.flatnonzero(ids <= RARE)]
 
 
 def encoded(docs: DataFrame, words: list[str], text: str = "text") -> DataFrame:
-    """doc_id and ids (binary, 16 bits each) of every row's whole text, stored, so that later passes read no texts."""
+    """doc_id, row (unique), ids (binary, 32 bits each) and rare (tokens outside the vocabulary) of every row's whole text.
+
+    The table is stored, so that later passes read no texts.
+    """
     known = docs.sparkSession.sparkContext.broadcast(words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = Tokens(known.value)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([tokens.encode(t.as_py()).tobytes() for t in batch.column(1)], pa.binary())], ["doc_id", "ids"])
+            found = [tokens.split(t.as_py()) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([ids.tobytes() for ids, _ in found], pa.binary()), pa.array([rare for _, rare in found], pa.list_(pa.string()))], ["doc_id", "ids", "rare"])
+
+    return stored(docs.select("doc_id", text).mapInArrow(run, "doc_id long, ids binary, rare array<string>").withColumn("row", F.monotonically_increasing_id()), "token-ids")
+
+
+def rare_terms(table: DataFrame) -> DataFrame:
+    """row and term: the summed log-probability of a row's tokens outside the vocabulary within their buckets.
 
-    return stored(docs.select("doc_id", text).mapInArrow(run, "doc_id long, ids binary"), "token-ids")
+    A token's probability is its count in the whole table over the count of its bucket. Sums are exact decimals, so that
+    they do not depend on an order.
+    """
+    tokens = table.select("row", F.explode("rare").alias("w"))
+    counts = tokens.groupBy("w").agg(F.count(F.lit(1)).alias("n")).withColumn("bucket", F.crc32(F.encode("w", "UTF-8")) % RARE)
+    counts = stored(counts, "rare-counts")
+    totals = counts.groupBy("bucket").agg(F.sum("n").alias("total"))
+    shares = counts.join(F.broadcast(totals), "bucket").select("w", F.ln(F.col("n") / F.col("total")).cast("decimal(18,12)").alias("share"))
+    return tokens.join(shares, "w").groupBy("row").agg(F.sum("share").cast("double").alias("term"))
 
 
 def _ids(value: pa.Scalar) -> np.ndarray:
-    return np.frombuffer(value.as_buffer() or b"", np.uint16).astype(np.int64)
+    return np.frombuffer(value.as_buffer() or b"", np.uint32).astype(np.int64)
 
 
-def start(seed: int = 3) -> dict[str, np.ndarray]:
+def start(seed: int = 3, classes: int = CLASSES) -> dict[str, np.ndarray]:
     rng = np.random.default_rng(seed)
     made = {
-        "emb": rng.normal(0, 0.3, (SIZE, DIMENSIONS)),
+        "emb": rng.normal(0, 0.3, (classes * classes, DIMENSIONS)),
         "w1": rng.normal(0, 1 / np.sqrt(2 * SIDE * DIMENSIONS), (2 * SIDE * DIMENSIONS, HIDDEN)),
         "b1": np.zeros(HIDDEN),
-        "wc": rng.normal(0, 0.1, (HIDDEN, CLASSES)),
-        "bc": np.zeros(CLASSES),
-        "wt": rng.normal(0, 0.1, (CLASSES, HIDDEN, IN_CLASS)),
-        "bt": np.zeros((CLASSES, IN_CLASS)),
+        "wc": rng.normal(0, 0.1, (HIDDEN, classes)),
+        "bc": np.zeros(classes),
+        "wt": rng.normal(0, 0.1, (classes, HIDDEN, classes)),
+        "bt": np.zeros((classes, classes)),
     }
     return {k: v.astype(np.float32) for k, v in made.items()}
 
@@ -97,9 +131,9 @@ def pack(p: dict[str, np.ndarray]) -> bytes:
     return np.concatenate([p[k].ravel() for k in start()]).tobytes()
 
 
-def unpack(raw: bytes) -> dict[str, np.ndarray]:
+def unpack(raw: bytes, classes: int = CLASSES) -> dict[str, np.ndarray]:
     flat, out, at = np.frombuffer(raw, np.float32), {}, 0
-    for k, v in start().items():
+    for k, v in start(classes=classes).items():
         out[k] = flat[at : at + v.size].reshape(v.shape).copy()
         at += v.size
     return out
@@ -127,11 +161,12 @@ def _log_softmax(z: np.ndarray, at: np.ndarray) -> np.ndarray:
 def log_probabilities(p: dict[str, np.ndarray], context: np.ndarray, target: np.ndarray) -> np.ndarray:
     """log P(token | both sides) of each row."""
     h = np.tanh(p["emb"][context].reshape(len(context), -1) @ p["w1"] + p["b1"])
-    cls, within = target % CLASSES, target // CLASSES
+    classes = p["wc"].shape[1]
+    cls, within = target % classes, target // classes
     out = _log_softmax(h @ p["wc"] + p["bc"], cls)
     # rows of one class share a matrix
     order = np.argsort(cls, kind="stable")
-    bounds = np.searchsorted(cls[order], np.arange(CLASSES + 1))
+    bounds = np.searchsorted(cls[order], np.arange(classes + 1))
     for c in np.flatnonzero(np.diff(bounds)):
         rows = order[bounds[c] : bounds[c + 1]]
         out[rows] += _log_softmax(h[rows] @ p["wt"][c] + p["bt"][c], within[rows])
@@ -143,19 +178,23 @@ def train_step(p: dict[str, np.ndarray], memory: dict[str, np.ndarray], context:
     n = len(target)
     v = p["emb"][context].reshape(n, -1)
     h = np.tanh(v @ p["w1"] + p["b1"])
-    cls, within = target % CLASSES, target // CLASSES
+    classes = p["wc"].shape[1]
+    cls, within = target % classes, target // classes
     g = _softmax(h @ p["wc"] + p["bc"])
     g[np.arange(n), cls] -= 1
     d_h = g @ p["wc"].T
-    grads = {"wc": h.T @ g / n, "bc": g.sum(0) / n, "wt": np.zeros_like(p["wt"]), "bt": np.zeros_like(p["bt"])}
+    grads = {"wc": h.T @ g / n, "bc": g.sum(0) / n}
     order = np.argsort(cls, kind="stable")
-    bounds = np.searchsorted(cls[order], np.arange(CLASSES + 1))
+    bounds = np.searchsorted(cls[order], np.arange(classes + 1))
     for c in np.flatnonzero(np.diff(bounds)):
         rows = order[bounds[c] : bounds[c + 1]]
         t = _softmax(h[rows] @ p["wt"][c] + p["bt"][c])
         t[np.arange(len(rows)), within[rows]] -= 1
         d_h[rows] += t @ p["wt"][c].T
-        grads["wt"][c], grads["bt"][c] = h[rows].T @ t / n, t.sum(0) / n
+        # classes without rows have no gradient and are left alone
+        for k, d in (("wt", h[rows].T @ t / n), ("bt", t.sum(0) / n)):
+            memory[k][c] += d * d
+            p[k][c] -= rate * d / np.sqrt(memory[k][c] + 1e-8)
     d_z = d_h * (1 - h * h)
     grads["w1"], grads["b1"] = v.T @ d_z / n, d_z.sum(0) / n
     d_v = (d_z @ p["w1"].T).reshape(-1, DIMENSIONS) / n
@@ -169,7 +208,13 @@ def train_step(p: dict[str, np.ndarray], memory: dict[str, np.ndarray], context:
 
 
 def _average(copies: DataFrame) -> bytes | None:
-    """The mean of parameter copies (slot, weight, params), weighted, through groups of at most FAN copies."""
+    """The mean of parameter copies (slot, weight, params), weighted, through groups of at most FAN copies and AVERAGED bytes (or two copies)."""
+
+    copies = stored(copies, "parameters")
+    highest, size = copies.agg(F.max("slot"), F.max(F.octet_length("params"))).first()
+    if highest is None:
+        return None
+    fan = max(2, min(FAN, AVERAGED // size))
 
     def merge(group: pd.DataFrame) -> pd.DataFrame:
         total, weight = None, 0.0
@@ -177,15 +222,11 @@ def _average(copies: DataFrame) -> bytes | None:
             part = np.frombuffer(raw, np.float32) * np.float64(w)
             total = part if total is None else total + part
             weight += w
-        return pd.DataFrame({"slot": [int(group["slot"].iloc[0]) // FAN], "weight": [weight], "params": [(total / weight).astype(np.float32).tobytes()]})
+        return pd.DataFrame({"slot": [int(group["slot"].iloc[0]) // fan], "weight": [weight], "params": [(total / weight).astype(np.float32).tobytes()]})
 
-    copies = stored(copies, "parameters")
-    highest = copies.agg(F.max("slot")).first()[0]
-    if highest is None:
-        return None
     while highest:
-        copies = stored(copies.groupBy(F.floor(F.col("slot") / FAN).alias("g")).applyInPandas(merge, "slot long, weight double, params binary"), "parameters")
-        highest //= FAN
+        copies = stored(copies.groupBy(F.floor(F.col("slot") / fan).alias("g")).applyInPandas(merge, "slot long, weight double, params binary"), "parameters")
+        highest //= fan
     return bytes(copies.first()["params"])
 
 
@@ -194,15 +235,15 @@ def dealt(n: int, r: int, rounds: int) -> np.ndarray:
     return np.arange((r + n) % rounds, n, rounds)
 
 
-def train(table: DataFrame, rounds: int = ROUNDS, seed: int = 3) -> dict[str, np.ndarray]:
+def train(table: DataFrame, rounds: int = ROUNDS, seed: int = 3, classes: int = CLASSES) -> dict[str, np.ndarray]:
     """Parameters trained on every place of every document of an encoded table; without tokens the starting ones."""
     shared = table.sparkSession.sparkContext
-    params = pack(start(seed))
+    params = pack(start(seed, classes))
     for r in range(rounds):
         known = shared.broadcast(params)
 
         def run(batches: Iterator[pa.RecordBatch], r: int = r, known=known) -> Iterator[pa.RecordBatch]:
-            p = unpack(known.value)
+            p = unpack(known.value, classes)
             memory = {k: np.zeros_like(v) for k, v in p.items()}
             contexts, targets, waiting, seen, steps = [], [], 0, 0, 0
             for batch in batches:
@@ -228,27 +269,29 @@ def train(table: DataFrame, rounds: int = ROUNDS, seed: int = 3) -> dict[str, np
                 yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([float(seen)]), pa.array([pack(p)], pa.binary())], ["slot", "weight", "params"])
 
         params = _average(table.select("ids").mapInArrow(run, "slot long, weight double, params binary")) or params
-    return unpack(params)
+    return unpack(params, classes)
 
 
 def pseudo_likelihood(docs: DataFrame, words: list[str] | None = None, params: dict[str, np.ndarray] | None = None) -> DataFrame:
     """doc_id, n_tokens, sum_logprob and mean_logprob of every row's whole text.
 
-    Words and parameters are learned from ``docs`` unless given. A text without tokens (null, empty, blank) has sum and
+    Words and parameters are learned from ``docs`` unless given. A token outside the vocabulary has the probability of
+    its hash bucket times its share of the bucket's tokens in ``docs``. A text without tokens (null, empty, blank) has sum and
     mean 0. Equal texts have equal scores.
     """
     words = vocabulary(docs) if words is None else words
     table = encoded(docs, words)
-    params = train(table) if params is None else params
+    params = train(table, classes=classes_for(words)) if params is None else params
+    classes = params["wc"].shape[1]
     known = docs.sparkSession.sparkContext.broadcast(pack(params))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p = unpack(known.value)
+        p = unpack(known.value, classes)
         for batch in batches:
             n, total = np.zeros(len(batch), np.int64), np.zeros(len(batch))
             # short documents are scored together, long ones in parts
             owners, contexts, targets, waiting = [], [], [], 0
-            for i, t in enumerate(batch.column(1)):
+            for i, t in enumerate(batch.column(2)):
                 ids = _ids(t)
                 n[i] = len(ids)
                 for at in range(0, len(ids), SCORED):
@@ -262,7 +305,8 @@ def pseudo_likelihood(docs: DataFrame, words: list[str] | None = None, params: d
                         owners, contexts, targets, waiting = [], [], [], 0
             if waiting:
                 total += np.bincount(np.concatenate(owners), log_probabilities(p, np.concatenate(contexts), np.concatenate(targets)), len(batch))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(total)], ["doc_id", "n_tokens", "sum_logprob"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n), pa.array(total)], ["doc_id", "row", "n_tokens", "seen"])
 
-    scored = table.mapInArrow(run, "doc_id long, n_tokens long, sum_logprob double")
-    return scored.withColumn("mean_logprob", F.when(F.col("n_tokens") > 0, F.col("sum_logprob") / F.col("n_tokens")).otherwise(0.0))
+    scored = table.select("doc_id", "row", "ids").mapInArrow(run, "doc_id long, row long, n_tokens long, seen double")
+    summed = scored.join(rare_terms(table), "row", "left").select("doc_id", "n_tokens", (F.col("seen") + F.coalesce("term", F.lit(0.0))).alias("sum_logprob"))
+    return summed.withColumn("mean_logprob", F.when(F.col("n_tokens") > 0, F.col("sum_logprob") / F.col("n_tokens")).otherwise(0.0))

@@ -147,3 +147,23 @@ def test_language_model_trains_on_every_place(docs):
     for text in ("a", "a b", "a b c"):
         table = language_model.encoded(docs(text), ["a", "b", "c"])
         assert not np.array_equal(language_model.train(table)["bc"], language_model.start()["bc"])
+
+
+def test_language_model_vocabulary_grows(docs):
+    text = " ".join(f"w{i}" for i in range(5000))
+    words = language_model.vocabulary(docs(*[text] * 100))
+    assert len(words) == 5000 and language_model.classes_for(words) ** 2 >= 5000 + language_model.RARE + 1
+    table = language_model.encoded(docs(text), words)
+    p = language_model.train(table, rounds=1, classes=language_model.classes_for(words))
+    assert table.first().rare == [] and p["emb"].shape[0] >= 5064
+
+
+def test_language_model_tells_rare_words_apart(docs):
+    """Two words of one bucket score by their own counts, and the bucket's words sum to its probability."""
+    bucket = lambda w: zlib.crc32(w.encode()) % language_model.RARE
+    a, b = "junk0", next(w for w in (f"junk{i}" for i in range(1, 10000)) if bucket(w) == bucket("junk0"))
+    p = language_model.start()
+    got = {r.doc_id: r.sum_logprob for r in language_model.pseudo_likelihood(docs(a, b, a, a, (None, a)), [], p).collect()}
+    seen = language_model.log_probabilities(p, np.zeros((1, 4), np.int64), np.array([1 + bucket(a)]))[0]
+    assert got[0] == got[2] == got[3] == got[None]
+    assert abs(got[0] - seen - np.log(0.8)) < 1e-5 and abs(got[1] - seen - np.log(0.2)) < 1e-5
