@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import repeat
 
 import ahocorasick
 import numpy as np
@@ -17,8 +18,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+from kireme.llm.storage import raw
+from kireme.operators.workers import once
+
+#: Words in UTF-8: every byte of a character beyond ASCII belongs to one.
+WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+#: Bytes as they are compared: A-Z lower-cased, all others outside words turned into blanks.
+PLAIN = bytes(c if re.match(WORD, bytes([c])) else 0x20 for c in bytes(range(256)).lower())
 WINDOW = 10
 #: Characters of item texts behind one automaton. A larger benchmark is scanned block by block.
 BLOCK_CHARS = 4_000_000
@@ -26,15 +32,15 @@ BLOCK_CHARS = 4_000_000
 HELD_BYTES = 32_000_000
 
 
-def words_of(text: str | None) -> list[str]:
-    return WORD.findall(text.translate(LOWER)) if text else []
+def words_of(text: bytes | None) -> list[bytes]:
+    return text.translate(PLAIN).split() if text else []
 
 
 class Automaton:
     """All windows of some items. ``match`` gives the words hit and the items found."""
 
-    def __init__(self, items: list[tuple[object, str | None]], window: int = WINDOW):
-        self.number: dict[str, int] = {}
+    def __init__(self, items: list[tuple[object, bytes | None]], window: int = WINDOW):
+        self.number: dict[bytes, int] = {}
         owners: dict[tuple[int, ...], set] = {}
         for item, text in items:
             ids = [self.number.setdefault(w, len(self.number) + 1) for w in words_of(text)]
@@ -47,12 +53,11 @@ class Automaton:
             self.trie.make_automaton()
         self.empty = not owners
 
-    def match(self, words: list[str]) -> tuple[np.ndarray, set]:
+    def match(self, words: list[bytes]) -> tuple[np.ndarray, set]:
         """Spans (first word, word after the last) of all occurrences, and the items that own them."""
         if self.empty or not words:
             return np.zeros((0, 2), np.int64), set()
-        number = self.number
-        ids = tuple([number.get(w, 0) for w in words])
+        ids = tuple([*map(self.number.get, words, repeat(0))])
         spans, items = [], set()
         for end, (n, found) in self.trie.iter(ids):
             spans.append((end + 1 - n, end + 1))
@@ -71,8 +76,8 @@ def covered(spans: np.ndarray, n: int) -> np.ndarray:
 def _blocks(benchmark: DataFrame, limit: int) -> Iterator[list]:
     """The items in blocks of bounded size, read one at a time."""
     block, size = [], 0
-    for row in benchmark.select("item_id", "text").filter(F.length("text") > 0).toLocalIterator():
-        block.append((row[0], row[1]))
+    for row in benchmark.select("item_id", F.col("text").cast("binary")).filter(F.length("text") > 0).toLocalIterator():
+        block.append((row[0], bytes(row[1])))
         size += len(row[1])
         if size >= limit:
             yield block
@@ -100,7 +105,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
     window of an item occurs (not only items shorter than one). A task holds one automaton at a time, of at most
     ``block_chars`` characters of item text (and one item). Rows are held against all blocks in turn where they are, and
     their hits united before stretches are made, so that neither ids nor the number of blocks change a result. Null
-    texts have no words; items without words match nothing.
+    texts have no words; items without words match nothing. Texts are compared by their bytes, so invalid UTF-8 does no
+    harm; ``spans`` count code points of valid text.
     """
     shared = [docs.sparkSession.sparkContext.broadcast(block) for block in _blocks(benchmark, block_chars)]
     # with several blocks, each automaton is built anew for so many bytes of text
@@ -109,15 +115,17 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = None
         for part in _chunks(batches, len(carry), held):
-            texts = pa.chunked_array([batch.column(len(carry)) for batch in part])
+            texts = [t for batch in part for t in raw(batch.column(len(carry)))]
             n = len(texts)
             n_words, full, on, owners = np.zeros(n, np.int64), np.zeros(n, bool), [None] * n, [()] * n
             for block in shared:
-                if automaton is None or len(shared) > 1:
+                if len(shared) == 1:
+                    automaton = once(block, lambda items: Automaton(items, window))
+                else:
                     automaton = None  # frees the last one first
                     automaton = Automaton(block.value, window)
                 for i, t in enumerate(texts):
-                    words = words_of(t.as_py())
+                    words = words_of(t)
                     n_words[i] = len(words)
                     spans, found = automaton.match(words)
                     if len(spans):
@@ -132,7 +140,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
                 columns = [batch.column(i) for i in range(len(carry))]
                 columns += [pa.array(n_words[rows.start : rows.stop]), pa.array([0 if on[i] is None else int(on[i].sum()) for i in rows], pa.int64()), pa.array([sorted(map(str, owners[i])) for i in rows], pa.list_(pa.string()))]
                 if offsets:
-                    stretches = [[] if on[i] is None else _stretches(texts[i].as_py(), np.flatnonzero(on[i])) for i in rows]
+                    stretches = [[] if on[i] is None else _stretches(texts[i], np.flatnonzero(on[i])) for i in rows]
                     columns += [pa.array(full[rows.start : rows.stop]), pa.array(stretches, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))]
                 yield pa.RecordBatch.from_arrays(columns, names)
 
@@ -142,18 +150,20 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
     return docs.select(*carry, F.col("text").alias("_text")).mapInArrow(run, fields)
 
 
-def _stretches(text: str | None, on: np.ndarray) -> list[dict]:
-    """Code point ranges of runs of hit words in the original text (lower-casing A-Z moves no offset)."""
+def _stretches(text: bytes, on: np.ndarray) -> list[dict]:
+    """Code point ranges of runs of hit words in the original text."""
     out: list[dict] = []
-    if len(on):
-        places = [m.span() for m in WORD.finditer(text.translate(LOWER))]
-        last = -2
-        for i in on.tolist():
-            if i == last + 1:
-                out[-1]["end"] = places[i][1]
-            else:
-                out.append({"start": places[i][0], "end": places[i][1]})
-            last = i
+    places = [m.span() for m in WORD.finditer(text.lower())]
+    # code points before each byte
+    points = np.concatenate([[0], np.cumsum((np.frombuffer(text, np.uint8) & 0xC0) != 0x80)])
+    last = -2
+    for i in on.tolist():
+        end = int(points[places[i][1]])
+        if i == last + 1:
+            out[-1]["end"] = end
+        else:
+            out.append({"start": int(points[places[i][0]]), "end": end})
+        last = i
     return out
 
 

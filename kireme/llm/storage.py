@@ -4,20 +4,37 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; a temporary folder only where that is unset, as in tests."""
+    """The cluster's ``spark.checkpoint.dir``. Where that is unset, a local session gets a temporary folder and any other fails."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        # only threads of this one process read it
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="kireme-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+def raw(column: pa.Array) -> Iterator[bytes | None]:
+    """The bytes of each text, whether they are valid UTF-8 or not."""
+    for value in column.cast(pa.binary() if pa.types.is_string(column.type) else pa.large_binary()):
+        yield value.as_py()
+
+
+def decoded(column: pa.Array) -> Iterator[str | None]:
+    """Each text; bytes that are no UTF-8 become replacement characters."""
+    for value in raw(column):
+        yield None if value is None else value.decode("utf-8", "replace")
+
+
 def stored(df: DataFrame, name: str = "table") -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back.
 
