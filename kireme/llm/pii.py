@@ -1,13 +1,14 @@
 """Personal data by candidate gradient boosting, in DataFrame and SQL functions only.
 
 Generators with high recall propose spans, which may overlap. Each candidate falls into a cell of a grid of format and
-context features. Boosted trees (``pyspark.ml``) are fitted on the cells of all documents, weighted by their counts,
-against weak labels that exact validators give (checksums, number ranges, full patterns); a threshold for each kind is
-then calibrated so that the validators confirm most of what it selects. Cells above their threshold are redacted. The
-four validated base kinds are always kept, whatever the trees say.
-
-No text is shuffled: candidates are arrays inside their row, only counts of cells leave the tasks, and what comes back
-is the list of selected cells, bounded by the grid.
+context features. Validators look at what the features do not hold (checksums, number ranges, the variety of a secret's
+characters) and give weak labels. Boosted trees (``pyspark.ml``) learn from one half of the texts' cells, weighted by
+their counts, how likely a format in its context is confirmed; on the other half a threshold for each kind is calibrated
+so that the validators confirm most of what it selects. Candidates in cells above their threshold are redacted, whether
+their own label is set or not. The four validated base kinds are always kept, whatever the trees say.
+
+Texts are scanned once: candidates are stored beside their rows. No text is shuffled, only counts of cells leave the
+tasks, and what comes back is the list of selected cells, bounded by the grid.
 """
 
 from __future__ import annotations
@@ -34,6 +35,7 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 BLOCK = 128
 #: Weak precision that a kind's threshold must reach.
 PRECISION = 0.9
+MARGIN = 0.5
 TREES, DEPTH = 8, 3
 
 
@@ -136,8 +138,19 @@ class Generator:
     base: Callable[[Column], Column]
 
 
-def _mixed(hit: Column) -> Column:
-    return (F.length(_digits(hit)) >= 3) & (F.length(F.regexp_replace(hit, "[^A-Za-z]", "")) >= 3)
+def _varied(value: Column) -> Column:
+    """Random keys have letters and digits, and have eight kinds of characters or half as many as they are long."""
+    kinds = F.size(F.array_distinct(F.split(value, "")))
+    return value.rlike("[0-9]") & value.rlike("[A-Za-z]") & (kinds >= F.least(F.lit(8), F.length(value) / 2))
+
+
+def mod97(hit: Column) -> Column:
+    """Whether an account number passes its check: the first four characters go last, letters count from 10, the rest by 97 is 1."""
+    plain = F.regexp_replace(hit, " ", "")
+    moved = F.concat(F.substring(plain, 5, 64), F.left(plain, F.lit(4)))
+    code = lambda c: F.ascii(c) - F.when(c <= "9", 48).otherwise(55)
+    rest = F.aggregate(F.split(moved, ""), F.lit(0), lambda a, c: F.when(c == "", a).otherwise((F.when(c <= "9", a * 10).otherwise(a * 100) + code(c)) % 97))
+    return rest == 1
 
 
 _never = lambda h: F.lit(False)
@@ -146,9 +159,9 @@ GENERATORS = (
     Generator("phone", r"(?<![0-9A-Za-z.+])\+?[0-9]{0,3}[ .-]?\(?[0-9]{2,4}\)?(?:[ .-]\(?[0-9]{2,4}\)?){2,5}(?![0-9A-Za-z])", "[0-9]", lambda h: h.rlike(r"[+(]") & _phone(h), lambda h: h.rlike(r"^\+[0-9]") & _phone(h)),
     Generator("card", r"(?<![0-9A-Za-z])[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z])", "[0-9]{4}", _card, _card),
     Generator("ip", r"(?<![0-9A-Za-z.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9])", "[0-9][.]", _ip, _ip),
-    Generator("secret", r"(?i)(?<![A-Za-z])(?:token|password|passwd|pwd|secret|api[_-]?key|access[_-]?key|auth)\"? {0,3}[=:] {0,3}[\"']?[A-Za-z0-9+/_.-]{4,}+[\"']?", "[=:]", lambda h: let(F.regexp_extract(h, r"[=:] *[\"']?(.*)$", 1), lambda v: (F.length(v) >= 8) & _mixed(v)), _never),
-    Generator("secret", r"(?<![A-Za-z0-9_])[A-Za-z0-9_]{16,}+", "[0-9]", _mixed, _never),
-    Generator("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", "[A-Z]{2}[0-9]{2}", lambda h: F.length(_digits(h)) >= 10, _never),
+    Generator("secret", r"(?i)(?<![A-Za-z])(?:token|password|passwd|pwd|secret|api[_-]?key|access[_-]?key|auth)\"? {0,3}[=:] {0,3}[\"']?[A-Za-z0-9+/_.-]{4,}+[\"']?", "[=:]", lambda h: let(F.regexp_extract(h, r"[=:] *[\"']?([^\"']*)", 1), lambda v: (F.length(v) >= 8) & _varied(v)), _never),
+    Generator("secret", r"(?<![A-Za-z0-9_])[A-Za-z0-9_]{16,}+", "[0-9]", _varied, _never),
+    Generator("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", "[A-Z]{2}[0-9]{2}", mod97, _never),
     Generator("ssn", r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])", "[0-9]-[0-9]", lambda h: ~h.rlike("^(?:000|666|9)"), _never),
 )
 CONTEXT = r"(?i)(?:mail|contact|call|tel|phone|fax|mobile|card|visa|pay|server|host|addr|key|token|pass|secret|iban|account|ssn|social)"
@@ -192,61 +205,66 @@ def candidates(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.withColumn("_candidates", F.concat(*parts))
 
 
-def selected_cells(docs: DataFrame, text: str = "text", precision: float = PRECISION) -> list[int]:
+def selected_cells(found: DataFrame, precision: float = PRECISION) -> list[int]:
     """Cells whose boosted score reaches the calibrated threshold of their kind.
 
-    All documents' candidates are counted by cell and weak label; the trees are fitted on those counts. Without
-    candidates, or with one label only, no tree is fitted: all cells are selected if every label is positive, none if
-    none is.
+    ``found`` has ``_candidates`` and ``_half`` (whether a text is in the half that trees learn from; equal texts are in
+    the same one). All candidates are counted by cell, label and half. Where a half has no candidates the other one takes
+    its place; where it has one label only, no tree is fitted: all cells are selected if every label is positive, none
+    if none is.
     """
-    spark = docs.sparkSession
-    counted = candidates(docs.select(text), text).select(F.explode("_candidates").alias("c")).groupBy("c.cell", "c.kind", "c.label").agg(F.count(F.lit(1)).alias("n"))
+    counted = found.select("_half", F.explode("_candidates").alias("c")).groupBy("c.cell", "c.kind", "c.label", "_half").agg(F.count(F.lit(1)).alias("n"))
     features, rest = [], F.col("cell")
     for name, n in reversed(FEATURES):
         features.append((name, (rest % n).cast("double")))
         rest = F.floor(rest / n)
-    # a row for each cell that occurs and label: bounded by the grid, whatever the documents
+    # a row for each cell that occurs, label and half: bounded by the grid, whatever the documents
     cells = stored(counted.coalesce(1).withColumns(dict(features)).withColumn("target", F.col("label").cast("double")).withColumn("weight", F.sqrt("n")), "cells")
-    labels = {r[0] for r in cells.select("label").distinct().collect()}
+    halves = {r[0] for r in cells.select("_half").distinct().collect()}
+    learned = cells.filter(F.col("_half") == (True in halves))
+    labels = {r[0] for r in learned.select("label").distinct().collect()}
     if labels != {True, False}:
         return [r[0] for r in cells.select("cell").distinct().collect()] if labels == {True} else []
     assembler = VectorAssembler(inputCols=[n for n, _ in FEATURES], outputCol="features")
-    trees = GBTClassifier(featuresCol="features", labelCol="target", weightCol="weight", maxIter=TREES, maxDepth=DEPTH, stepSize=0.5, maxBins=16, seed=7)
-    ready = assembler.transform(cells)
-    scored = trees.fit(ready).transform(ready).select("cell", "kind", "label", "n", F.round(vector_to_array("probability")[1], 6).alias("score"))
-    return calibrate([tuple(r) for r in scored.collect()], precision)
-
-
-def calibrate(scored: list[tuple[int, int, bool, int, float]], precision: float) -> list[int]:
-    """Cells at or above the lowest score of their kind from which up the weak labels confirm ``precision`` of all hits."""
-    out = []
-    for kind in {r[1] for r in scored}:
-        own = sorted((r for r in scored if r[1] == kind), key=lambda r: -r[4])
-        good = total = 0
-        threshold = None
-        for i, (_, _, label, n, score) in enumerate(own):
+    trees = GBTClassifier(featuresCol="features", labelCol="target", weightCol="weight", maxIter=TREES, maxDepth=DEPTH, stepSize=0.5, maxBins=16, seed=7).fit(assembler.transform(learned))
+    scored = [tuple(r) for r in trees.transform(assembler.transform(cells)).select("cell", "kind", "label", "_half", "n", F.round(vector_to_array("probability")[1], 6).alias("score")).collect()]
+    threshold = calibrate([(k, label, n, score) for _, k, label, half, n, score in scored if half == (False not in halves)], precision)
+    return sorted({cell for cell, k, *_, score in scored if score >= threshold.get(k, 2.0)})
+
+
+def calibrate(scored: list[tuple[int, bool, int, float]], precision: float) -> dict[int, float]:
+    """A threshold for each kind of (kind, label, count, score): the lowest score at which the labels confirm ``precision``
+    of all hits from there up, and MARGIN of those that lowering the threshold to it adds."""
+    out = {}
+    for kind in {r[0] for r in scored}:
+        own = sorted((r for r in scored if r[0] == kind), key=lambda r: -r[3])
+        good = total = taken_good = taken = 0
+        for i, (_, label, n, score) in enumerate(own):
             good, total = good + n * label, total + n
-            if (i + 1 == len(own) or own[i + 1][4] < score) and good >= precision * total:
-                threshold = score
-        out += {r[0] for r in own if threshold is not None and r[4] >= threshold}
-    return sorted(out)
+            if (i + 1 == len(own) or own[i + 1][3] < score) and good >= precision * total and good - taken_good >= MARGIN * (total - taken):
+                out[kind], taken_good, taken = score, good, total
+    return out
 
 
-def personal_data(docs: DataFrame, text: str = "text", precision: float = PRECISION) -> DataFrame:
+def personal_data(docs: DataFrame, text: str = "text", precision: float = PRECISION, keep: tuple[str, ...] | None = None) -> DataFrame:
     """Add ``base_spans`` and ``spans`` (arrays of start, kind, end; kind an index into ``KINDS``) to every row.
 
+    ``keep`` names the columns of ``docs`` that the result needs (all by default); they are stored with the candidates.
     Spans are sorted by start, then kind; ``spans`` holds the base ones and the selected candidates that no base kind
-    already holds. Null and empty texts have none. Very long texts are treated whole.
+    already holds. Null and empty texts have none. Very long texts are treated whole. Columns of ``docs`` that are named
+    ``spans``, ``base_spans`` or start with one of the working names (``_candidates``, ``_half``, ``_email`` ...) are replaced.
     """
-    cells = selected_cells(docs, text, precision)
-    chosen = F.array(*[F.lit(c) for c in cells]) if cells else F.expr("cast(array() as array<int>)")
-    more = F.transform(F.filter("_candidates", lambda c: ~c["base"] & F.array_contains(chosen, c["cell"])), lambda c: F.struct(c["start"].alias("start"), c["kind"].alias("kind"), c["end"].alias("end")))
+    kept = [c for c in (docs.columns if keep is None else keep) if c not in ("spans", "base_spans", "_candidates", "_half", *(f"_{k}" for k in BASE_KINDS))]
+    scanned = candidates(with_base(docs, text), text).withColumn("_half", F.pmod(F.xxhash64(text), F.lit(2)) == 0)
+    found = stored(scanned.select(*kept, *(f"_{k}" for k in BASE_KINDS), "_candidates", "_half"), "candidates")
+    cells = selected_cells(found, precision)
+    chosen = lambda c: c["cell"].isin(cells) if cells else F.lit(False)
+    more = F.transform(F.filter("_candidates", lambda c: ~c["base"] & chosen(c)), lambda c: F.struct(c["start"].alias("start"), c["kind"].alias("kind"), c["end"].alias("end")))
     base = F.concat("_email", "_ip", "_card", "_phone")
     return (
-        candidates(with_base(docs, text), text)
-        .withColumn("base_spans", F.array_sort(base))
+        found.withColumn("base_spans", F.array_sort(base))
         .withColumn("spans", F.when(F.size("_candidates") == 0, F.array_sort(base)).otherwise(F.array_sort(F.array_distinct(F.concat(base, more)))))
-        .drop("_candidates")
+        .drop("_candidates", "_half")
     )
 
 
@@ -291,6 +309,6 @@ def redacted(text: Column, spans: Column) -> Column:
 
 def pii_digest(docs: DataFrame) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256 and spans for every document."""
-    found = personal_data(docs.select("doc_id", "text"))
+    found = personal_data(docs.select("doc_id", "text"), keep=("doc_id",))
     counts = [F.size(f"_{k}").cast("long").alias(f"n_{k}") for k in BASE_KINDS]
     return found.select("doc_id", *counts, F.sha2(joined(F.col("base_spans")), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
