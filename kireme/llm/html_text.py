@@ -1,35 +1,44 @@
 """Main text of HTML pages by equivalence-class template deduction.
 
-The pages of one host come from few templates. Each page is cut into tokens: tags with their place among open elements,
-and blocks of text. Tokens of a host that occur equally often on the same pages share an occurrence vector and form an
-equivalence class; a class of enough pages whose tokens keep their order on them is valid. The class of the most pages
-is the outer template, and valid classes whose pages are part of it nest inside it (optional parts). What lies between
-template tokens are slots. Slots inside menus, notices and the like, named by the tags around them, are chrome; text
-that is itself part of the template is chrome too; the rest is the article.
-
-Vectors are compared by the exclusive-or of page hashes, so that they are partial sums of one row per host and token, and
-a host with a third of all pages is no large group.
+The pages of one host come from few templates. A page is cut into tokens: its elements, told apart by their path of tags
+and names, and its blocks of text, told apart by path and text. Tokens that occur equally often on the same pages of a
+host have the same occurrence vector and form an equivalence class. The class of the most pages is the outer template;
+another class is valid if its tokens keep their order on all its pages, and nests in the outer one if each of them lies
+in the same gap between outer tokens everywhere. Fixed text of valid classes is template, and so are slots that hold
+mostly such text. What is left in the other slots says where a host keeps its articles: from the top of the page down,
+the element with most of the free text is followed. Tags and class names only weigh in that choice, and name parts that
+no statistics can tell (forms, reader comments); pages of hosts too small for a template are judged by their own text.
+
+Vectors are the exclusive-or of page hashes, so they are partial sums of one row per host and token. Copies of an article
+vote once. A host with a third of all pages is no large group: only tokens of a minimum share of its pages are gathered,
+and where templates are joined to pages, such a host is split.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
-import zlib
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kireme.llm.storage import stored
+from kireme.llm.storage import decoded, stored
 
-#: Pages that must share a class before it counts as template, and the share of the host's pages.
+#: Pages (of different articles) that must share a token before it can be template, and the share of the host's pages.
+#: With the share, a host has at most 50 times as many such tokens as one of its pages has on average.
 SUPPORT = 5
-SHARE = 0.5
-#: Template tokens that are broadcast at most; more are joined to the pages by host, salted.
+SHARE = 0.02
+#: Template tokens that are broadcast at most; more are joined to the pages by host.
 BROADCAST_TOKENS = 200_000
-SALTS = 16
+#: A host with more than this part of all pages is split in a join.
+HOT = 0.001
+#: Texts from this length on tell copies of an article from other pages.
+LONG_TEXT = 80
 
 NODE = re.compile(r"<!--.*?(?:-->|$)|<(/?)([A-Za-z][^\s/>]*+)((?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+)>|<[!?][^>]*+>", re.S)
 ATTRIBUTE = re.compile(r"([A-Za-z-]+)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)")
@@ -39,52 +48,77 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 BLOCK = frozenset("address article aside blockquote body br caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead title tr ul".split())
 CHROME = frozenset("head nav footer aside form menu dialog button select fieldset".split())
 ENDS_PARAGRAPH = BLOCK - {"br"}
-# Names of classes, ids and roles that mark chrome, as whole words.
+# Elements that hold other blocks rather than text, and headings that a container is not left behind for.
+CONTAINERS = frozenset("html body div section main article center table tbody tr td".split())
+HEADINGS = frozenset("h1 h2 h3 header".split())
+# Parts of classes, ids and roles that mark chrome, and parts that may stand beside them.
 CHROME_NAMES = frozenset("ad ads advert advertisement adverts advertising adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay nav navbar navigation navi menu breadcrumb breadcrumbs sidebar sidebars aside footer comment comments disqus respond replies reply share sharing social related recommended newsletter subscribe subscription signup login search pagination pager toolbar masthead complementary contentinfo dialog widget widgets toc".split())
-HEADER_NAMES = frozenset("header topbar site-header banner masthead".split())
+BESIDE = frozenset("area bar bars block body bottom box boxes button buttons container content count field first form inner item items last left link links list lists main section site slot small reader readers right row side text top unit user users widget widgets wrap wrapper zone".split())
 
 
 def attributes(raw: str) -> dict[str, str]:
     return {k.lower(): entities.unescape(v.strip("\"'")) for k, v in ATTRIBUTE.findall(raw)}
 
 
-def names(attrs: dict[str, str]) -> list[str]:
-    return re.findall(r"[a-z0-9]+", " ".join(attrs.get(k, "") for k in ("class", "id", "role")).lower())
+def names(attrs: dict[str, str]) -> list[list[str]]:
+    """The words of each class, id and role."""
+    return [w for n in " ".join(attrs.get(k, "") for k in ("class", "id", "role")).lower().split() if (w := re.findall("[a-z]+", n))]
 
 
-def is_chrome(tag: str, attrs: dict[str, str], in_article: bool) -> bool:
-    if tag in CHROME or (tag == "header" and not in_article) or "hidden" in attrs or attrs.get("aria-hidden") == "true":
+def is_chrome(tag: str, attrs: dict[str, str], found: list[list[str]]) -> bool:
+    """Whether an element is chrome by its tag, or by a class, id or role all of whose words are chrome names or stand beside one."""
+    if tag in CHROME or "hidden" in attrs or attrs.get("aria-hidden") == "true":
         return True
-    found = names(attrs)
-    return tag not in ("html", "body", "main") and (any(n in CHROME_NAMES for n in found) or ("header" in found and not in_article))
+    return tag not in ("html", "body", "main") and any(not CHROME_NAMES.isdisjoint(w) and all(x in CHROME_NAMES or x in BESIDE for x in w) for w in found)
 
 
-def blocks(page: str) -> list[tuple[str, bool, bool, str, int]]:
-    """(path, inside an article, inside chrome, text, characters in links) of every block with text, in page order.
+def hashed(*parts: object) -> int:
+    return xxhash.xxh64_intdigest("\0".join(map(str, parts)).encode("utf-8", "surrogatepass")) >> 1
+
+
+@dataclass
+class Page:
+    """Elements (parent, tag, path token, article, chrome, place) in page order, and blocks (element, text, characters in links, place)."""
+
+    parent: list[int] = field(default_factory=list)
+    tag: list[str] = field(default_factory=list)
+    token: list[int] = field(default_factory=list)
+    article: list[bool] = field(default_factory=list)
+    chrome: list[bool] = field(default_factory=list)
+    place: list[int] = field(default_factory=list)
+    blocks: list[tuple[int, str, int, int]] = field(default_factory=list)
+
+
+def parse(page: str | None) -> Page:
+    """The block elements of a page and its blocks of text; element 0 is the page itself.
 
     Comments, scripts and styles are no text. A start tag ends an open paragraph; an end tag closes everything opened
     inside its element, and is ignored if none is open. Character references are decoded once, and white space of a
-    block becomes one space.
+    block becomes one space. The path of a container tells what comes first in it, so that containers without names
+    differ.
     """
-    out: list[tuple[str, bool, bool, str, int]] = []
-    open_: list[tuple[str, str, bool, bool]] = []  # tag, token, article, chrome
+    out = Page([-1], [""], [0], [False], [False], [0])
+    named, first = [""], [""]
+    open_, tags = [0], Counter()
     buffer: list[str] = []
-    at, size = 0, len(page)
-    in_link, linked = False, 0
+    in_link, linked, place = False, 0, 0
 
     def flush() -> None:
-        nonlocal linked
+        nonlocal linked, place
         links, linked = linked, 0
         text = " ".join(entities.unescape("".join(buffer)).split())
         buffer.clear()
         if text:
-            top = open_[-1] if open_ else ("", "", False, False)
-            out.append(("/".join(x[1] for x in open_[-4:]), top[2], top[3], text, min(links, len(text))))
+            place += 1
+            first[open_[-1]] = first[open_[-1]] or "#"
+            out.blocks.append((open_[-1], text, min(links, len(text)), place))
 
+    at, size = 0, len(page) if page else 0
     while at < size:
         m = NODE.search(page, at)
         if m is None:
             buffer.append(page[at:])
+            linked += (size - at) * in_link
             break
         if m.start() > at:
             buffer.append(page[at : m.start()])
@@ -98,52 +132,103 @@ def blocks(page: str) -> list[tuple[str, bool, bool, str, int]]:
         if tag in BLOCK or tag in RAW:
             flush()
         if closing:
-            k = next((i for i in range(len(open_) - 1, -1, -1) if open_[i][0] == tag), None)
-            if k is not None:
-                if tag not in BLOCK and open_[-1][3] != (open_[k - 1][3] if k else False):
+            if tags[tag]:
+                k = next(i for i in range(len(open_) - 1, 0, -1) if out.tag[open_[i]] == tag)
+                if tag not in BLOCK:
                     flush()
+                tags.subtract([out.tag[i] for i in open_[k:]])
                 del open_[k:]
             continue
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
             at = end.end() if end else size
             continue
-        if tag in ENDS_PARAGRAPH and open_ and any(x[0] == "p" for x in open_[-3:]):
-            k = max(i for i, x in enumerate(open_) if x[0] == "p")
-            del open_[k:]
+        if tag in ENDS_PARAGRAPH and tags["p"]:
+            k = next((i for i in range(len(open_) - 1, max(0, len(open_) - 4), -1) if out.tag[open_[i]] == "p"), None)
+            if k is not None:
+                tags.subtract([out.tag[i] for i in open_[k:]])
+                del open_[k:]
         if tag in VOID or m[3].endswith("/") and tag not in BLOCK:
             continue
         attrs = attributes(m[3]) if m[3] else {}
-        article, chrome = (open_[-1][2], open_[-1][3]) if open_ else (False, False)
-        bad = is_chrome(tag, attrs, article)
-        if tag not in BLOCK and not bad:
-            continue
-        if bad and tag not in BLOCK:
+        found = names(attrs)
+        chrome = is_chrome(tag, attrs, found)
+        if tag not in BLOCK:
+            if not chrome:
+                continue
             flush()
-        main = tag in ("article", "main") or attrs.get("role") == "main" or attrs.get("itemprop") == "articleBody"
-        token = tag + "".join(f".{n}" for n in sorted(set(names(attrs))) if not n.isdigit())
-        open_.append((tag, token, article or (main and not bad and not chrome), chrome or bad))
+        up = open_[-1]
+        first[up] = first[up] or tag
+        place += 1
+        for column, value in ((out.parent, up), (out.tag, tag), (out.token, 0), (out.article, tag == "article" or attrs.get("itemprop") == "articleBody"), (out.chrome, chrome), (out.place, place), (named, ".".join([tag, *sorted({"-".join(w) for w in found})])), (first, "")):
+            column.append(value)
+        open_.append(len(out.tag) - 1)
+        tags[tag] += 1
     flush()
+    for i in range(1, len(out.tag)):
+        out.token[i] = hashed(out.token[out.parent[i]], named[i], first[i] if out.tag[i] in ("div", "section", "td") else "")
     return out
 
 
-def token_of(*parts: str) -> int:
-    """The token of a slot (its path of template elements) or of a block of text in it."""
-    raw = "\0".join(parts).encode("utf-8", "surrogatepass")
-    return zlib.crc32(raw) << 31 | (zlib.adler32(raw) & 0x7FFFFFFF)
+@dataclass
+class Template:
+    """What a host's pages say: mean free characters below each element path, slots of template text, and fixed texts."""
+
+    free: dict[int, float] = field(default_factory=dict)
+    slots: frozenset[int] = frozenset()
+    fixed: frozenset[int] = frozenset()
+
+
+#: Weights of an article element and of chrome in the choice of a container, and the part of the text that leads into one.
+ARTICLE, LESS, LEADS = 4.0, 0.05, 0.6
 
 
-def main_text(page: str | None, template: frozenset | set = frozenset()) -> str:
-    """The article of a page: blocks of its article or main element (of its body if it has none) outside chrome.
+def main_text(page: str | None, template: Template | None = None) -> str:
+    """The article of a page: blocks of its text container outside chrome, template slots and fixed texts.
 
-    ``template`` holds tokens of the host's template whose text is no article: blocks that are template themselves, and
-    slots that hold links. It is never applied inside an article element, where only copies of a page can repeat.
+    Null and empty pages give an empty text.
     """
-    found = blocks(page) if page else []
-    inside = [b for b in found if b[1] and not b[2]]
-    if inside:
-        return " ".join(b[3] for b in inside)
-    return " ".join(b[3] for b in found if not b[2] and token_of(b[0]) not in template and token_of(b[0], b[3]) not in template)
+    t, p = template or Template(), parse(page)
+    n = len(p.tag)
+    own, kept = [0] * n, []
+    for e, text, links, _ in p.blocks:
+        if p.token[e] not in t.slots and hashed(p.token[e], text) not in t.fixed:
+            kept.append((e, text))
+            own[e] += len(text) - links
+    below = own.copy()
+    for i in range(n - 1, 0, -1):
+        below[p.parent[i]] += 0 if p.chrome[i] else below[i]
+    children: list[list[int]] = [[] for _ in range(n)]
+    for i in range(1, n):
+        children[p.parent[i]].append(i)
+
+    def score(group: list[int]) -> float:
+        """Free characters on the host's pages, or on this one where the host says nothing."""
+        e = group[0]
+        return t.free.get(p.token[e], sum(below[i] for i in group)) * (LESS if p.chrome[e] else ARTICLE if p.article[e] or p.tag[e] == "main" else 1)
+
+    here = [0]
+    while not p.article[here[0]]:
+        groups: dict[int, list[int]] = {}
+        for i in here:
+            for c in children[i]:
+                groups.setdefault(p.token[c], []).append(c)
+        scores = {k: score(g) for k, g in groups.items()}
+        best = max(scores, key=scores.__getitem__, default=None)
+        if best is None or scores[best] < LEADS * (sum(scores.values()) + sum(own[i] for i in here)) or not scores[best]:
+            break
+        e = groups[best][0]
+        headed = any(p.tag[g[0]] in HEADINGS and not p.chrome[g[0]] and any(below[i] for i in g) for g in groups.values()) and p.tag[here[0]] not in ("", "html", "body")
+        if p.tag[e] not in CONTAINERS or p.chrome[e] or headed or p.tag[here[0]] == "main" and not p.article[e]:
+            break
+        here = groups[best]
+    page_wide = p.tag[here[0]] in ("", "html", "body")
+    inside = [False] * n
+    for i in here:
+        inside[i] = True
+    for i in range(1, n):
+        inside[i] = inside[i] or inside[p.parent[i]] and not p.chrome[i] and not (page_wide and p.tag[i] == "header")
+    return " ".join(text for e, text in kept if inside[e])
 
 
 def host_of(url: Column) -> Column:
@@ -151,74 +236,184 @@ def host_of(url: Column) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/@?#]*@)?([^/:?#]+)", 1))
 
 
+TOKENS = "array<struct<token:bigint,slot:bigint,text:boolean,n:int,first:int,chars:int,links:int>>"
+
+
 def page_tokens(pages: DataFrame) -> DataFrame:
-    """host, page (a hash), token, n (times on the page), first (its first place), and chars and links (of slots) of every page."""
+    """host, page (a hash of its long texts, or of all if none is long), copy (of the whole page) and tokens of every page.
+
+    A token has its slot (the path it lies in), whether it is a text, its times on the page, first place, and (elements)
+    the characters directly in it and those of links among them.
+    """
+
+    def tokens(page: str | None) -> tuple[int, list[dict]]:
+        p = parse(page)
+        seen: dict[int, list] = {}
+        for i in range(1, len(p.tag)):
+            seen.setdefault(p.token[i], [p.token[p.parent[i]], False, 0, p.place[i], 0, 0])[2] += 1
+        for e, text, links, place in p.blocks:
+            slot = seen.setdefault(p.token[e], [0, False, 1, place, 0, 0])
+            slot[4] += len(text)
+            slot[5] += links
+            seen.setdefault(hashed(p.token[e], text), [p.token[e], True, 0, place, len(text), links])[2] += 1
+        texts = {text for _, text, _, _ in p.blocks}
+        return hashed(*sorted([x for x in texts if len(x) >= LONG_TEXT] or texts)), [dict(zip(("token", "slot", "text", "n", "first", "chars", "links"), (k, *v), strict=True)) for k, v in seen.items()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.struct([("token", pa.int64()), ("slot", pa.int64()), ("text", pa.bool_()), ("n", pa.int32()), ("first", pa.int32()), ("chars", pa.int32()), ("links", pa.int32())]))
+        for batch in batches:
+            for at in range(0, len(batch), 256):
+                part = batch.slice(at, 256)
+                found = [tokens(x) for x in decoded(part.column(2))]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([f[0] for f in found], pa.int64()), part.column(1), pa.array([f[1] for f in found], kind)], ["host", "page", "copy", "tokens"])
+
+    return pages.select(host_of(F.col("url")).alias("host"), F.xxhash64("html").alias("copy"), "html").mapInArrow(run, f"host string, page long, copy long, tokens {TOKENS}")
+
+
+def frequent_tokens(distinct: DataFrame) -> DataFrame:
+    """Tokens of enough pages: host, pages (of the host), token, slot, text, n_pages, vector (its class), chars, free (characters
+    outside links and repeated texts) and repeated (the part of a slot's texts that repeat)."""
+    sizes = distinct.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
+    t = distinct.select("host", "page", F.explode("tokens").alias("t")).select("host", "page", "t.*")
+    vectors = t.groupBy("host", "token").agg(
+        F.count(F.lit(1)).alias("n_pages"), F.bit_xor(F.xxhash64("page", "n")).alias("vector"), F.min("slot").alias("slot"), F.max("text").alias("text"), F.sum("n").alias("n"), F.sum("chars").alias("chars"), F.sum("links").alias("links")
+    )
+    often = (F.col("n_pages") >= SUPPORT) & (F.col("n_pages") >= F.col("pages") * SHARE)
+    known = vectors.join(sizes, "host").withColumn("key", F.when(F.col("text"), F.col("slot")).otherwise(F.col("token")))
+    # one row per slot; the list is bounded by SHARE
+    row = F.struct("token", "slot", "text", "n_pages", "vector", "chars", "links")
+    repeats = F.col("text") & (F.col("n_pages") >= SUPPORT)
+    slots = known.groupBy("host", "pages", "key").agg(
+        F.collect_list(F.when(often, row)).alias("rows"), F.sum(F.when(F.col("text"), F.col("n"))).alias("n"), F.sum(F.when(repeats, F.col("n"))).alias("again"), F.sum(F.when(repeats, F.col("chars") - F.col("links"))).alias("fixed_chars")
+    )
+    part = F.coalesce(F.col("again") / F.col("n"), F.lit(0.0))
+    return slots.select("host", "pages", F.inline("rows"), part.alias("repeated"), "fixed_chars").withColumn("free", F.greatest(F.col("chars") - F.col("links") - F.coalesce("fixed_chars", F.lit(0)), F.lit(0))).drop("fixed_chars", "links")
+
+
+def by_host(rows: DataFrame, table: DataFrame, columns: str, kind: str, use: Callable, fields: str, small: bool) -> DataFrame:
+    """``use(batches, of)`` over ``rows`` (whose first column is host), where ``of(host, ...)`` finds the ``kind`` of a host.
+
+    ``table`` has a row (host, ``columns``) for each host that has a template. If it is small it is broadcast; else it is
+    joined by host. There a host with more than HOT of all rows is split: at most 1 / HOT such hosts are listed.
+    """
+    wanted = columns.split()
+    if small:
+        shared = rows.sparkSession.sparkContext.broadcast({r[0]: made(kind, r[1:]) for r in table.select("host", *wanted).collect()})
+        return rows.mapInArrow(lambda batches: use(batches, lambda batch: [shared.value.get(h) for h in batch.column(0).to_pylist()]), fields)
+    sizes = stored(rows.groupBy("host").agg(F.count(F.lit(1)).alias("_n")), "hosts")
+    total = sizes.agg(F.sum("_n")).first()[0] or 1
+    parts = F.broadcast(sizes.filter(F.col("_n") > total * HOT).select("host", F.ceil(F.col("_n") / (total * HOT)).cast("int").alias("_parts")))
+    left = rows.join(parts, "host", "left").withColumn("_part", F.floor(F.rand(7) * F.coalesce("_parts", F.lit(1))).cast("int"))
+    right = table.select("host", *wanted).join(parts, "host", "left").withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1)))
+    joined = left.drop("_parts").join(right.drop("_parts"), ["host", "_part"], "left").drop("_part")
+    n = len(rows.columns)
+
+    def of(batch: pa.RecordBatch) -> list:
+        out, last, found = [], None, None
+        for i, h in enumerate(batch.column(0).to_pylist()):
+            if h != last:
+                last, found = h, None if batch.column(n)[i].as_py() is None else made(kind, [batch.column(n + k)[i].as_py() for k in range(len(wanted))])
+            out.append(found)
+        return out
+
+    return joined.mapInArrow(lambda batches: use(batches, of), fields)
+
+
+def made(kind: str, columns: list) -> Template | dict:
+    """A host's template, or the classes of its tokens: token to (class, whether it is the outer one)."""
+    if kind == "template":
+        return Template({x["token"]: x["mean"] for x in columns[0]}, frozenset(columns[1]), frozenset(columns[2]))
+    return {x["token"]: (x["vector"], x["outer"]) for x in columns[0]}
+
+
+def valid_classes(distinct: DataFrame, frequent: DataFrame, small: bool) -> DataFrame:
+    """host and vector of the classes whose tokens keep their order and their gaps of the outer class on all pages."""
+    top = frequent.groupBy("host", "vector").agg(F.max("n_pages").alias("n_pages"), F.count(F.lit(1)).alias("size")).groupBy("host").agg(F.max(F.struct("n_pages", "size", "vector")).alias("top"))
+    marked = frequent.join(top, "host").select("host", F.struct("token", "vector", (F.col("vector") == F.col("top.vector")).alias("outer")).alias("t"))
+    # bounded by SHARE
+    classes = marked.groupBy("host").agg(F.collect_list("t").alias("classes"))
+
+    def use(batches: Iterator[pa.RecordBatch], of: Callable) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, len(batch), 512):
-                hosts, keys, rows = [], [], []
-                for h, k, page in zip(*(batch.column(i).slice(at, 512).to_pylist() for i in range(3)), strict=True):
-                    seen: dict[int, list[int]] = {}
-                    for i, (path, article, _, text, linked) in enumerate(blocks(page) if page else ()):
-                        slot = seen.setdefault(token_of(path), [0, i, 0, 0])
-                        slot[0], slot[2], slot[3] = slot[0] + 1, slot[2] + len(text), slot[3] + linked
-                        if not article:  # an article's own words never make a template
-                            seen.setdefault(token_of(path, text), [0, i, 0, 0])[0] += 1
-                    hosts += [h] * len(seen)
-                    keys += [k] * len(seen)
-                    rows += [(t, *v) for t, v in seen.items()]
-                columns = [pa.array([r[i] for r in rows], pa.int64()) for i in range(5)]
-                yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(keys, pa.int64()), *columns], ["host", "page", "token", "n", "first", "chars", "links"])
-
-    slim = pages.select(host_of(F.col("url")).alias("host"), F.xxhash64("page_id", "url").alias("page"), "html")
-    return slim.mapInArrow(run, "host string, page long, token long, n long, first long, chars long, links long")
-
-
-def templates(pages: DataFrame, support: int = SUPPORT, share: float = SHARE) -> DataFrame:
-    """Template tokens of every host: host, token, vector (its class), n_pages, level, and ``drop``.
-
-    A class is valid if at least ``support`` pages and ``share`` of its host's pages hold it. Level 1 is the host's outer
-    class (the most pages), classes of fewer pages nest below it. ``drop`` marks tokens whose text is no article: fixed
-    text, and slots of which four fifths are links. Pages without a host are one host; hosts of few pages have no template.
+            found: dict[tuple, None] = {}
+            for host, tokens, classes in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), of(batch), strict=True):
+                if not classes:
+                    continue
+                gap, seen = 0, {}
+                for token, _ in sorted(((x["token"], x["first"]) for x in tokens if x["token"] in classes), key=lambda x: x[1]):
+                    vector, outer = classes[token]
+                    if outer:
+                        gap = token
+                    seen.setdefault(vector, []).extend((token, 0 if outer else gap))
+                found.update(dict.fromkeys((host, v, hashed(*s)) for v, s in seen.items()))
+            rows = list(found)
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.string(), pa.int64(), pa.int64()))], ["host", "vector", "order"])
+
+    orders = by_host(distinct.select("host", "tokens"), classes, "classes", "classes", use, "host string, vector long, order long", small)
+    return orders.groupBy("host", "vector").agg(F.min("order").alias("low"), F.max("order").alias("high")).filter("low = high").select("host", "vector")
+
+
+def templates(pages: DataFrame, broadcast_tokens: int = BROADCAST_TOKENS) -> tuple[DataFrame, bool]:
+    """host, free (mean free characters below each element path), slots and fixed of every host with a template, and whether they are small.
+
+    Pages without a host are one host. Hosts of fewer than SUPPORT different articles have no template.
     """
-    vectors = page_tokens(pages).groupBy("host", "token").agg(F.count(F.lit(1)).alias("n_pages"), F.bit_xor(F.xxhash64("page", "n")).alias("vector"), F.sum("chars").alias("chars"), F.sum("links").alias("links"))
-    sizes = pages.groupBy(host_of(F.col("url")).alias("host")).agg(F.count(F.lit(1)).alias("pages"))
-    valid = vectors.filter(F.col("n_pages") >= support).join(sizes, "host").filter(F.col("n_pages") >= F.col("pages") * share)
-    # one row per class; page counts of a host's valid classes give the nesting
-    outer = valid.groupBy("host").agg(F.array_sort(F.collect_set("n_pages")).alias("counts"))
-    return valid.join(outer, "host").select("host", "token", "vector", "n_pages", F.size(F.filter("counts", lambda c: c >= F.col("n_pages"))).alias("level"), ((F.col("chars") == 0) | (F.col("links") * 5 >= F.col("chars") * 4)).alias("drop"))
+    distinct = stored(page_tokens(pages).groupBy("host", "page").agg(F.min_by("tokens", "copy").alias("tokens")), "page-tokens")
+    frequent = stored(frequent_tokens(distinct), "frequent-tokens")
+    small = frequent.limit(broadcast_tokens + 1).count() <= broadcast_tokens
+    valid = valid_classes(distinct, frequent, small).withColumn("valid", F.lit(True))
+    checked = frequent.join(valid, ["host", "vector"], "left").select("host", F.struct("token", "slot", "text", "n_pages", "chars", "free", "repeated", F.coalesce("valid", F.lit(False)).alias("valid")).alias("t"))
+
+    def use(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [deduced(t) for t in batch.column(1).to_pylist()]
+            mean = pa.list_(pa.struct([("token", pa.int64()), ("mean", pa.float64())]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[i] for r in rows], kind) for i, kind in enumerate((mean, pa.list_(pa.int64()), pa.list_(pa.int64()))))], ["host", "free", "slots", "fixed"])
+
+    # bounded by SHARE
+    gathered = checked.groupBy("host").agg(F.array_sort(F.collect_list("t")).alias("t"))
+    return stored(gathered.mapInArrow(use, "host string, free array<struct<token:bigint,mean:double>>, slots array<bigint>, fixed array<bigint>"), "templates"), small
+
+
+def deduced(tokens: list[dict]) -> tuple[list[dict], list[int], list[int]]:
+    """Free characters, slots and fixed texts of one host from its frequent tokens.
+
+    A slot is template if half of its texts repeat, unless it alone has most of the host's text. In other slots a
+    text is fixed only if it is on half of the pages that have the slot: a sentence that happens to repeat is content.
+    """
+    paths = {x["token"]: x for x in tokens if not x["text"]}
+    total = sum(x["chars"] for x in paths.values())
+    slots = {k for k, x in paths.items() if x["chars"] and x["repeated"] >= 0.5 and x["chars"] * 2 <= total}
+    fixed = [x["token"] for x in tokens if x["text"] and x["valid"] and (x["slot"] in slots or x["slot"] in paths and 2 * x["n_pages"] >= paths[x["slot"]]["n_pages"])]
+    below = {k: 0.0 if k in slots else x["free"] / x["n_pages"] for k, x in paths.items()}
+    depth: dict[int, int] = {}
+    for k in paths:
+        chain = []
+        while k in paths and k not in depth:
+            chain.append(k)
+            k = paths[k]["slot"]
+        for c in reversed(chain):
+            depth[c] = depth.get(paths[c]["slot"], 0) + 1
+    for k in sorted(paths, key=depth.__getitem__, reverse=True):
+        up = paths[k]["slot"]
+        if up in below:
+            below[up] += below[k] * paths[k]["n_pages"] / paths[up]["n_pages"]
+    return [{"token": k, "mean": v} for k, v in below.items()], sorted(slots), sorted(fixed)
 
 
 def extract_main_text(pages: DataFrame, broadcast_tokens: int = BROADCAST_TOKENS) -> DataFrame:
     """page_id, url, text and n_chars of every page; null and empty pages have an empty text.
 
-    Template tokens are broadcast if there are at most ``broadcast_tokens``; else each page is joined to its host's
-    tokens, which are repeated for ``SALTS`` salts so that a large host is split.
+    Up to ``broadcast_tokens`` template tokens are broadcast, more are joined by host; the results are the same. Repeated
+    rows are each returned. Bad bytes of invalid UTF-8 become replacement characters.
     """
-    found = stored(templates(pages).filter("drop").select("host", "token"), "templates")
-    slim = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host"))
-    fields = "page_id long, url string, text string"
-    if found.limit(broadcast_tokens + 1).count() <= broadcast_tokens:
-        by_host: dict[str, set] = {}
-        for host, token in found.collect():
-            by_host.setdefault(host, set()).add(token)
-        shared = pages.sparkSession.sparkContext.broadcast(by_host)
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                texts = [main_text(page, shared.value.get(host, frozenset())) for page, host in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["page_id", "url", "text"])
-
-        out = slim.mapInArrow(run, fields)
-    else:
-        listed = found.groupBy("host").agg(F.collect_list("token").alias("tokens")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        joined = slim.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")).join(listed, ["host", "salt"], "left")
-
-        def run_joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                texts = [main_text(page, set(tokens or ())) for page, tokens in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["page_id", "url", "text"])
-
-        out = joined.select("page_id", "url", "html", "tokens").mapInArrow(run_joined, fields)
+    found, small = templates(pages, broadcast_tokens)
+
+    def use(batches: Iterator[pa.RecordBatch], of: Callable) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [main_text(page, template) for page, template in zip(decoded(batch.column(3)), of(batch), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(texts, pa.string())], ["page_id", "url", "text"])
+
+    slim = pages.select(host_of(F.col("url")).alias("host"), "page_id", "url", "html")
+    out = by_host(slim, found, "free slots fixed", "template", use, "page_id long, url string, text string", small)
     return out.withColumn("n_chars", F.char_length("text").cast("long"))
