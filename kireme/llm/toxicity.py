@@ -1,10 +1,10 @@
 """Toxicity from subword-bag embeddings averaged into a linear softmax, trained jointly in numpy.
 
-A bag is a window of ``WINDOW`` words: the vectors of its hashed character n-grams are averaged, and a linear softmax
-over the average tells toxic from clean. A document scores as its worst window, so that a few words in a long text are
-not averaged away (on held-out documents one-word bags find 99 of 100 toxic ones, five-word bags 96). Labels are by document, so the windows that stand for toxic documents are chosen in turn with the fit:
-first by n-gram odds, then by the model itself; clean documents give their hardest windows and random ones.
-Misspelt and unseen words share n-grams, and so vectors, with known ones.
+A word is the bag of its hashed character n-grams: their vectors are averaged, and so are their attention values. A text
+is the average of its words' vectors, each weighted by the exponential of its attention, and a linear softmax over that
+average tells toxic from clean. Vectors, attention and softmax are trained together on whole texts, so that a few words
+decide a long text where they should and are averaged away where they should not. Misspelt and unseen words share
+n-grams, and so vectors and attention, with known ones.
 """
 
 from __future__ import annotations
@@ -18,14 +18,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kireme.llm.storage import decoded
+
 WORD = re.compile(r"[^\W\d_]+")
 BUCKETS = 1 << 16
 DIMENSIONS = 8
-WINDOW = 1
 #: Labelled documents that a model is fitted on at most, and the longest text among them.
 TRAINING_ROWS = 4000
 TRAINING_CHARS = 16_000
-ROUNDS, EPOCHS, BATCH, RATE = 3, 6, 128, 0.05
+EPOCHS, BATCH, RATE = 6, 64, 0.5
+#: A toxic document counts as so many clean ones.
+TOXIC = 4.0
+#: Weights in the average lie between exp(-ATTENTION) and exp(ATTENTION).
+ATTENTION = 12.0
 REMEMBERED = 300_000
 
 
@@ -43,51 +48,44 @@ def ngrams(word: str) -> list[int]:
 
 
 class Model:
-    """Vectors ``e`` (buckets x dimensions), softmax weights ``w`` (dimensions x 2) and bias ``b``, and the calibration."""
+    """Vectors ``e`` and attention ``a`` of the buckets, softmax weights ``w`` (dimensions x 2) and bias ``b``."""
 
     def __init__(self, seed: int = 11):
         rng = np.random.default_rng(seed)
         self.e = rng.normal(0, 0.1, (BUCKETS, DIMENSIONS)).astype(np.float32)
-        self.w = rng.normal(0, 0.1, (DIMENSIONS, 2)).astype(np.float32)
+        self.a = np.zeros(BUCKETS, np.float32)
+        self.w = rng.normal(0, 0.3, (DIMENSIONS, 2)).astype(np.float32)
         self.b = np.zeros(2, np.float32)
-        self.slope, self.shift = 1.0, 0.0
         self.trained = False
 
     def weights(self) -> tuple:
-        """What scoring needs: each bucket's part of the logit, since the average and the layer are both linear."""
-        return (self.e @ (self.w[:, 1] - self.w[:, 0])).astype(np.float32), float(self.b[1] - self.b[0]), self.slope, self.shift, self.trained
+        """What scoring needs: each bucket's part of the logit (the averages and the layer are linear) and its attention."""
+        return (self.e @ (self.w[:, 1] - self.w[:, 0])).astype(np.float32), self.a, float(self.b[1] - self.b[0]), self.trained
 
 
 class Scorer:
     def __init__(self, weights: tuple):
-        self.part, self.bias, self.slope, self.shift, self.trained = weights
-        self.known: dict[str, tuple[float, int]] = {}
-
-    def _word(self, word: str) -> tuple[float, int]:
-        found = self.known.get(word)
-        if found is None:
-            if len(self.known) > REMEMBERED:
-                self.known.clear()
-            g = ngrams(word)
-            found = self.known[word] = (float(self.part[g].sum()), len(g))
+        self.part, self.attention, self.bias, self.trained = weights
+        self.known: dict[str, tuple[float, float]] = {}
+
+    def _word(self, word: str) -> tuple[float, float]:
+        """Weight in the average, and weight times part of the logit."""
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
+        g = ngrams(word)
+        weight = float(np.exp(np.clip(self.attention[g].mean(), -ATTENTION, ATTENTION)))
+        found = self.known[word] = (weight, weight * float(self.part[g].mean()))
         return found
 
-    def logits(self, text: str | None) -> np.ndarray:
-        """The logit of every window of a text (one if it is shorter)."""
-        words = WORD.findall(text.lower()) if text else []
-        if not words:
-            return np.zeros(0)
-        both = np.array([self._word(w) for w in words])
-        total = np.cumsum(np.vstack([np.zeros((1, 2)), both]), 0)
-        n = min(WINDOW, len(words))
-        spans = total[n:] - total[:-n]
-        return spans[:, 0] / spans[:, 1] + self.bias
-
     def score(self, text: str | None) -> float:
-        z = self.logits(text)
-        if not z.size or not self.trained:
+        if not text or not self.trained:
             return 0.0
-        return float(1 / (1 + np.exp(-np.clip(self.slope * z.max() + self.shift, -30, 30))))
+        known, total, logit = self.known, 0.0, 0.0
+        for w in WORD.findall(text.lower()):
+            weight, part = known.get(w) or self._word(w)
+            total += weight
+            logit += part
+        return float(1 / (1 + np.exp(-np.clip(logit / total + self.bias, -30, 30)))) if total else 0.0
 
 
 def fit(texts: list[str], toxic: list[int], seed: int = 11) -> Model:
@@ -96,98 +94,59 @@ def fit(texts: list[str], toxic: list[int], seed: int = 11) -> Model:
     y = np.asarray(toxic, bool)
     if not y.any() or y.all():
         return model
-    docs, vocabulary = [], {}
-    for t in texts:
-        words = WORD.findall(t.lower())
-        docs.append(np.array([vocabulary.setdefault(w, len(vocabulary)) for w in words], np.int64))
+    vocabulary: dict[str, int] = {}
+    docs = [np.unique([vocabulary.setdefault(w, len(vocabulary)) for w in WORD.findall(t.lower())], return_counts=True) for t in texts]
+    filled = np.flatnonzero([len(d[0]) > 0 for d in docs])
     grams = [np.array(ngrams(w), np.int64) for w in vocabulary]
     size = np.array([len(g) for g in grams])
-    flat, start = np.concatenate(grams), np.concatenate([[0], np.cumsum(size)])
-
-    # n-gram odds by document: the best word of each toxic document names its first window
-    in_toxic, in_clean = np.ones(BUCKETS), np.ones(BUCKETS)
+    flat, first = np.concatenate(grams), np.concatenate([[0], np.cumsum(size)])
+    # attention starts at each n-gram's odds of toxic documents
+    seen = np.ones((2, BUCKETS))
     for d, t in zip(docs, y, strict=True):
-        if d.size:
-            u = np.unique(d)
-            seen = np.unique(np.concatenate([flat[start[i] : start[i + 1]] for i in u]))
-            (in_toxic if t else in_clean)[seen] += 1
-    odds = np.log(in_toxic / in_clean)
-    word_odds = np.maximum.reduceat(odds[flat], start[:-1])
-
-    def windows(d: np.ndarray, per_word: np.ndarray, weight: np.ndarray | None) -> np.ndarray:
-        n = min(WINDOW, len(d))
-        if weight is None:
-            return np.lib.stride_tricks.sliding_window_view(per_word[d], n).max(1)
-        c, s = np.cumsum(np.concatenate([[0], per_word[d]])), np.cumsum(np.concatenate([[0], weight[d]]))
-        return (c[n:] - c[:-n]) / (s[n:] - s[:-n])
-
-    m_e, m_w, m_b = np.zeros_like(model.e), np.zeros_like(model.w), np.zeros_like(model.b)
-    for round_ in range(ROUNDS):
-        per_word, weight = (word_odds, None) if round_ == 0 else (np.add.reduceat((model.e @ (model.w[:, 1] - model.w[:, 0]))[flat], start[:-1]), size)
-        bags, labels = [], []
-        for d, t in zip(docs, y, strict=True):
-            if not d.size:
-                continue
-            n, z = min(WINDOW, len(d)), windows(d, per_word, weight)
-            if t:
-                # the word itself and windows around it
-                best = int(z.argmax())
-                picks = {best, min(best + n // 2, len(z) - 1), min(best + n - 1, len(z) - 1) if round_ == 0 else best}
-            else:
-                picks = {int(z.argmax()), *rng.integers(0, len(z), 2).tolist()}
-            for p in picks:
-                bags.append(d[p : p + n])
-                labels.append(int(t))
-        labels = np.array(labels)
-        share = np.where(labels == 1, 0.5 / max(labels.sum(), 1), 0.5 / max((1 - labels).sum(), 1)) * len(labels)
-        ids = [np.concatenate([flat[start[i] : start[i + 1]] for i in b]) for b in bags]
-        for epoch in range(EPOCHS):
-            rate = RATE * (1 - epoch / EPOCHS)
-            order = rng.permutation(len(ids))
-            for at in range(0, len(order), BATCH):
-                take = order[at : at + BATCH]
-                part = [ids[k] for k in take]
-                lens = np.array([len(p) for p in part])
-                rows, owner = np.concatenate(part), np.repeat(np.arange(len(part)), lens)
-                mean = np.add.reduceat(model.e[rows], np.concatenate([[0], np.cumsum(lens)[:-1]]), 0) / lens[:, None]
-                z = mean @ model.w + model.b
-                p = np.exp(z - z.max(1, keepdims=True))
-                p /= p.sum(1, keepdims=True)
-                p[np.arange(len(take)), labels[take]] -= 1
-                g = (p * share[take, None] / len(take)).astype(np.float32)
-                d_mean = (g @ model.w.T) / lens[:, None]
-                # Adagrad; vectors and softmax move together
-                used, back = np.unique(rows, return_inverse=True)
-                d_e = np.stack([np.bincount(back, d_mean[owner, k], len(used)) for k in range(DIMENSIONS)], 1).astype(np.float32)
-                d_w, d_b = mean.T @ g, g.sum(0)
-                m_e[used] += d_e**2
-                m_w += d_w**2
-                m_b += d_b**2
-                model.e[used] -= rate * 4 * d_e / np.sqrt(m_e[used] + 1e-10)
-                model.w -= rate * d_w / np.sqrt(m_w + 1e-8)
-                model.b -= rate * d_b / np.sqrt(m_b + 1e-8)
+        if len(d[0]):
+            seen[int(t), np.unique(np.concatenate([grams[i] for i in d[0]]))] += 1
+    seen /= seen.max(1, keepdims=True)
+    model.a[:] = 4 * np.log(seen[1] / seen[0]).clip(-2, 4)
+    params = [model.e, model.a, model.w, model.b]
+    memory = [np.full_like(p, 1e-6) for p in params]
+    for epoch in range(EPOCHS):
+        rate = RATE * (1 - epoch / EPOCHS)
+        order = rng.permutation(filled)
+        for at in range(0, len(order), BATCH):
+            take = order[at : at + BATCH]
+            lens = np.array([len(docs[k][0]) for k in take])
+            words, back = np.unique(np.concatenate([docs[k][0] for k in take]), return_inverse=True)
+            counts, owner = np.concatenate([docs[k][1] for k in take]), np.repeat(np.arange(len(take)), lens)
+            rows = np.concatenate([grams[i] for i in words])
+            n, begin = size[words], np.concatenate([[0], np.cumsum(size[words])[:-1]])
+            v = np.add.reduceat(model.e[rows], begin, 0) / n[:, None]
+            s = np.add.reduceat(model.a[rows], begin) / n
+            weight = np.exp(np.clip(s, -ATTENTION, ATTENTION))[back] * counts
+            weight /= np.add.reduceat(weight, np.concatenate([[0], np.cumsum(lens)[:-1]]))[owner]
+            mean = np.add.reduceat(v[back] * weight[:, None], np.concatenate([[0], np.cumsum(lens)[:-1]]), 0)
+            z = mean @ model.w + model.b
+            p = np.exp(z - z.max(1, keepdims=True))
+            p /= p.sum(1, keepdims=True)
+            # labels are noisy: the targets stay off 0 and 1
+            p -= np.where(y[take, None], [0.02, 0.98], [0.98, 0.02])
+            g = p * np.where(y[take, None], TOXIC, 1) / len(take)
+            d_mean = g @ model.w.T
+            d_v = np.stack([np.bincount(back, d_mean[owner, k] * weight, len(words)) for k in range(DIMENSIONS)], 1) / n[:, None]
+            d_s = np.bincount(back, weight * ((v[back] - mean[owner]) * d_mean[owner]).sum(1), len(words)) / n
+            d_e = np.stack([np.bincount(rows, np.repeat(d_v[:, k], n), BUCKETS) for k in range(DIMENSIONS)], 1)
+            # Adagrad; all parts move together
+            for q, m, d in zip(params, memory, (d_e, np.bincount(rows, np.repeat(d_s, n), BUCKETS), mean.T @ g, g.sum(0)), strict=True):
+                m += d**2
+                q -= rate * d / np.sqrt(m)
     model.trained = True
-    _calibrate(model, texts, y)
     return model
 
 
-def _calibrate(model: Model, texts: list[str], y: np.ndarray) -> None:
-    """A logistic curve from the worst window's logit to the chance of the label, fitted by Newton steps."""
-    scorer = Scorer(model.weights())
-    z = np.array([max(scorer.logits(t), default=-10.0) for t in texts])
-    centre, spread = z.mean(), z.std() + 1e-6
-    x, beta = np.stack([(z - centre) / spread, np.ones_like(z)], 1), np.array([1.0, 0.0])
-    # soft targets keep the curve finite when the labels part perfectly
-    target = np.where(y, (y.sum() + 1) / (y.sum() + 2), 1 / ((~y).sum() + 2))
-    for _ in range(25):
-        p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
-        h = (x * (p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(2)
-        beta += np.clip(np.linalg.solve(h, x.T @ (target - p) - 1e-3 * beta), -2, 2)
-    model.slope, model.shift = float(beta[0] / spread), float(beta[1] - beta[0] * centre / spread)
-
-
 def training_rows(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> DataFrame:
-    """At most ``rows`` labelled documents outside the held-out ones, the first in the order of a hash of doc_id."""
+    """At most ``rows`` labelled documents outside the held-out ones, the first in the order of a hash of doc_id.
+
+    An id with several labels counts as toxic if one says so. Rows that repeat an id are cut at ``rows`` too.
+    """
     chosen = (
         labels.filter(F.col("toxic").isNotNull() & ~held_out(F.col("doc_id")))
         .groupBy("doc_id")
@@ -196,13 +155,15 @@ def training_rows(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS)
         .limit(rows)
     )
     # the sample's size is a parameter, so it may be broadcast
-    return docs.select("doc_id", "text").filter(F.length("text") <= TRAINING_CHARS).join(F.broadcast(chosen), "doc_id").select("text", "toxic")
+    found = docs.select("doc_id", F.try_validate_utf8("text").alias("text")).filter(F.length("text") <= TRAINING_CHARS).join(F.broadcast(chosen), "doc_id")
+    return found.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"), "toxic").limit(rows).select("text", "toxic")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> DataFrame:
     """Add ``score`` (0 to 1) and ``predicted`` (1 from a score of 0.3) to doc_id and held_out of every row.
 
-    Null texts and texts without letters score 0. Scores depend on the text alone.
+    Null texts and texts without letters score 0. Scores depend on the text alone: repeated and equal texts score alike,
+    and a text counts whole, whatever its length. In invalid UTF-8, bad bytes part words.
     """
     sample = training_rows(docs, labels, rows).toPandas().sort_values(["text", "toxic"])
     shared = docs.sparkSession.sparkContext.broadcast(fit(list(sample["text"]), list(sample["toxic"])).weights())
@@ -210,7 +171,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> D
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
         for batch in batches:
-            scores = [scorer.score(t.as_py()) for t in batch.column(2)]
+            scores = [scorer.score(t) for t in decoded(batch.column(2))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(scores, pa.float64())], ["doc_id", "held_out", "score"])
 
     scored = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text").mapInArrow(run, "doc_id long, held_out boolean, score double")
