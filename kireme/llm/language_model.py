@@ -24,7 +24,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kireme.llm.storage import stored
+from kireme.llm.storage import decoded, stored
+from kireme.operators.workers import once
 
 WORD = re.compile(r"\w+|[^\w\s]")
 CLASSES, IN_CLASS = 48, 48
@@ -34,10 +35,10 @@ SIZE = CLASSES * IN_CLASS
 MIN_COUNT = 100
 #: Ids kept for words outside the vocabulary, by hash; id 0 is the text's edge.
 RARE = 63
-DIMENSIONS, HIDDEN, SIDE = 12, 32, 2
-ROUNDS, BATCH, RATE = 2, 2048, 0.1
+DIMENSIONS, HIDDEN, SIDE = 8, 16, 2
+ROUNDS, BATCH, RATE = 2, 4096, 0.1
 #: Places that are scored at once; parameter copies that one task averages, and their bytes (two copies at least).
-SCORED, FAN, AVERAGED = 8192, 32, 64_000_000
+SCORED, FAN, AVERAGED = 4096, 32, 64_000_000
 #: Words whose ids a worker remembers.
 REMEMBERED = 500_000
 
@@ -87,9 +88,9 @@ def encoded(docs: DataFrame, words: list[str], text: str = "text") -> DataFrame:
     known = docs.sparkSession.sparkContext.broadcast(words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = Tokens(known.value)
+        tokens = once(known, Tokens)
         for batch in batches:
-            found = [tokens.split(t.as_py()) for t in batch.column(1)]
+            found = [tokens.split(t) for t in decoded(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([ids.tobytes() for ids, _ in found], pa.binary()), pa.array([rare for _, rare in found], pa.list_(pa.string()))], ["doc_id", "ids", "rare"])
 
     return stored(docs.select("doc_id", text).mapInArrow(run, "doc_id long, ids binary, rare array<string>").withColumn("row", F.monotonically_increasing_id()), "token-ids")
@@ -145,70 +146,73 @@ def around(ids: np.ndarray, places: np.ndarray) -> np.ndarray:
     return padded[places[:, None] + np.array([k for k in range(2 * SIDE + 1) if k != SIDE])]
 
 
-def _softmax(z: np.ndarray) -> np.ndarray:
-    p = np.exp(z - z.max(1, keepdims=True))
-    return p / p.sum(1, keepdims=True)
+def _forward(p: dict[str, np.ndarray], context: np.ndarray, target: np.ndarray) -> tuple:
+    """Context vectors, hidden layer, and probabilities of all classes and of all words of each row's own class.
 
-
-def _log_softmax(z: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Log-probability of one column in each row."""
-    z -= z.max(1, keepdims=True)
-    own = z[np.arange(len(z)), at]
-    np.exp(z, out=z)
-    return own - np.log(z.sum(1))
+    Rows must be sorted by class, so that those of one class are a slice of every array.
+    """
+    classes = p["wc"].shape[1]
+    v = p["emb"][context].reshape(len(context), -1)
+    h = np.tanh(v @ p["w1"] + p["b1"])
+    bounds = np.searchsorted(target % classes, np.arange(classes + 1))
+    spans = [(c, bounds[c], bounds[c + 1]) for c in range(classes) if bounds[c] < bounds[c + 1]]
+    both = np.empty((2, len(h), classes), h.dtype)
+    np.matmul(h, p["wc"], out=both[0])
+    both[0] += p["bc"]
+    for c, lo, hi in spans:
+        np.matmul(h[lo:hi], p["wt"][c], out=both[1, lo:hi])
+        both[1, lo:hi] += p["bt"][c]
+    both -= both.max(2, keepdims=True)
+    np.exp(both, out=both)
+    both /= both.sum(2, keepdims=True)
+    return v, h, both, spans
 
 
 def log_probabilities(p: dict[str, np.ndarray], context: np.ndarray, target: np.ndarray) -> np.ndarray:
     """log P(token | both sides) of each row."""
-    h = np.tanh(p["emb"][context].reshape(len(context), -1) @ p["w1"] + p["b1"])
     classes = p["wc"].shape[1]
-    cls, within = target % classes, target // classes
-    out = _log_softmax(h @ p["wc"] + p["bc"], cls)
-    # rows of one class share a matrix
-    order = np.argsort(cls, kind="stable")
-    bounds = np.searchsorted(cls[order], np.arange(classes + 1))
-    for c in np.flatnonzero(np.diff(bounds)):
-        rows = order[bounds[c] : bounds[c + 1]]
-        out[rows] += _log_softmax(h[rows] @ p["wt"][c] + p["bt"][c], within[rows])
+    order = np.argsort(target % classes, kind="stable")
+    own = target[order]
+    both = _forward(p, context[order], own)[2]
+    rows, out = np.arange(len(own)), np.empty(len(own), both.dtype)
+    # probabilities too small for a float count as the smallest one
+    out[order] = np.log(np.maximum(both[0, rows, own % classes], 1e-37)) + np.log(np.maximum(both[1, rows, own // classes], 1e-37))
     return out
 
 
 def train_step(p: dict[str, np.ndarray], memory: dict[str, np.ndarray], context: np.ndarray, target: np.ndarray, rate: float) -> None:
     """One Adagrad step on a batch, in place."""
-    n = len(target)
-    v = p["emb"][context].reshape(n, -1)
-    h = np.tanh(v @ p["w1"] + p["b1"])
-    classes = p["wc"].shape[1]
-    cls, within = target % classes, target // classes
-    g = _softmax(h @ p["wc"] + p["bc"])
-    g[np.arange(n), cls] -= 1
-    d_h = g @ p["wc"].T
-    grads = {"wc": h.T @ g / n, "bc": g.sum(0) / n}
-    order = np.argsort(cls, kind="stable")
-    bounds = np.searchsorted(cls[order], np.arange(classes + 1))
-    for c in np.flatnonzero(np.diff(bounds)):
-        rows = order[bounds[c] : bounds[c + 1]]
-        t = _softmax(h[rows] @ p["wt"][c] + p["bt"][c])
-        t[np.arange(len(rows)), within[rows]] -= 1
-        d_h[rows] += t @ p["wt"][c].T
-        # classes without rows have no gradient and are left alone
-        for k, d in (("wt", h[rows].T @ t / n), ("bt", t.sum(0) / n)):
-            memory[k][c] += d * d
-            p[k][c] -= rate * d / np.sqrt(memory[k][c] + 1e-8)
+    n, classes = len(target), p["wc"].shape[1]
+    order = np.argsort(target % classes, kind="stable")
+    context, target = context[order], target[order]
+    v, h, both, spans = _forward(p, context, target)
+    rows = np.arange(n)
+    both[0, rows, target % classes] -= 1
+    both[1, rows, target // classes] -= 1
+    both /= n
+    d_h = both[0] @ p["wc"].T
+    grads = {"wc": h.T @ both[0], "bc": both[0].sum(0), "wt": np.zeros_like(p["wt"]), "bt": np.zeros_like(p["bt"])}
+    for c, lo, hi in spans:
+        part = both[1, lo:hi]
+        d_h[lo:hi] += part @ p["wt"][c].T
+        grads["wt"][c], grads["bt"][c] = h[lo:hi].T @ part, part.sum(0)
     d_z = d_h * (1 - h * h)
-    grads["w1"], grads["b1"] = v.T @ d_z / n, d_z.sum(0) / n
-    d_v = (d_z @ p["w1"].T).reshape(-1, DIMENSIONS) / n
-    used, back = np.unique(context.ravel(), return_inverse=True)
-    d_e = np.stack([np.bincount(back, d_v[:, k], len(used)) for k in range(DIMENSIONS)], 1).astype(np.float32)
-    memory["emb"][used] += d_e**2
-    p["emb"][used] -= rate * d_e / np.sqrt(memory["emb"][used] + 1e-8)
+    grads["w1"], grads["b1"] = v.T @ d_z, d_z.sum(0)
+    d_v = (d_z @ p["w1"].T).reshape(-1, DIMENSIONS)
+    flat, size = context.ravel(), len(p["emb"])
+    grads["emb"] = np.stack([np.bincount(flat, d_v[:, k], size) for k in range(DIMENSIONS)], 1).astype(np.float32)
     for k, d in grads.items():
+        # what has no gradient is left alone
         memory[k] += d * d
         p[k] -= rate * d / np.sqrt(memory[k] + 1e-8)
 
 
 def _average(copies: DataFrame) -> bytes | None:
-    """The mean of parameter copies (slot, weight, params), weighted, through groups of at most FAN copies and AVERAGED bytes (or two copies)."""
+    """The mean of parameter copies (slot, weight, params), weighted.
+
+    Copies are averaged in a tree. A group, which is one task, holds at most FAN copies and AVERAGED bytes (or two
+    copies), whatever the number of partitions; with the smallest vocabulary a copy has some 0.2 MB.
+    """
 
     copies = stored(copies, "parameters")
     highest, size = copies.agg(F.max("slot"), F.max(F.octet_length("params"))).first()
@@ -277,7 +281,7 @@ def pseudo_likelihood(docs: DataFrame, words: list[str] | None = None, params: d
 
     Words and parameters are learned from ``docs`` unless given. A token outside the vocabulary has the probability of
     its hash bucket times its share of the bucket's tokens in ``docs``. A text without tokens (null, empty, blank) has sum and
-    mean 0. Equal texts have equal scores.
+    mean 0. Equal and repeated texts have equal scores. Bad bytes of invalid UTF-8 count as replacement characters.
     """
     words = vocabulary(docs) if words is None else words
     table = encoded(docs, words)
