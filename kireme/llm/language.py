@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kireme.llm.storage import decoded
 from kireme.llm.toxicity import held_out
 
 LENGTH = 128
@@ -79,19 +80,35 @@ class Network:
         p = np.exp(z - z.max(1, keepdims=True))
         return p / p.sum(1, keepdims=True)
 
-    def predict(self, text: str | None) -> tuple[str, float]:
-        """Language and mean probability over the windows; ``und`` and 0 for texts without letters or an unfitted network."""
-        if not text or not self.languages or not any(map(str.isalpha, text)):
-            return UNKNOWN, 0.0
-        x = windows(text)
-        logs, total = np.zeros(len(self.languages)), np.zeros(len(self.languages))
-        for at in range(0, len(x), SCORED):
-            p = self.probabilities(x[at : at + SCORED]).astype(np.float64)
-            filled = (x[at : at + SCORED] != 0).mean(1)[:, None]
-            logs += (np.log(np.maximum(p, 1e-9)) * filled).sum(0)
-            total += (p * filled).sum(0)
-        k = int(logs.argmax())
-        return self.languages[k], float(total[k] / max(total.sum(), 1e-9))
+    def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        """Language and mean probability over the windows of each text; ``und`` and 0 for texts without letters or an unfitted network.
+
+        Windows of several texts are scored together, those of a long one in parts.
+        """
+        logs, total = np.zeros((2, len(texts), len(self.languages)))
+        waiting: list[np.ndarray] = []
+        owners: list[np.ndarray] = []
+
+        def score() -> None:
+            x, owner = np.concatenate(waiting), np.concatenate(owners)
+            p = self.probabilities(x).astype(np.float64)
+            filled = (x != 0).mean(1)[:, None]
+            np.add.at(logs, owner, np.log(np.maximum(p, 1e-9)) * filled)
+            np.add.at(total, owner, p * filled)
+            waiting.clear(), owners.clear()
+
+        lettered = [bool(t) and bool(self.languages) and any(map(str.isalpha, t)) for t in texts]
+        for i in np.flatnonzero(lettered):
+            x = windows(texts[i])
+            for at in range(0, len(x), SCORED):
+                waiting.append(x[at : at + SCORED])
+                owners.append(np.full(len(waiting[-1]), i))
+                if sum(map(len, waiting)) >= SCORED:
+                    score()
+        if waiting:
+            score()
+        best = logs.argmax(1) if self.languages else []
+        return [(self.languages[best[i]], float(total[i, best[i]] / max(total[i].sum(), 1e-9))) if lettered[i] else (UNKNOWN, 0.0) for i in range(len(texts))]
 
 
 def fit(texts: list[str], langs: list[str], seed: int = 5) -> Network:
@@ -144,22 +161,30 @@ def fit(texts: list[str], langs: list[str], seed: int = 5) -> Network:
 
 
 def training_rows(docs: DataFrame, rows: int = TRAINING_ROWS) -> DataFrame:
-    """At most ``rows`` documents with a language outside the held-out ones, the first in the order of a hash of doc_id."""
-    usable = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= TRAINING_CHARS) & ~held_out(F.col("doc_id")))
+    """At most ``rows`` documents with a language outside the held-out ones, the first in the order of a hash of doc_id.
+
+    Rows that repeat an id are cut at ``rows`` too.
+    """
+    usable = docs.withColumn("text", F.try_validate_utf8("text")).filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= TRAINING_CHARS) & ~held_out(F.col("doc_id")))
     # ids are chosen before texts are read, so that no text is sorted
     chosen = usable.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).distinct()
-    return usable.select("doc_id", "text", "lang").join(F.broadcast(chosen), "doc_id", "left_semi").select("text", "lang")
+    found = usable.select("doc_id", "text", "lang").join(F.broadcast(chosen), "doc_id", "left_semi")
+    return found.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"), "lang").limit(rows).select("text", "lang")
 
 
 def languages(docs: DataFrame, rows: int = TRAINING_ROWS) -> DataFrame:
-    """doc_id, held_out, lang_pred and score (0 to 1) of every row; ``und`` for null texts and texts without letters."""
+    """doc_id, held_out, lang_pred and score (0 to 1) of every row; ``und`` for null texts and texts without letters.
+
+    Whole texts count, however long; equal texts score alike but for rounding. Repeated rows are each returned. Bad bytes
+    of invalid UTF-8 count as replacement characters.
+    """
     sample = training_rows(docs, rows).toPandas().sort_values(["text", "lang"])
     shared = docs.sparkSession.sparkContext.broadcast(fit(list(sample["text"]), list(sample["lang"])))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = shared.value
         for batch in batches:
-            found = [net.predict(t.as_py()) for t in batch.column(2)]
+            found = net.predict([*decoded(batch.column(2))])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
 
     return docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text").mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")

@@ -58,6 +58,8 @@ def hilbert_shards(rows: DataFrame, dimensions: list[Column], n_shards: int, *ti
 
     Rows are sorted by curve index and then by ``ties``, and the order is cut into ``n_shards`` runs whose row counts are
     at most one apart. A cell that holds a third of all rows is cut like any other, because runs are cut by position.
+    Other columns are carried along; those of ``rows`` that are named ``curve``, ``shard`` or ``slot`` are replaced, and
+    names that start with an underscore are reserved.
     """
     if len(dimensions) * bits > 62:
         raise ValueError("the curve index must fit 62 bits")
@@ -66,26 +68,41 @@ def hilbert_shards(rows: DataFrame, dimensions: list[Column], n_shards: int, *ti
     def curve(*columns: pd.Series) -> pd.Series:
         return pd.Series(hilbert_index(np.stack([c.to_numpy() for c in columns], 1), bits))
 
-    placed = ranked(rows.withColumn("curve", curve(*dimensions)), "curve", *ties, name="curve")
+    placed = ranked(rows.withColumn("curve", curve(*dimensions)), "curve", *ties, rank="_rank", name="curve")
     total = placed.agg(F.count(F.lit(1))).first()[0]
     # integer arithmetic: shard s holds the ranks from ceil(s * total / n) on
-    cut = F.expr(f"(rank * {n_shards}L) div {max(total, 1)}L")
-    return placed.withColumn("shard", cut.cast("int")).withColumn("slot", F.col("rank") - F.expr(f"(cast(shard as long) * {total}L + {n_shards - 1}L) div {n_shards}L")).drop("rank")
+    cut = F.expr(f"(_rank * {n_shards}L) div {max(total, 1)}L")
+    return placed.withColumn("shard", cut.cast("int")).withColumn("slot", F.col("_rank") - F.expr(f"(cast(shard as long) * {total}L + {n_shards - 1}L) div {n_shards}L")).drop("_rank")
+
+
+def _dimensions(body: Column) -> tuple[Column, list[Column]]:
+    """A document's size, and its dimensions: language, source and size."""
+    size = (F.octet_length(body) + 16).cast("long")
+    return size, [name_dimension(F.col("lang")), name_dimension(F.col("source")), log_dimension(size)]
 
 
 def document_shards(docs: DataFrame, n_shards: int = 40) -> DataFrame:
-    """Shards of ``documents`` by language, source and size: doc_id, size, text_crc32, law, shard, slot, grown_shard.
+    """Shards of ``documents`` by language, source and size: doc_id, size, text_crc32, law, shard, slot, grown_shard, curve.
 
     Law ``rows``: counts at most one apart. Equal texts of one language and source share a cell and lie together in it.
-    Null texts count 16 bytes; null names are cells of their own; an empty table gives no rows.
+    Null texts count 16 bytes; null names are cells of their own; repeated rows take different slots; an empty table
+    gives no rows.
     """
     body = F.coalesce("text", F.lit(""))
-    slim = docs.select("doc_id", (F.octet_length(body) + 16).cast("long").alias("size"), F.crc32(body.cast("binary")).alias("text_crc32"), name_dimension(F.col("lang")).alias("_lang"), name_dimension(F.col("source")).alias("_source"))
-    placed = hilbert_shards(slim, [F.col("_lang"), F.col("_source"), log_dimension(F.col("size"))], n_shards, "text_crc32", "doc_id")
+    size, dimensions = _dimensions(body)
+    slim = docs.select("doc_id", size.alias("size"), F.crc32(body.cast("binary")).alias("text_crc32"), *[d.alias(f"_d{i}") for i, d in enumerate(dimensions)])
+    placed = hilbert_shards(slim, [F.col(f"_d{i}") for i in range(len(dimensions))], n_shards, "text_crc32", "doc_id")
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "curve")
 
 
 def write_shards(docs: DataFrame, path: str, n_shards: int = 40) -> None:
-    """Write whole rows in shard folders, each sorted along the curve, with ``slot`` kept. doc_id must tell rows apart."""
-    places = document_shards(docs, n_shards).select("doc_id", "shard", "slot")
-    docs.join(places, "doc_id").repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    """Write whole rows in shard folders, in the order of the curve and with ``slot``; the shards of ``document_shards``.
+
+    Rows lie in curve order in every file, so minima and maxima of language, source and size in the footers let a reader
+    skip files and row groups. Repeated rows are written as often as they come.
+    """
+    body = F.coalesce("text", F.lit(""))
+    _, dimensions = _dimensions(body)
+    tied = docs.withColumn("_crc", F.crc32(body.cast("binary")))
+    # the range shuffle has put the rows in order: each task holds a run of few shards
+    hilbert_shards(tied, dimensions, n_shards, "_crc", "doc_id").drop("_crc").write.partitionBy("shard").parquet(path)

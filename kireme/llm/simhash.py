@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kireme.llm.components import components
-from kireme.llm.storage import stored
+from kireme.llm.storage import raw, stored
 
 SEED = 42
 #: Shingles that are hashed and counted at once, so that a very long text needs no more memory than this many.
@@ -36,13 +36,13 @@ PAIRED_EQUAL = 2 * 496
 PAIRED_WILD = 2 * 32
 
 
-def fingerprint(text: str | None, words: int = 3) -> int:
+def fingerprint(text: bytes | None, words: int = 3) -> int:
     """Unsigned 64-bit SimHash of the ``words``-word shingles of a text.
 
     A-Z are lower-cased and words are separated by ASCII blanks. Fewer words than a shingle needs make one shingle of
-    all of them; a text without words, or null, has fingerprint 0.
+    all of them; a text without words, or null, has fingerprint 0. The text is given as bytes, of which any will do.
     """
-    tokens = text.encode("utf-8", "surrogatepass").lower().split() if text else []
+    tokens = text.lower().split() if text else []
     if not tokens:
         return 0
     n = max(1, len(tokens) - words + 1)
@@ -58,7 +58,7 @@ def fingerprints(docs: DataFrame, words: int = 3, *keys: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.fromiter((fingerprint(t.as_py(), words) for t in batch.column(len(names))), np.uint64, len(batch))
+            fps = np.fromiter((fingerprint(t, words) for t in raw(batch.column(len(names)))), np.uint64, len(batch))
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(names))), pa.array(fps.view(np.int64))], [*names, "fp"])
 
     names = ["doc_id", *keys]

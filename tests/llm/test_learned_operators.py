@@ -24,6 +24,15 @@ def test_toxicity_generalises_to_misspellings():
     assert model.score("the river is stupidish") > 0.5 > model.score("the street is green")
 
 
+def test_toxicity_in_long_texts_and_ties():
+    """A few words decide a long text; equal texts tie."""
+    clean = [f"calm river {i} stones and green banks under the sky" for i in range(60)]
+    bad = [f"calm river {i} stones and some stupid idiot under the sky" for i in range(30)]
+    score = toxicity.Scorer(toxicity.fit(clean + bad, [0] * 60 + [1] * 30).weights()).score
+    filler = "calm river stones and green banks under the sky " * 500
+    assert score(filler + "stupid idiot " + filler) > 0.3 > score(filler) and score(filler) == score(filler)
+
+
 def test_toxicity_awkward_rows(spark, docs, awkward):
     labels = spark.createDataFrame([(4, None), (8, 1)], "doc_id long, toxic int")
     got = toxicity.toxicity(awkward, labels)
@@ -48,7 +57,7 @@ def test_language_awkward_rows(docs, awkward):
 def test_language_gradient():
     """The network's training lowers its loss and tells two scripts apart."""
     net = language.fit(["abab abba baba"] * 20 + ["хочу дома вода"] * 20, ["x"] * 20 + ["y"] * 20)
-    assert net.predict("baab aba")[0] == "x" and net.predict("вода хочу")[0] == "y"
+    assert [r[0] for r in net.predict(["baab aba", "вода хочу", None, "12", "вода хочу " * 9000])] == ["x", "y", "und", "und", "y"]
 
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body>
@@ -83,22 +92,69 @@ def template_pages(spark):
     rows = []
     for i in range(12):
         links = "".join(f"<li><a href=x>link {i} {k}</a>" for k in range(4))
-        rows.append((i, f"http://Host.org/p{i}", f"<html><body><div class=top>Our motto</div><div class=list><ul>{links}</ul></div><div class=text><p>Story number {i} goes on.<p>It ends in {i}.</div><div>All rights</div></body></html>"))
+        rows.append((i, f"http://Host.org/p{i}", f"<html><body><div class=top>Our motto</div><div class=list><ul>{links}</ul></div><div class=text><p>Story number {i} goes on.<p>Join our letter.<p>It ends in {i}.</div><div>All rights</div></body></html>"))
     rows += [(99, None, None), (98, "http://host.org/x", ""), (97, "bad url", "<p>alone</p>"), (97, "bad url", "<p>alone</p>")]
     return spark.createDataFrame(rows, "page_id long, url string, html string")
 
 
 def test_templates_without_named_regions(spark):
     pages = template_pages(spark)
-    levels = html_text.templates(pages).filter("host = 'host.org'").collect()
-    assert {r.n_pages for r in levels} == {12} and len({r.vector for r in levels if r.drop}) >= 1
     for limit in (10**6, 0):  # broadcast, and joined by host
         got = {r.page_id: r.text for r in html_text.extract_main_text(pages, limit).collect()}
         assert got[3] == "Story number 3 goes on. It ends in 3." and got[99] == got[98] == "" and got[97] == "alone"
         assert html_text.extract_main_text(pages, limit).count() == 16
+    # the template decides: without one, the repeated sentence stays
+    assert "Join our letter." in html_text.main_text(pages.filter("page_id = 3").first().html)
     assert html_text.extract_main_text(pages.limit(0)).count() == 0
 
 
+def test_classes_are_ordered_and_nested(spark):
+    """Tokens of one vector whose order differs between pages are no class; copies of an article vote once."""
+    page = lambda i, first: f"<body><div class=a><h2>Head</h2></div><div class=b><p>{first} {i}</p></div><div class=c><p>{'one' if i % 2 else 'two'}</p><p>{'two' if i % 2 else 'one'}</p></div></body>"
+    rows = [(i, "http://h.org/", page(i, "text of its own")) for i in range(8)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    distinct = html_text.page_tokens(pages).groupBy("host", "page").agg(F.min_by("tokens", "copy").alias("tokens"))
+    frequent = html_text.frequent_tokens(distinct)
+    valid = {r.vector for r in html_text.valid_classes(distinct, frequent, True).collect()}
+    of = {r.token: r.vector for r in frequent.collect()}
+    p = html_text.parse(rows[0][2])
+    head, one = (html_text.hashed(p.token[e], text) for e, text, *_ in p.blocks if text in ("Head", "one"))
+    # "one" and "two" are on every page once, as "Head" is, so all are one class, and its order does not hold
+    assert of[head] == of[one] and of[head] not in valid
+    copies = spark.createDataFrame([(i, "http://h.org/", "<body><p>" + "the same long article " * 9 + f"</p><!-- {i} --></body>") for i in range(20)], "page_id long, url string, html string")
+    assert html_text.page_tokens(copies).select("host", "page").distinct().count() == 1
+    assert all(r.text.startswith("the same long") for r in html_text.extract_main_text(copies).collect())
+
+
+def test_stripped_pages_equal_brute_force(spark):
+    """Without article tags, named regions and classes, the host's template still finds the article."""
+    import html
+    import re
+
+    def strip(page):
+        return re.sub(r"(</?)(?:article|nav|footer)\b", r"\1div", re.sub(r' class="[^"]*"', "", page))
+
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    source = {r.page_id: r.html for r in pages.collect()}
+    got = html_text.extract_main_text(pages.withColumn("html", F.udf(strip)("html"))).collect()
+    wrong = without = 0
+    for r in got:
+        body = re.search(r"<article>(.*)</article>", source[r.page_id], re.S)[1]
+        want = " ".join(html.unescape(re.sub(r"<[^>]+>", "", re.sub(r"</?(?:p|h1|br)[^>]*>", " ", body))).split())
+        wrong += r.text != want
+        without += html_text.main_text(strip(source[r.page_id])) != want
+    assert len(got) == len(source) and wrong == 0 and without > 10
+
+
+def test_names_count_whole():
+    page = "<article><h1>T</h1><div class='cookie-recipe'><p>Mix flour.</p></div><div class='cookie-banner'>We use cookies</div><div class='share-buttons'>Share</div><p>End</p></article>"
+    assert html_text.main_text(page) == "T Mix flour. End"
+    cards = "<body><article><p>One card.</p></article><div class=story><h1>Title</h1>" + "<p>The real text goes on and on.</p>" * 20 + "</div></body>"
+    assert html_text.main_text(cards).startswith("Title The real text")
+    assert html_text.main_text("<div>" * 3000 + "deep" + "</span>" * 3000) == "deep"
+    assert html_text.main_text(f"<p class='{'x' * 100000}'>long name") == "long name"
+
+
 def test_language_model_gradient():
     rng = np.random.default_rng(0)
     p = {k: v.astype(np.float64) for k, v in language_model.start().items()}

@@ -38,7 +38,7 @@ def test_stages(spark, stages):
     from kireme.llm.simhash import fingerprint
 
     ids = sorted(first)
-    roots = brute_components([fingerprint(first[i]) for i in ids])
+    roots = brute_components([fingerprint(first[i].encode()) for i in ids])
     assert set(texts(tables[1])) == {ids[r] for r in roots}
 
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]

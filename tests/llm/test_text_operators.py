@@ -60,8 +60,46 @@ def test_redaction(spark):
 
 
 def test_calibration():
-    cells = [(1, 0, True, 90, 0.9), (2, 0, False, 10, 0.8), (3, 0, False, 50, 0.1), (4, 1, False, 5, 0.9)]
-    assert pii.calibrate(cells, 0.9) == [1, 2] and pii.calibrate(cells, 0.95) == [1]
+    scored = [(0, True, 90, 0.9), (0, True, 6, 0.8), (0, False, 4, 0.8), (0, False, 50, 0.1), (1, False, 5, 0.9)]
+    assert pii.calibrate(scored, 0.9) == {0: 0.8} and pii.calibrate(scored, 0.97) == {0: 0.9}
+    # what lowering the threshold adds must itself be confirmed
+    assert pii.calibrate([(0, True, 90, 0.9), (0, False, 5, 0.8)], 0.9) == {0: 0.9}
+
+
+def test_trees_decide_beside_the_validators(docs):
+    """A key of few different characters is no label, but stands in the format and context of confirmed ones; plain words do not."""
+    key = lambda i: hashlib.sha256(str(i).encode()).hexdigest()[:24]
+    good = [f"the token = {key(i)} is here" for i in range(200)]
+    words = [f"a word like {'abcdefghij' * 2}{'klmn'[i % 4] * 4} is none" for i in range(100)]
+    odd = "the token = " + "ab12" * 6 + " is here"
+    got = {r.doc_id: r for r in pii.pii_digest(docs(*good, *words, odd)).collect()}
+    assert all("secret:" in got[i].spans for i in range(200)) and not any(got[i].spans for i in range(200, 300))
+    assert "secret:12:36" in got[300].spans
+    table = docs(odd, "token = " + key(1)).withColumn("t", F.col("text"))
+    labels = pii.candidates(table).select(F.explode("_candidates").alias("c"), "doc_id").select("doc_id", "c.label").distinct().collect()
+    assert {(r.doc_id, r.label) for r in labels} == {(0, False), (1, True)}
+
+
+def test_account_check(spark):
+    row = spark.sql("select 'GB82 WEST 1234 5698 7654 32' a, 'DE89370400440532013000' b, 'DE88370400440532013000' c")
+    assert tuple(row.select(pii.mod97(F.col("a")), pii.mod97(F.col("b")), pii.mod97(F.col("c"))).first()) == (True, True, False)
+
+
+def test_spans_against_brute_force(spark):
+    """Every span is a base one or a hit of a generator in a selected cell, and none of those is missing."""
+    table = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    cells = set(pii.selected_cells(pii.candidates(table).withColumn("_half", F.pmod(F.xxhash64("text"), F.lit(2)) == 0)))
+    found = pii.candidates(table).select("doc_id", "_candidates").collect()
+    more = {r.doc_id: {f"{pii.KINDS[c.kind]}:{c.start}:{c.end}" for c in r._candidates if c.cell in cells and not c.base} for r in found}
+    texts = {r.doc_id: r.text or "" for r in table.collect()}
+    for r in found:
+        for g in pii.GENERATORS:
+            hits = {m.span() for m in re.finditer(g.pattern, texts[r.doc_id])} if re.search(g.sign, texts[r.doc_id]) else set()
+            kind = pii.KINDS.index(g.kind)
+            assert hits <= {(c.start, c.end) for c in r._candidates if c.kind == kind}
+    for r in queries.op1_pii(spark, "/root/testdata/sf0.001").collect():
+        base = set(filter(None, digest(spans_of(texts[r.doc_id])).split(",")))
+        assert set(filter(None, r.spans.split(","))) == base | more[r.doc_id]
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
@@ -125,7 +163,7 @@ def test_fingerprint_is_the_stated_one():
     for text in ("", "One", "one TWO three four Été", "a b c " * 70000):
         w = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text))
         h = [xxhash.xxh64_intdigest(" ".join(w[i : i + 3]).encode(), 42) for i in range(max(1, len(w) - 2))] if w else []
-        assert simhash.fingerprint(text) == sum((2 * sum(x >> b & 1 for x in h) > len(h)) << b for b in range(64))
+        assert simhash.fingerprint(text.encode()) == sum((2 * sum(x >> b & 1 for x in h) > len(h)) << b for b in range(64))
     assert simhash.fingerprint(None) == 0
 
 
@@ -168,10 +206,10 @@ def test_near_duplicates_on_awkward_rows(docs, awkward):
 
 
 def hits(text, items):
-    w = decontamination.words_of(text)
+    w = decontamination.words_of(text.encode() if text else None)
     on, found = set(), set()
     for item, t in items:
-        v = decontamination.words_of(t)
+        v = decontamination.words_of(t.encode() if t else None)
         for i in range(max(1, len(v) - 9) if v else 0):
             g = v[i : i + 10]
             for k in range(len(w) - len(g) + 1):
