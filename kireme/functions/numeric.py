@@ -39,6 +39,16 @@ def bce(y: Column, t: Column) -> Column:
     return F.greatest(y, F.lit(0.0)) - y * t + F.log1p(F.exp(-F.abs(y)))
 
 
+def quantized(x: Column, scale: Column) -> Column:
+    """x in units of ``scale``, halves away from zero, clamped to 16 bits but for the lowest value."""
+    return clamp(F.sign(x) * F.floor(F.abs(x) / scale + 0.5), -I16[1], I16[1]).cast("int")
+
+
+def scale_of(largest: Column) -> Column:
+    """The unit in which the largest absolute value is 32767; 1 where all are zero."""
+    return F.when(largest > 0, largest / I16[1]).otherwise(1.0)
+
+
 def round_away(x: np.ndarray) -> np.ndarray:
     """Nearest integer, halves away from zero."""
     whole = np.trunc(x)

@@ -41,7 +41,7 @@ def char_type(cp: Column) -> Column:
 
 def chars(text: Column) -> Column:
     """The characters of a text as an array; empty for the empty text."""
-    return F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0))
+    return F.when(text != "", F.split(text, "")).when(text == "", F.expr("cast(array() as array<string>)"))
 
 
 def escape_word(word: Column) -> Column:
@@ -79,7 +79,8 @@ def unescape_words(line: Column, keep_empty: bool = True) -> Column:
     """``unescape`` of a column, in expressions: pieces are an escaped character, a plain one or a space."""
     pieces = F.regexp_extract_all(line, F.lit(r"(?s)\\.|."), F.lit(0))
     marked = F.array_join(F.transform(pieces, lambda p: F.when(p == " ", F.lit("\x00")).when((F.length(p) == 2) & p.startswith("\\"), F.substring(p, 2, 1)).otherwise(p)), "")
-    words = F.split(marked, "\x00", -1)
+    # most lines have no escapes
+    words = F.when(F.contains(line, F.lit("\\")), F.split(marked, "\x00", -1)).otherwise(F.split(line, " ", -1))
     return words if keep_empty else F.filter(words, lambda w: w != "")
 
 

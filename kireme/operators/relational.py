@@ -62,20 +62,24 @@ def vocabulary(line_rows: DataFrame, min_count: int = 2) -> DataFrame:
 
 
 def ngrams(line_rows: DataFrame, longest: int, source: str = "norm") -> DataFrame:
-    """Keys, start, len and gram of all n-grams up to ``longest`` of the normalized characters (or of their type letters).
+    """Keys, length of the line, start, len and gram of all n-grams up to ``longest`` of the normalized characters (or of their type letters).
 
-    Substrings are made inside the row; nothing is shuffled.
+    The characters of a line are split once and neighbours put together, so a line costs its length; nothing is shuffled.
     """
     text = normalize(F.col("text")) if source == "norm" else type_string(F.col("text"))
-    n = F.char_length("_t")
-    grams = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(longest)), lambda k: F.transform(F.when(n >= k, F.sequence(F.lit(0), n - k)).otherwise(F.expr("cast(array() as array<int>)")), lambda s: F.struct(s.alias("start"), k.alias("len"), F.substring(F.col("_t"), s + 1, k).alias("gram")))))
-    return line_rows.withColumn("_t", text).select(*KEYS, F.inline(grams))
+    split = line_rows.filter("text <> ''").select(*KEYS, F.split(text, "").alias("_c"))
+    # the array stays by reference beside each of its characters
+    places = split.select(*KEYS, "_c", F.size("_c").alias("n_chars"), F.posexplode("_c").alias("start", "_g1"))
+    for k in range(2, longest + 1):
+        places = places.withColumn(f"_g{k}", F.concat(F.col(f"_g{k - 1}"), F.get("_c", F.col("start") + (k - 1))))
+    grams = F.array(*[F.struct(F.lit(k).alias("len"), F.col(f"_g{k}").alias("gram")) for k in range(1, longest + 1)])
+    return places.select(*KEYS, "n_chars", "start", F.inline(grams)).filter("gram IS NOT NULL")
 
 
 def type_string(text: Column) -> Column:
     from kireme.functions.text import char_type
 
-    return F.array_join(F.transform(chars(normalize(text)), lambda c: char_type(F.ascii(c))), "")
+    return F.array_join(F.transform(F.split(normalize(text), ""), lambda c: char_type(F.ascii(c))), "")
 
 
 def boundaries(line_rows: DataFrame) -> DataFrame:
@@ -90,10 +94,9 @@ def ngram_scores(line_rows: DataFrame, patterns: dict, window: int, source: str
     schema = "gram string, vec array<int>"
     table = spark.createDataFrame([(g, [int(x) for x in v]) for g, v in patterns.items()], schema)
     longest = max(map(len, patterns), default=1)
-    length = line_rows.select(*KEYS, F.char_length("text").alias("_n"))
-    hits = ngrams(line_rows, longest, source).join(small(table, len(patterns)), "gram").select(*KEYS, (F.col("start") + F.col("len") - 1).alias("end"), F.posexplode("vec").alias("j", "weight"))
-    placed = hits.select(*KEYS, (F.col("end") - window + F.col("j")).alias("boundary"), "weight").filter("boundary >= 0")
-    return placed.join(length, list(KEYS)).filter(F.col("boundary") < F.col("_n") - 1).select(*KEYS, "boundary", F.col("weight").cast("long").alias("weight"))
+    hits = ngrams(line_rows, longest, source).join(small(table, len(patterns)), "gram").select(*KEYS, "n_chars", (F.col("start") + F.col("len") - 1).alias("end"), F.posexplode("vec").alias("j", "weight"))
+    placed = hits.select(*KEYS, "n_chars", (F.col("end") - window + F.col("j")).alias("boundary"), "weight")
+    return placed.filter("boundary >= 0 AND boundary < n_chars - 1").select(*KEYS, "boundary", F.col("weight").cast("long").alias("weight"))
 
 
 def dictionary_features(line_rows: DataFrame, words: DataFrame, longest: int, max_label: int) -> DataFrame:
@@ -101,27 +104,30 @@ def dictionary_features(line_rows: DataFrame, words: DataFrame, longest: int, ma
 
     ``words`` has word and channel; ``label`` is the length less one, at most ``max_label`` - 1.
     """
-    length = line_rows.select(*KEYS, F.char_length("text").alias("_n"))
     hits = ngrams(line_rows, longest).join(words.select(F.col("word").alias("gram"), "channel"), "gram").withColumn("label", F.least(F.col("len"), F.lit(max_label)) - 1)
     inside = F.when(F.col("len") > 1, F.transform(F.sequence(F.lit(0), F.col("len") - 2), lambda k: F.struct((F.col("start") + k).alias("boundary"), F.lit(1).alias("pos")))).otherwise(F.expr("cast(array() as array<struct<boundary:int,pos:int>>)"))
     places = F.concat(F.array(F.struct((F.col("start") - 1).alias("boundary"), F.lit(0).alias("pos"))), inside, F.array(F.struct((F.col("start") + F.col("len") - 1).alias("boundary"), F.lit(2).alias("pos"))))
-    rows = hits.select(*KEYS, "channel", "label", F.inline(places)).filter("boundary >= 0").join(length, list(KEYS)).filter(F.col("boundary") < F.col("_n") - 1)
+    rows = hits.select(*KEYS, "n_chars", "channel", "label", F.inline(places)).filter("boundary >= 0 AND boundary < n_chars - 1")
     return rows.select(*KEYS, "boundary", "channel", "pos", "label").distinct()
 
 
+def dictionary_scores(line_rows: DataFrame, m: LinearModel) -> DataFrame:
+    """Keys, boundary and weight of each distinct dictionary feature; the caller sums."""
+    words = line_rows.sparkSession.createDataFrame([(w, c) for w, bits in m.words.items() for c in range(8) if bits >> c & 1], "word string, channel int")
+    weights = F.array(*[F.lit(int(x)).cast("long") for x in m.dict_vector])
+    found = dictionary_features(line_rows, small(words, len(m.words)), max(map(len, m.words)), m.dict_n)
+    return found.select(*KEYS, "boundary", F.get(weights, F.col("channel") * 3 * m.dict_n + F.col("label") * 3 + F.col("pos")).alias("weight"))
+
+
 def linear_scores(line_rows: DataFrame, m: LinearModel) -> DataFrame:
     """Keys, boundary and score under a linear model: bias, n-grams of characters and types, distinct dictionary features."""
-    spark = line_rows.sparkSession
     parts = boundaries(line_rows).select(*KEYS, "boundary", F.lit(m.bias).cast("long").alias("weight"))
     if m.char_patterns:
         parts = parts.unionByName(ngram_scores(line_rows, m.char_patterns, m.char_window))
     if m.type_patterns:
         parts = parts.unionByName(ngram_scores(line_rows, m.type_patterns, m.type_window, "type"))
     if m.words:
-        words = spark.createDataFrame([(w, c) for w, bits in m.words.items() for c in range(8) if bits >> c & 1], "word string, channel int")
-        weights = F.array(*[F.lit(int(x)).cast("long") for x in m.dict_vector])
-        found = dictionary_features(line_rows, small(words, len(m.words)), max(map(len, m.words)), m.dict_n)
-        parts = parts.unionByName(found.select(*KEYS, "boundary", F.get(weights, F.col("channel") * 3 * m.dict_n + F.col("label") * 3 + F.col("pos")).alias("weight")))
+        parts = parts.unionByName(dictionary_scores(line_rows, m))
     return parts.groupBy(*KEYS, "boundary").agg(F.sum("weight").alias("score"))
 
 

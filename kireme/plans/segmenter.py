@@ -12,9 +12,11 @@ from pyspark.sql import functions as F
 from kireme.errors import InvalidUtf8
 from kireme.functions.text import escape_word
 from kireme.operators.scoring import scorer_of, segments, units
+from kireme.operators.workers import once
 from kireme.sources.models import LinearModel, NeuralModel, load_model, read_bytes
 
 WORDS = "array<struct<start:bigint,end:bigint>>"
+SURFACES = "array<struct<start:bigint,end:bigint,surface:string>>"
 #: Code points that are scored at once in a worker.
 CHUNK = 1 << 18
 _WORD = pa.struct([("start", pa.int64()), ("end", pa.int64())])
@@ -49,22 +51,29 @@ class Segmenter:
         """A model file; the backend is told from its first bytes unless named (linear, mlp, ed)."""
         return cls(spark, load_model(read_bytes(spark, path), backend), precision)
 
-    def _words(self):
+    def _words(self, surfaces: bool = False):
         shared = self._shared
 
-        @F.arrow_udf(WORDS)
+        @F.arrow_udf(SURFACES if surfaces else WORDS)
         def words(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-            scorer = scorer_of(*shared.value)
+            scorer = once(shared, lambda v: scorer_of(*v))
             for batch in batches:
                 texts = [t or "" for t in batch.to_pylist()]
-                offsets, starts, ends = [np.zeros(1, np.int64)], [], []
+                offsets, starts, ends = [np.zeros(1, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
                 for lo, hi in _chunks(texts):
                     at, start, end = segments(scorer, texts[lo:hi])
                     offsets.append(offsets[-1][-1] + at[1:])
                     starts.append(start)
                     ends.append(end)
-                values = pa.StructArray.from_arrays([pa.array(np.concatenate(starts or [np.zeros(0, np.int64)])), pa.array(np.concatenate(ends or [np.zeros(0, np.int64)]))], fields=list(_WORD))
-                yield pa.ListArray.from_arrays(pa.array(np.concatenate(offsets).astype(np.int32)), values)
+                start, end = np.concatenate(starts), np.concatenate(ends)
+                columns, fields = [pa.array(start), pa.array(end)], list(_WORD)
+                if surfaces:
+                    # words tile their texts, so their sizes cut the joined bytes
+                    cuts = np.concatenate([[0], np.cumsum(end - start)])
+                    joined = pa.py_buffer("".join(texts).encode("utf-8", "surrogatepass"))
+                    columns.append(pa.LargeStringArray.from_buffers(len(start), pa.py_buffer(cuts.astype(np.int64)), joined).cast(pa.string()))
+                    fields.append(pa.field("surface", pa.string()))
+                yield pa.ListArray.from_arrays(pa.array(np.concatenate(offsets).astype(np.int32)), pa.StructArray.from_arrays(columns, fields=fields))
 
         return words
 
@@ -78,7 +87,7 @@ class Segmenter:
 
         @F.arrow_udf("array<bigint>")
         def scores(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-            scorer = scorer_of(*shared.value)
+            scorer = once(shared, lambda v: scorer_of(*v))
             for batch in batches:
                 texts = [t or "" for t in batch.to_pylist()]
                 parts, offsets = [np.zeros(0, np.int64)], [np.zeros(1, np.int64)]
@@ -90,9 +99,12 @@ class Segmenter:
 
         return F.when(F.is_valid_utf8(text), scores(F.try_validate_utf8(text)))
 
+    def _located(self, text: Column) -> Column:
+        return F.when(F.is_valid_utf8(text), self._words(surfaces=True)(F.try_validate_utf8(text)))
+
     def surfaces(self, text: Column) -> Column:
-        """The words themselves. Offsets are cut from the text's bytes in expressions."""
-        return F.transform(self.segment(text), lambda w: F.decode(F.substring(F.encode(text, "UTF-8"), (w["start"] + 1).cast("int"), (w["end"] - w["start"]).cast("int")), "UTF-8"))
+        """The words themselves; null for null and for invalid UTF-8."""
+        return self._located(text)["surface"]
 
     def transform(self, df: DataFrame, text: str = "text", errors: str = "column") -> DataFrame:
         """Add ``words`` (offsets). Rows of invalid UTF-8 get an ``error`` code, or fail the query with ``errors="strict"``."""
@@ -105,9 +117,8 @@ class Segmenter:
     def explode(self, df: DataFrame, text: str = "text") -> DataFrame:
         """One row per word: the columns of ``df`` but the text, word_idx (from 0), start, end and surface."""
         rest = [c for c in df.columns if c != text]
-        words = df.select(*rest, text, F.posexplode(self.segment(F.col(text))).alias("word_idx", "_w"))
-        surface = F.decode(F.substring(F.encode(F.col(text), "UTF-8"), (F.col("_w.start") + 1).cast("int"), (F.col("_w.end") - F.col("_w.start")).cast("int")), "UTF-8")
-        return words.select(*rest, F.col("word_idx").cast("long").alias("word_idx"), F.col("_w.start").alias("start"), F.col("_w.end").alias("end"), surface.alias("surface"))
+        words = df.select(*rest, self._located(F.col(text)).alias("_words")).select(*rest, F.posexplode("_words").alias("word_idx", "_w"))
+        return words.select(*rest, F.col("word_idx").cast("long").alias("word_idx"), F.col("_w.start").alias("start"), F.col("_w.end").alias("end"), F.col("_w.surface").alias("surface"))
 
     def format_lines(self, df: DataFrame, text: str = "text", out: str = "line") -> DataFrame:
         """Add the line of escaped words joined by spaces."""
@@ -121,7 +132,7 @@ class Segmenter:
         @F.udtf(returnType="word_idx int, start bigint, end bigint, surface string")
         class Words:
             def __init__(self):
-                self.scorer = scorer_of(*shared.value)
+                self.scorer = once(shared, lambda v: scorer_of(*v))
 
             def eval(self, text: str):
                 if text:

@@ -14,7 +14,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from kireme.functions.text import normalize
@@ -171,9 +171,10 @@ def train(examples: DataFrame, dev: DataFrame | None, c: Config, o: Options, sta
         copies = _epoch(examples, c, o, params, diffusion, epoch)
         for _ in range(levels):
             copies = copies.groupBy(F.floor(F.col("slot") / FAN).alias("g")).applyInPandas(_merge, "slot long, weight double, loss double, params binary")
-        # a plan that is dealt anew may have more partitions than were counted: then merge further
-        while len(rows := copies.take(2)) > 1:
-            copies = copies.groupBy(F.floor(F.col("slot") / FAN).alias("g")).applyInPandas(_merge, "slot long, weight double, loss double, params binary")
+        rows = copies.collect()
+        # a plan that is dealt anew may have more partitions than were counted; what is over is as few rows
+        if len(rows) > 1:
+            rows = [Row(**_merge(pd.DataFrame([r.asDict() for r in rows])).iloc[0].to_dict())]
         if not rows:
             break
         row = rows[0]
@@ -217,15 +218,50 @@ def evaluate(examples: DataFrame, params: Parameters, c: Config) -> dict:
     return confusion_metrics(decisions(examples, params, c).withColumn("cut", F.col("y") > 0)).first().asDict()
 
 
-#: Examples whose activations calibrate the accumulator unit.
-CALIBRATION = 20_000
+def activations(examples: DataFrame, params: Parameters, c: Config) -> DataFrame:
+    """``bits`` of the absolute hidden activations (before ReLU) of all examples and ``n``, how often each occurs in a batch.
+
+    The bits of non-negative 32-bit floats are ordered as their values are.
+    """
+    shared = examples.sparkSession.sparkContext.broadcast(params)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in batches:
+            if len(f):
+                a = forward(shared.value, Batch.of(f["slots"].tolist(), [list(x) for x in f["features"]], f["label"].tolist(), c.features))[1]
+                bits, n = np.unique(np.abs(a).astype(np.float32).ravel().view(np.uint32), return_counts=True)
+                yield pd.DataFrame({"bits": bits.astype(np.int64), "n": n})
+
+    return examples.filter("status = 'example'").select("label", "slots", "features").mapInPandas(run, "bits long, n long")
+
+
+def lower_rank(counted: DataFrame, part: float = 0.9999) -> int | None:
+    """The value at rank floor(part * (all - 1)), from 0, of ``bits`` that occur ``n`` times; None without any.
+
+    Exact over all rows: 16 high bits are counted first, then the low bits of those that share the high ones of the
+    answer, so that at most 65,536 counts come to the driver at a time.
+    """
+    high = sorted(tuple(r) for r in counted.groupBy(F.shiftright("bits", 16).alias("h")).agg(F.sum("n").alias("n")).collect())
+    total = sum(n for _, n in high)
+    if not total:
+        return None
+    rank = int(part * (total - 1))
+    for h, n in high:
+        if rank < n:
+            break
+        rank -= n
+    for low, n in sorted(tuple(r) for r in counted.filter(F.shiftright("bits", 16) == h).groupBy(F.col("bits").bitwiseAND(F.lit(0xFFFF)).alias("l")).agg(F.sum("n").alias("n")).collect()):
+        if rank < n:
+            return h << 16 | low
+        rank -= n
+    raise AssertionError("counts changed between two reads")
 
 
 def export(examples: DataFrame, params: Parameters, c: Config, vocab: list[int], dictionaries: list[list[str]] | None = None, backend: str = "mlp") -> NeuralModel:
-    """The 16-bit model, calibrated on a bounded sample of the examples (the first by a hash of their slots)."""
-    sample = examples.filter("status = 'example'").orderBy(F.xxhash64(F.to_json("slots"))).limit(CALIBRATION).toPandas()
-    a = forward(params, Batch.of(sample["slots"].tolist(), [list(x) for x in sample["features"]], sample["label"].tolist(), c.features))[1] if len(sample) else np.zeros(0)
-    return quantize(params, c, a, vocab, dictionaries, backend)
+    """The 16-bit model, calibrated on the activations of all examples."""
+    bits = lower_rank(activations(examples, params, c))
+    top = np.zeros(0) if bits is None else np.array([bits], np.uint32).view(np.float32)
+    return quantize(params, c, top, vocab, dictionaries, backend)
 
 
 def sign_flips(texts: DataFrame, m: NeuralModel, text: str = "text") -> DataFrame:

@@ -7,10 +7,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kireme.functions.text import NORMALIZED, TYPE_RANGES, boundary_offsets, escape_word, explode_chars, normalize, unescape_words
+from kireme.functions.numeric import bce, fused_i16, quantized, saturate_i32, scale_of
 from kireme.operators import relational as R
 from kireme.plans.segmenter import Segmenter, space_model
-from kireme.sources.corpus import annotated, clean_ruby_html, union_corpora
-from kireme.sources.models import LinearModel
+from kireme.sources.corpus import annotated, clean_ruby_html, conllu_sentences, lexicon_words, stack_dictionaries, ucd_ranges, union_corpora, words_of_list
+from kireme.sources.models import LinearModel, NeuralModel
 
 CHAR_MAP = "KTHRDO /あ水" + "ａｂｃｄｅｆｇｈｉｊｋｌｍｎｏｐｑｒｓｔｕｖｗｘｙｚ"
 
@@ -215,11 +216,141 @@ def requantized(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("l_orderkey").agg(F.sum(requant_i16(F.col("v"))).cast("long").alias("q"))
 
 
+def linear_dict_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.dictionary_scores(_lines(spark, sf_dir), small_linear_model()).groupBy(*R.KEYS).agg(F.sum("weight").alias("total"), F.sum(F.col("weight") * F.col("boundary")).alias("moment"))
+
+
+def saturating_model() -> NeuralModel:
+    """A network of two units over spaces, e and n whose 16-bit sums run against their limits."""
+    emb = np.array([[0], [-9000], [25600], [32000], [12000]], np.int16)
+    w1 = np.array([[[400], [700]], [[-500], [650]]], np.int16)
+    return NeuralModel(1, sorted([0x20, ord("ｅ"), ord("ｎ")]), emb, w1, np.array([512000.0, -256000.0]), np.array([3, -2], np.int16), -5120.0, 1.0, 1.0, 1.0, 1.0)
+
+
+def _scored(spark: SparkSession, sf_dir: str, model: NeuralModel, precision: str) -> DataFrame:
+    rows = _lines(spark, sf_dir).withColumn("s", Segmenter(spark, model, precision).boundary_scores(F.col("text"))).filter("size(s) > 0")
+    total = F.aggregate("s", F.lit(0).cast("long"), lambda a, b: a + b)
+    return rows.select(*R.KEYS, total.alias("total"), F.size(F.filter("s", lambda x: x > 0)).cast("long").alias("cuts"))
+
+
+def int16_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The default precision: saturating sums in their fixed order."""
+    return _scored(spark, sf_dir, saturating_model(), "int16")
+
+
+def int32_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scored(spark, sf_dir, saturating_model(), "int32")
+
+
+def neural_cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The gaps that the relational form of the space model cuts."""
+    cuts = R.neural_scores(_lines(spark, sf_dir), space_model()).filter("score > 0")
+    return cuts.groupBy(*R.KEYS).agg(F.count(F.lit(1)).alias("n"), F.sum("boundary").cast("long").alias("boundary_sum"))
+
+
+def sign_flips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kireme.plans.training import sign_flips as flips
+
+    return flips(_lines(spark, sf_dir), saturating_model())
+
+
+def partial_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Addresses as partial annotation: a cut after each slash, nothing known after a dot."""
+    mark = lambda c: F.when(c == "/", "|").when(c == ".", "?").otherwise("-")
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").filter("url <> ''")
+    line = F.array_join(F.transform(F.split("url", ""), lambda c: F.concat(F.lit("\\"), c, F.when(c == "e", "/tag").otherwise(""), mark(c))), "")
+    found = annotated(pages.select("page_id", line.alias("text")), "partial").select("page_id", "text", "tags")
+    return found.select("page_id", "text", F.size(F.filter("tags", lambda t: t == 1)).cast("long").alias("n_bound"), F.size(F.filter("tags", lambda t: t.isNull())).cast("long").alias("n_unknown"))
+
+
+def tagged_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines whose words have tags and escapes."""
+    line = F.concat(F.replace(F.regexp_replace("text", r"([/\\])", r"\\$1"), F.lit(" "), F.lit("/N\\ x/y ")), F.lit("/N"))
+    found = annotated(_lines(spark, sf_dir).select(*R.KEYS, line.alias("text")), "full")
+    return found.select(*R.KEYS, F.col("text").alias("plain"), F.aggregate("tags", F.lit(0).cast("long"), lambda a, t: a + t).alias("n_bound"))
+
+
+def egc_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clusters of lines with combining marks, flags and joined pictographs at their ends."""
+    from kireme.functions.graphemes import egc_split as split
+
+    rows = _lines(spark, sf_dir).select(*R.KEYS, F.concat("text", F.lit(CLUSTERS)).alias("text"))
+    offsets = split(F.col("text"))
+    return rows.select(*R.KEYS, (F.size(offsets) - 1).cast("long").alias("n"), F.element_at(offsets, -1).cast("long").alias("size"))
+
+
+CLUSTERS = "e\u0301\u0323 \U0001f468\u200d\U0001f469\u200d\U0001f467 \U0001f1ef\U0001f1f5\U0001f1eb\U0001f1f7 \u1100\u1161\u11a8 \u0e01\u0e33"
+
+
+def stacked_dictionaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two word lists as channels; a list's line is a word and what follows a space or tab."""
+    talk = spark.read.parquet(f"{sf_dir}/conversations.parquet").filter("text IS NOT NULL").select(F.explode(F.split("text", "\n", -1)).alias("text"))
+    return stack_dictionaries([words_of_list(_lines(spark, sf_dir)), words_of_list(talk)]).groupBy("channel", "word").agg(F.count(F.lit(1)).alias("n")).withColumn("channel", F.col("channel").cast("long"))
+
+
+def lexicon_surfaces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexicon_words(_words(spark, sf_dir).select(F.col("word").alias("_c0")), shortest=3, longest=12)
+
+
+def treebank_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as rows of a treebank for each nation, with comments, ranges and, after every tenth, the end of a sentence."""
+    rows = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_nationkey").cast("string").alias("path"), F.col("c_custkey").alias("k"), "c_mktsegment")
+    field = F.concat_ws("\t", F.col("k").cast("string"), F.concat("c_mktsegment", F.lit("/ "), "k"), F.lit("_"), F.lit("_"), "path", *[F.lit("_")] * 4, F.concat(F.lit("A=1|UnidicInfo="), F.lower("c_mktsegment"), F.lit(",x")))
+    text = F.array(field, F.when(F.col("k") % 10 == 0, "").when(F.col("k") % 2 == 0, "# a comment").otherwise("1-2\t" + "\t".join("_" * 9)))
+    lines = rows.select("path", "k", F.posexplode(text).alias("i", "text")).select("path", (F.col("k") * 2 + F.col("i")).cast("long").alias("line_no"), "text")
+    return conllu_sentences(lines)
+
+
+def range_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ranges of a Unicode data file made of customers."""
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    lo = F.hex(F.col("c_custkey") * 16)
+    line = F.when(F.col("c_custkey") % 3 == 0, F.concat(lo, F.lit("          ; "), "c_mktsegment", F.lit(" # one"))).when(F.col("c_custkey") % 3 == 1, F.concat(lo, F.lit(".."), F.hex(F.col("c_custkey") * 16 + 9), F.lit(" ; "), "c_mktsegment", F.lit("# many"))).otherwise(F.lit("# only a comment"))
+    found = ucd_ranges(c.select(line.alias("text")))
+    return found.select(F.col("lo").cast("long").alias("lo"), F.col("hi").cast("long").alias("hi"), "value")
+
+
+def changed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _lines(spark, sf_dir).select(F.concat_ws(":", *R.KEYS).alias("line_no"), F.col("text").alias("line"))
+    return R.differing_lines(rows, rows.filter("not contains(line, 'und')").withColumn("line", F.replace("line", F.lit("the th"), F.lit("the, th"))))
+
+
+def stable_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cross-entropy of a logit far out on both sides."""
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", ((F.col("l_quantity") - 25) * 4).cast("double").alias("y"), (F.col("l_linenumber") % 2).cast("double").alias("t"))
+    return rows.groupBy("l_orderkey").agg(F.round(F.sum(bce(F.col("y"), F.col("t"))), 6).alias("loss"))
+
+
+def fused_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The saturating scorer as a column: three blocks of two units made of a line item."""
+    x = lambda c, k: (F.col(c).cast("int") * k).cast("int")
+    blocks = F.array(F.array(x("l_quantity", 900), x("l_linenumber", -3000)), F.array(x("l_quantity", 700), x("l_linenumber", 9000)), F.array(x("l_linenumber", -4000), x("l_quantity", 100)))
+    score = fused_i16(F.array(F.lit(100), F.lit(-50)), blocks, F.array(F.lit(3), F.lit(-2)))
+    return spark.read.parquet(f"{sf_dir}/lineitem.parquet").withColumn("s", score).groupBy("l_orderkey").agg(F.sum("s").cast("long").alias("total"), F.sum(saturate_i32(F.col("s") * 9000)).cast("long").alias("saturated"))
+
+
+def quantized_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tensor in units of its largest value over 32767."""
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", (F.col("l_extendedprice") - 30000).cast("double").alias("v"))
+    unit = rows.agg(scale_of(F.max(F.abs("v"))).alias("unit"))
+    return rows.crossJoin(F.broadcast(unit)).groupBy("l_orderkey").agg(F.sum(quantized(F.col("v"), F.col("unit"))).cast("long").alias("q"))
+
+
+def calibration_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The exact 99.99th percentile of quantities, by their bits."""
+    from kireme.plans.training import lower_rank
+
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    bits = lower_rank(rows.groupBy((F.col("l_partkey") * 1000 + F.col("l_suppkey")).cast("long").alias("bits")).agg(F.count(F.lit(1)).alias("n")))
+    return spark.createDataFrame([(bits,)], "top long")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         lines_scan, codepoints, byte_offsets, normalized_lines, char_types, char_type_runs, char_id_table, vocab_min_count, encoded_rows, char_ngrams, type_ngrams, gold_boundaries, boundary_labels, dict_extract, dict_channels, dict_matches, dict_lir_features,
         linear_ngram_score, linear_total, linear_arrow, window_slots, neural_int32_score, segments_relational, segments, formatted_line, escape_words, unescape_round_trip, eval_micro_prf, trainer_metrics, example_stats, corpus_union, gold_pred_intersection, html_clean_lines, requantized,
+        linear_dict_score, int16_score, int32_score, neural_cuts, sign_flips, partial_parse, tagged_parse, egc_split, stacked_dictionaries, lexicon_surfaces, treebank_sentences, range_lines, changed_lines, stable_loss, fused_score, quantized_prices, calibration_rank,
     )
 }
 
@@ -248,9 +379,11 @@ def _score_sql(parts: str) -> str:
     types = f"ty AS (SELECT doc_id, line_no, len, string_agg({_TYPE}, '' ORDER BY p) AS t FROM (SELECT doc_id, line_no, len, p, substring(t, p, 1) AS c FROM (SELECT doc_id, line_no, len, t, unnest(range(1, len + 1)) AS p FROM n)) GROUP BY ALL)"
     gram = lambda src, p, w, top: f"SELECT doc_id, line_no, s + k - 1 - {w} + j AS b, v FROM (SELECT doc_id, line_no, len, k, s, substring(t, s + 1, k) AS gram FROM (SELECT *, unnest(range(0, len - k + 1)) AS s FROM {src}, (SELECT unnest(range(1, {top + 1})) AS k) WHERE len >= k)) JOIN (VALUES {rows(p)}) AS q(gram, j, v) USING (gram) WHERE s + k - 1 - {w} + j BETWEEN 0 AND len - 2"
     chars_ = gram("n", m.char_patterns, m.char_window, 2)
+    vec = "[" + ", ".join(str(int(x)) for x in m.dict_vector) + "]"
+    if parts == "words":
+        return f"WITH {lir}, q AS (SELECT doc_id, line_no, b, {vec}[channel * {3 * m.dict_n} + label * 3 + pos + 1] AS v FROM x) SELECT doc_id, line_no, CAST(sum(v) AS BIGINT) AS total, CAST(sum(v * b) AS BIGINT) AS moment FROM q GROUP BY ALL"
     if parts == "chars":
         return f"WITH {_N}, q AS ({chars_}) SELECT doc_id, line_no, CAST(sum(v) AS BIGINT) AS total, CAST(sum(v * b) AS BIGINT) AS moment FROM q GROUP BY ALL"
-    vec = "[" + ", ".join(str(int(x)) for x in m.dict_vector) + "]"
     return f"""WITH {lir}, {types}, q AS (SELECT doc_id, line_no, unnest(range(0, len - 1)) AS b, {m.bias} AS v FROM n WHERE len > 1 UNION ALL {chars_} UNION ALL {gram("ty", m.type_patterns, m.type_window, 2)}
 UNION ALL SELECT doc_id, line_no, b, {vec}[channel * {3 * m.dict_n} + label * 3 + pos + 1] FROM x), s AS (SELECT doc_id, line_no, b, sum(v) AS score FROM q GROUP BY ALL)
 SELECT doc_id, line_no, CAST(sum(score) AS BIGINT) AS total, CAST(sum(score * b) AS BIGINT) AS moment, count(*) FILTER (score > 0) AS cuts FROM s GROUP BY ALL"""
@@ -264,7 +397,35 @@ def _offsets(w: str) -> str:
     return f"list_transform(range(1, len({w})), lambda k: strlen(array_to_string({w}[1:k], '')))"
 
 
+def _network_sql(small: bool) -> str:
+    """The saturating model by its definition: blocks of each slot, sums of two units, ReLU and output weights."""
+    m = saturating_model()
+    value = "CASE c " + " ".join(f"WHEN '{chr(cp)}' THEN {int(m.emb[i + 2, 0])}" for i, cp in enumerate(m.vocabulary)) + f" ELSE {int(m.emb[1, 0])} END"
+    clamp = lambda x: f"least(greatest({x}, -32768), 32767)" if small else x
+    req = lambda x: clamp(f"(({x}) + 256) >> 9") if small else x
+    unit = lambda h: clamp(f"{clamp(f'{req(int(m.b1[h]))} + {req(f'v * {int(m.w1[h, 0, 0])}')}')} + {req(f'nx * {int(m.w1[h, 1, 0])}')}")
+    score = f"greatest({unit(0)}, 0) * {int(m.w2[0])} + greatest({unit(1)}, 0) * {int(m.w2[1])} + {(int(m.b2) + 256) >> 9 if small else int(m.b2)}"
+    return f"{_C}, p AS (SELECT doc_id, line_no, CAST({value} AS BIGINT) AS v, lead(CAST({value} AS BIGINT)) OVER (PARTITION BY doc_id, line_no ORDER BY pos) AS nx FROM ch), s AS (SELECT doc_id, line_no, least(greatest({score}, -2147483648), 2147483647) AS score FROM p WHERE nx IS NOT NULL)"
+
+
 ORACLE_SQL = {
+    "linear_dict_score": _score_sql("words"),
+    "int16_score": f"WITH {_network_sql(True)} SELECT doc_id, line_no, CAST(sum(score) AS BIGINT) AS total, count(*) FILTER (score > 0) AS cuts FROM s GROUP BY ALL",
+    "int32_score": f"WITH {_network_sql(False)} SELECT doc_id, line_no, CAST(sum(score) AS BIGINT) AS total, count(*) FILTER (score > 0) AS cuts FROM s GROUP BY ALL",
+    "sign_flips": f"WITH a AS (WITH {_network_sql(True)} SELECT count(*) AS gaps, count(*) FILTER (score > 0) AS up FROM s), b AS (WITH {_network_sql(True).replace('AS nx FROM ch', 'AS nx, pos FROM ch').replace('SELECT doc_id, line_no, least', 'SELECT doc_id, line_no, pos, least')} SELECT * FROM s), c AS (WITH {_network_sql(False).replace('AS nx FROM ch', 'AS nx, pos FROM ch').replace('SELECT doc_id, line_no, least', 'SELECT doc_id, line_no, pos, least')} SELECT * FROM s) SELECT count(*) AS gaps, count(*) FILTER ((b.score > 0) <> (c.score > 0)) AS flips FROM b JOIN c USING (doc_id, line_no, pos)",
+    "neural_cuts": f"WITH {_C}, p AS (SELECT doc_id, line_no, pos, c0 = ' ' AS a, lead(c0) OVER (PARTITION BY doc_id, line_no ORDER BY pos) AS nx FROM ch) SELECT doc_id, line_no, count(*) AS n, CAST(sum(pos) AS BIGINT) AS boundary_sum FROM p WHERE nx IS NOT NULL AND a <> (nx = ' ') GROUP BY ALL",
+    "partial_parse": "SELECT page_id, url AS text, CAST(length(url[:-2]) - length(replace(url[:-2], '/', '')) AS BIGINT) AS n_bound, CAST(length(url[:-2]) - length(replace(url[:-2], '.', '')) AS BIGINT) AS n_unknown FROM pages WHERE url <> ''",
+    "tagged_parse": f"WITH {_L} SELECT doc_id, line_no, replace(text, ' ', '') AS plain, CAST(len({_kept('text')}) - 1 AS BIGINT) AS n_bound FROM l WHERE replace(text, ' ', '') <> ''",
+    "egc_split": f"WITH {_L} SELECT doc_id, line_no, CAST(length_grapheme(text || '{CLUSTERS}') AS BIGINT) AS n, CAST(strlen(text || '{CLUSTERS}') AS BIGINT) AS size FROM l",
+    "stacked_dictionaries": f"WITH {_L}, b AS (SELECT 0 AS channel, text FROM l UNION ALL SELECT 1, unnest(string_split(text, chr(10))) FROM conversations WHERE text IS NOT NULL) SELECT CAST(channel AS BIGINT) AS channel, regexp_extract(text, '^[^ \\t]*') AS word, count(*) AS n FROM b WHERE regexp_extract(text, '^[^ \\t]*') <> '' GROUP BY ALL",
+    "lexicon_surfaces": f"WITH {_W} SELECT DISTINCT word FROM w WHERE length(word) BETWEEN 3 AND 12",
+    "treebank_sentences": "WITH c AS (SELECT CAST(c_nationkey AS VARCHAR) AS path, c_custkey AS k, c_mktsegment || '\\/\\ ' || c_custkey || '/' || c_nationkey || '/' || lower(c_mktsegment) AS token FROM customer), s AS (SELECT *, coalesce(sum((k % 10 = 0)::INT) OVER (PARTITION BY path ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS sentence FROM c) SELECT path, CAST(sentence AS BIGINT) AS sentence, string_agg(token, ' ' ORDER BY k) AS line FROM s GROUP BY path, sentence",
+    "range_lines": "SELECT c_custkey * 16 AS lo, c_custkey * 16 + CASE WHEN c_custkey % 3 = 1 THEN 9 ELSE 0 END AS hi, c_mktsegment AS value FROM customer WHERE c_custkey % 3 <> 2",
+    "changed_lines": f"WITH {_L} SELECT count(*) AS lines, count(*) FILTER (contains(text, 'und') OR contains(text, 'the th')) AS differing FROM l",
+    "stable_loss": "SELECT l_orderkey, round(sum(greatest(y, 0) - y * t + ln(1 + exp(-abs(y)))), 6) AS loss FROM (SELECT l_orderkey, CAST((l_quantity - 25) * 4 AS DOUBLE) AS y, CAST(l_linenumber % 2 AS DOUBLE) AS t FROM lineitem) GROUP BY 1",
+    "fused_score": "WITH v AS (SELECT l_orderkey, CAST(l_quantity AS BIGINT) AS q, CAST(l_linenumber AS BIGINT) AS n FROM lineitem), c AS (SELECT l_orderkey, n, q, least(greatest(least(greatest(100 + q * 900, -32768), 32767) + q * 700, -32768), 32767) AS a, least(greatest(least(greatest(-50 - n * 3000, -32768), 32767) + n * 9000, -32768), 32767) AS b FROM v), s AS (SELECT l_orderkey, greatest(least(greatest(a - n * 4000, -32768), 32767), 0) * 3 - greatest(least(greatest(b + q * 100, -32768), 32767), 0) * 2 AS s FROM c) SELECT l_orderkey, CAST(sum(s) AS BIGINT) AS total, CAST(sum(least(greatest(s * 9000, -2147483648), 2147483647)) AS BIGINT) AS saturated FROM s GROUP BY 1",
+    "quantized_prices": "WITH v AS (SELECT l_orderkey, CAST(l_extendedprice - 30000 AS DOUBLE) AS v FROM lineitem), u AS (SELECT max(abs(v)) / 32767 AS u FROM v) SELECT l_orderkey, CAST(sum(sign(v) * floor(abs(v) / u + 0.5)) AS BIGINT) AS q FROM v, u GROUP BY 1",
+    "calibration_rank": "SELECT CAST(v AS BIGINT) AS top FROM (SELECT l_partkey * 1000 + l_suppkey AS v, row_number() OVER (ORDER BY l_partkey * 1000 + l_suppkey) - 1 AS k, count(*) OVER () AS n FROM lineitem) WHERE k = CAST(floor(0.9999 * (n - 1)) AS BIGINT)",
     "lines_scan": f"WITH {_L} SELECT * FROM l",
     "codepoints": f"WITH {_C} SELECT CAST(unicode(c0) AS BIGINT) AS cp, count(*) AS n, CAST(max(pos) AS BIGINT) AS last_pos FROM ch GROUP BY 1",
     "byte_offsets": f"WITH {_C}, b AS (SELECT doc_id, line_no, strlen(c0) AS k, sum(strlen(c0)) OVER (PARTITION BY doc_id, line_no ORDER BY pos) AS e FROM ch) SELECT doc_id, line_no, CAST(sum(e - k) AS BIGINT) AS starts, CAST(max(e) AS BIGINT) AS size, count(*) AS n FROM b GROUP BY ALL",

@@ -6,14 +6,11 @@ instead, as one bad line spoils a whole file.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from kireme.errors import InvalidUtf8, MalformedCorpus
+from kireme.functions.arrays import let
 
 PARSED = "struct<text:string,tags:array<tinyint>,error:string>"
 
@@ -34,86 +31,47 @@ def strip_cr(text: Column) -> Column:
     return F.regexp_replace(text, r"\r\z", "")
 
 
-def _item(line: str, at: int) -> tuple[str, bool, int]:
-    """The character at a place, whether it was escaped, and the next place."""
-    if line[at] != "\\":
-        return line[at], False, at + 1
-    if at + 1 >= len(line):
-        raise MalformedCorpus("a backslash ends the line")
-    return line[at + 1], True, at + 2
+#: Marks between the characters of a partially annotated line and their tags; no tag is unknown.
+MARKS = {"-": 0, "|": 1, " ": None, "?": None}
+# Repeats are possessive: they run on without recursion, and no line can be read in two ways. A backslash makes the next
+# character an ordinary one. A slash starts tags, which run to the end of the word or to the next mark.
+_WORD = r"(?s)((?:\\.|[^ /\\])*+)(?:/(?:\\.|[^ \\])*+)?+(?: |\z)"
+_CHARACTER = r"(?s)(\\.|[^-| ?/\\])(?:/(?:\\.|[^-| ?\\])*+)?+([-| ?]|\z)"
+_OPEN_ESCAPE = r"(?s)(?:\A|[^\\])(?:\\\\)*+\\\z"
 
 
-def parse_full(line: str) -> tuple[str, list[int]] | None:
-    """Text and gap tags (0 inside a word, 1 between words) of a fully annotated line; None if it has no characters.
+def _unescaped(text: Column) -> Column:
+    return F.regexp_replace(text, r"(?s)\\(.)", "$1")
 
-    Words are parted by spaces; a slash starts tags, which run to the next space; a backslash makes the next character
-    an ordinary one.
-    """
-    text, tags, in_word, in_tag, at = [], [], False, False, 0
-    while at < len(line):
-        c, escaped, at = _item(line, at)
-        if not escaped and c == " ":
-            in_word = in_tag = False
-        elif not escaped and c == "/":
-            in_tag = True
-        elif not in_tag:
-            if text:
-                tags.append(0 if in_word else 1)
-            text.append(c)
-            in_word = True
-    return ("".join(text), tags) if text else None
-
-
-#: Marks between the characters of a partially annotated line and their tags; None is unknown.
-MARKS = {"-": 0, "|": 1, " ": None, "?": None}
+
+def _full(line: Column) -> Column:
+    """Words are parted by spaces; gaps inside a word have tag 0, those between words tag 1."""
+    words = F.filter(F.transform(F.regexp_extract_all(line, F.lit(_WORD), F.lit(1)), _unescaped), lambda w: w != "")
+    tags = lambda w, i: F.concat(F.array_repeat(F.lit(1), F.when(i > 0, 1).otherwise(0)), F.array_repeat(F.lit(0), F.char_length(w) - 1))
+    found = let(words, lambda ws: F.struct(F.array_join(ws, "").alias("text"), F.flatten(F.transform(ws, tags)).cast("array<tinyint>").alias("tags")))
+    return F.struct(found["text"].alias("text"), found["tags"].alias("tags"), F.when(line.rlike(_OPEN_ESCAPE), F.lit(f"{MalformedCorpus.code}: a backslash ends the line")).alias("error"))
 
 
-def parse_partial(line: str) -> tuple[str, list[int | None]] | None:
-    """Text and gap tags of a line that alternates characters and marks; a slash after a character starts tags up to the next mark."""
-    text, tags, want_char, in_tag, at = [], [], True, False, 0
-    while at < len(line):
-        c, escaped, at = _item(line, at)
-        mark = not escaped and c in MARKS
-        if want_char:
-            if mark or (not escaped and c == "/"):
-                raise MalformedCorpus("a mark or tag stands where a character should")
-            text.append(c)
-            want_char = False
-        elif mark:
-            tags.append(MARKS[c])
-            want_char, in_tag = True, False
-        elif not escaped and c == "/":
-            in_tag = True
-        elif not in_tag:
-            raise MalformedCorpus("two characters without a mark between them")
-    if want_char and tags:
-        tags.pop()
-    return ("".join(text), tags) if text else None
-
-
-PARSERS = {"full": parse_full, "partial": parse_partial}
+def _partial(line: Column) -> Column:
+    """Characters and marks take turns; a mark after the last character says nothing."""
+    part = lambda group: F.regexp_extract_all(line, F.lit(_CHARACTER), F.lit(group))
+    tag = lambda m: F.when(m == "-", 0).when(m == "|", 1)
+    tags = let(part(2), lambda ms: F.transform(F.slice(ms, F.lit(1), F.greatest(F.size(ms) - 1, F.lit(0))), tag))
+    # what the pattern leaves out stands where it should not
+    read = F.aggregate(part(0), F.lit(0), lambda n, x: n + F.char_length(x))
+    error = F.when(read != F.char_length(line), F.lit(f"{MalformedCorpus.code}: characters and marks do not take turns"))
+    return F.struct(_unescaped(F.array_join(part(1), "")).alias("text"), tags.cast("array<tinyint>").alias("tags"), error.alias("error"))
 
 
 def parse_annotated(line: Column, kind: str = "full") -> Column:
-    """(text, tags, error) of an annotated line without a carriage return at its end; nulls for lines without characters.
+    """(text, tags, error) of an annotated line; nulls for lines without characters. A carriage return at its end is no part of it.
 
-    Validity is asked of the raw bytes, before any function could replace bad ones.
+    Validity is asked of the raw bytes, before any function could replace bad ones. Everything is an expression.
     """
-
-    @F.pandas_udf(PARSED)
-    def parse(lines: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for batch in lines:
-            rows = []
-            for value in batch:
-                try:
-                    found = PARSERS[kind](value.removesuffix("\r")) if value is not None else None
-                    rows.append((*found, None) if found else (None, None, None))
-                except MalformedCorpus as e:
-                    rows.append((None, None, f"{e.code}: {e}"))
-            yield pd.DataFrame(rows, columns=["text", "tags", "error"]).astype(object)
-
-    bad = F.struct(F.lit(None).cast("string").alias("text"), F.lit(None).cast("array<tinyint>").alias("tags"), F.lit(InvalidUtf8.code).alias("error"))
-    return F.when(F.is_valid_utf8(line), parse(F.try_validate_utf8(line))).otherwise(bad)
+    empty = lambda error: F.struct(F.lit(None).cast("string").alias("text"), F.lit(None).cast("array<tinyint>").alias("tags"), error.cast("string").alias("error"))
+    found = let(strip_cr(F.try_validate_utf8(line)), {"full": _full, "partial": _partial}[kind])
+    checked = let(found, lambda x: F.when(x["error"].isNull() & (x["text"] != ""), x.cast(PARSED)).otherwise(empty(x["error"])))
+    return F.when(line.isNull(), empty(F.lit(None))).when(F.is_valid_utf8(line), checked).otherwise(empty(F.lit(InvalidUtf8.code)))
 
 
 def annotated(lines: DataFrame, kind: str = "full", text: str = "text", strict: bool = True) -> DataFrame:
@@ -220,40 +178,3 @@ def ucd_ranges(lines: DataFrame, text: str = "text") -> DataFrame:
     pattern = r"^([0-9A-F]+)(?:\.\.([0-9A-F]+))?\s*;\s*(.*?)\s*$"
     lo, hi = F.regexp_extract(t, pattern, 1), F.regexp_extract(t, pattern, 2)
     return lines.filter(t.rlike(pattern)).select(F.conv(lo, 16, 10).cast("int").alias("lo"), F.conv(F.when(hi == "", lo).otherwise(hi), 16, 10).cast("int").alias("hi"), F.regexp_extract(t, pattern, 3).alias("value"))
-
-
-class AnnotatedSource(DataSource):
-    """``spark.read.format("annotated").option("kind", "full"|"partial").load(path)``: text and tags.
-
-    One partition per file. Register with ``spark.dataSource.register(AnnotatedSource)``. Paths must be local to, or
-    mounted on, the workers; ``read_annotated`` reads any store that Spark does.
-    """
-
-    @classmethod
-    def name(cls) -> str:
-        return "annotated"
-
-    def schema(self) -> str:
-        return "text string, tags array<tinyint>"
-
-    def reader(self, schema) -> DataSourceReader:
-        return _AnnotatedReader(self.options)
-
-
-class _AnnotatedReader(DataSourceReader):
-    def __init__(self, options: dict):
-        self.path, self.kind = options["path"], options.get("kind", "full")
-
-    def partitions(self) -> list[InputPartition]:
-        import glob
-
-        return [InputPartition(p) for p in sorted(glob.glob(self.path.removeprefix("file://")))] or [InputPartition(None)]
-
-    def read(self, partition: InputPartition):
-        if partition.value is None:
-            return
-        with open(partition.value, encoding="utf-8", newline="\n") as f:
-            for line in f:
-                found = PARSERS[self.kind](line.removesuffix("\n").removesuffix("\r"))
-                if found:
-                    yield found

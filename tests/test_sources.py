@@ -9,22 +9,27 @@ from kireme.sources import corpus as C
 from kireme.sources import models as M
 
 
-def test_full_annotation():
-    assert C.parse_full("コーパス/ko:pasu の/no 文/buN で/de す/su 。/.") == ("コーパスの文です。", [0, 0, 0, 1, 1, 1, 1, 1])
-    text, tags = C.parse_full("Hello\\ World 2024\\/12 a&b")
+def parsed(spark, line, kind="full"):
+    row = spark.createDataFrame([(line,)], "l string").select(C.parse_annotated(F.col("l"), kind).alias("p")).first().p
+    return row.error if row.error else None if row.text is None else (row.text, row.tags)
+
+
+def test_full_annotation(spark):
+    assert parsed(spark, "コーパス/ko:pasu の/no 文/buN で/de す/su 。/.") == ("コーパスの文です。", [0, 0, 0, 1, 1, 1, 1, 1])
+    text, tags = parsed(spark, "Hello\\ World 2024\\/12 a&b")
     assert text == "Hello World2024/12a&b" and len(tags) == 20 and [i for i, t in enumerate(tags) if t] == [10, 17]
-    assert C.parse_full("あ  い") == ("あい", [1]) and C.parse_full("  ") is None
-    with pytest.raises(MalformedCorpus):
-        C.parse_full("あ\\")
+    assert parsed(spark, "あ  い") == ("あい", [1]) and parsed(spark, "  ") is None and parsed(spark, None) is None
+    assert parsed(spark, "あ\\").startswith(MalformedCorpus.code) and parsed(spark, "あ\\\\") == ("あ\\", [0])
+    assert parsed(spark, "/x y\r") == ("y", []) and parsed(spark, "a/b/c\\ d e") == ("ae", [1])
+    assert len(parsed(spark, "あ" * 100_000 + "\\ " * 50_000)[0]) == 150_000
 
 
-def test_partial_annotation():
-    assert C.parse_partial("み-ず/water|を?た") == ("みずをた", [0, 1, None])
-    assert C.parse_partial("あ|い|") == ("あい", [1]) and C.parse_partial("あ|\\--い") == ("あ-い", [1, 0])
-    assert C.parse_partial("あ り ま") == ("ありま", [None, None])
-    for bad in ("あい", "|あ", "あ||い"):
-        with pytest.raises(MalformedCorpus):
-            C.parse_partial(bad)
+def test_partial_annotation(spark):
+    assert parsed(spark, "み-ず/water|を?た", "partial") == ("みずをた", [0, 1, None])
+    assert parsed(spark, "あ|い|", "partial") == ("あい", [1]) and parsed(spark, "あ|\\--い", "partial") == ("あ-い", [1, 0])
+    assert parsed(spark, "あ り ま", "partial") == ("ありま", [None, None]) and parsed(spark, "", "partial") is None
+    for bad in ("あい", "|あ", "あ||い", "あ-\\", "/x"):
+        assert parsed(spark, bad, "partial").startswith(MalformedCorpus.code)
 
 
 def test_annotated_frames(spark, tmp_path):
@@ -35,9 +40,6 @@ def test_annotated_frames(spark, tmp_path):
         C.read_annotated(spark, str(tmp_path)).collect()
     (tmp_path / "c.txt").write_bytes(b"\xff\xfe\n")
     assert C.read_annotated(spark, str(tmp_path), strict=False).first().error == "InvalidUtf8"
-    (tmp_path / "c.txt").write_text("あ い\nう えお\n")
-    spark.dataSource.register(C.AnnotatedSource)
-    assert spark.read.format("annotated").load(str(tmp_path / "*.txt")).count() == 2
 
 
 def test_lines_and_lists(spark, tmp_path):
