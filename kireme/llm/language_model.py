@@ -36,9 +36,9 @@ MIN_COUNT = 100
 #: Ids kept for words outside the vocabulary, by hash; id 0 is the text's edge.
 RARE = 63
 DIMENSIONS, HIDDEN, SIDE = 8, 16, 2
-ROUNDS, BATCH, RATE = 2, 4096, 0.1
+ROUNDS, BATCH, RATE = 2, 8192, 0.1
 #: Places that are scored at once; parameter copies that one task averages, and their bytes (two copies at least).
-SCORED, FAN, AVERAGED = 4096, 32, 64_000_000
+SCORED, FAN, AVERAGED = 8192, 32, 64_000_000
 #: Words whose ids a worker remembers.
 REMEMBERED = 500_000
 
@@ -162,12 +162,19 @@ def _forward(p: dict[str, np.ndarray], context: np.ndarray, target: np.ndarray)
     for c, lo, hi in spans:
         np.matmul(h[lo:hi], p["wt"][c], out=both[1, lo:hi])
         both[1, lo:hi] += p["bt"][c]
-    both -= both.max(2, keepdims=True)
+    # hidden values lie between -1 and 1, so the weights bound all logits; only large ones must be moved before exp
+    if max(_reach(p["wc"], p["bc"], 0), _reach(p["wt"], p["bt"], 1)) > 60:
+        both -= both.max(2, keepdims=True)
     np.exp(both, out=both)
-    both /= both.sum(2, keepdims=True)
+    both /= (both @ np.ones(classes, both.dtype))[..., None]
     return v, h, both, spans
 
 
+def _reach(weights: np.ndarray, bias: np.ndarray, hidden: int) -> float:
+    """The largest absolute logit that hidden values between -1 and 1 can make."""
+    return float((np.abs(weights).sum(hidden) + np.abs(bias)).max())
+
+
 def log_probabilities(p: dict[str, np.ndarray], context: np.ndarray, target: np.ndarray) -> np.ndarray:
     """log P(token | both sides) of each row."""
     classes = p["wc"].shape[1]
@@ -189,7 +196,6 @@ def train_step(p: dict[str, np.ndarray], memory: dict[str, np.ndarray], context:
     rows = np.arange(n)
     both[0, rows, target % classes] -= 1
     both[1, rows, target // classes] -= 1
-    both /= n
     d_h = both[0] @ p["wc"].T
     grads = {"wc": h.T @ both[0], "bc": both[0].sum(0), "wt": np.zeros_like(p["wt"]), "bt": np.zeros_like(p["bt"])}
     for c, lo, hi in spans:
@@ -203,6 +209,7 @@ def train_step(p: dict[str, np.ndarray], memory: dict[str, np.ndarray], context:
     grads["emb"] = np.stack([np.bincount(flat, d_v[:, k], size) for k in range(DIMENSIONS)], 1).astype(np.float32)
     for k, d in grads.items():
         # what has no gradient is left alone
+        d /= n
         memory[k] += d * d
         p[k] -= rate * d / np.sqrt(memory[k] + 1e-8)
 
