@@ -30,9 +30,9 @@ from kireme.operators.workers import once
 WORD = re.compile(r"\w+|[^\w\s]")
 CLASSES, IN_CLASS = 48, 48
 SIZE = CLASSES * IN_CLASS
-#: A word of so many occurrences has an id of its own, and at least the SIZE most frequent ones do; larger vocabularies
-#: take more classes and more words in each.
-MIN_COUNT = 100
+#: A word that is at least this part of all tokens has an id of its own, and at least the SIZE most frequent ones do; larger
+#: vocabularies take more classes and more words in each. The list that workers get thus has 30,000 words at most.
+PART = 1 / 30_000
 #: Ids kept for words outside the vocabulary, by hash; id 0 is the text's edge.
 RARE = 63
 DIMENSIONS, HIDDEN, SIDE = 8, 16, 2
@@ -44,10 +44,11 @@ REMEMBERED = 500_000
 
 
 def vocabulary(docs: DataFrame, text: str = "text") -> list[str]:
-    """The tokens that occur MIN_COUNT times in all documents, but at least as many of the most frequent as the smallest network has ids for; ties by token."""
+    """The tokens that are PART of all tokens of all documents, but at least as many of the most frequent as the smallest network has ids for; ties by token."""
     words = docs.select(F.explode(F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]"), F.lit(0))).alias("w"))
     counts = stored(words.groupBy("w").agg(F.count(F.lit(1)).alias("n")), "word-counts")
-    least = max(SIZE - RARE - 1, counts.filter(F.col("n") >= MIN_COUNT).count())
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    least = max(SIZE - RARE - 1, counts.filter(F.col("n") >= total * PART).count())
     return [r[0] for r in counts.orderBy(F.desc("n"), "w").limit(least).collect()]
 
 
