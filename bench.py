@@ -24,11 +24,12 @@ def main() -> None:
     from kireme.operators import relational as R
     from kireme.plans.segmenter import Segmenter, space_model
 
-    runs = {n: Q.QUERIES[n] for n in ("segments", "linear_arrow", "char_ngrams", "dict_extract", "dict_lir_features", "eval_micro_prf", "gold_boundaries", "window_slots")}
+    runs = {n: Q.QUERIES[n] for n in ("segments", "linear_arrow", "char_ngrams", "dict_extract", "dict_lir_features", "eval_micro_prf", "gold_boundaries", "window_slots", "int16_score", "partial_parse")}
     try:
+        import corpus_pipeline
         from kireme.llm import queries as L
 
-        runs |= {n: q for n, q in L.QUERIES.items() if n not in ("op3_toxicity", "op8_pseudo_likelihood")}
+        runs |= L.QUERIES | {"pipeline": corpus_pipeline.run}
     except ImportError:
         pass
     done = {}

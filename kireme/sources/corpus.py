@@ -48,8 +48,8 @@ def _full(line: Column) -> Column:
     """Words are parted by spaces; gaps inside a word have tag 0, those between words tag 1."""
     words = F.filter(F.transform(F.regexp_extract_all(line, F.lit(_WORD), F.lit(1)), _unescaped), lambda w: w != "")
     tags = lambda w, i: F.concat(F.array_repeat(F.lit(1), F.when(i > 0, 1).otherwise(0)), F.array_repeat(F.lit(0), F.char_length(w) - 1))
-    found = let(words, lambda ws: F.struct(F.array_join(ws, "").alias("text"), F.flatten(F.transform(ws, tags)).cast("array<tinyint>").alias("tags")))
-    return F.struct(found["text"].alias("text"), found["tags"].alias("tags"), F.when(line.rlike(_OPEN_ESCAPE), F.lit(f"{MalformedCorpus.code}: a backslash ends the line")).alias("error"))
+    error = F.when(line.rlike(_OPEN_ESCAPE), F.lit(f"{MalformedCorpus.code}: a backslash ends the line"))
+    return let(words, lambda ws: F.struct(F.array_join(ws, "").alias("text"), F.flatten(F.transform(ws, tags)).cast("array<tinyint>").alias("tags"), error.alias("error")))
 
 
 def _partial(line: Column) -> Column:
@@ -80,7 +80,8 @@ def annotated(lines: DataFrame, kind: str = "full", text: str = "text", strict:
     ``strict`` fails the query on a bad line; otherwise bad lines stay with their error.
     """
     rest = [c for c in lines.columns if c != text]
-    found = lines.select(*rest, parse_annotated(F.col(text), kind).alias("_p")).select(*rest, "_p.text", "_p.tags", "_p.error")
+    # a generator, so that no filter moves below it and parses once more
+    found = lines.select(*rest, F.inline(F.array(parse_annotated(F.col(text), kind))))
     if strict:
         found = found.withColumn("error", F.when(F.col("error").isNotNull(), F.raise_error(F.col("error")).cast("string")))
     return found.filter(F.col("text").isNotNull() | F.col("error").isNotNull())
