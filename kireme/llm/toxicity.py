@@ -9,6 +9,7 @@ n-grams, and so vectors and attention, with known ones.
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from collections.abc import Iterator
@@ -19,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kireme.llm.storage import decoded
+from kireme.operators.workers import once
 
 WORD = re.compile(r"[^\W\d_]+")
 BUCKETS = 1 << 16
@@ -31,7 +33,8 @@ EPOCHS, BATCH, RATE = 6, 64, 0.5
 TOXIC = 4.0
 #: Weights in the average lie between exp(-ATTENTION) and exp(ATTENTION).
 ATTENTION = 12.0
-REMEMBERED = 300_000
+#: Words that a worker remembers, some 200 MB.
+REMEMBERED = 700_000
 
 
 def held_out(doc_id: Column) -> Column:
@@ -63,29 +66,31 @@ class Model:
         return (self.e @ (self.w[:, 1] - self.w[:, 0])).astype(np.float32), self.a, float(self.b[1] - self.b[0]), self.trained
 
 
-class Scorer:
-    def __init__(self, weights: tuple):
-        self.part, self.attention, self.bias, self.trained = weights
-        self.known: dict[str, tuple[float, float]] = {}
+class _Words(dict):
+    """A word's weight in the average, and weight times part of the logit as the imaginary part, made when first asked for."""
 
-    def _word(self, word: str) -> tuple[float, float]:
-        """Weight in the average, and weight times part of the logit."""
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
+    def __init__(self, part: np.ndarray, attention: np.ndarray):
+        self.part, self.attention = part, attention
+
+    def __missing__(self, word: str) -> complex:
         g = ngrams(word)
-        weight = float(np.exp(np.clip(self.attention[g].mean(), -ATTENTION, ATTENTION)))
-        found = self.known[word] = (weight, weight * float(self.part[g].mean()))
+        weight = math.exp(min(max(float(self.attention[g].sum()) / len(g), -ATTENTION), ATTENTION))
+        found = complex(weight, weight * float(self.part[g].sum()) / len(g))
+        if len(self) < REMEMBERED:
+            self[word] = found
         return found
 
+
+class Scorer:
+    def __init__(self, weights: tuple):
+        part, attention, self.bias, self.trained = weights
+        self.known = _Words(part, attention)
+
     def score(self, text: str | None) -> float:
         if not text or not self.trained:
             return 0.0
-        known, total, logit = self.known, 0.0, 0.0
-        for w in WORD.findall(text.lower()):
-            weight, part = known.get(w) or self._word(w)
-            total += weight
-            logit += part
-        return float(1 / (1 + np.exp(-np.clip(logit / total + self.bias, -30, 30)))) if total else 0.0
+        both = sum(map(self.known.__getitem__, WORD.findall(text.lower())), 0j)
+        return 1 / (1 + math.exp(-min(max(both.imag / both.real + self.bias, -30.0), 30.0))) if both.real else 0.0
 
 
 def fit(texts: list[str], toxic: list[int], seed: int = 11) -> Model:
@@ -169,7 +174,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> D
     shared = docs.sparkSession.sparkContext.broadcast(fit(list(sample["text"]), list(sample["toxic"])).weights())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(shared.value)
+        scorer = once(shared, Scorer)
         for batch in batches:
             scores = [scorer.score(t) for t in decoded(batch.column(2))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(scores, pa.float64())], ["doc_id", "held_out", "score"])
