@@ -8,6 +8,9 @@ all its tokens.
 Training is data-parallel: in each round every partition trains a copy of the shared parameters on its own documents,
 and the copies are averaged by their tokens in a tree of bounded groups. What is gathered, word counts and parameter
 copies, grows with the input.
+
+Texts are read once, into blocks of documents: a block holds its distinct words with their counts, and each token as a
+place in that list. So what is done by word (counts, ids, shares of rare words) is done once for each word of a block.
 """
 
 from __future__ import annotations
@@ -15,6 +18,7 @@ from __future__ import annotations
 import math
 import re
 import zlib
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,19 +43,68 @@ DIMENSIONS, HIDDEN, SIDE = 8, 16, 2
 ROUNDS, BATCH, RATE = 2, 8192, 0.1
 #: Places that are scored at once; parameter copies that one task averages, and their bytes (two copies at least).
 SCORED, FAN, AVERAGED = 8192, 32, 64_000_000
-#: Words whose ids a worker remembers.
-REMEMBERED = 500_000
+#: Words whose ids a worker remembers; tokens and documents that close a block (a longer document has a block of its own).
+REMEMBERED, BLOCK = 500_000, 1 << 20
 
 
-def vocabulary(docs: DataFrame, text: str = "text") -> list[str]:
-    """The tokens that are PART of all tokens of all documents, but at least as many of the most frequent as the smallest network has ids for; ties by token."""
-    words = docs.select(F.explode(F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]"), F.lit(0))).alias("w"))
-    counts = stored(words.groupBy("w").agg(F.count(F.lit(1)).alias("n")), "word-counts")
+def tokenized(docs: DataFrame, text: str = "text") -> DataFrame:
+    """Blocks of rows: block (unique), doc_ids and lengths of the rows, words (distinct), counts (tokens of each word) and tokens.
+
+    ``tokens`` holds the place of every token in ``words``, 32 bits each. The table is stored, so that later passes read no texts.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = _Block()
+        for batch in batches:
+            for doc_id, t in zip(batch.column(0).to_pylist(), decoded(batch.column(1)), strict=True):
+                block.add(doc_id, t)
+                if block.size >= BLOCK:
+                    yield block.row()
+                    block = _Block()
+        if block.size:
+            yield block.row()
+
+    blocks = docs.select("doc_id", text).mapInArrow(run, "doc_ids array<long>, lengths array<long>, tokens binary, words array<string>, counts array<long>")
+    return stored(blocks.withColumn("block", F.monotonically_increasing_id()), "token-blocks")
+
+
+class _Block:
+    def __init__(self) -> None:
+        self.doc_ids, self.lengths, self.tokens, self.size = [], [], [], 0
+        self.places = defaultdict()
+        self.places.default_factory = self.places.__len__
+
+    def add(self, doc_id: int | None, text: str | None) -> None:
+        words = WORD.findall(text.lower()) if text else []
+        self.doc_ids.append(doc_id)
+        self.lengths.append(len(words))
+        self.tokens.append(np.fromiter(map(self.places.__getitem__, words), np.uint32, len(words)))
+        self.size += 1 + len(words)
+
+    def row(self) -> pa.RecordBatch:
+        tokens = np.concatenate(self.tokens)
+        longs, strings = pa.list_(pa.int64()), pa.list_(pa.string())
+        columns = [pa.array([self.doc_ids], longs), pa.array([self.lengths], longs), pa.array([tokens.tobytes()], pa.binary()), pa.array([list(self.places)], strings), pa.array([np.bincount(tokens, minlength=len(self.places))], longs)]
+        return pa.RecordBatch.from_arrays(columns, ["doc_ids", "lengths", "tokens", "words", "counts"])
+
+
+def word_counts(blocks: DataFrame) -> DataFrame:
+    """w and n: how often each word occurs in all blocks."""
+    return stored(blocks.select(F.inline(F.arrays_zip(F.col("words").alias("w"), F.col("counts").alias("c")))).groupBy("w").agg(F.sum("c").alias("n")), "word-counts")
+
+
+def frequent(counts: DataFrame) -> list[str]:
+    """The words that are PART of all tokens, but at least as many of the most frequent as the smallest network has ids for; ties by word."""
     total = counts.agg(F.sum("n")).first()[0] or 0
     least = max(SIZE - RARE - 1, counts.filter(F.col("n") >= total * PART).count())
     return [r[0] for r in counts.orderBy(F.desc("n"), "w").limit(least).collect()]
 
 
+def vocabulary(docs: DataFrame, text: str = "text") -> list[str]:
+    """The ``frequent`` words of all documents."""
+    return frequent(word_counts(tokenized(docs, text)))
+
+
 def classes_for(words: list[str]) -> int:
     """Classes, and words in each, of a network with ids for ``words``."""
     return max(CLASSES, math.isqrt(len(words) + RARE) + 1)
@@ -71,48 +124,48 @@ class Tokens:
     def __init__(self, words: list[str]):
         self.ids = _Rare({w: RARE + 1 + i for i, w in enumerate(words)})
 
-    def encode(self, text: str | None) -> np.ndarray:
-        return self.split(text)[0]
+    def of(self, words: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.ids.__getitem__, words), np.int64, len(words))
 
-    def split(self, text: str | None) -> tuple[np.ndarray, list[str]]:
-        """Ids of all tokens, and the tokens outside the vocabulary."""
-        words = WORD.findall(text.lower()) if text else []
-        ids = np.array([*map(self.ids.__getitem__, words)], np.uint32)
-        return ids, [words[i] for i in np.flatnonzero(ids <= RARE)]
+    def encode(self, text: str | None) -> np.ndarray:
+        return self.of(WORD.findall(text.lower()) if text else [])
 
 
-def encoded(docs: DataFrame, words: list[str], text: str = "text") -> DataFrame:
-    """doc_id, row (unique), ids (binary, 32 bits each) and rare (tokens outside the vocabulary) of every row's whole text.
+def rare_terms(blocks: DataFrame, counts: DataFrame, words: list[str]) -> DataFrame:
+    """block and rare: place and log-probability within its bucket of each word of a block that is not in ``words``.
 
-    The table is stored, so that later passes read no texts.
+    That probability is the word's count in the whole corpus over the count of its bucket. A block's list is as long as
+    its distinct words at most.
     """
-    known = docs.sparkSession.sparkContext.broadcast(words)
+    known = blocks.sparkSession.createDataFrame([(w,) for w in words], "w string")
+    rare = counts.join(F.broadcast(known), "w", "left_anti").withColumn("bucket", F.crc32(F.encode("w", "UTF-8")) % RARE)
+    totals = rare.groupBy("bucket").agg(F.sum("n").alias("total"))
+    shares = rare.join(F.broadcast(totals), "bucket").select("w", F.ln(F.col("n") / F.col("total")).alias("share"))
+    placed = blocks.select("block", F.posexplode("words").alias("place", "w"))
+    return placed.join(shares, "w").groupBy("block").agg(F.collect_list(F.struct("place", "share")).alias("rare"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = once(known, Tokens)
-        for batch in batches:
-            found = [tokens.split(t) for t in decoded(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([ids.tobytes() for ids, _ in found], pa.binary()), pa.array([rare for _, rare in found], pa.list_(pa.string()))], ["doc_id", "ids", "rare"])
-
-    return stored(docs.select("doc_id", text).mapInArrow(run, "doc_id long, ids binary, rare array<string>").withColumn("row", F.monotonically_increasing_id()), "token-ids")
 
+class _Placed:
+    """A block's tokens as places in its list of words (``local``) and as ids, with the document of each."""
 
-def rare_terms(table: DataFrame) -> DataFrame:
-    """row and term: the summed log-probability of a row's tokens outside the vocabulary within their buckets.
-
-    A token's probability is its count in the whole table over the count of its bucket. Sums are exact decimals, so that
-    they do not depend on an order.
-    """
-    tokens = table.select("row", F.explode("rare").alias("w"))
-    counts = tokens.groupBy("w").agg(F.count(F.lit(1)).alias("n")).withColumn("bucket", F.crc32(F.encode("w", "UTF-8")) % RARE)
-    counts = stored(counts, "rare-counts")
-    totals = counts.groupBy("bucket").agg(F.sum("n").alias("total"))
-    shares = counts.join(F.broadcast(totals), "bucket").select("w", F.ln(F.col("n") / F.col("total")).cast("decimal(18,12)").alias("share"))
-    return tokens.join(shares, "w").groupBy("row").agg(F.sum("share").cast("double").alias("term"))
+    def __init__(self, lengths: pa.Scalar, tokens: pa.Scalar, words: pa.Scalar, known: Tokens):
+        self.lengths = lengths.values.to_numpy()
+        self.local = np.frombuffer(tokens.as_buffer() or b"", np.uint32)
+        self.ids = known.of(words.values.to_pylist()).take(self.local)
+        self.owner = np.repeat(np.arange(len(self.lengths)), self.lengths)
+        # edges stand between the documents, SIDE of them
+        self.at = np.arange(len(self.ids)) + SIDE * (self.owner + 1)
+        self.padded = np.zeros(len(self.ids) + SIDE * (len(self.lengths) + 1), np.int64)
+        self.padded[self.at] = self.ids
 
+    def contexts(self, places: np.ndarray) -> np.ndarray:
+        """``around`` the places, within each one's document."""
+        return self.padded.take(self.at[places][:, None] + AROUND)
 
-def _ids(value: pa.Scalar) -> np.ndarray:
-    return np.frombuffer(value.as_buffer() or b"", np.uint32).astype(np.int64)
+    def dealt(self, r: int, rounds: int) -> np.ndarray:
+        """The places that ``dealt`` gives for each document."""
+        own = np.arange(len(self.ids)) - np.repeat(np.cumsum(self.lengths) - self.lengths, self.lengths)
+        return np.flatnonzero((own - r - self.lengths[self.owner]) % rounds == 0)
 
 
 def start(seed: int = 3, classes: int = CLASSES) -> dict[str, np.ndarray]:
@@ -141,36 +194,42 @@ def unpack(raw: bytes, classes: int = CLASSES) -> dict[str, np.ndarray]:
     return out
 
 
+AROUND = np.array([k for k in range(-SIDE, SIDE + 1) if k])
+
+
 def around(ids: np.ndarray, places: np.ndarray) -> np.ndarray:
     """Ids of the SIDE tokens before and after each place; edges are 0."""
     padded = np.concatenate([np.zeros(SIDE, np.int64), ids, np.zeros(SIDE, np.int64)])
-    return padded[places[:, None] + np.array([k for k in range(2 * SIDE + 1) if k != SIDE])]
+    return padded[places[:, None] + SIDE + AROUND]
 
 
 def _forward(p: dict[str, np.ndarray], context: np.ndarray, target: np.ndarray) -> tuple:
-    """Context vectors, hidden layer, and probabilities of all classes and of all words of each row's own class.
+    """Context vectors, hidden layer with a last column of ones, and logits of all classes and of all words of each row's own class.
 
     Rows must be sorted by class, so that those of one class are a slice of every array.
     """
     classes = p["wc"].shape[1]
-    v = p["emb"][context].reshape(len(context), -1)
-    h = np.tanh(v @ p["w1"] + p["b1"])
+    v = p["emb"].take(context, axis=0).reshape(len(context), -1)
+    h = np.ones((len(v), HIDDEN + 1), v.dtype)
+    np.tanh(v @ p["w1"] + p["b1"], out=h[:, :HIDDEN])
     bounds = np.searchsorted(target % classes, np.arange(classes + 1))
     spans = [(c, bounds[c], bounds[c + 1]) for c in range(classes) if bounds[c] < bounds[c + 1]]
     both = np.empty((2, len(h), classes), h.dtype)
-    np.matmul(h, p["wc"], out=both[0])
-    both[0] += p["bc"]
+    # the biases are the weights of the ones
+    np.matmul(h, np.concatenate([p["wc"], p["bc"][None]]), out=both[0])
+    own = np.concatenate([p["wt"], p["bt"][:, None]], 1)
     for c, lo, hi in spans:
-        np.matmul(h[lo:hi], p["wt"][c], out=both[1, lo:hi])
-        both[1, lo:hi] += p["bt"][c]
+        np.matmul(h[lo:hi], own[c], out=both[1, lo:hi])
     # hidden values lie between -1 and 1, so the weights bound all logits; only large ones must be moved before exp
     if max(_reach(p["wc"], p["bc"], 0), _reach(p["wt"], p["bt"], 1)) > 60:
         both -= both.max(2, keepdims=True)
-    np.exp(both, out=both)
-    both /= (both @ np.ones(classes, both.dtype))[..., None]
     return v, h, both, spans
 
 
+def _by_class(target: np.ndarray, classes: int) -> np.ndarray:
+    return np.argsort((target % classes).astype(np.uint16), kind="stable")
+
+
 def _reach(weights: np.ndarray, bias: np.ndarray, hidden: int) -> float:
     """The largest absolute logit that hidden values between -1 and 1 can make."""
     return float((np.abs(weights).sum(hidden) + np.abs(bias)).max())
@@ -179,31 +238,36 @@ def _reach(weights: np.ndarray, bias: np.ndarray, hidden: int) -> float:
 def log_probabilities(p: dict[str, np.ndarray], context: np.ndarray, target: np.ndarray) -> np.ndarray:
     """log P(token | both sides) of each row."""
     classes = p["wc"].shape[1]
-    order = np.argsort(target % classes, kind="stable")
+    order = _by_class(target, classes)
     own = target[order]
-    both = _forward(p, context[order], own)[2]
+    both = _forward(p, context.take(order, axis=0), own)[2]
     rows, out = np.arange(len(own)), np.empty(len(own), both.dtype)
-    # probabilities too small for a float count as the smallest one
-    out[order] = np.log(np.maximum(both[0, rows, own % classes], 1e-37)) + np.log(np.maximum(both[1, rows, own // classes], 1e-37))
+    found = both[0, rows, own % classes] + both[1, rows, own // classes]
+    np.exp(both, out=both)
+    out[order] = found - np.log(both @ np.ones(classes, both.dtype)).sum(0)
     return out
 
 
 def train_step(p: dict[str, np.ndarray], memory: dict[str, np.ndarray], context: np.ndarray, target: np.ndarray, rate: float) -> None:
     """One Adagrad step on a batch, in place."""
     n, classes = len(target), p["wc"].shape[1]
-    order = np.argsort(target % classes, kind="stable")
-    context, target = context[order], target[order]
+    order = _by_class(target, classes)
+    context, target = context.take(order, axis=0), target[order]
     v, h, both, spans = _forward(p, context, target)
+    np.exp(both, out=both)
+    both /= (both @ np.ones(classes, both.dtype))[..., None]
     rows = np.arange(n)
     both[0, rows, target % classes] -= 1
     both[1, rows, target // classes] -= 1
     d_h = both[0] @ p["wc"].T
-    grads = {"wc": h.T @ both[0], "bc": both[0].sum(0), "wt": np.zeros_like(p["wt"]), "bt": np.zeros_like(p["bt"])}
+    of_classes = h.T @ both[0]
+    grads = {"wc": of_classes[:-1], "bc": of_classes[-1], "wt": np.zeros_like(p["wt"]), "bt": np.zeros_like(p["bt"])}
     for c, lo, hi in spans:
         part = both[1, lo:hi]
         d_h[lo:hi] += part @ p["wt"][c].T
-        grads["wt"][c], grads["bt"][c] = h[lo:hi].T @ part, part.sum(0)
-    d_z = d_h * (1 - h * h)
+        of_class = h[lo:hi].T @ part
+        grads["wt"][c], grads["bt"][c] = of_class[:-1], of_class[-1]
+    d_z = d_h * (1 - h[:, :HIDDEN] ** 2)
     grads["w1"], grads["b1"] = v.T @ d_z, d_z.sum(0)
     d_v = (d_z @ p["w1"].T).reshape(-1, DIMENSIONS)
     flat, size = context.ravel(), len(p["emb"])
@@ -247,40 +311,28 @@ def dealt(n: int, r: int, rounds: int) -> np.ndarray:
     return np.arange((r + n) % rounds, n, rounds)
 
 
-def train(table: DataFrame, rounds: int = ROUNDS, seed: int = 3, classes: int = CLASSES) -> dict[str, np.ndarray]:
-    """Parameters trained on every place of every document of an encoded table; without tokens the starting ones."""
-    shared = table.sparkSession.sparkContext
-    params = pack(start(seed, classes))
+def train(blocks: DataFrame, words: list[str], rounds: int = ROUNDS, seed: int = 3) -> dict[str, np.ndarray]:
+    """Parameters trained on every place of every document of ``tokenized`` blocks; without tokens the starting ones."""
+    shared, classes = blocks.sparkSession.sparkContext, classes_for(words)
+    vocabulary, params = shared.broadcast(words), pack(start(seed, classes))
     for r in range(rounds):
         known = shared.broadcast(params)
 
         def run(batches: Iterator[pa.RecordBatch], r: int = r, known=known) -> Iterator[pa.RecordBatch]:
-            p = unpack(known.value, classes)
+            p, seen = unpack(known.value, classes), 0
             memory = {k: np.zeros_like(v) for k, v in p.items()}
-            contexts, targets, waiting, seen, steps = [], [], 0, 0, 0
             for batch in batches:
-                for t in batch.column(0):
-                    ids = _ids(t)
-                    places = dealt(len(ids), r, rounds)
-                    if not places.size:
-                        continue
-                    contexts.append(around(ids, places))
-                    targets.append(ids[places])
-                    waiting += len(places)
-                    if waiting >= BATCH:
-                        c, t_ = np.concatenate(contexts), np.concatenate(targets)
-                        for at in range(0, len(t_), BATCH):
-                            steps += 1
-                            train_step(p, memory, c[at : at + BATCH], t_[at : at + BATCH], RATE / (1 + r))
-                        seen += waiting
-                        contexts, targets, waiting = [], [], 0
-            if waiting:
-                train_step(p, memory, np.concatenate(contexts), np.concatenate(targets), RATE / (1 + r))
-                seen += waiting
+                for row in zip(*batch.columns, strict=True):
+                    placed = _Placed(*row, once(vocabulary, Tokens))
+                    places = placed.dealt(r, rounds)
+                    for at in range(0, len(places), BATCH):
+                        some = places[at : at + BATCH]
+                        train_step(p, memory, placed.contexts(some), placed.ids[some], RATE / (1 + r))
+                    seen += len(places)
             if seen:
                 yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([float(seen)]), pa.array([pack(p)], pa.binary())], ["slot", "weight", "params"])
 
-        params = _average(table.select("ids").mapInArrow(run, "slot long, weight double, params binary")) or params
+        params = _average(blocks.select("lengths", "tokens", "words").mapInArrow(run, "slot long, weight double, params binary")) or params
     return unpack(params, classes)
 
 
@@ -291,34 +343,31 @@ def pseudo_likelihood(docs: DataFrame, words: list[str] | None = None, params: d
     its hash bucket times its share of the bucket's tokens in ``docs``. A text without tokens (null, empty, blank) has sum and
     mean 0. Equal and repeated texts have equal scores. Bad bytes of invalid UTF-8 count as replacement characters.
     """
-    words = vocabulary(docs) if words is None else words
-    table = encoded(docs, words)
-    params = train(table, classes=classes_for(words)) if params is None else params
+    blocks = tokenized(docs)
+    counts = word_counts(blocks)
+    words = frequent(counts) if words is None else words
+    params = train(blocks, words) if params is None else params
     classes = params["wc"].shape[1]
-    known = docs.sparkSession.sparkContext.broadcast(pack(params))
+    shared = docs.sparkSession.sparkContext
+    vocabulary, known = shared.broadcast(words), shared.broadcast(pack(params))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = unpack(known.value, classes)
         for batch in batches:
-            n, total = np.zeros(len(batch), np.int64), np.zeros(len(batch))
-            # short documents are scored together, long ones in parts
-            owners, contexts, targets, waiting = [], [], [], 0
-            for i, t in enumerate(batch.column(2)):
-                ids = _ids(t)
-                n[i] = len(ids)
-                for at in range(0, len(ids), SCORED):
-                    part = ids[at : at + SCORED]
-                    contexts.append(around(ids, np.arange(at, at + len(part))))
-                    targets.append(part)
-                    owners.append(np.full(len(part), i))
-                    waiting += len(part)
-                    if waiting >= SCORED:
-                        total += np.bincount(np.concatenate(owners), log_probabilities(p, np.concatenate(contexts), np.concatenate(targets)), len(batch))
-                        owners, contexts, targets, waiting = [], [], [], 0
-            if waiting:
-                total += np.bincount(np.concatenate(owners), log_probabilities(p, np.concatenate(contexts), np.concatenate(targets)), len(batch))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n), pa.array(total)], ["doc_id", "row", "n_tokens", "seen"])
-
-    scored = table.select("doc_id", "row", "ids").mapInArrow(run, "doc_id long, row long, n_tokens long, seen double")
-    summed = scored.join(rare_terms(table), "row", "left").select("doc_id", "n_tokens", (F.col("seen") + F.coalesce("term", F.lit(0.0))).alias("sum_logprob"))
-    return summed.withColumn("mean_logprob", F.when(F.col("n_tokens") > 0, F.col("sum_logprob") / F.col("n_tokens")).otherwise(0.0))
+            for doc_ids, rare, *row in zip(*batch.columns, strict=True):
+                placed = _Placed(*row, once(vocabulary, Tokens))
+                found = np.empty(len(placed.ids))
+                # blocks are scored in parts, so that the arrays stay small
+                for at in range(0, len(found), SCORED):
+                    some = np.arange(at, min(at + SCORED, len(found)))
+                    found[some] = log_probabilities(p, placed.contexts(some), placed.ids[some])
+                if rare.is_valid:
+                    share = np.zeros(len(row[2].values))
+                    share[rare.values.field("place").to_numpy()] = rare.values.field("share").to_numpy()
+                    found += share.take(placed.local)
+                # without any token the sums would be integers
+                total = np.bincount(placed.owner, found, len(placed.lengths)).astype(np.float64)
+                yield pa.RecordBatch.from_arrays([doc_ids.values, pa.array(placed.lengths), pa.array(total)], ["doc_id", "n_tokens", "sum_logprob"])
+
+    scored = blocks.join(rare_terms(blocks, counts, words), "block", "left").select("doc_ids", "rare", "lengths", "tokens", "words").mapInArrow(run, "doc_id long, n_tokens long, sum_logprob double")
+    return scored.withColumn("mean_logprob", F.when(F.col("n_tokens") > 0, F.col("sum_logprob") / F.col("n_tokens")).otherwise(0.0))

@@ -176,7 +176,7 @@ def test_language_model_prefers_seen_order(docs):
     texts = [" ".join(f"{a} {a}x {a}y {a}z" for a in rng.choice(list("bcdfg"), 30)) for _ in range(200)]
     table = docs(*texts)
     words = language_model.vocabulary(table)
-    params = language_model.train(language_model.encoded(table, words), rounds=8)
+    params = language_model.train(language_model.tokenized(table), words, rounds=8)
     probe = docs("b bx by bz c cx cy cz d dx dy dz", "by b bz bx cy c cz cx dy d dz dx", None, "", "unseen thing")
     got = {r.doc_id: r for r in language_model.pseudo_likelihood(probe, words, params).collect()}
     assert got[0].mean_logprob > got[1].mean_logprob and got[2].n_tokens == got[3].n_tokens == 0 and got[2].sum_logprob == 0.0
@@ -201,17 +201,16 @@ def test_language_model_trains_on_every_place(docs):
         for n in range(20):
             assert sorted(np.concatenate([language_model.dealt(n, r, rounds) for r in range(rounds)])) == list(range(n))
     for text in ("a", "a b", "a b c"):
-        table = language_model.encoded(docs(text), ["a", "b", "c"])
-        assert not np.array_equal(language_model.train(table)["bc"], language_model.start()["bc"])
+        blocks = language_model.tokenized(docs(text))
+        assert not np.array_equal(language_model.train(blocks, ["a", "b", "c"])["bc"], language_model.start()["bc"])
 
 
 def test_language_model_vocabulary_grows(docs):
     text = " ".join(f"w{i}" for i in range(5000))
     words = language_model.vocabulary(docs(*[text] * 100))
     assert len(words) == 5000 and language_model.classes_for(words) ** 2 >= 5000 + language_model.RARE + 1
-    table = language_model.encoded(docs(text), words)
-    p = language_model.train(table, rounds=1, classes=language_model.classes_for(words))
-    assert table.first().rare == [] and p["emb"].shape[0] >= 5064
+    p = language_model.train(language_model.tokenized(docs(text)), words, rounds=1)
+    assert language_model.Tokens(words).encode(text).min() > language_model.RARE and p["emb"].shape[0] >= 5064
 
 
 def test_language_model_tells_rare_words_apart(docs):
