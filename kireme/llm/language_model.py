@@ -50,7 +50,8 @@ REMEMBERED, BLOCK = 500_000, 1 << 20
 def tokenized(docs: DataFrame, text: str = "text") -> DataFrame:
     """Blocks of rows: block (unique), doc_ids and lengths of the rows, words (distinct), counts (tokens of each word) and tokens.
 
-    ``tokens`` holds the place of every token in ``words``, 32 bits each. The table is stored, so that later passes read no texts.
+    ``tokens`` holds the place of every token in ``words``: the lowest bytes of all places, then the next higher ones, and
+    so on, which compresses to half of 32 bits a place. The table is stored, so that later passes read no texts.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -68,6 +69,14 @@ def tokenized(docs: DataFrame, text: str = "text") -> DataFrame:
     return stored(blocks.withColumn("block", F.monotonically_increasing_id()), "token-blocks")
 
 
+def _planes(places: np.ndarray) -> bytes:
+    return np.ascontiguousarray(places.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def _places(planes: pa.Scalar) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(planes.as_buffer() or b"", np.uint8).reshape(4, -1).T).view("<u4").ravel()
+
+
 class _Block:
     def __init__(self) -> None:
         self.doc_ids, self.lengths, self.tokens, self.size = [], [], [], 0
@@ -84,7 +93,7 @@ class _Block:
     def row(self) -> pa.RecordBatch:
         tokens = np.concatenate(self.tokens)
         longs, strings = pa.list_(pa.int64()), pa.list_(pa.string())
-        columns = [pa.array([self.doc_ids], longs), pa.array([self.lengths], longs), pa.array([tokens.tobytes()], pa.binary()), pa.array([list(self.places)], strings), pa.array([np.bincount(tokens, minlength=len(self.places))], longs)]
+        columns = [pa.array([self.doc_ids], longs), pa.array([self.lengths], longs), pa.array([_planes(tokens)], pa.binary()), pa.array([list(self.places)], strings), pa.array([np.bincount(tokens, minlength=len(self.places))], longs)]
         return pa.RecordBatch.from_arrays(columns, ["doc_ids", "lengths", "tokens", "words", "counts"])
 
 
@@ -150,7 +159,7 @@ class _Placed:
 
     def __init__(self, lengths: pa.Scalar, tokens: pa.Scalar, words: pa.Scalar, known: Tokens):
         self.lengths = lengths.values.to_numpy()
-        self.local = np.frombuffer(tokens.as_buffer() or b"", np.uint32)
+        self.local = _places(tokens)
         self.ids = known.of(words.values.to_pylist()).take(self.local)
         self.owner = np.repeat(np.arange(len(self.lengths)), self.lengths)
         # edges stand between the documents, SIDE of them
