@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kireme.llm import byte_bpe, decontamination, html_text, language, language_model, packing, periodic, pii, quality, sharding, simhash, toxicity
+from kireme.llm import alignment, byte_bpe, decontamination, html_text, language, language_model, packing, periodic, pii, quality, sharding, simhash, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,6 +57,12 @@ def op10_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_documents(table(spark, sf_dir, "documents"), word_vocabulary())
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return alignment.alignment_digest(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -69,6 +75,6 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_pii, op2_hilbert_shards, op3_toxicity, op4_language, op5_decontaminate, op6_main_text, op7_simhash, op8_pseudo_likelihood, op9_quality_ledger, op10_best_two_fit,
-    op12_byte_bpe, op13_periodic_runs,
+    op11_alignment, op12_byte_bpe, op13_periodic_runs,
 )}
 ORACLE_SQL = {"op5_decontaminate": decontamination.CONTAMINATION_SQL, "op9_quality_ledger": quality.QUALITY_SQL}
