@@ -28,9 +28,9 @@ from kireme.llm.storage import raw, stored
 from kireme.operators.workers import once
 
 #: Bytes of text in a block; a longer text is a block of its own.
-BLOCK_BYTES = 4 << 20
-#: Token ids of chunks that a worker remembers before it starts anew (one block may add more).
-REMEMBERED = 4_000_000
+BLOCK_BYTES = 2 << 20
+#: Chunks that a worker remembers for each side before it starts anew (one block may add more).
+REMEMBERED = 150_000
 SALTS = 16
 #: The pieces in which byte-level vocabularies read a text.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -60,7 +60,7 @@ class _Chunks:
 
     def tokens(self, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids of all texts' chunks, their number for each text, and whether each text's bytes are kept."""
-        if len(self.ids) > REMEMBERED:
+        if len(self.fits) > REMEMBERED:
             self.restart()
         numbers = self.numbers([c for t in texts for c in t])
         ids, at, fits = np.array(self.ids, np.int64), np.array(self.at, np.int64), np.array(self.fits, bool)
@@ -239,7 +239,6 @@ def align(docs: DataFrame, a_path: str, b_path: str, key: str = "doc_id", text:
 def _blocks(rows: DataFrame, a_path: str, b_path: str) -> DataFrame:
     """Stored blocks: counts and group digests of their texts, their distinct pairs with the texts that hold them, and each text's pairs by place among these."""
     shared = rows.sparkSession.sparkContext.broadcast((a_path, b_path))
-    pair = pa.struct([("a", pa.int32()), ("b", pa.int32()), ("n", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sides, block = once(shared, Sides), TaskContext.get().partitionId() << 32
@@ -256,7 +255,7 @@ def _blocks(rows: DataFrame, a_path: str, b_path: str) -> DataFrame:
             n_links = np.bincount(x.link_text, minlength=len(texts))
             columns = [
                 pa.array([block]), pa.ListArray.from_arrays(pa.array([0, len(keys)], pa.int32()), keys), *(pa.array([v.tolist()], pa.list_(pa.int64())) for v in (x.n_a, x.n_b, x.n_groups, n_links)),
-                pa.array([digests], pa.list_(pa.string())), pa.array([[{"a": p >> 32, "b": p & 0xFFFFFFFF, "n": k} for p, k in zip(pairs.tolist(), n.tolist(), strict=True)]], pa.list_(pair)),
+                pa.array([digests], pa.list_(pa.string())), pa.ListArray.from_arrays(pa.array([0, len(pairs)], pa.int32()), pa.StructArray.from_arrays([pa.array(pairs >> 32, pa.int32()), pa.array(pairs & 0xFFFFFFFF, pa.int32()), pa.array(n, pa.int64())], ["a", "b", "n"])),
                 *(pa.array([_planes(v)], pa.binary()) for v in (per_text, steps, times)),
             ]
             yield pa.RecordBatch.from_arrays(columns, ["block", "keys", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "pairs", "per_text", "steps", "times"])

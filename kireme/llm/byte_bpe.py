@@ -25,9 +25,9 @@ from kireme.llm.storage import decoded, raw
 from kireme.operators.workers import once
 
 #: Distinct pieces whose ids a worker remembers, and their longest.
-REMEMBERED, PIECE_CHARS = 250_000, 40
+REMEMBERED, PIECE_CHARS = 800_000, 40
 #: States and tested pairs that a worker keeps; beyond them it starts anew, with the same results.
-STATES, PAIRS = 120_000, 300_000
+STATES, PAIRS = 300_000, 800_000
 #: Bytes after which tokens of a longer piece are emitted.
 EMITTED = 256
 #: Bytes of text that leave a worker at once.
@@ -42,7 +42,11 @@ def read_ranks(path: str) -> dict[bytes, int]:
 class _State(dict):
     """A set of guesses; as a dict, the steps found so far: byte -> state. ``token`` is the one that ends where the state is."""
 
-    __slots__ = ("guesses", "token")
+    __slots__ = ("guesses", "token", "transducer")
+
+    def __missing__(self, byte: int) -> _State:
+        found = self[byte] = self.transducer.step(self, byte)
+        return found
 
 
 LAST = 1 << 62
@@ -84,7 +88,7 @@ class Transducer:
         found = self.states.get(guesses)
         if found is None:
             found = self.states[guesses] = _State()
-            found.guesses, found.token = guesses, guesses[-1] - 1
+            found.guesses, found.token, found.transducer = guesses, guesses[-1] - 1, self
         return found
 
     def merged(self, piece: bytes, until: int = 1) -> list[int]:
@@ -185,13 +189,9 @@ class Transducer:
         if len(self.states) >= STATES:
             self.restart()
         state, path, out = self.start, [], []
-        for b in piece:
-            found = state.get(b)
-            if found is None:
-                found = state[b] = self.step(state, b)
-            state = found
-            path.append(found.token)
-            if len(path) >= EMITTED:
+        for lo in range(0, len(piece), EMITTED):
+            path += [(state := state[b]).token for b in piece[lo : lo + EMITTED]]
+            if lo + EMITTED < len(piece):
                 at = self.settled(state, path)
                 out += self.back(path, at)
                 del path[:at]
