@@ -6,10 +6,15 @@ serve models that are tables themselves. Windows and groups are keyed by line, s
 
 from __future__ import annotations
 
+import json
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kireme.functions.text import chars, explode_chars, normalize
+from kireme.functions.arrays import let, running_sums
+from kireme.functions.graphemes import cluster_sizes, cluster_texts
+from kireme.functions.text import chars, normalize
 from kireme.sources.models import LinearModel, NeuralModel
 
 KEYS = ("doc_id", "line_no")
@@ -27,19 +32,21 @@ def lines(docs: DataFrame) -> DataFrame:
     return docs.filter("text IS NOT NULL").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "text")).select("doc_id", F.col("line_no").cast("long").alias("line_no"), "text")
 
 
-def byte_offsets(rows: DataFrame) -> DataFrame:
-    """Add byte_start and byte_end of each character in its line."""
-    w = Window.partitionBy(*KEYS).orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    end = F.sum(F.octet_length("ch")).over(w).cast("long")
-    return rows.withColumn("byte_end", end).withColumn("byte_start", F.col("byte_end") - F.octet_length("ch"))
+def byte_offsets(line_rows: DataFrame) -> DataFrame:
+    """Keys, pos, ch, byte_start and byte_end of each character in its line. Sums run along the line's array; nothing is shuffled."""
+    sized = line_rows.filter("text <> ''").select(*KEYS, chars(F.col("text")).alias("_c"))
+    ends = running_sums(F.transform("_c", lambda c: F.octet_length(c).cast("long")))
+    rows = sized.select(*KEYS, F.posexplode(F.arrays_zip(F.col("_c").alias("ch"), ends.alias("byte_end"))).alias("pos", "_x"))
+    return rows.select(*KEYS, "pos", "_x.ch", (F.col("_x.byte_end") - F.octet_length("_x.ch")).alias("byte_start"), "_x.byte_end")
 
 
-def type_runs(rows: DataFrame) -> DataFrame:
-    """Runs of equal character types: keys, run, type, first position and length."""
-    w = Window.partitionBy(*KEYS).orderBy("pos")
-    marked = rows.withColumn("_new", F.when(F.col("type") == F.lag("type").over(w), 0).otherwise(1))
-    runs = marked.withColumn("run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)).cast("long"))
-    return runs.groupBy(*KEYS, "run", "type").agg(F.min("pos").cast("long").alias("first_pos"), F.count(F.lit(1)).alias("n"))
+def type_runs(line_rows: DataFrame) -> DataFrame:
+    """Runs of equal character types: keys, run, type, first position and length, from each line's type letters. Nothing is shuffled."""
+    runs = line_rows.filter("text <> ''").select(*KEYS, F.regexp_extract_all(type_string(F.col("text")), F.lit(r"(.)\1*+"), F.lit(0)).alias("_r"))
+    sizes = F.transform("_r", lambda r: F.char_length(r).cast("long"))
+    rows = runs.select(*KEYS, F.posexplode(F.arrays_zip(F.col("_r").alias("r"), running_sums(sizes).alias("e"))).alias("run", "_x"))
+    n = F.char_length("_x.r").cast("long")
+    return rows.select(*KEYS, F.col("run").cast("long").alias("run"), F.substring("_x.r", 1, 1).alias("type"), (F.col("_x.e") - n).alias("first_pos"), n.alias("n"))
 
 
 def char_id_table(spark: SparkSession, char_map: str) -> DataFrame:
@@ -99,15 +106,67 @@ def ngram_scores(line_rows: DataFrame, patterns: dict, window: int, source: str
     return placed.filter("boundary >= 0 AND boundary < n_chars - 1").select(*KEYS, "boundary", F.col("weight").cast("long").alias("weight"))
 
 
-def dictionary_features(line_rows: DataFrame, words: DataFrame, longest: int, max_label: int) -> DataFrame:
+#: Prefixes of a dictionary that may be broadcast (some 80 bytes each); with more, all n-grams are joined by a shuffle.
+BROADCAST_PREFIXES = 3_000_000
+#: Units of a match that are walked prefix by prefix; longer words are joined from the places that are still open then.
+WALKED = 24
+
+
+def prefixes(words: DataFrame) -> DataFrame:
+    """``gram`` and ``channels`` of every prefix of the words (word, channel); channels are null where the prefix is no word."""
+    whole = words.filter("word <> ''").groupBy("word").agg(F.array_sort(F.collect_set("channel")).alias("_channels"))
+    n = F.char_length("word")
+    parts = whole.select("word", "_channels", F.explode(F.sequence(F.lit(1), n)).alias("k"))
+    return parts.select(F.expr("substring(word, 1, k)").alias("gram"), F.when(F.col("k") == n, F.col("_channels")).alias("channels")).groupBy("gram").agg(F.max("channels").alias("channels"))
+
+
+def dictionary_hits(unit_rows: DataFrame, words: DataFrame, longest: int) -> DataFrame:
+    """Keys, n_units, start, len (in units) and channel of each place where units spell a word.
+
+    ``unit_rows`` has the keys and ``units``, the characters or clusters of a line; a match starts and ends with a unit. The
+    walk goes on from a place only as long as what it has read begins a word: one join with the broadcast prefixes for
+    each unit, all in one stage, and only matches leave it.
+    """
+    table = prefixes(words)
+    places = unit_rows.select(*KEYS, "units", F.size("units").alias("n_units"), F.posexplode("units").alias("start", "_g"))
+    if table.count() > BROADCAST_PREFIXES:
+        whole = words.select(F.col("word").alias("_w"), "channel").distinct()
+        grams = F.transform(F.sequence(F.lit(1), F.least(F.lit(longest), F.col("n_units") - F.col("start"))), lambda k: F.struct(k.alias("len"), F.array_join(F.slice("units", F.col("start") + 1, k), "").alias("gram")))
+        rows = places.select(*KEYS, "n_units", "start", F.inline(grams))
+        return rows.join(whole, F.col("gram") == F.col("_w")).select(*KEYS, "n_units", "start", "len", "channel")
+    side, found = F.broadcast(table), []
+    for k in range(1, min(longest, WALKED) + 1):
+        level = side.select(F.col("gram").alias("_p"), F.col("channels").alias(f"_c{k}"))
+        following = F.when(F.col("_p").isNotNull(), F.concat("_g", F.get("units", F.col("start") + k)))
+        places = places.join(level, F.col("_g") == F.col("_p"), "left").withColumn("_g", following).drop("_p")
+        found.append(F.struct(F.lit(k).alias("len"), F.col(f"_c{k}").alias("channels")))
+    if longest > WALKED:
+        # few places are open so long
+        places = places.withColumn("_more", F.when(F.col("_g").isNotNull(), F.sequence(F.lit(WALKED + 1), F.least(F.lit(longest), F.greatest(F.lit(WALKED + 1), F.col("n_units") - F.col("start"))))))
+        rest = places.filter("_more IS NOT NULL").select(*KEYS, "n_units", "start", F.explode("_more").alias("len"), "units")
+        rest = rest.withColumn("_g", F.expr("array_join(slice(units, start + 1, len), '')")).join(side.filter("channels IS NOT NULL"), F.col("_g") == F.col("gram"))
+        rest = rest.filter("start + len <= n_units").select(*KEYS, "n_units", "start", "len", F.explode("channels").alias("channel"))
+    hits = F.filter(F.array(*found), lambda x: x["channels"].isNotNull())
+    walked = places.select(*KEYS, "n_units", "start", F.inline(hits)).select(*KEYS, "n_units", "start", "len", F.explode("channels").alias("channel"))
+    return walked.unionByName(rest) if longest > WALKED else walked
+
+
+def normalized_units(line_rows: DataFrame, clustered: bool = False) -> DataFrame:
+    """Keys and ``units`` of each line: characters or clusters of the normalized text."""
+    text = normalize(F.col("text"))
+    return line_rows.filter("text <> ''").select(*KEYS, (cluster_texts(text) if clustered else F.split(text, "")).alias("units"))
+
+
+def dictionary_features(line_rows: DataFrame, words: DataFrame, longest: int, max_label: int, clustered: bool = False) -> DataFrame:
     """Distinct (keys, boundary, channel, pos, label) of dictionary matches: pos 0 left of, 1 inside, 2 right of the word.
 
-    ``words`` has word and channel; ``label`` is the length less one, at most ``max_label`` - 1.
+    ``words`` has word (normalized) and channel; ``label`` is the length less one, at most ``max_label`` - 1. With
+    ``clustered`` units are clusters: matches start and end at them, and lengths and gaps count them.
     """
-    hits = ngrams(line_rows, longest).join(words.select(F.col("word").alias("gram"), "channel"), "gram").withColumn("label", F.least(F.col("len"), F.lit(max_label)) - 1)
+    hits = dictionary_hits(normalized_units(line_rows, clustered), words, longest).withColumn("label", F.least(F.col("len"), F.lit(max_label)) - 1)
     inside = F.when(F.col("len") > 1, F.transform(F.sequence(F.lit(0), F.col("len") - 2), lambda k: F.struct((F.col("start") + k).alias("boundary"), F.lit(1).alias("pos")))).otherwise(F.expr("cast(array() as array<struct<boundary:int,pos:int>>)"))
     places = F.concat(F.array(F.struct((F.col("start") - 1).alias("boundary"), F.lit(0).alias("pos"))), inside, F.array(F.struct((F.col("start") + F.col("len") - 1).alias("boundary"), F.lit(2).alias("pos"))))
-    rows = hits.select(*KEYS, "n_chars", "channel", "label", F.inline(places)).filter("boundary >= 0 AND boundary < n_chars - 1")
+    rows = hits.select(*KEYS, "n_units", "channel", "label", F.inline(places)).filter("boundary >= 0 AND boundary < n_units - 1")
     return rows.select(*KEYS, "boundary", "channel", "pos", "label").distinct()
 
 
@@ -115,7 +174,7 @@ def dictionary_scores(line_rows: DataFrame, m: LinearModel) -> DataFrame:
     """Keys, boundary and weight of each distinct dictionary feature; the caller sums."""
     words = line_rows.sparkSession.createDataFrame([(w, c) for w, bits in m.words.items() for c in range(8) if bits >> c & 1], "word string, channel int")
     weights = F.array(*[F.lit(int(x)).cast("long") for x in m.dict_vector])
-    found = dictionary_features(line_rows, small(words, len(m.words)), max(map(len, m.words)), m.dict_n)
+    found = dictionary_features(line_rows, words, max(map(len, m.words)), m.dict_n)
     return found.select(*KEYS, "boundary", F.get(weights, F.col("channel") * 3 * m.dict_n + F.col("label") * 3 + F.col("pos")).alias("weight"))
 
 
@@ -131,37 +190,146 @@ def linear_scores(line_rows: DataFrame, m: LinearModel) -> DataFrame:
     return parts.groupBy(*KEYS, "boundary").agg(F.sum("weight").alias("score"))
 
 
-def window_slots(rows: DataFrame, window: int, row: str = "row") -> DataFrame:
-    """Keys, boundary, slot and row: the units around each gap, 0 beyond the line's ends."""
-    w = Window.partitionBy(*KEYS).orderBy("pos")
-    slots = F.array(*[F.coalesce(F.lead(row, j - window + 1).over(w) if j >= window - 1 else F.lag(row, window - 1 - j).over(w), F.lit(0)) for j in range(2 * window)])
-    marked = rows.select(*KEYS, "pos", slots.alias("_s"), F.lead("pos").over(w).alias("_next")).filter("_next IS NOT NULL")
-    return marked.select(*KEYS, F.col("pos").alias("boundary"), F.posexplode("_s").alias("slot", "row"))
+def window_slots(line_rows: DataFrame, window: int, rows: str = "rows") -> DataFrame:
+    """Keys, boundary, slot and row: the units around each gap (``rows`` has a line's units as an array), 0 beyond the line's ends.
 
+    A gap takes its neighbours from the line's array; nothing is shuffled.
+    """
+    gaps = line_rows.filter(F.size(rows) > 1).select(*KEYS, F.col(rows).alias("_r"), F.explode(F.sequence(F.lit(0), F.size(rows) - 2)).alias("boundary"))
+    slots = F.array(*[F.struct(F.lit(j).alias("slot"), F.coalesce(F.get("_r", F.col("boundary") + (j - window + 1)), F.lit(0)).alias("row")) for j in range(2 * window)])
+    return gaps.select(*KEYS, "boundary", F.inline(slots))
 
-def neural_scores(line_rows: DataFrame, m: NeuralModel) -> DataFrame:
-    """Keys, boundary and the exact score of a network over characters (each a cluster of its own), for small hidden layers."""
+
+def _constant(values, kind: str) -> Column:
+    """A nested array as one literal of the plan."""
+    return F.from_json(F.lit(json.dumps(values)), kind)
+
+
+def gap_lists(pairs: Column, n_gaps: Column) -> Column:
+    """A list for each gap of the features that pairs (boundary, feature) name, ascending and without repeats."""
+    marks = F.transform(F.sequence(F.lit(0), n_gaps - 1), lambda g: F.struct(g.alias("boundary"), F.lit(-1).alias("feature")))
+    ordered = F.array_sort(F.array_distinct(F.concat(pairs, marks)))
+    # a mark opens each gap's part; parts are cut there, so this costs a sort of the line's features
+    listed = F.array_join(F.transform(ordered, lambda x: F.when(x["feature"] < 0, F.lit("|")).otherwise(F.concat(F.lit(","), x["feature"].cast("string")))), "")
+    numbers = lambda part: F.transform(F.filter(F.split(part, ","), lambda f: f != ""), lambda f: f.cast("int"))
+    return F.when(n_gaps > 0, F.transform(F.slice(F.split(listed, "[|]"), 2, F.greatest(n_gaps, F.lit(1))), numbers)).otherwise(F.expr("cast(array() as array<array<int>>)"))
+
+
+def network_scores(units: Column, m: NeuralModel, precision: str = "int32", features: Column | None = None) -> Column:
+    """Scores of all gaps between units (characters or clusters, normalized) as an array, in the row.
+
+    A unit's part in a slot is the mean of its characters' vectors times the slot's weights, rounded to accumulator units;
+    ``features`` are active dictionary features of each gap, ascending. ``int32`` sums are exact; ``int16`` folds parts of
+    16 bits in slot order and then features, and clamps after each. The tensors are literals of the plan, so this form is for
+    models of moderate size and for checks; ``operators.scoring`` runs large ones.
+    """
+    from kireme.functions.numeric import I16, I32, clamp, relu_dot, requant
     from kireme.operators.scoring import NeuralScorer
 
-    spark, scorer = line_rows.sparkSession, NeuralScorer(m, "int32")
-    table = spark.createDataFrame([(r, j, scorer.block((r,), j).tolist()) for r in range(len(m.vocabulary) + 2) for j in range(2 * m.window)], "row int, slot int, block array<long>")
-    vocab = spark.createDataFrame([(int(c), i + 2) for i, c in enumerate(m.vocabulary)], "cp int, row int")
-    encoded = explode_chars(line_rows, *KEYS).select(*KEYS, "pos", F.ascii("norm").alias("cp")).join(F.broadcast(vocab), "cp", "left").withColumn("row", F.coalesce("row", F.lit(1)))
-    blocks = window_slots(encoded, m.window).join(small(table, (len(m.vocabulary) + 2) * 2 * m.window), ["row", "slot"])
-    sums = blocks.groupBy(*KEYS, "boundary").agg(*[F.sum(F.col("block")[h]).alias(f"_h{h}") for h in range(m.hidden)])
-    y = F.lit(scorer.b2_q).cast("long")
-    for h in range(m.hidden):
-        y = y + F.greatest(F.col(f"_h{h}") + int(scorer.b1_q[h]), F.lit(0)) * int(m.w2[h])
-    return sums.select(*KEYS, "boundary", y.alias("score"))
-
-
-def words_from_cuts(rows: DataFrame, cuts: DataFrame) -> DataFrame:
-    """Keys, word_idx, start, end (bytes) and surface: characters (pos, ch) grouped between cut gaps (boundary, cut)."""
-    marked = byte_offsets(rows).join(cuts.filter("cut").select(*KEYS, (F.col("boundary") + 1).alias("pos"), F.lit(1).alias("_cut")), [*KEYS, "pos"], "left")
-    w = Window.partitionBy(*KEYS).orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    numbered = marked.withColumn("word_idx", F.coalesce(F.sum("_cut").over(w), F.lit(0)).cast("long"))
-    found = numbered.groupBy(*KEYS, "word_idx").agg(F.min("byte_start").alias("start"), F.max("byte_end").alias("end"), F.array_sort(F.collect_list(F.struct("pos", "ch"))).alias("_c"))
-    return found.select(*KEYS, "word_idx", "start", "end", F.array_join(F.transform("_c", lambda x: x["ch"]), "").alias("surface"))
+    scorer, small_sums = NeuralScorer(m, precision), precision == "int16"
+    h, slots, d = m.w1.shape
+    row_of = _constant(scorer.row_of[: max([0, *m.vocabulary]) + 1].tolist(), "array<int>")
+    emb = _constant(m.emb.astype(int).tolist(), "array<array<bigint>>")
+    w1 = _constant(m.w1.astype(int).transpose(1, 0, 2).reshape(slots * h, d).tolist(), "array<array<bigint>>")
+    b1 = _constant((requant(scorer.b1_q) if small_sums else scorer.b1_q).astype(int).tolist(), "array<bigint>")
+    w2 = _constant(m.w2.astype(int).tolist(), "array<bigint>")
+    columns = None if scorer.dict_q is None else (requant(scorer.dict_q) if small_sums else scorer.dict_q).T
+    wdict = None if columns is None else _constant(columns.astype(int).tolist(), "array<array<bigint>>")
+    b2 = int((scorer.b2_q + 256) >> 9 if small_sums else scorer.b2_q)
+    axis = lambda n: F.sequence(F.lit(0), F.lit(n - 1))
+    zero = F.lit(0).cast("long")
+
+    def pooled(rows: Column) -> Column:
+        """How many characters a unit has, and the sum of their vectors."""
+        return F.struct(F.size(rows).alias("n"), F.transform(axis(d), lambda k: F.aggregate(rows, zero, lambda s, r: s + F.get(F.get(emb, r), k))).alias("v"))
+
+    def part_in(j: int) -> Callable[[Column], Column]:
+        def part(unit: Column) -> Column:
+            def value(k: Column) -> Column:
+                exact = F.aggregate(F.zip_with(F.get(w1, k + j * h), unit["v"], lambda a, b: a * b), zero, lambda s, x: s + x)
+                x = exact * (F.lit(scorer.r) / unit["n"])
+                whole = (F.sign(x) * F.floor(F.abs(x) + 0.5)).cast("long")
+                return clamp(F.shiftright(whole + 256, 9), *I16) if small_sums else whole
+
+            return F.transform(axis(h), value)
+
+        return part
+
+    pad = F.array(F.lit(0))
+    encoded = lambda u: F.transform(F.split(u, ""), lambda c: F.coalesce(F.get(row_of, F.ascii(c)), F.lit(1)))
+
+    def scored(line: Column) -> Column:
+        def gap(g: Column) -> Column:
+            parts = F.array(*[let(F.coalesce(F.get(line["u"], g + (j - m.window + 1)), line["pad"]), part_in(j)) for j in range(slots)])
+            if features is not None and wdict is not None:
+                parts = F.concat(parts, F.transform(F.coalesce(F.get(features, g), F.expr("cast(array() as array<int>)")), lambda f: F.get(wdict, f)))
+            add = (lambda x, y: clamp(x + y, *I16)) if small_sums else (lambda x, y: x + y)
+            acc = F.aggregate(parts, b1, lambda s, p: F.zip_with(s, p, add))
+            return clamp(relu_dot(acc, w2) + b2, *I32).cast("long")
+
+        return F.transform(F.sequence(F.lit(0), F.size(line["u"]) - 2), gap)
+
+    line = F.struct(F.transform(units, lambda u: pooled(encoded(u))).alias("u"), pooled(pad).alias("pad"))
+    return F.when(F.size(units) > 1, let(line, scored)).otherwise(F.expr("cast(array() as array<bigint>)"))
+
+
+def network_lines(line_rows: DataFrame, m: NeuralModel, precision: str = "int32", clustered: bool = True) -> DataFrame:
+    """Keys, units and scores (of the gaps between units) of each line under a network with its dictionaries.
+
+    Keys must tell lines apart. Only dictionary matches are shuffled, and lines only to meet them; without dictionaries nothing is.
+    """
+    rows = normalized_units(line_rows, clustered)
+    if not any(m.dictionaries):
+        return rows.select(*KEYS, "units", network_scores(F.col("units"), m, precision).alias("scores"))
+    listed = [(w, c) for c, ws in enumerate(m.dictionaries) for w in ws if w]
+    words = line_rows.sparkSession.createDataFrame(listed, "word string, channel int").select(normalize(F.col("word")).alias("word"), "channel").distinct()
+    found = dictionary_features(line_rows, words, max(len(w) for w, _ in listed), 4, clustered)
+    pairs = found.groupBy(*KEYS).agg(F.collect_list(F.struct("boundary", (F.col("channel") * 12 + F.col("pos") * 4 + F.col("label")).alias("feature"))).alias("_f"))
+    both = rows.join(pairs, list(KEYS), "left")
+    lists = gap_lists(F.coalesce("_f", F.expr("cast(array() as array<struct<boundary:int,feature:int>>)")), F.size("units") - 1)
+    return both.withColumn("_l", lists).select(*KEYS, "units", network_scores(F.col("units"), m, precision, F.col("_l")).alias("scores"))
+
+
+def neural_scores(line_rows: DataFrame, m: NeuralModel) -> DataFrame:
+    """Keys, boundary and the exact score of a network over characters (each a cluster of its own)."""
+    return network_lines(line_rows, m, clustered=False).select(*KEYS, F.posexplode("scores").alias("boundary", "score"))
+
+
+def words_from_cuts(line_rows: DataFrame, cuts: Column, units: Column | None = None) -> DataFrame:
+    """Keys, word_idx, start, end (bytes) and surface of each line's words: its units (characters of ``text``, if not given) put together between cut gaps.
+
+    ``cuts`` is an array of a boolean for each gap. Words are slices of the line's array; nothing is shuffled.
+    """
+    cut = line_rows.filter("text <> ''").select(*KEYS, (chars(F.col("text")) if units is None else units).alias("_u"), cuts.alias("_cut"))
+    at = F.filter(F.sequence(F.lit(0), F.size("_cut")), lambda g: (g == 0) | F.coalesce(F.get("_cut", g - 1), F.lit(False)))
+    words = let(at, lambda a: F.zip_with(a, F.concat(F.slice(a, F.lit(2), F.size(a)), F.array(F.size("_u"))), lambda s, e: F.array_join(F.slice("_u", s + 1, e - s), "")))
+    ends = lambda ws: running_sums(F.transform(ws, lambda w: F.octet_length(w).cast("long")))
+    rows = cut.select(*KEYS, F.posexplode(let(words, lambda ws: F.arrays_zip(ws.alias("surface"), ends(ws).alias("end")))).alias("word_idx", "_x"))
+    surface, end = F.col("_x.surface"), F.col("_x.end")
+    return rows.select(*KEYS, F.col("word_idx").cast("long").alias("word_idx"), (end - F.octet_length(surface)).alias("start"), end.alias("end"), surface.alias("surface"))
+
+
+def cluster_labels(sentences: DataFrame) -> DataFrame:
+    """Status, labels and ``inside`` beside the other columns of annotated sentences (text, tags), without a shuffle.
+
+    ``labels`` has a tag for each gap between clusters of the normalized text: 1, 0, or null where it is unknown.
+    ``inside`` counts gaps inside clusters: their tags 0 and null say nothing, and a word boundary there makes the
+    sentence a ``conflict``, which has no labels. Text that is no UTF-8 is ``invalid``, also without labels; sentences of
+    one cluster are ``example`` and have none.
+    """
+    ends = F.when(F.is_valid_utf8("text"), running_sums(F.transform(cluster_sizes(normalize(F.try_validate_utf8("text"))), lambda n: n.cast("long"))))
+    none = F.expr("cast(array() as array<tinyint>)")
+
+    def judged(e: Column) -> Column:
+        labels = F.transform(F.slice(e, F.lit(1), F.greatest(F.size(e) - 1, F.lit(0))), lambda x: F.get("tags", (x - 1).cast("int")))
+        bound = lambda t: F.size(F.filter(t, lambda x: x == 1))
+        inside = F.size("tags") - F.size(labels)
+        status = F.when(bound(F.col("tags")) > bound(labels), "conflict").otherwise("example")
+        return let(F.struct(status.alias("s"), labels.alias("l"), inside.alias("i")), lambda x: F.struct(x["s"].alias("status"), F.when(x["s"] == "example", x["l"]).otherwise(none).alias("labels"), x["i"].alias("inside")))
+
+    invalid = F.struct(F.lit("invalid").alias("status"), none.alias("labels"), F.lit(0).alias("inside"))
+    found = let(ends, lambda e: F.when(e.isNull(), invalid).otherwise(judged(e)))
+    return sentences.select("*", F.inline(F.array(found)))
 
 
 def channel_sets(words: DataFrame) -> DataFrame:

@@ -161,7 +161,8 @@ class NeuralScorer:
                 norm = "".join(NORMALIZED.get(x, x) for x in w)
                 if norm and c not in channels.setdefault(norm, []):
                     channels[norm].append(c)
-        self.channels = list(channels.values())
+        self.channels_at = np.concatenate([[0], np.cumsum([len(c) for c in channels.values()])]).astype(np.int64)
+        self.channels_of = np.array([c for cs in channels.values() for c in cs], np.int64)
         self.words = Trie(tuple(map(ord, w)) for w in channels) if channels else None
 
     def block(self, rows: tuple[int, ...], slot: int) -> np.ndarray:
@@ -197,20 +198,22 @@ class NeuralScorer:
         ends_at = unit_of.copy()
         ends_at[np.flatnonzero(ids == GAP)] = u.first[1:]
         width = 12 * max(1, len(self.m.dictionaries))
-        out = []
-        text_of = np.repeat(np.arange(len(u.sizes)), np.diff(u.first))
+        out = [np.zeros(0, np.int64)]
+        text_of = np.append(np.repeat(np.arange(len(u.sizes)), np.diff(u.first)), -1)
         for n, start, found in self.words.matches(ids):
             first, last = unit_of[start], ends_at[start + n]
             ok = (first >= 0) & (last >= 0)
-            for s, e, k in zip(first[ok].tolist(), last[ok].tolist(), found[ok].tolist(), strict=True):
-                label = min(e - s, 4) - 1
-                for c in self.channels[k]:
-                    if s > 0 and text_of[s - 1] == text_of[s]:
-                        out.append((s - 1) * width + c * 12 + label)
-                    out += [b * width + c * 12 + 4 + label for b in range(s, e - 1)]
-                    if e < u.n and text_of[e] == text_of[s]:
-                        out.append((e - 1) * width + c * 12 + 8 + label)
-        distinct = np.unique(np.array(out, np.int64))
+            # a match counts in each of its word's channels
+            times = self.channels_at[found[ok] + 1] - self.channels_at[found[ok]]
+            s, e = np.repeat(first[ok], times), np.repeat(last[ok], times)
+            place = np.arange(len(s)) - np.repeat(np.cumsum(times) - times, times)
+            base = self.channels_of[np.repeat(self.channels_at[found[ok]], times) + place] * 12 + np.minimum(e - s, 4) - 1
+            left = (s > 0) & (text_of[s - 1] == text_of[s])
+            right = (e < u.n) & (text_of[e] == text_of[s])
+            inner = e - s - 1
+            gap = np.repeat(s, inner) + np.arange(inner.sum()) - np.repeat(np.cumsum(inner) - inner, inner)
+            out += [(s - 1)[left] * width + base[left], gap * width + np.repeat(base, inner) + 4, (e - 1)[right] * width + base[right] + 8]
+        distinct = np.unique(np.concatenate(out))
         return distinct // width, distinct % width
 
     def scores(self, u: Units) -> np.ndarray:

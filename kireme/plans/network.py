@@ -169,8 +169,8 @@ def polarity(hidden: int) -> np.ndarray:
 class Diffusion:
     """Error diffusion: hidden units learn from a fixed sign (or a tracked feedback weight) instead of the output weights.
 
-    ``embedding``: ``hybrid`` carries the hidden errors back through the first layer, ``pure`` spreads the output error
-    over the slots as it is. ``learn`` moves the feedback along with the output weights (Kolen-Pollack).
+    ``embedding``: ``hybrid`` carries the hidden errors back through the first layer, ``pure`` gives every slot the
+    output error with the fixed sign of each dimension. ``learn`` moves the feedback along with the output weights (Kolen-Pollack).
     """
 
     embedding: str = "hybrid"
@@ -189,11 +189,10 @@ class Diffusion:
         x, a, y, loss = forward(p, b)
         delta = _error(y, b.targets)
         back = self.weights(len(p.w2)) * np.float32(self.diffusion)
-        d_x = np.repeat(delta[:, None], x.shape[1], 1) * np.float32(self.diffusion) if self.embedding == "pure" else None
-        if d_x is not None:
-            # each component gets the signs of the units that see it, summed
-            d_a = delta[:, None] * back[None] * (a > 0)
-            d_x = d_a @ np.sign(p.w1)
+        d_x = None
+        if self.embedding == "pure":
+            dim = p.emb.shape[1]
+            d_x = delta[:, None] * np.tile(polarity(dim), x.shape[1] // dim)[None] * np.float32(self.diffusion)
         return *_gradients(p, b, x, a, delta, back, d_x), loss
 
     def track(self, p: Parameters, before: np.ndarray) -> None:

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from kireme.functions.text import normalize
 from kireme.operators.relational import vocabulary
 from kireme.operators.scoring import NeuralScorer, units
+from kireme.operators.workers import once
 from kireme.plans.network import Adam, Batch, Config, Diffusion, Parameters, Sgd, backward, forward, project, quantize, signed_start
 from kireme.sources.models import NeuralModel
 
@@ -45,27 +46,30 @@ def build_examples(sentences: DataFrame, vocab: list[int], dictionaries: list[li
     shared = sentences.sparkSession.sparkContext.broadcast(shape)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        scorer, w = NeuralScorer(shared.value, "int32"), shared.value.window
+        scorer, w = once(shared, _exact_scorer), shared.value.window
         for batch in batches:
-            out = []
-            for text, tags in zip(batch["text"], batch["tags"], strict=True):
-                u = units([text], True)
-                starts, gaps = u.unit_at[:-1], np.array([np.nan if t is None else t for t in tags], float)
-                inner = np.ones(len(gaps), bool)
-                inner[starts[1:] - 1] = False
-                if (gaps[inner] == 1).any():
-                    out.append(("conflict", None, None, None))
+            u = units(batch["text"].tolist(), True)
+            tags = [np.array([np.nan if t is None else t for t in row], float) for row in batch["tags"]]
+            tag_at = np.concatenate([[0], np.cumsum([len(t) for t in tags])]).astype(np.int64)
+            flat = np.concatenate([*tags, np.zeros(0)])
+            gaps = u.boundaries()
+            text = np.repeat(np.arange(len(tags)), np.diff(u.first))[gaps]
+            # a gap between clusters has the tag of the last character before it
+            labels = flat[tag_at[text] + u.unit_at[gaps + 1] - 1 - u.unit_at[u.first[text]]]
+            bound = np.add.reduceat(np.append(flat == 1, False), tag_at[:-1]) * (np.diff(tag_at) > 0) if len(tags) else np.zeros(0)
+            conflict = bound > np.bincount(text[labels == 1], minlength=len(tags))
+            rows = scorer.row_of[u.cps]
+            cluster = [rows[a:b].tolist() for a, b in zip(u.unit_at[:-1], u.unit_at[1:], strict=True)]
+            where, feature = scorer.features(u)
+            low, high = np.searchsorted(where, gaps), np.searchsorted(where, gaps, "right")
+            out = [("conflict", None, None, None)] * int(conflict.sum())
+            for k in np.flatnonzero(~conflict[text]).tolist():
+                if np.isnan(labels[k]):
+                    out.append(("unknown", None, None, None))
                     continue
-                rows = scorer.row_of[u.cps]
-                cluster = [rows[a:b].tolist() for a, b in zip(u.unit_at[:-1], u.unit_at[1:], strict=True)]
-                where, feature = scorer.features(u)
-                for b in range(len(cluster) - 1):
-                    t = gaps[starts[b + 1] - 1]
-                    if np.isnan(t):
-                        out.append(("unknown", None, None, None))
-                        continue
-                    slots = [cluster[i] if 0 <= i < len(cluster) else [0] for i in range(b - w + 1, b + w + 1)]
-                    out.append(("example", int(t), slots, feature[where == b].tolist()))
+                b, first, end = int(gaps[k]), int(u.first[text[k]]), int(u.first[text[k] + 1])
+                slots = [cluster[i] if first <= i < end else [0] for i in range(b - w + 1, b + w + 1)]
+                out.append(("example", int(labels[k]), slots, feature[low[k] : high[k]].tolist()))
             yield pd.DataFrame(out, columns=["status", "label", "slots", "features"]).astype({"label": "Int32"})
 
     valid = sentences.filter(F.is_valid_utf8("text")).select("text", "tags").mapInPandas(run, EXAMPLE)
@@ -73,6 +77,10 @@ def build_examples(sentences: DataFrame, vocab: list[int], dictionaries: list[li
     return valid.unionByName(bad)
 
 
+def _exact_scorer(m: NeuralModel) -> NeuralScorer:
+    return NeuralScorer(m, "int32")
+
+
 def example_statistics(examples: DataFrame) -> DataFrame:
     return examples.groupBy("status").agg(F.count(F.lit(1)).alias("n"))
 

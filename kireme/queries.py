@@ -6,7 +6,8 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kireme.functions.text import NORMALIZED, TYPE_RANGES, boundary_offsets, escape_word, explode_chars, normalize, unescape_words
+from kireme import network_queries
+from kireme.functions.text import NORMALIZED, TYPE_RANGES, boundary_offsets, chars, escape_word, explode_chars, normalize, unescape_words
 from kireme.functions.numeric import bce, fused_i16, quantized, saturate_i32, scale_of
 from kireme.operators import relational as R
 from kireme.plans.segmenter import Segmenter, space_model
@@ -40,7 +41,7 @@ def codepoints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def byte_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = R.byte_offsets(explode_chars(_lines(spark, sf_dir), *R.KEYS))
+    rows = R.byte_offsets(_lines(spark, sf_dir))
     return rows.groupBy(*R.KEYS).agg(F.sum("byte_start").alias("starts"), F.max("byte_end").alias("size"), F.count(F.lit(1)).alias("n"))
 
 
@@ -53,7 +54,7 @@ def char_types(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def char_type_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    runs = R.type_runs(explode_chars(_lines(spark, sf_dir), *R.KEYS))
+    runs = R.type_runs(_lines(spark, sf_dir))
     return runs.select(*R.KEYS, "type", "first_pos", "n")
 
 
@@ -119,7 +120,7 @@ def dict_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def dict_lir_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = spark.createDataFrame([(w, i % 2) for i, w in enumerate(_DICT)], "word string, channel int").select(normalize(F.col("word")).alias("word"), "channel")
-    found = R.dictionary_features(_lines(spark, sf_dir), F.broadcast(words), 3, 4)
+    found = R.dictionary_features(_lines(spark, sf_dir), words, 3, 4)
     return found.select("doc_id", (F.col("channel") * 12 + F.col("pos") * 4 + F.col("label")).alias("feature")).groupBy("doc_id", "feature").agg(F.count(F.lit(1)).alias("n")).withColumn("feature", F.col("feature").cast("long"))
 
 
@@ -142,7 +143,7 @@ def linear_arrow(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def window_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = explode_chars(_lines(spark, sf_dir), *R.KEYS).withColumn("row", F.col("cp"))
+    rows = _lines(spark, sf_dir).select(*R.KEYS, F.transform(chars(F.col("text")), F.ascii).alias("rows"))
     return R.window_slots(rows, 2).groupBy("doc_id", "slot").agg(F.sum("row").alias("row_sum"), F.count(F.lit(1)).alias("n")).withColumn("slot", F.col("slot").cast("long"))
 
 
@@ -152,8 +153,8 @@ def neural_int32_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def segments_relational(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _lines(spark, sf_dir)
-    cuts = R.neural_scores(rows, space_model()).withColumn("cut", F.col("score") > 0)
-    return R.words_from_cuts(explode_chars(rows, *R.KEYS), cuts)
+    scores = R.network_scores(F.split(normalize(F.col("text")), ""), space_model())
+    return R.words_from_cuts(rows, F.transform(scores, lambda s: s > 0))
 
 
 def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -465,3 +466,6 @@ c AS (SELECT page_id, k, j, regexp_replace(x, '^[\s]+|[\s]+$', '', 'g') AS line
 SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY k, j) - 1 AS i, line FROM c WHERE line <> ''""",
     "requantized": "SELECT l_orderkey, CAST(sum(least(greatest((CAST(l_partkey AS BIGINT) * 40000 - 30000000 + 256) >> 9, -32768), 32767)) AS BIGINT) AS q FROM lineitem GROUP BY l_orderkey",
 }
+
+QUERIES |= network_queries.QUERIES
+ORACLE_SQL |= network_queries.ORACLE_SQL

@@ -6,11 +6,12 @@ instead, as one bad line spoils a whole file.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kireme.errors import InvalidUtf8, MalformedCorpus
 from kireme.functions.arrays import let
+from kireme.functions.references import unescape_references
 
 PARSED = "struct<text:string,tags:array<tinyint>,error:string>"
 
@@ -20,11 +21,29 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, lineSep="\n").select(F.col("value").alias("text"), F.col("_metadata.file_path").alias("file"))
 
 
+#: Splits of files (or chunks of lines) whose counts may be broadcast; more are joined by a shuffle.
+BROADCAST_SPLITS = 100_000
+
+
+def _beside(rows: DataFrame, counted: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows with the counts of their split."""
+    return rows.join(F.broadcast(counted) if counted.count() <= BROADCAST_SPLITS else counted, keys)
+
+
 def read_numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Lines with ``line_no`` (from 1) in their file. Each file is read whole, as order inside it must be known."""
-    files = spark.read.format("binaryFile").load(path).select("path", F.col("content").cast("string").alias("body"))
-    body = F.regexp_replace("body", r"\n\z", "")
-    return files.filter("length(body) > 0").select("path", F.posexplode(F.split(body, "\n", -1)).alias("i", "text")).select("path", (F.col("i") + 1).cast("long").alias("line_no"), "text")
+    """Lines with ``line_no`` (from 1) in their file, ``path``.
+
+    Files are read in splits by many tasks. Rows of a split follow each other in their task, so a line's number is
+    its place behind the split's first row plus the lines of the splits before; a first scan counts these. No line is shuffled,
+    and one large file is numbered as many small ones are.
+    """
+    meta = F.col("_metadata")
+    rows = spark.read.text(path, lineSep="\n").select(meta["file_path"].alias("path"), meta["file_block_start"].alias("block"), F.monotonically_increasing_id().alias("_id"), F.col("value").alias("text"))
+    splits = rows.groupBy("path", "block").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    # one row for each split of a file
+    before = F.sum("_n").over(Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
+    numbered = splits.select("path", "block", "_first", F.coalesce(before, F.lit(0)).alias("_before"))
+    return _beside(rows, numbered, ["path", "block"]).select("path", (F.col("_before") + F.col("_id") - F.col("_first") + 1).alias("line_no"), "text")
 
 
 def strip_cr(text: Column) -> Column:
@@ -130,23 +149,41 @@ def stack_dictionaries(word_lists: list[DataFrame]) -> DataFrame:
     return out
 
 
+#: Line numbers of a chunk in which the ends of sentences are counted together.
+CHUNK_LINES = 1 << 16
+
+
+def segmented_counts(rows: DataFrame, mark: Column, file: str = "path", line: str = "line_no", chunk_lines: int = CHUNK_LINES) -> DataFrame:
+    """Rows with ``before``: how many rows of their file that ``mark`` tells stand before them.
+
+    A scan in segments: marks are counted in chunks of line numbers, summed over the chunks of a file (a row for each), and
+    counted inside a chunk; no task holds more than a chunk of lines, however long the file is.
+    """
+    cut = rows.withColumn("_chunk", F.floor(F.col(line) / chunk_lines)).withColumn("_mark", F.coalesce(mark, F.lit(False)).cast("long"))
+    chunks = cut.groupBy(file, "_chunk").agg(F.sum("_mark").alias("_n"))
+    carried = chunks.select(file, "_chunk", F.coalesce(F.sum("_n").over(Window.partitionBy(file).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_carry"))
+    inside = F.sum("_mark").over(Window.partitionBy(file, "_chunk").orderBy(line).rowsBetween(Window.unboundedPreceding, -1))
+    found = _beside(cut, carried, [file, "_chunk"]).withColumn("before", F.col("_carry") + F.coalesce(inside, F.lit(0)))
+    return found.drop("_chunk", "_mark", "_carry")
+
+
 def conllu_sentences(lines: DataFrame) -> DataFrame:
     """Annotated lines of a treebank: path, sentence, line (``surface/tag/reading`` joined by spaces).
 
     ``lines`` has path, line_no and text. Rows without ten fields, comments and ids that are not whole numbers are
-    skipped; a blank line ends a sentence. The reading is the first value of ``UnidicInfo`` in the last field.
+    skipped; a blank line ends a sentence, and ``sentence`` counts blank lines before it. The reading is the first value of
+    ``UnidicInfo`` in the last field. Sentences are counted in chunks of lines, so a file may be of any length.
     """
-    from pyspark.sql import Window
-
     from kireme.functions.text import escape_word
 
-    w = Window.partitionBy("path").orderBy("line_no")
-    numbered = lines.withColumn("sentence", F.sum((F.trim(strip_cr(F.col("text"))) == "").cast("long")).over(w))
-    f = F.split(strip_cr(F.col("text")), "\t", -1)
-    fields = numbered.withColumn("_f", f).filter((F.size("_f") == 10) & ~F.col("text").startswith("#")).filter(F.col("_f")[0].rlike("^[0-9]+$"))
+    bare = strip_cr(F.col("text"))
+    blank = F.trim(bare) == ""
+    # only these count: the others need not be moved
+    used = lines.filter(blank | (~F.col("text").startswith("#") & bare.rlike(r"^[0-9]+\t[^\t]*(?:\t[^\t]*){8}$")))
+    fields = segmented_counts(used, blank).filter(~blank).withColumn("_f", F.split(bare, "\t", -1))
     reading = F.regexp_extract(F.col("_f")[9], r"(?:^|\|)UnidicInfo=([^,|]*)", 1)
     token = F.concat_ws("/", escape_word(F.col("_f")[1]), escape_word(F.col("_f")[4]), escape_word(reading))
-    joined = fields.select("path", "sentence", "line_no", token.alias("token")).groupBy("path", "sentence").agg(F.array_sort(F.collect_list(F.struct("line_no", "token"))).alias("t"))
+    joined = fields.select("path", F.col("before").alias("sentence"), "line_no", token.alias("token")).groupBy("path", "sentence").agg(F.array_sort(F.collect_list(F.struct("line_no", "token"))).alias("t"))
     return joined.select("path", "sentence", F.array_join(F.transform("t", lambda x: x["token"]), " ").alias("line"))
 
 
@@ -156,19 +193,13 @@ def lexicon_words(rows: DataFrame, column: str = "_c0", shortest: int = 2, longe
     return rows.select(word.alias("word")).filter(F.length("word").between(shortest, longest)).filter("word <> ''").distinct()
 
 
-# The named character references that are decoded here.
-REFERENCES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&#x27;": "'", "&apos;": "'", "&nbsp;": " ", "&copy;": "©", "&middot;": "·", "&amp;": "&"}
-
-
 def clean_ruby_html(html: Column) -> Column:
     """Lines of a book page, as an array: the main text without ruby, notes and tags, split after sentence ends."""
     main = F.regexp_extract(html, r'(?s)(<div class="main_text">.*?)(?:<div class="bibliographical_information">|\z)', 1)
     body = F.when(main != "", main).otherwise(F.regexp_extract(html, r'(?s)\A(.*?)(?:<div class="bibliographical_information">|\z)', 1))
     for pattern, by in ((r"(?s)<rp>.*?</rp>", ""), (r"(?s)<rt>.*?</rt>", ""), (r"(?s)［＃.*?］", ""), (r"<br\s*/?>", "\n"), (r"<[^>]+>", "")):
         body = F.regexp_replace(body, pattern, by)
-    for name, char in REFERENCES.items():
-        body = F.replace(body, F.lit(name), F.lit(char))
-    lines = F.transform(F.split(body, "\n"), lambda x: F.replace(F.regexp_replace(x, r"^[\s 　]+|[\s 　]+$", ""), F.lit("　"), F.lit("")))
+    lines = F.transform(F.split(unescape_references(body), "\n"), lambda x: F.replace(F.regexp_replace(x, r"^[\s 　]+|[\s 　]+$", ""), F.lit("　"), F.lit("")))
     parts = F.flatten(F.transform(lines, lambda x: F.split(x, "(?<=[。！？])")))
     return F.filter(F.transform(parts, lambda x: F.regexp_replace(x, r"^[\s ]+|[\s ]+$", "")), lambda x: x != "")
 

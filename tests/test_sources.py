@@ -131,3 +131,53 @@ def test_neural_file(spark, tmp_path):
     (tmp_path / "m.mod").write_bytes(raw)
     assert M.read_bytes(spark, str(tmp_path / "m.mod")) == raw
     assert M.tensor_table(spark, tiny()).count() == 3 + 4 + 1 + 1 + 12
+
+
+def test_numbered_lines_of_one_file_in_many_splits(spark, tmp_path):
+    import random
+
+    rng = random.Random(1)
+    lines = ["x" * rng.randrange(0, 60) + f" {i}" if rng.random() < 0.9 else "" for i in range(4000)]
+    (tmp_path / "one").mkdir()
+    (tmp_path / "many").mkdir()
+    (tmp_path / "one/a.txt").write_text("\n".join(lines))
+    (tmp_path / "one/b.txt").write_text("only\r\n")
+    (tmp_path / "one/empty.txt").write_text("")
+    for k in range(8):
+        (tmp_path / f"many/{k}.txt").write_text("\n".join(lines[k * 500 : k * 500 + 500]) + "\n")
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        found = C.read_numbered_lines(spark, str(tmp_path / "one"))
+        assert found.rdd.getNumPartitions() > 10
+        rows = sorted((r.path.rsplit("/", 1)[1], r.line_no, r.text) for r in found.collect())
+        assert rows == [("a.txt", i + 1, x) for i, x in enumerate(lines)] + [("b.txt", 1, "only\r")]
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "ArrowEvalPython" not in plan and "BroadcastHashJoin" in plan
+        pieces = C.read_numbered_lines(spark, str(tmp_path / "many")).collect()
+        assert sorted((int(r.path[-5]) * 500 + r.line_no, r.text) for r in pieces) == [(i + 1, x) for i, x in enumerate(lines)]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_sentences_cross_chunks(spark, monkeypatch):
+    row = lambda i, w: "\t".join([str(i), w, "_", "_", "N", *"____", "_"])
+    texts = ["", "# c", row(1, "a"), row(2, "b"), "x", row(3, "c"), "", "", row(1, "d"), "1-2\t_", row(2, "e"), " \r", row(1, "f")]
+    lines = spark.createDataFrame([("p", i, t) for i, t in enumerate(texts)] + [("q", 10 * i, t) for i, t in enumerate(texts)] + [("n", 0, None)], "path string, line_no long, text string")
+    want = [(0 + 1, "a/N/ b/N/ c/N/"), (3, "d/N/ e/N/"), (4, "f/N/")]
+    for chunk in (1, 3, 1 << 16):
+        monkeypatch.setattr(C.segmented_counts, "__defaults__", ("path", "line_no", chunk))
+        assert sorted((r.path, r.sentence, r.line) for r in C.conllu_sentences(lines).collect()) == [(p, s, w) for p in "pq" for s, w in want]
+
+
+def test_character_references(spark):
+    from html import unescape
+
+    from kireme.functions.references import unescape_references
+
+    texts = ["a&hellip;b &#8212; c &eacute;", "&amp;lt; &lt &ltx &notit; &notin; &NotEqualTilde;", "&#0; &#x80; &#129; &#xD800; &#x110000; &#99999999999; &#x1F468; &#1; &#xFFFE; &#65 &#x41z", "& &; &&amp; &#; &#x; &unknown; &ampamp; &Eacuteé", "&" * 50 + "amp;", "none", "", None, "&#00065; &#x00041;", "&CounterClockwiseContourIntegral;&x" + "y" * 60]
+    found = spark.createDataFrame([(t,) for t in texts], "t string").select("t", unescape_references(F.col("t")).alias("u")).collect()
+    for r in found:
+        assert r.u == (None if r.t is None else unescape(r.t)), r.t
