@@ -204,16 +204,17 @@ def cluster_model() -> NeuralModel:
     )
 
 
-def _cluster_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Turns (their number as a line) with marks, joined pictographs and conjuncts for some letters."""
-    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").filter("text <> ''")
+def _cluster_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items with marks, joined pictographs and conjuncts for some letters."""
     text = F.replace(F.replace(F.replace("text", F.lit("e"), F.lit("e\u0301")), F.lit("o"), F.lit("\U0001f468\u200d\U0001f469")), F.lit("a"), F.lit("नि"))
-    return turns.select(F.col("conv_id").alias("doc_id"), F.col("turn").cast("long").alias("line_no"), text.alias("text"))
+    return spark.read.parquet(f"{sf_dir}/benchmark.parquet").filter("text <> ''").select(F.col("item_id").alias("doc_id"), F.lit(0).alias("line_no"), text.alias("text"))
 
 
 def _cluster_totals(spark: SparkSession, sf_dir: str, precision: str) -> DataFrame:
-    found = R.network_lines(_cluster_turns(spark, sf_dir), cluster_model(), precision).select("line_no", F.posexplode("scores").alias("g", "s"))
-    return found.groupBy("line_no").agg(F.count(F.lit(1)).alias("gaps"), F.count_if(F.col("s") > 0).alias("cuts"), F.sum("s").alias("total"), F.sum(F.col("s") * (F.col("g") % 5 + 1)).alias("weighted"))
+    found = R.network_lines(_cluster_items(spark, sf_dir), cluster_model(), precision)
+    count = lambda test: F.size(F.filter("scores", test)).cast("long")
+    weighted = F.aggregate(F.transform("scores", lambda s, g: s * (g % 5 + 1)), F.lit(0).cast("long"), lambda a, b: a + b)
+    return found.select(F.col("doc_id").alias("item_id"), F.size("scores").cast("long").alias("gaps"), count(lambda s: s > 0).alias("cuts"), F.aggregate("scores", F.lit(0).cast("long"), lambda a, b: a + b).alias("total"), weighted.alias("weighted")).filter("gaps > 0")
 
 
 def cluster_network_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -239,7 +240,7 @@ def _network_sql(clamped: bool) -> str:
     scale = 1 if clamped else 512
     b2 = 50 if clamped else 25600
     return f"""WITH v(cp, row) AS (VALUES {cps}), words(word, channel) AS (VALUES {words}),
-t AS MATERIALIZED (SELECT line_no, row_number() OVER () AS r, translate(text, '{a}', '{b}') AS text FROM (SELECT CAST(turn AS BIGINT) AS line_no, replace(replace(replace(text, 'e', 'é'), 'o', '👨‍👩'), 'a', 'नि') AS text FROM conversations WHERE text <> '')),
+t AS MATERIALIZED (SELECT item_id, row_number() OVER () AS r, translate(text, '{a}', '{b}') AS text FROM (SELECT item_id, replace(replace(replace(text, 'e', 'é'), 'o', '👨‍👩'), 'a', 'नि') AS text FROM benchmark WHERE text <> '')),
 u AS MATERIALIZED (SELECT *, list_transform(range(1, length_grapheme(text) + 1), lambda k: substring_grapheme(text, k, 1)) AS u FROM t),
 k AS MATERIALIZED (SELECT DISTINCT unnest(u) AS c FROM u),
 kc AS (SELECT c, unnest(string_split(c, '')) AS ch, length(c) AS n FROM k),
@@ -254,8 +255,8 @@ f AS MATERIALIZED (SELECT DISTINCT r, g, channel * 12 + pos * 4 + least(k, 4) -
 a AS (SELECT r, g, slot AS o, p FROM s JOIN kb USING (c, slot) UNION ALL SELECT r, g, 100 + f, list_transform(range(8), lambda h: ((f * 3 + h) % 7 - 3) * 1500 * {scale}) FROM f),
 l AS (SELECT r, g, list(p ORDER BY o) AS ps FROM a GROUP BY r, g),
 y AS (SELECT r, g, list_sum(list_transform(range(8), lambda h: greatest(list_reduce(list_prepend(CAST((h - 3) * {100 * scale} AS BIGINT), list_transform(ps, lambda p: CAST(p[h + 1] AS BIGINT))), lambda a, b: {add}), 0) * (h * 5 % 7 - 3))) + {b2} AS y FROM l),
-z AS (SELECT line_no, g, CAST(greatest(least(y, 2147483647), -2147483648) AS BIGINT) AS s FROM y JOIN t USING (r))
-SELECT line_no, count(*) AS gaps, count(*) FILTER (s > 0) AS cuts, CAST(sum(s) AS BIGINT) AS total, CAST(sum(s * (g % 5 + 1)) AS BIGINT) AS weighted FROM z GROUP BY line_no"""
+z AS (SELECT item_id, g, CAST(greatest(least(y, 2147483647), -2147483648) AS BIGINT) AS s FROM y JOIN t USING (r))
+SELECT item_id, count(*) AS gaps, count(*) FILTER (s > 0) AS cuts, CAST(sum(s) AS BIGINT) AS total, CAST(sum(s * (g % 5 + 1)) AS BIGINT) AS weighted FROM z GROUP BY item_id"""
 
 
 QUERIES = {f.__name__: f for f in (train_step, adam_step, train_evaluation, diffusion_step, diffusion_state, word_clusters, break_round_trip, cluster_labels, order_treebank, character_references, cluster_network_exact, cluster_network_clamped)}

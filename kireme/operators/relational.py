@@ -9,6 +9,7 @@ from __future__ import annotations
 import json
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -128,24 +129,25 @@ def dictionary_hits(unit_rows: DataFrame, words: DataFrame, longest: int) -> Dat
     each unit, all in one stage, and only matches leave it.
     """
     table = prefixes(words)
-    places = unit_rows.select(*KEYS, "units", F.size("units").alias("n_units"), F.posexplode("units").alias("start", "_g"))
+    places = unit_rows.select(*KEYS, F.size("units").alias("n_units"), F.col("units").alias("_u"), F.posexplode("units").alias("start", "_g"))
+    # a place goes on with the units that a word could have, not with its whole line
+    places = places.select(*KEYS, "n_units", "start", "_g", F.slice("_u", F.col("start") + 1, F.lit(longest)).alias("_w"))
     if table.count() > BROADCAST_PREFIXES:
-        whole = words.select(F.col("word").alias("_w"), "channel").distinct()
-        grams = F.transform(F.sequence(F.lit(1), F.least(F.lit(longest), F.col("n_units") - F.col("start"))), lambda k: F.struct(k.alias("len"), F.array_join(F.slice("units", F.col("start") + 1, k), "").alias("gram")))
+        whole = words.select(F.col("word").alias("_word"), "channel").distinct()
+        grams = F.transform(F.sequence(F.lit(1), F.size("_w")), lambda k: F.struct(k.alias("len"), F.array_join(F.slice("_w", F.lit(1), k), "").alias("gram")))
         rows = places.select(*KEYS, "n_units", "start", F.inline(grams))
-        return rows.join(whole, F.col("gram") == F.col("_w")).select(*KEYS, "n_units", "start", "len", "channel")
+        return rows.join(whole, F.col("gram") == F.col("_word")).select(*KEYS, "n_units", "start", "len", "channel")
     side, found = F.broadcast(table), []
     for k in range(1, min(longest, WALKED) + 1):
         level = side.select(F.col("gram").alias("_p"), F.col("channels").alias(f"_c{k}"))
-        following = F.when(F.col("_p").isNotNull(), F.concat("_g", F.get("units", F.col("start") + k)))
+        following = F.when(F.col("_p").isNotNull(), F.concat("_g", F.get("_w", F.lit(k))))
         places = places.join(level, F.col("_g") == F.col("_p"), "left").withColumn("_g", following).drop("_p")
         found.append(F.struct(F.lit(k).alias("len"), F.col(f"_c{k}").alias("channels")))
     if longest > WALKED:
         # few places are open so long
-        places = places.withColumn("_more", F.when(F.col("_g").isNotNull(), F.sequence(F.lit(WALKED + 1), F.least(F.lit(longest), F.greatest(F.lit(WALKED + 1), F.col("n_units") - F.col("start"))))))
-        rest = places.filter("_more IS NOT NULL").select(*KEYS, "n_units", "start", F.explode("_more").alias("len"), "units")
-        rest = rest.withColumn("_g", F.expr("array_join(slice(units, start + 1, len), '')")).join(side.filter("channels IS NOT NULL"), F.col("_g") == F.col("gram"))
-        rest = rest.filter("start + len <= n_units").select(*KEYS, "n_units", "start", "len", F.explode("channels").alias("channel"))
+        rest = places.filter(F.col("_g").isNotNull()).select(*KEYS, "n_units", "start", "_w", F.explode(F.sequence(F.lit(WALKED + 1), F.size("_w"))).alias("len"))
+        rest = rest.withColumn("_g", F.expr("array_join(slice(_w, 1, len), '')")).join(side.filter("channels IS NOT NULL"), F.col("_g") == F.col("gram"))
+        rest = rest.select(*KEYS, "n_units", "start", "len", F.explode("channels").alias("channel"))
     hits = F.filter(F.array(*found), lambda x: x["channels"].isNotNull())
     walked = places.select(*KEYS, "n_units", "start", F.inline(hits)).select(*KEYS, "n_units", "start", "len", F.explode("channels").alias("channel"))
     return walked.unionByName(rest) if longest > WALKED else walked
@@ -200,6 +202,10 @@ def window_slots(line_rows: DataFrame, window: int, rows: str = "rows") -> DataF
     return gaps.select(*KEYS, "boundary", F.inline(slots))
 
 
+#: Numbers of a table of parts that a plan may hold.
+TABLED_NUMBERS = 500_000
+
+
 def _constant(values, kind: str) -> Column:
     """A nested array as one literal of the plan."""
     return F.from_json(F.lit(json.dumps(values)), kind)
@@ -228,7 +234,7 @@ def network_scores(units: Column, m: NeuralModel, precision: str = "int32", feat
 
     scorer, small_sums = NeuralScorer(m, precision), precision == "int16"
     h, slots, d = m.w1.shape
-    row_of = _constant(scorer.row_of[: max([0, *m.vocabulary]) + 1].tolist(), "array<int>")
+    vocabulary = "".join(map(chr, m.vocabulary))
     emb = _constant(m.emb.astype(int).tolist(), "array<array<bigint>>")
     w1 = _constant(m.w1.astype(int).transpose(1, 0, 2).reshape(slots * h, d).tolist(), "array<array<bigint>>")
     b1 = _constant((requant(scorer.b1_q) if small_sums else scorer.b1_q).astype(int).tolist(), "array<bigint>")
@@ -240,36 +246,50 @@ def network_scores(units: Column, m: NeuralModel, precision: str = "int32", feat
     zero = F.lit(0).cast("long")
 
     def pooled(rows: Column) -> Column:
-        """How many characters a unit has, and the sum of their vectors."""
-        return F.struct(F.size(rows).alias("n"), F.transform(axis(d), lambda k: F.aggregate(rows, zero, lambda s, r: s + F.get(F.get(emb, r), k))).alias("v"))
+        """How many characters a unit has, the first one's row, and the sum of their vectors."""
+        return F.struct(F.size(rows).alias("n"), F.get(rows, F.lit(0)).alias("r"), F.transform(axis(d), lambda k: F.aggregate(rows, zero, lambda s, r: s + F.get(F.get(emb, r), k))).alias("v"))
+
+    # parts of single characters are made beforehand, row by row and slot by slot, unless they are many
+    made = None
+    if len(m.emb) * slots * h <= TABLED_NUMBERS:
+        blocks = np.stack([scorer.block((r,), j) for r in range(len(m.emb)) for j in range(slots)])
+        made = _constant((requant(blocks) if small_sums else blocks).astype(int).tolist(), "array<array<bigint>>")
+
+    def dot(u: Column, v: Column) -> Column:
+        if d <= 8:
+            return sum((F.get(u, F.lit(k)) * F.get(v, F.lit(k)) for k in range(1, d)), F.get(u, F.lit(0)) * F.get(v, F.lit(0)))
+        return F.aggregate(F.zip_with(u, v, lambda a, b: a * b), zero, lambda s, x: s + x)
 
     def part_in(j: int) -> Callable[[Column], Column]:
         def part(unit: Column) -> Column:
             def value(k: Column) -> Column:
-                exact = F.aggregate(F.zip_with(F.get(w1, k + j * h), unit["v"], lambda a, b: a * b), zero, lambda s, x: s + x)
-                x = exact * (F.lit(scorer.r) / unit["n"])
+                x = dot(F.get(w1, k + j * h), unit["v"]) * (F.lit(scorer.r) / unit["n"])
                 whole = (F.sign(x) * F.floor(F.abs(x) + 0.5)).cast("long")
                 return clamp(F.shiftright(whole + 256, 9), *I16) if small_sums else whole
 
-            return F.transform(axis(h), value)
+            mixed = F.transform(axis(h), value)
+            return mixed if made is None else F.when(unit["n"] == 1, F.get(made, unit["r"] * slots + j)).otherwise(mixed)
 
         return part
 
     pad = F.array(F.lit(0))
-    encoded = lambda u: F.transform(F.split(u, ""), lambda c: F.coalesce(F.get(row_of, F.ascii(c)), F.lit(1)))
+    # rows from 2 on are the vocabulary's characters in order, 1 is what it lacks
+    encoded = lambda u: F.transform(F.split(u, ""), lambda c: F.call_function("locate", c, F.lit(vocabulary)) + 1)
 
     def scored(line: Column) -> Column:
         def gap(g: Column) -> Column:
             parts = F.array(*[let(F.coalesce(F.get(line["u"], g + (j - m.window + 1)), line["pad"]), part_in(j)) for j in range(slots)])
-            if features is not None and wdict is not None:
-                parts = F.concat(parts, F.transform(F.coalesce(F.get(features, g), F.expr("cast(array() as array<int>)")), lambda f: F.get(wdict, f)))
+            if wdict is not None:
+                parts = F.concat(parts, F.transform(F.coalesce(F.get(line["f"], g), F.expr("cast(array() as array<int>)")), lambda f: F.get(wdict, f)))
             add = (lambda x, y: clamp(x + y, *I16)) if small_sums else (lambda x, y: x + y)
             acc = F.aggregate(parts, b1, lambda s, p: F.zip_with(s, p, add))
             return clamp(relu_dot(acc, w2) + b2, *I32).cast("long")
 
         return F.transform(F.sequence(F.lit(0), F.size(line["u"]) - 2), gap)
 
-    line = F.struct(F.transform(units, lambda u: pooled(encoded(u))).alias("u"), pooled(pad).alias("pad"))
+    # what a gap reads is made once for its line
+    lists = F.lit(None).cast("array<array<int>>") if features is None else features
+    line = F.struct(F.transform(units, lambda u: pooled(encoded(u))).alias("u"), pooled(pad).alias("pad"), lists.alias("f"))
     return F.when(F.size(units) > 1, let(line, scored)).otherwise(F.expr("cast(array() as array<bigint>)"))
 
 
