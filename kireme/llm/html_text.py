@@ -41,9 +41,9 @@ HOT = 0.001
 LONG_TEXT = 80
 
 NODE = re.compile(r"<!--.*?(?:-->|$)|<(/?)([A-Za-z][^\s/>]*+)((?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+)>|<[!?][^>]*+>", re.S)
-ATTRIBUTE = re.compile(r"([A-Za-z-]+)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)")
+ATTRIBUTE = re.compile(r"(?<![^\s\"'/])([^\s=>\"'/]++)(?:\s*+=\s*+(\"[^\"]*+\"|'[^']*+'|[^\s\"'>]++))?")
 # Fixed values of the HTML vocabulary.
-RAW = frozenset("script style noscript template iframe object svg math canvas audio video textarea title xmp".split())
+RAW = frozenset("script style noscript template iframe object svg canvas audio video textarea title xmp".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset("address article aside blockquote body br caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead title tr ul".split())
 CHROME = frozenset("head nav footer aside form menu dialog button select fieldset".split())
@@ -51,6 +51,7 @@ ENDS_PARAGRAPH = BLOCK - {"br"}
 # Elements that hold other blocks rather than text, and headings that a container is not left behind for.
 CONTAINERS = frozenset("html body div section main article center table tbody tr td".split())
 HEADINGS = frozenset("h1 h2 h3 header".split())
+TITLES = frozenset("h1 h2 h3 h4 h5 h6".split())
 # Parts of classes, ids and roles that mark chrome, and parts that may stand beside them.
 CHROME_NAMES = frozenset("ad ads advert advertisement adverts advertising adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay nav navbar navigation navi menu breadcrumb breadcrumbs sidebar sidebars aside footer comment comments disqus respond replies reply share sharing social related recommended newsletter subscribe subscription signup login search pagination pager toolbar masthead complementary contentinfo dialog widget widgets toc".split())
 BESIDE = frozenset("area bar bars block body bottom box boxes button buttons container content count field first form inner item items last left link links list lists main section site slot small reader readers right row side text top unit user users widget widgets wrap wrapper zone".split())
@@ -114,8 +115,10 @@ def parse(page: str | None) -> Page:
             out.blocks.append((open_[-1], text, min(links, len(text)), place))
 
     at, size = 0, len(page) if page else 0
+    # no tag ends behind the last bracket, so none is looked for there
+    last = page.rfind(">") + 1 if page else 0
     while at < size:
-        m = NODE.search(page, at)
+        m = NODE.search(page, at, last) if at < last else None
         if m is None:
             buffer.append(page[at:])
             linked += (size - at) * in_link
@@ -184,16 +187,17 @@ ARTICLE, LESS, LEADS = 4.0, 0.05, 0.6
 
 
 def main_text(page: str | None, template: Template | None = None) -> str:
-    """The article of a page: blocks of its text container outside chrome, template slots and fixed texts.
+    """The article of a page: blocks of its text container outside chrome.
 
-    Null and empty pages give an empty text.
+    Template slots and fixed texts say nothing when the container is chosen. Inside it they stay if it is an article by
+    its tag; in any other container only headings between free texts do. Null and empty pages give an empty text.
     """
     t, p = template or Template(), parse(page)
     n = len(p.tag)
-    own, kept = [0] * n, []
+    own, free = [0] * n, []
     for e, text, links, _ in p.blocks:
-        if p.token[e] not in t.slots and hashed(p.token[e], text) not in t.fixed:
-            kept.append((e, text))
+        free.append(p.token[e] not in t.slots and hashed(p.token[e], text) not in t.fixed)
+        if free[-1]:
             own[e] += len(text) - links
     below = own.copy()
     for i in range(n - 1, 0, -1):
@@ -228,7 +232,11 @@ def main_text(page: str | None, template: Template | None = None) -> str:
         inside[i] = True
     for i in range(1, n):
         inside[i] = inside[i] or inside[p.parent[i]] and not p.chrome[i] and not (page_wide and p.tag[i] == "header")
-    return " ".join(text for e, text in kept if inside[e])
+    rows = [(e, text, f) for (e, text, _, _), f in zip(p.blocks, free, strict=True) if inside[e]]
+    if not all(p.article[i] for i in here):
+        at = [k for k, row in enumerate(rows) if row[2]]
+        rows = [(e, text, f) for e, text, f in rows[at[0] : at[-1] + 1] if f or not page_wide and p.tag[e] in TITLES] if at else []
+    return " ".join(text for _, text, _ in rows)
 
 
 def host_of(url: Column) -> Column:

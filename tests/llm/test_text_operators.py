@@ -344,3 +344,28 @@ def test_packing_round_trip(spark, docs):
     assert whole.filter("octet_length(ids) <> 4 * n_ids or n_ids > 512").count() == 0
     assert packing.packed_documents(docs(), queries.word_vocabulary()).count() == 0
     assert packing.packed_documents(docs((1, "x"), (1, "x")), queries.word_vocabulary()).count() == 2
+
+
+def test_articles_keep_repeated_headings_and_sentences(spark):
+    from kireme.llm import html_text
+
+    story = lambda i: f"<article><h1>Story {i}</h1><h2>Summary</h2><p>Number {i} is told here in words of its own, {i * 7} of them.</p><h2>Background</h2><p>It was {i} years ago that {'many ' * (i % 3)}things began.</p><p>The editors declined to comment.</p></article>"
+    around = "<html><body><nav><a href='/'>Home page</a></nav><div class='top'>Welcome to our site</div>{}<div class='bottom'>Written with care</div></body></html>"
+    rows = [(i, f"http://h.example/{i}", around.format(story(i))) for i in range(12)]
+    found = {r.page_id: r.text for r in html_text.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i, _, page in rows:
+        want = " ".join(re.sub(r"<[^>]+>", "\n", story(i)).split())
+        # the same alone and among the pages of its host
+        assert found[i] == want == html_text.main_text(page)
+
+
+def test_awkward_markup():
+    import time
+
+    from kireme.llm import html_text
+
+    start = time.time()
+    html_text.main_text('<p "' * 20_000)
+    html_text.main_text("<p " + "a" * 20_000 + " " + "=" * 20_000 + ">x</p>")
+    assert time.time() - start < 1
+    assert html_text.main_text("<article><p>The value <math><mi>x</mi> = 2</math> holds</p><p hidden>no</p><p hidden=''>no</p></article>") == "The value x = 2 holds"
