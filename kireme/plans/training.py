@@ -1,6 +1,7 @@
 """Training of the window network on Spark: examples are a table, epochs are passes over its partitions.
 
-In each epoch every partition trains a copy of the shared parameters on its own examples; the copies are averaged,
+In each epoch examples are dealt anew over the partitions by a seeded hash, and every partition trains a copy of the
+shared parameters on its own; the copies are averaged,
 weighted by their examples, in groups of bounded size. One partition is plain mini-batch training. Nothing but
 parameters and counters reaches the driver. Several seeds or configurations are independent runs of ``train``.
 """
@@ -121,6 +122,15 @@ def _batches(frames: list[pd.DataFrame], n_features: int, size: int, rng: np.ran
 SHUFFLED = 200_000
 
 
+def dealt(examples: DataFrame, parts: int, seed: int, epoch: int) -> DataFrame:
+    """The examples dealt anew over ``parts`` partitions, each once; which one they go to changes with the epoch.
+
+    Examples have an ``id`` of their own, so equal ones (however many there are) are spread too, and a task that is run
+    again gets the same ones.
+    """
+    return examples.repartition(parts, F.xxhash64("id", F.lit(seed), F.lit(epoch))) if parts > 1 else examples
+
+
 def _epoch(examples: DataFrame, c: Config, o: Options, params: Parameters, diffusion: Diffusion | None, epoch: int) -> DataFrame:
     shared = examples.sparkSession.sparkContext.broadcast((params, diffusion))
 
@@ -170,13 +180,14 @@ def train(examples: DataFrame, dev: DataFrame | None, c: Config, o: Options, sta
 
     ``examples`` should be a stored table of ``build_examples`` rows; its partitions are the parallel trainers.
     """
-    examples = examples.filter("status = 'example'")
+    # ids by partition and place: the stored table gives the same ones each time it is read
+    examples = examples.filter("status = 'example'").withColumn("id", F.monotonically_increasing_id())
     params = start or (signed_start(c, o.seed) if o.diffusion else Parameters.init(c, o.seed))
     diffusion, best, best_params, losses, waited, epoch = o.diffusion, None, params, [], 0, 0
     parts = (examples.select(F.spark_partition_id().alias("part")).agg(F.max("part")).first()[0] or 0) + 1
     levels = max(1, int(np.ceil(np.log(parts) / np.log(FAN) - 1e-9)))
     for epoch in range(1, o.epochs + 1):  # noqa: B007
-        copies = _epoch(examples, c, o, params, diffusion, epoch)
+        copies = _epoch(dealt(examples, parts, o.seed, epoch), c, o, params, diffusion, epoch)
         for _ in range(levels):
             copies = copies.groupBy(F.floor(F.col("slot") / FAN).alias("g")).applyInPandas(_merge, "slot long, weight double, loss double, params binary")
         rows = copies.collect()

@@ -127,3 +127,43 @@ def test_stream_and_commands(spark, tmp_path):
     assert e.value.code == 2
     assert cli.main(["extract-dict", "--input", str(tmp_path / "in"), "--output", str(tmp_path / "d"), "--min-count", "1"]) == 0
     assert sorted(r.value for r in spark.read.text(str(tmp_path / "d")).collect()) == ["a", "b", "c\\/d"]
+
+
+def test_examples_are_dealt_anew_each_epoch(spark):
+    from pyspark.sql import functions as F
+
+    table = spark.range(600).withColumn("label", F.lit(1)).repartition(4).withColumn("id", F.monotonically_increasing_id())
+    deal = lambda epoch: {r.id: r.p for r in T.dealt(table, 4, 7, epoch).select("id", F.spark_partition_id().alias("p")).collect()}
+    first, again, second = deal(1), deal(1), deal(2)
+    assert first == again and set(first) == set(second) and len(first) == 600
+    moved = sum(first[i] != second[i] for i in first)
+    assert 350 < moved < 550 and set(first.values()) == set(second.values()) == {0, 1, 2, 3}
+    assert T.dealt(table, 1, 7, 1) is table
+
+
+def test_ordered_stream_keeps_what_came_before_a_bad_line(spark, tmp_path):
+    from kireme.plans.segmenter import space_model
+    from kireme.streaming.segment import read_ordered_stream, write_ordered_stream
+
+    source, out, check = tmp_path / "in", tmp_path / "out", tmp_path / "ck"
+    source.mkdir()
+    s = Segmenter(spark, space_model(), "int32")
+
+    def run():
+        q = write_ordered_stream(s, read_ordered_stream(spark, str(source)), str(out), str(check))
+        q.awaitTermination(60)
+        return q
+
+    read = lambda k: [x.replace(" \\  ", "_") for p in sorted((out / f"batch={k}").glob("part*")) for x in p.read_text().splitlines()]
+    (source / "a.txt").write_text("".join(f"l{i} x\n" for i in range(200)))
+    run()
+    want = [f"l{i}_x" for i in range(200)]
+    assert read(0) == want
+    (source / "b.txt").write_bytes(b"one\ntwo\n\xff bad\nlast\n")
+    for _ in range(2):
+        with pytest.raises(Exception, match="invalid UTF-8 in line 3 of .*b.txt"):
+            run()
+        assert read(0) == want and read(1) == ["one", "two"]
+    (source / "b.txt").write_bytes(b"one\ntwo\nmended\nlast\n")
+    run()
+    assert read(0) == want and read(1) == ["one", "two", "mended", "last"]
