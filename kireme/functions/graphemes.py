@@ -30,10 +30,13 @@ OTHER_EXTEND = "9BE 9D7 B3E B57 BBE BD7 CC0 CC2 CC7-CC8 CCA-CCB CD5-CD6 D3E D57
 PREPEND = "600-605 6DD 70F 890-891 8E2 D4E 110BD 110CD 111C2-111C3 113D1 1193F 11941 11A84-11A89 11D46 11F02"
 NO_MARK = "102B-102C 1038 1062-1064 1067-106D 1083 1087-108C 108F 109A-109C 1A61 1A63-1A64 AA7B AA7D 11720-11721"
 OTHER_MARK = "E33 EB3"
+# characters that later versions added to the marks
+NEWER_EXTEND = "5C8-5C9 897 B53-B54 1ACF-1AF0 10D69-10D6D 10ECB-10ECF 10EF0-10EFC 113BB-113C0 113CE 113D0 113D2 113E1-113E2 11B60 11B62-11B64 11B66 11DF0 11F5A 1611E-16129 1612D-1612F 1D127-1D128 1D250-1D252 1D25B-1D25C 1D25F 1D280-1D281 1E5EE-1E5EF 1E6E3 1E6E6 1E6EE-1E6EF 1E6F5"
+NEWER_MARK = "113B9-113BA 113CA 113CC-113CD 1171E 11B61 11B65 11B67 1612A-1612C"
 IGNORABLE = "2065 FFF0-FFF8 E0000-E001F E0080-E00FF E01F0-E0FFF"
 LINKER = "94D 9CD ACD B4D C4D D4D"
 CONSONANT = "915-939 958-95F 978-97F 995-9A8 9AA-9B0 9B2 9B6-9B9 9DC-9DD 9DF 9F0-9F1 A95-AA8 AAA-AB0 AB2-AB3 AB5-AB9 AF9 B15-B28 B2A-B30 B32-B33 B35-B39 B5C-B5D B5F B71 C15-C28 C2A-C39 C58-C5A D15-D3A"
-JAMO = {"L": "1100-115F A960-A97C", "V": "1160-11A7 D7B0-D7C6", "T": "11A8-11FF D7CB-D7FB"}
+JAMO = {"L": "1100-115F A960-A97C", "V": "1160-11A7 D7B0-D7C6 16D63 16D67-16D6A", "T": "11A8-11FF D7CB-D7FB"}
 PICTOGRAPH = (
     "A9 AE 203C 2049 2122 2139 2194-2199 21A9-21AA 231A-231B 2328 2388 23CF 23E9-23F3 23F8-23FA 24C2 25AA-25AB 25B6 25C0 25FB-25FE 2600-2605 2607-2612 2614-2685 2690-2705 2708-2712 2714 2716 271D 2721 2728 2733-2734 2744 2747 274C 274E 2753-2755 2757 2763-2767 2795-2797 27A1 27B0 27BF 2934-2935 2B05-2B07 2B1B-2B1C 2B50 2B55 3030 303D 3297 3299 "
     "1F000-1F0FF 1F10D-1F10F 1F12F 1F16C-1F171 1F17E-1F17F 1F18E 1F191-1F19A 1F1AD-1F1E5 1F201-1F20F 1F21A 1F22F 1F232-1F23A 1F23C-1F23F 1F249-1F3FA 1F400-1F53D 1F546-1F64F 1F680-1F6FF 1F774-1F77F 1F7D5-1F7FF 1F80C-1F80F 1F848-1F84F 1F85A-1F85F 1F888-1F88F 1F8AE-1F8FF 1F90C-1F93A 1F93C-1F945 1F947-1FAFF 1FC00-1FFFD"
@@ -60,6 +63,8 @@ def properties() -> np.ndarray:
     put(_points(NO_MARK), "O")
     put(np.isin(category, ["Mn", "Me"]), "E")
     put(_points(OTHER_EXTEND), "E")
+    put(_points(NEWER_EXTEND), "E")
+    put(_points(NEWER_MARK), "S")
     put(_points(PREPEND), "P")
     put(np.array([0x200C]), "B")
     put(_points(LINKER), "D")

@@ -130,18 +130,21 @@ def dictionary_hits(unit_rows: DataFrame, words: DataFrame, longest: int) -> Dat
     """
     table = prefixes(words)
     places = unit_rows.select(*KEYS, F.size("units").alias("n_units"), F.col("units").alias("_u"), F.posexplode("units").alias("start", "_g"))
-    # a place goes on with the units that a word could have, not with its whole line
-    places = places.select(*KEYS, "n_units", "start", "_g", F.slice("_u", F.col("start") + 1, F.lit(longest)).alias("_w"))
+    following = F.slice("_u", F.col("start") + 1, F.lit(longest)).alias("_w")
     if table.count() > BROADCAST_PREFIXES:
         whole = words.select(F.col("word").alias("_word"), "channel").distinct()
         grams = F.transform(F.sequence(F.lit(1), F.size("_w")), lambda k: F.struct(k.alias("len"), F.array_join(F.slice("_w", F.lit(1), k), "").alias("gram")))
-        rows = places.select(*KEYS, "n_units", "start", F.inline(grams))
+        rows = places.select(*KEYS, "n_units", "start", following).select(*KEYS, "n_units", "start", F.inline(grams))
         return rows.join(whole, F.col("gram") == F.col("_word")).select(*KEYS, "n_units", "start", "len", "channel")
     side, found = F.broadcast(table), []
     for k in range(1, min(longest, WALKED) + 1):
         level = side.select(F.col("gram").alias("_p"), F.col("channels").alias(f"_c{k}"))
-        following = F.when(F.col("_p").isNotNull(), F.concat("_g", F.get("_w", F.lit(k))))
-        places = places.join(level, F.col("_g") == F.col("_p"), "left").withColumn("_g", following).drop("_p")
+        if k == 1:
+            # most places end here; the others go on with the units that a word could have, not with their whole line
+            places = places.join(level, F.col("_g") == F.col("_p")).select(*KEYS, "n_units", "start", "_g", "_p", "_c1", following)
+        else:
+            places = places.join(level, F.col("_g") == F.col("_p"), "left")
+        places = places.withColumn("_g", F.when(F.col("_p").isNotNull(), F.concat("_g", F.get("_w", F.lit(k))))).drop("_p")
         found.append(F.struct(F.lit(k).alias("len"), F.col(f"_c{k}").alias("channels")))
     if longest > WALKED:
         # few places are open so long
