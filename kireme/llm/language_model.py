@@ -10,7 +10,8 @@ and the copies are averaged by their tokens in a tree of bounded groups. What is
 copies, grows with the input.
 
 Texts are read once, into blocks of documents: a block holds its distinct words with their counts, and each token as a
-place in that list. So what is done by word (counts, ids, shares of rare words) is done once for each word of a block.
+place in that list. So what is done by word (counts, ids, shares of rare words) is done once for each word of a block, on
+Arrow's arrays of words; no word becomes a Python object again.
 """
 
 from __future__ import annotations
@@ -18,12 +19,12 @@ from __future__ import annotations
 import math
 import re
 import zlib
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,6 +33,10 @@ from kireme.llm.storage import decoded, stored
 from kireme.operators.workers import once
 
 WORD = re.compile(r"\w+|[^\w\s]")
+#: Characters beyond ASCII that are no word's. In texts without them WORD's matches follow from bytes: 0 space, 1 in a word, 2 a token.
+OTHER = re.compile(r"[^\x00-\x7F\w]")
+KINDS = bytes(0 if chr(c).isspace() else 1 if re.match(r"\w", chr(c)) else 2 for c in range(128)) + bytes([1] * 128)
+SPACES = bytes(c for c, kind in enumerate(KINDS) if not kind)
 CLASSES, IN_CLASS = 48, 48
 SIZE = CLASSES * IN_CLASS
 #: A word that is at least this part of all tokens has an id of its own, and at least the SIZE most frequent ones do; larger
@@ -43,15 +48,15 @@ DIMENSIONS, HIDDEN, SIDE = 8, 16, 2
 ROUNDS, BATCH, RATE = 2, 8192, 0.1
 #: Places that are scored at once; parameter copies that one task averages, and their bytes (two copies at least).
 SCORED, FAN, AVERAGED = 8192, 32, 64_000_000
-#: Words whose ids a worker remembers; tokens and documents that close a block (a longer document has a block of its own).
-REMEMBERED, BLOCK = 500_000, 1 << 20
+#: Tokens and documents that close a block (a longer document has a block of its own).
+BLOCK = 1 << 20
 
 
 def tokenized(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Blocks of rows: block (unique), doc_ids and lengths of the rows, words (distinct), counts (tokens of each word) and tokens.
+    """Blocks of rows: block (unique), doc_ids and lengths of the rows, words (distinct), counts (tokens of each word), buckets (``_buckets`` of each word) and tokens.
 
     ``tokens`` holds the place of every token in ``words``: the lowest bytes of all places, then the next higher ones, and
-    so on, which compresses to half of 32 bits a place. The table is stored, so that later passes read no texts.
+    so on, as many as the places need. The table is stored, so that later passes read no texts.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -65,36 +70,72 @@ def tokenized(docs: DataFrame, text: str = "text") -> DataFrame:
         if block.size:
             yield block.row()
 
-    blocks = docs.select("doc_id", text).mapInArrow(run, "doc_ids array<long>, lengths array<long>, tokens binary, words array<string>, counts array<long>")
-    return stored(blocks.withColumn("block", F.monotonically_increasing_id()), "token-blocks")
+    blocks = docs.select("doc_id", text).mapInArrow(run, "doc_ids array<long>, lengths array<long>, tokens binary, words array<string>, counts array<long>, buckets binary")
+    # pages of megabytes: Snappy's codec would keep direct buffers of that size for each, outside the heap
+    return stored(blocks.withColumn("block", F.monotonically_increasing_id()), "token-blocks", "zstd")
 
 
-def _planes(places: np.ndarray) -> bytes:
-    return np.ascontiguousarray(places.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+def _planes(places: np.ndarray, words: int) -> bytes:
+    used = max(1, (words.bit_length() + 7) // 8)
+    return np.ascontiguousarray(places.astype("<u4").view(np.uint8).reshape(-1, 4).T[:used]).tobytes()
 
 
-def _places(planes: pa.Scalar) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(planes.as_buffer() or b"", np.uint8).reshape(4, -1).T).view("<u4").ravel()
+def _places(planes: pa.Scalar, n: int) -> np.ndarray:
+    found = np.zeros((n, 4), np.uint8)
+    if n:
+        read = np.frombuffer(planes.as_buffer(), np.uint8).reshape(-1, n)
+        found[:, : len(read)] = read.T
+    return found.view("<u4").ravel()
+
+
+def _buckets(words: pa.Array) -> np.ndarray:
+    """The ids that words have outside the vocabulary: 1 to RARE."""
+    found = np.fromiter(map(zlib.crc32, words.cast(pa.binary()).to_numpy(zero_copy_only=False)), np.uint32, len(words))
+    return (1 + found % RARE).astype(np.uint8)
+
+
+def _words(text: str | None) -> pa.Array:
+    """WORD's matches in the lower-cased text."""
+    text = text.lower() if text else ""
+    if not text or OTHER.search(text):
+        return pa.array(WORD.findall(text), pa.string())
+    raw = text.encode()
+    kinds = np.frombuffer(raw.translate(KINDS), np.uint8)
+    word, first, last = kinds == 1, kinds == 2, kinds == 2
+    first[0] |= word[0]
+    last[-1] |= word[-1]
+    first[1:] |= word[1:] > word[:-1]
+    last[:-1] |= word[:-1] > word[1:]
+    starts = np.flatnonzero(first)
+    offsets = np.zeros(len(starts) + 1, np.int32)
+    np.cumsum(np.flatnonzero(last) + 1 - starts, out=offsets[1:])
+    return pa.StringArray.from_buffers(len(starts), pa.py_buffer(offsets), pa.py_buffer(raw.translate(None, SPACES)))
 
 
 class _Block:
     def __init__(self) -> None:
-        self.doc_ids, self.lengths, self.tokens, self.size = [], [], [], 0
-        self.places = defaultdict()
-        self.places.default_factory = self.places.__len__
+        self.doc_ids, self.lengths, self.words, self.size = [], [], [], 0
 
     def add(self, doc_id: int | None, text: str | None) -> None:
-        words = WORD.findall(text.lower()) if text else []
+        words = _words(text)
         self.doc_ids.append(doc_id)
         self.lengths.append(len(words))
-        self.tokens.append(np.fromiter(map(self.places.__getitem__, words), np.uint32, len(words)))
+        self.words.append(words)
         self.size += 1 + len(words)
 
     def row(self) -> pa.RecordBatch:
-        tokens = np.concatenate(self.tokens)
-        longs, strings = pa.list_(pa.int64()), pa.list_(pa.string())
-        columns = [pa.array([self.doc_ids], longs), pa.array([self.lengths], longs), pa.array([_planes(tokens)], pa.binary()), pa.array([list(self.places)], strings), pa.array([np.bincount(tokens, minlength=len(self.places))], longs)]
-        return pa.RecordBatch.from_arrays(columns, ["doc_ids", "lengths", "tokens", "words", "counts"])
+        # the chunks that hold tokens share one list of words, by first occurrence
+        chunks = pa.chunked_array(self.words, pa.string()).dictionary_encode().chunks
+        words = chunks[0].dictionary if chunks else pa.array([], pa.string())
+        tokens = np.concatenate([np.zeros(0, np.int32), *(c.indices.to_numpy() for c in chunks)])
+        longs = pa.list_(pa.int64())
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array([self.doc_ids], longs), pa.array([self.lengths], longs), pa.array([_planes(tokens, len(words))], pa.binary()), pa.ListArray.from_arrays([0, len(words)], words),
+                pa.array([np.bincount(tokens, minlength=len(words))], longs), pa.array([_buckets(words).tobytes()], pa.binary()),
+            ],
+            ["doc_ids", "lengths", "tokens", "words", "counts", "buckets"],
+        )
 
 
 def word_counts(blocks: DataFrame) -> DataFrame:
@@ -119,52 +160,46 @@ def classes_for(words: list[str]) -> int:
     return max(CLASSES, math.isqrt(len(words) + RARE) + 1)
 
 
-class _Rare(dict):
-    """Ids by word; a word outside the vocabulary gets one by its hash, and is remembered while there is room."""
-
-    def __missing__(self, word: str) -> int:
-        k = 1 + zlib.crc32(word.encode("utf-8", "surrogatepass")) % RARE
-        if len(self) < REMEMBERED:
-            self[word] = k
-        return k
-
-
 class Tokens:
     def __init__(self, words: list[str]):
-        self.ids = _Rare({w: RARE + 1 + i for i, w in enumerate(words)})
+        self.words = pa.array(words, pa.string())
 
-    def of(self, words: list[str]) -> np.ndarray:
-        return np.fromiter(map(self.ids.__getitem__, words), np.int64, len(words))
+    def of(self, words: pa.Array, buckets: np.ndarray) -> np.ndarray:
+        """Ids by word; a word outside the vocabulary has that of its bucket."""
+        own = pc.index_in(words, self.words).fill_null(-1).to_numpy(zero_copy_only=False)
+        return np.where(own < 0, buckets, RARE + 1 + own).astype(np.int32)
 
     def encode(self, text: str | None) -> np.ndarray:
-        return self.of(WORD.findall(text.lower()) if text else [])
+        words = _words(text)
+        return self.of(words, _buckets(words))
 
 
-def rare_terms(blocks: DataFrame, counts: DataFrame, words: list[str]) -> DataFrame:
-    """block and rare: place and log-probability within its bucket of each word of a block that is not in ``words``.
+def word_terms(blocks: DataFrame, counts: DataFrame, words: list[str]) -> DataFrame:
+    """block and terms: place, id and log-probability within its bucket of each word of a block; 0 for those in ``words``.
 
     That probability is the word's count in the whole corpus over the count of its bucket. A block's list is as long as
-    its distinct words at most.
+    its distinct words.
     """
-    known = blocks.sparkSession.createDataFrame([(w,) for w in words], "w string")
-    rare = counts.join(F.broadcast(known), "w", "left_anti").withColumn("bucket", F.crc32(F.encode("w", "UTF-8")) % RARE)
-    totals = rare.groupBy("bucket").agg(F.sum("n").alias("total"))
-    shares = rare.join(F.broadcast(totals), "bucket").select("w", F.ln(F.col("n") / F.col("total")).alias("share"))
+    known = blocks.sparkSession.createDataFrame([(w, RARE + 1 + i) for i, w in enumerate(words)], "w string, id int")
+    rare = counts.join(F.broadcast(known), "w", "left_anti").withColumn("id", (1 + F.crc32(F.encode("w", "UTF-8")) % RARE).cast("int"))
+    totals = rare.groupBy("id").agg(F.sum("n").alias("total"))
+    shares = rare.join(F.broadcast(totals), "id").select("w", "id", F.ln(F.col("n") / F.col("total")).alias("share"))
+    each = shares.unionByName(known.withColumn("share", F.lit(0.0)))
     placed = blocks.select("block", F.posexplode("words").alias("place", "w"))
-    return placed.join(shares, "w").groupBy("block").agg(F.collect_list(F.struct("place", "share")).alias("rare"))
+    # a word is once in each, so a partition's hash table has its distinct words, and their places need no sort
+    return placed.join(each.hint("shuffle_hash"), "w").groupBy("block").agg(F.collect_list(F.struct("place", "id", "share")).alias("terms"))
 
 
 class _Placed:
-    """A block's tokens as places in its list of words (``local``) and as ids, with the document of each."""
+    """A block's tokens as places in its list of words (``local``) and as ids, given those of its words."""
 
-    def __init__(self, lengths: pa.Scalar, tokens: pa.Scalar, words: pa.Scalar, known: Tokens):
+    def __init__(self, lengths: pa.Scalar, tokens: pa.Scalar, ids: np.ndarray):
         self.lengths = lengths.values.to_numpy()
-        self.local = _places(tokens)
-        self.ids = known.of(words.values.to_pylist()).take(self.local)
-        self.owner = np.repeat(np.arange(len(self.lengths)), self.lengths)
+        self.local = _places(tokens, int(self.lengths.sum()))
+        self.ids = ids.take(self.local)
         # edges stand between the documents, SIDE of them
-        self.at = np.arange(len(self.ids)) + SIDE * (self.owner + 1)
-        self.padded = np.zeros(len(self.ids) + SIDE * (len(self.lengths) + 1), np.int64)
+        self.at = np.arange(len(self.ids)) + np.repeat(SIDE * (np.arange(len(self.lengths)) + 1), self.lengths)
+        self.padded = np.zeros(len(self.ids) + SIDE * (len(self.lengths) + 1), np.int32)
         self.padded[self.at] = self.ids
 
     def contexts(self, places: np.ndarray) -> np.ndarray:
@@ -173,8 +208,15 @@ class _Placed:
 
     def dealt(self, r: int, rounds: int) -> np.ndarray:
         """The places that ``dealt`` gives for each document."""
-        own = np.arange(len(self.ids)) - np.repeat(np.cumsum(self.lengths) - self.lengths, self.lengths)
-        return np.flatnonzero((own - r - self.lengths[self.owner]) % rounds == 0)
+        skipped = (r + self.lengths) % rounds
+        taken = (self.lengths - skipped + rounds - 1) // rounds
+        first = np.cumsum(self.lengths) - self.lengths + skipped
+        return np.repeat(first - rounds * (np.cumsum(taken) - taken), taken) + rounds * np.arange(taken.sum())
+
+    def totals(self, values: np.ndarray) -> np.ndarray:
+        """The sum of the tokens' ``values`` in each document."""
+        # without any token the sums would be integers
+        return np.bincount(np.repeat(np.arange(len(self.lengths)), self.lengths), values, len(self.lengths)).astype(np.float64)
 
 
 def start(seed: int = 3, classes: int = CLASSES) -> dict[str, np.ndarray]:
@@ -263,8 +305,9 @@ def train_step(p: dict[str, np.ndarray], memory: dict[str, np.ndarray], context:
     order = _by_class(target, classes)
     context, target = context.take(order, axis=0), target[order]
     v, h, both, spans = _forward(p, context, target)
-    np.exp(both, out=both)
-    both /= (both @ np.ones(classes, both.dtype))[..., None]
+    for level in both:
+        np.exp(level, out=level)
+        level /= (level @ np.ones(classes, level.dtype))[:, None]
     rows = np.arange(n)
     both[0, rows, target % classes] -= 1
     both[1, rows, target // classes] -= 1
@@ -278,9 +321,9 @@ def train_step(p: dict[str, np.ndarray], memory: dict[str, np.ndarray], context:
         grads["wt"][c], grads["bt"][c] = of_class[:-1], of_class[-1]
     d_z = d_h * (1 - h[:, :HIDDEN] ** 2)
     grads["w1"], grads["b1"] = v.T @ d_z, d_z.sum(0)
-    d_v = (d_z @ p["w1"].T).reshape(-1, DIMENSIONS)
-    flat, size = context.ravel(), len(p["emb"])
-    grads["emb"] = np.stack([np.bincount(flat, d_v[:, k], size) for k in range(DIMENSIONS)], 1).astype(np.float32)
+    d_v = d_z @ p["w1"].T
+    cells = context.reshape(-1, 1) * DIMENSIONS + np.arange(DIMENSIONS)
+    grads["emb"] = np.bincount(cells.ravel(), d_v.ravel(), p["emb"].size).reshape(p["emb"].shape).astype(np.float32)
     for k, d in grads.items():
         # what has no gradient is left alone
         d /= n
@@ -331,8 +374,8 @@ def train(blocks: DataFrame, words: list[str], rounds: int = ROUNDS, seed: int =
             p, seen = unpack(known.value, classes), 0
             memory = {k: np.zeros_like(v) for k, v in p.items()}
             for batch in batches:
-                for row in zip(*batch.columns, strict=True):
-                    placed = _Placed(*row, once(vocabulary, Tokens))
+                for lengths, tokens, found, buckets in zip(*batch.columns, strict=True):
+                    placed = _Placed(lengths, tokens, once(vocabulary, Tokens).of(found.values, np.frombuffer(buckets.as_py(), np.uint8)))
                     places = placed.dealt(r, rounds)
                     for at in range(0, len(places), BATCH):
                         some = places[at : at + BATCH]
@@ -341,7 +384,7 @@ def train(blocks: DataFrame, words: list[str], rounds: int = ROUNDS, seed: int =
             if seen:
                 yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([float(seen)]), pa.array([pack(p)], pa.binary())], ["slot", "weight", "params"])
 
-        params = _average(blocks.select("lengths", "tokens", "words").mapInArrow(run, "slot long, weight double, params binary")) or params
+        params = _average(blocks.select("lengths", "tokens", "words", "buckets").mapInArrow(run, "slot long, weight double, params binary")) or params
     return unpack(params, classes)
 
 
@@ -357,26 +400,26 @@ def pseudo_likelihood(docs: DataFrame, words: list[str] | None = None, params: d
     words = frequent(counts) if words is None else words
     params = train(blocks, words) if params is None else params
     classes = params["wc"].shape[1]
-    shared = docs.sparkSession.sparkContext
-    vocabulary, known = shared.broadcast(words), shared.broadcast(pack(params))
+    known = docs.sparkSession.sparkContext.broadcast(pack(params))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = unpack(known.value, classes)
         for batch in batches:
-            for doc_ids, rare, *row in zip(*batch.columns, strict=True):
-                placed = _Placed(*row, once(vocabulary, Tokens))
-                found = np.empty(len(placed.ids))
+            for doc_ids, lengths, tokens, terms in zip(*batch.columns, strict=True):
+                # a block without tokens has no terms
+                size = len(terms.values) if terms.is_valid else 0
+                ids, share = np.zeros(size, np.int32), np.zeros(size)
+                if size:
+                    place = terms.values.field("place").to_numpy()
+                    ids[place], share[place] = terms.values.field("id").to_numpy(), terms.values.field("share").to_numpy()
+                placed = _Placed(lengths, tokens, ids)
+                found = share.take(placed.local)
                 # blocks are scored in parts, so that the arrays stay small
                 for at in range(0, len(found), SCORED):
                     some = np.arange(at, min(at + SCORED, len(found)))
-                    found[some] = log_probabilities(p, placed.contexts(some), placed.ids[some])
-                if rare.is_valid:
-                    share = np.zeros(len(row[2].values))
-                    share[rare.values.field("place").to_numpy()] = rare.values.field("share").to_numpy()
-                    found += share.take(placed.local)
-                # without any token the sums would be integers
-                total = np.bincount(placed.owner, found, len(placed.lengths)).astype(np.float64)
-                yield pa.RecordBatch.from_arrays([doc_ids.values, pa.array(placed.lengths), pa.array(total)], ["doc_id", "n_tokens", "sum_logprob"])
-
-    scored = blocks.join(rare_terms(blocks, counts, words), "block", "left").select("doc_ids", "rare", "lengths", "tokens", "words").mapInArrow(run, "doc_id long, n_tokens long, sum_logprob double")
+                    found[some] += log_probabilities(p, placed.contexts(some), placed.ids[some])
+                yield pa.RecordBatch.from_arrays([doc_ids.values, lengths.values, pa.array(placed.totals(found))], ["doc_id", "n_tokens", "sum_logprob"])
+
+    # neither texts nor words are shuffled with the blocks
+    scored = blocks.select("block", "doc_ids", "lengths", "tokens").join(word_terms(blocks, counts, words), "block", "left").select("doc_ids", "lengths", "tokens", "terms").mapInArrow(run, "doc_id long, n_tokens long, sum_logprob double")
     return scored.withColumn("mean_logprob", F.when(F.col("n_tokens") > 0, F.col("sum_logprob") / F.col("n_tokens")).otherwise(0.0))

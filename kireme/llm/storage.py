@@ -35,15 +35,15 @@ def decoded(column: pa.Array) -> Iterator[str | None]:
         yield None if value is None else value.decode("utf-8", "replace")
 
 
-def stored(df: DataFrame, name: str = "table") -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back.
+def stored(df: DataFrame, name: str = "table", codec: str | None = None) -> DataFrame:
+    """Write ``df`` as Parquet (compressed by ``codec``, else as the session says) to the shared folder and read it back.
 
     The written table survives lost executors, and its rows (also those of ``spark_partition_id`` or other
     expressions that depend on the layout) stay as they were written.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     return spark.read.schema(df.schema).parquet(path)
 
 

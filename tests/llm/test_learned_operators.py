@@ -222,3 +222,64 @@ def test_language_model_tells_rare_words_apart(docs):
     seen = language_model.log_probabilities(p, np.zeros((1, 4), np.int64), np.array([1 + bucket(a)]))[0]
     assert got[0] == got[2] == got[3] == got[None]
     assert abs(got[0] - seen - np.log(0.8)) < 1e-5 and abs(got[1] - seen - np.log(0.2)) < 1e-5
+
+
+def test_language_model_against_brute_force(docs):
+    """Scores from ids, shares and windows made word by word; neither words nor texts are shuffled with the blocks' tokens."""
+    texts = ["Été 日本 a b, a B c! x1", None, "", " \n", "a b c rare0 a b c rare1 rare0", "İ ǅ ß c c c", "b", "rare2 a"]
+    table, words = docs(*texts, *texts[:1], (None, texts[4])).repartition(3, "doc_id"), ["a", "b", "c", ",", "unseen"]
+    p = language_model.start()
+    df = language_model.pseudo_likelihood(table, words, p)
+    scans = [line for line in df._jdf.queryExecution().executedPlan().toString().splitlines() if "FileScan" in line and "tokens#" in line]
+    assert scans and not any("words#" in line for line in scans)
+    split = [language_model.WORD.findall((t or "").lower()) for t in texts]
+    split += [split[0], split[4]]
+    every = [w for ws in split for w in ws]
+    bucket = lambda w: 1 + zlib.crc32(w.encode()) % language_model.RARE
+    want = []
+    for ws in split:
+        ids = np.array([language_model.RARE + 1 + words.index(w) if w in words else bucket(w) for w in ws], np.int64)
+        assert np.array_equal(language_model.Tokens(words).encode(" ".join(ws)), ids)
+        share = sum(np.log(every.count(w) / sum(bucket(o) == bucket(w) for o in every if o not in words)) for w in ws if w not in words)
+        want.append(share + (language_model.log_probabilities(p, language_model.around(ids, np.arange(len(ids))), ids).sum(dtype=np.float64) if ws else 0))
+    got = {r.doc_id: r for r in df.collect()}
+    assert len(got) == df.count() == len(want)
+    for i, (ws, total) in enumerate(zip(split, want, strict=True)):
+        row = got[i if i < len(want) - 1 else None]
+        assert row.n_tokens == len(ws) and abs(row.sum_logprob - total) < 1e-4
+
+
+def test_language_model_blocks():
+    """A block's words, counts and buckets, and the places of each round, are those of its documents."""
+    texts = ["b a b", None, "", "c a 日本 .", "a", *[" ".join(f"w{i % 7}" for i in range(n)) for n in range(9)]]
+    block = language_model._Block()
+    for i, t in enumerate(texts):
+        block.add(i, t)
+    row = {k: v[0] for k, v in block.row().to_pydict().items()}
+    split = [language_model.WORD.findall(t or "") for t in texts]
+    every = [w for ws in split for w in ws]
+    assert row["words"] == list(dict.fromkeys(every)) and row["counts"] == [every.count(w) for w in row["words"]]
+    assert row["lengths"] == list(map(len, split)) and list(row["buckets"]) == [1 + zlib.crc32(w.encode()) % language_model.RARE for w in row["words"]]
+    arrays = block.row()
+    placed = language_model._Placed(arrays["lengths"][0], arrays["tokens"][0], np.arange(len(row["words"])))
+    assert [row["words"][k] for k in placed.ids] == every
+    starts = np.cumsum([0, *row["lengths"]])
+    for rounds in (1, 2, 3):
+        for r in range(rounds):
+            want = [at + k for at, n in zip(starts, row["lengths"], strict=False) for k in language_model.dealt(n, r, rounds)]
+            assert placed.dealt(r, rounds).tolist() == want
+    assert np.array_equal(placed.totals(np.ones(len(every))), row["lengths"])
+    empty = language_model._Block()
+    empty.add(1, None)
+    made = empty.row().to_pydict()
+    assert made["words"] == [[]] and made["tokens"] == [b""] and made["lengths"] == [[0]]
+
+
+def test_language_model_words_follow_the_pattern():
+    """Words made from bytes are the pattern's, for every character and for spaces, controls and letters in any order."""
+    every = [f"a{chr(c)}b" for c in range(0x110000) if not 0xD800 <= c < 0xE000 and (c < 0x3100 or c % 97 == 0)]
+    rng = np.random.default_rng(2)
+    signs = list("ab_9Z., \t\n\x0b\x1c\x1f\x00\x7f\x85\xa0é日İǅß²“😀　ª٣")
+    for text in every + ["".join(rng.choice(signs[: 15 if k % 2 else None], rng.integers(0, 12))) for k in range(2000)]:
+        assert language_model._words(text).to_pylist() == language_model.WORD.findall(text.lower()), repr(text)
+    assert language_model._words(None).to_pylist() == []
