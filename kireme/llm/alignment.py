@@ -1,9 +1,11 @@
 """Alignment of two tokenizers over the same bytes: common cuts, groups between them, linked tokens and how common each link is.
 
-A worker encodes a block of texts with both tokenizers and lays the tokens of the block on one line of bytes: running
+A worker encodes texts with both tokenizers and lays their tokens on one line of bytes: running
 sums are the ends, ends that both have are cuts, and a search of the ends among the cuts tells a token's group.
 Overlapping tokens are a stretch of tokens of the other side, so links come from repeating each token as often as its
-stretch is long. Blocks are stored once with their distinct pairs. How many documents hold a pair is summed in two
+stretch is long. A blank behind anything but white space is a cut of every text, so this is done for the units between
+such cuts, once for each unit that a worker remembers, and a text has what its units have. Texts are dealt with in
+blocks, which are stored once with their distinct pairs. How many documents hold a pair is summed in two
 shuffles, by pair and salt and then by pair, and comes back to each block by its number: the shuffles carry a pair once
 for each block and not for each document, so the most common pair has as many rows as there are blocks.
 """
@@ -12,8 +14,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from array import array
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,46 +30,28 @@ from kireme.operators.workers import once
 
 #: Bytes of text in a block; a longer text is a block of its own.
 BLOCK_BYTES = 2 << 20
-#: Chunks that a worker remembers for each side before it starts anew (one block may add more).
-REMEMBERED = 150_000
+#: Units that a worker remembers before it keeps the more used half of them (one block may add more).
+REMEMBERED = 250_000
+#: Tokens of both sides that it remembers for a unit, on average.
+UNIT_TOKENS = 16
 SALTS = 16
 #: The pieces in which byte-level vocabularies read a text.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Texts that a vocabulary must encode alike whole and in chunks before chunks are used.
+#: From a blank to the next one that does not follow white space: pieces of neither side go on across that one.
+UNITS = r" [^ ]*+(?:(?<=[\s\u180e]) [^ ]*+)*+"
+#: Texts that a vocabulary must encode alike whole and in units before units are used.
 PROBES = ("The dog's, 3.5. (a)...  X", " a,b. c, d.\n\n  E\tf  g ", "Été ß. naïve, ÀB’s 　日本. x   ", "ａ１ﬁ ½ \x00\x85 12 345")
 
 
-class _Chunks:
-    """Ids of chunks, encoded when they first occur, and whether their tokens' bytes are the chunk's."""
+def _spread(values: np.ndarray, sizes: np.ndarray, numbers: np.ndarray) -> np.ndarray:
+    """The values of lists ``numbers``, one after the other; ``values`` holds all lists, ``sizes`` their lengths."""
+    size = sizes[numbers]
+    return values[np.arange(size.sum()) + np.repeat((np.cumsum(sizes) - sizes)[numbers] - (np.cumsum(size) - size), size)]
 
-    def __init__(self, encode: Callable[[list[str]], list[list[int]]], token: list[bytes]):
-        self.encode, self.token = encode, token
-        self.restart()
 
-    def restart(self) -> None:
-        self.number: dict[str, int] = {}
-        self.ids, self.at, self.fits = array("i"), array("q", [0]), array("b")
-
-    def numbers(self, chunks: list[str]) -> np.ndarray:
-        new = [*set(chunks).difference(self.number)]
-        for chunk, ids in zip(new, self.encode(new), strict=True):
-            self.number[chunk] = len(self.fits)
-            self.ids.extend(ids)
-            self.at.append(len(self.ids))
-            self.fits.append(b"".join([self.token[i] for i in ids]) == chunk.encode())
-        return np.fromiter(map(self.number.__getitem__, chunks), np.int64, len(chunks))
-
-    def tokens(self, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Ids of all texts' chunks, their number for each text, and whether each text's bytes are kept."""
-        if len(self.fits) > REMEMBERED:
-            self.restart()
-        numbers = self.numbers([c for t in texts for c in t])
-        ids, at, fits = np.array(self.ids, np.int64), np.array(self.at, np.int64), np.array(self.fits, bool)
-        size = np.diff(at)[numbers]
-        flat = ids[np.arange(size.sum()) + np.repeat(at[numbers] - (np.cumsum(size) - size), size)]
-        bounds = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
-        before, bad = np.concatenate([[0], np.cumsum(size)]), np.concatenate([[0], np.cumsum(~fits[numbers])])
-        return flat, np.diff(before[bounds]), np.diff(bad[bounds]) == 0
+def _sums(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Sums over neighbouring stretches of ``sizes`` values."""
+    return np.diff(np.append(0, np.cumsum(values))[np.append(0, np.cumsum(sizes))])
 
 
 class Sides:
@@ -88,43 +71,119 @@ class Sides:
         for i in range(self.second.get_piece_size()):
             piece = self.second.id_to_piece(i)
             b_bytes.append(bytes([int(piece[3:5], 16)]) if self.second.is_byte(i) else piece.replace("▁", " ").encode())
+        self.a_bytes, self.b_bytes = (np.frombuffer(b"".join(x), np.uint8) for x in (a_bytes, b_bytes))
         self.a_size, self.b_size = np.array([*map(len, a_bytes)], np.int64), np.array([*map(len, b_bytes)], np.int64)
         self.find = regex.compile(PIECES).findall
-        self.tested, self.alike = np.zeros(0x110000, bool), np.ones(0x110000, bool)
-        self.a = _Chunks(lambda new: [[t.id for t in self.first.model.tokenize("".join([self.letters[b] for b in c.encode()]))] for c in new], a_bytes)
-        self.b = _Chunks(self._second, b_bytes)
+        self.tested: set[str] = set(map(chr, range(128)))
+        self.unlike: set[str] = set()
         blank = self.second.piece_to_id("▁")
         self.blank = [blank]
         # no piece goes on across a blank, and whole texts agree: chunks from blank to blank may be encoded alone
         self.chunked = not any("▁" in self.second.id_to_piece(i).lstrip("▁") for i in range(len(b_bytes)))
         self.chunked = self.chunked and all(sum(self._second(re.findall(" +[^ ]*", f" {t}")), []) == self.second.encode(t) for t in PROBES)
+        self.split = re.compile(UNITS).findall if self.chunked else lambda text: [text]
         # ids of groups as text, with what may come after them
         self.words = [f"{i}{s}" for s in (",", "|") for i in range(len(a_bytes))] + [f"{i}{s}" for s in (",", ";", "") for i in range(len(b_bytes))]
+        self._restart()
+
+    def _restart(self) -> None:
+        """Forget all units. Of each: tokens of both sides, groups as text and by number, linked ids, blocks that used it, and whether both sides keep its bytes."""
+        self.number: dict[str, int] = {}
+        self.groups: list[str] = []
+        self.a, self.b, self.links, self.n_a, self.n_b, self.n_groups, self.n_links, self.used = (np.zeros(0, np.int64) for _ in range(8))
+        self.fits = np.zeros(0, bool)
+
+    def _forget(self) -> None:
+        """Forget the less used units if there are too many, or all if the others are too long; older use counts for less each time."""
+        if len(self.number) > REMEMBERED:
+            kept = np.sort(np.argsort(-self.used, kind="stable")[: REMEMBERED // 2])
+            names = [*self.number]
+            self.number = {names[k]: i for i, k in enumerate(kept.tolist())}
+            self.groups = [self.groups[k] for k in kept.tolist()]
+            self.a, self.b, self.links = (_spread(x, n, kept) for x, n in ((self.a, self.n_a), (self.b, self.n_b), (self.links, self.n_links)))
+            self.n_a, self.n_b, self.n_groups, self.n_links, self.fits = (x[kept] for x in (self.n_a, self.n_b, self.n_groups, self.n_links, self.fits))
+            self.used = self.used[kept] >> 1
+        if len(self.a) + len(self.b) > UNIT_TOKENS * REMEMBERED:
+            self._restart()
 
     def _second(self, chunks: list[str]) -> list[list[int]]:
         """Ids of chunks that begin with the blank which the model adds."""
         found = self.second.encode([c[1:] for c in chunks], num_threads=1) if chunks else []
         return [self.blank if c == " " else ids for c, ids in zip(chunks, found, strict=True)]
 
-    def _pieces(self, text: str) -> list[str]:
+    def _first(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all units and their number for each."""
+        self._test(set("".join(u for u in units if not u.isascii())) - self.tested)
+        pieces = [[u] if u.isascii() and u[1:].isalpha() else self._pieces(u) for u in units]
+        flat = [p for x in pieces for p in x]
+        number = {p: i for i, p in enumerate(dict.fromkeys(flat))}
+        letters, tokenize = self.letters, self.first.model.tokenize
+        # printable ASCII is written as itself, but for the blank
+        made = [[t.id for t in tokenize(p.replace(" ", letters[32]) if p.isascii() and p.isprintable() else "".join([letters[b] for b in p.encode()]))] for p in number]
+        size = np.fromiter(map(len, made), np.int64, len(made))
+        at = np.fromiter(map(number.__getitem__, flat), np.int64, len(flat))
+        ids = _spread(np.array([i for x in made for i in x], np.int64), size, at)
+        return ids, _sums(size[at], np.fromiter(map(len, pieces), np.int64, len(pieces)))
+
+    def _test(self, characters: set[str]) -> None:
+        """Find characters whose class for the vocabulary's own splitter is not the pattern's."""
+        for c in characters:
+            probe = f"a{c}1{c}! "
+            if self.find(probe) != [probe[s:e] for _, (s, e) in self.first.pre_tokenizer.pre_tokenize_str(probe)]:
+                self.unlike.add(c)
+        self.tested |= characters
+
+    def _pieces(self, unit: str) -> list[str]:
         """Pieces as the vocabulary's own splitter makes them; it is asked where a character's class differs from the pattern's."""
-        if not text.isascii():
-            cps = np.frombuffer(text.encode("utf-32-le"), np.uint32)
-            for c in np.unique(cps[~self.tested[cps]]).tolist():
-                probe = f"a{chr(c)}1{chr(c)}! "
-                self.alike[c] = self.find(probe) == [probe[s:e] for _, (s, e) in self.first.pre_tokenizer.pre_tokenize_str(probe)]
-                self.tested[c] = True
-            if not self.alike[cps].all():
-                return [text[s:e] for _, (s, e) in self.first.pre_tokenizer.pre_tokenize_str(text)]
-        return self.find(text)
+        if self.unlike and not unit.isascii() and not self.unlike.isdisjoint(unit):
+            return [unit[s:e] for _, (s, e) in self.first.pre_tokenizer.pre_tokenize_str(unit)]
+        return self.find(unit)
+
+    def _learn(self, units: list[str]) -> None:
+        """Align units that were not met before."""
+        a, n_a = self._first(units)
+        # a unit may be long and hold blanks behind white space: the second side encodes from blank to blank
+        chunks = [re.findall(" +[^ ]*", u) if self.chunked and u.find(" ", 1) > 0 else [u] for u in units]
+        found = self._second([c for x in chunks for c in x])
+        n_b = _sums(np.fromiter(map(len, found), np.int64, len(found)), np.fromiter(map(len, chunks), np.int64, len(chunks)))
+        b = np.array([i for x in found for i in x], np.int64)
+        coded = [u.encode() for u in units]
+        size, whole = np.fromiter(map(len, coded), np.int64, len(coded)), np.frombuffer(b"".join(coded), np.uint8)
+        fits = np.ones(len(units), bool)
+        for ids, n, sizes, token in ((a, n_a, self.a_size, self.a_bytes), (b, n_b, self.b_size, self.b_bytes)):
+            same = _sums(sizes[ids], n) == size
+            kept = _spread(token, sizes, ids[np.repeat(same, n)]) == whole[np.repeat(same, size)]
+            fits &= same
+            fits[same] &= _sums(~kept, size[same]) == 0
+        a, b, n_a, n_b = a[np.repeat(fits, n_a)], b[np.repeat(fits, n_b)], np.where(fits, n_a, 0), np.where(fits, n_b, 0)
+        x = aligned(a, n_a, self.a_size[a], b, n_b, self.b_size[b])
+        self.number.update(zip(units, range(len(self.number), len(self.number) + len(units)), strict=True))
+        self.groups += self.group_texts(x)
+        new = {"a": a, "b": b, "links": a[x.link_a] << 32 | b[x.link_b], "n_a": n_a, "n_b": n_b, "n_groups": x.n_groups, "n_links": np.bincount(x.link_text, minlength=len(units)), "used": np.zeros(len(units), np.int64), "fits": fits}
+        for name, values in new.items():
+            setattr(self, name, np.concatenate([getattr(self, name), values]))
+
+    def units(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Numbers of the distinct units of all texts, the places of each text's units among them, and how many each text has: none if a side does not keep its bytes."""
+        self._forget()
+        split = [self.split(f" {t}") if t else [] for t in texts]
+        n = np.fromiter(map(len, split), np.int64, len(split))
+        coded = pa.array([u for x in split for u in x], pa.large_string()).dictionary_encode()
+        names, at = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        if new := [u for u in names if u not in self.number]:
+            self._learn(new)
+        numbers = np.fromiter(map(self.number.__getitem__, names), np.int64, len(names))
+        self.used[numbers] += 1
+        fits = _sums(~self.fits[numbers][at], n) == 0
+        at, n = at[np.repeat(fits, n)], np.where(fits, n, 0)
+        held = np.bincount(at, minlength=len(numbers)) > 0
+        return numbers[held], (np.cumsum(held) - 1)[at], n
 
     def align(self, texts: list[str | None]) -> Alignment:
-        whole = [f" {t}" if t else None for t in texts]
-        a, n_a, a_fits = self.a.tokens([self._pieces(t) if t else [] for t in whole])
-        b, n_b, b_fits = self.b.tokens([(re.findall(" +[^ ]*", t) if self.chunked else [t]) if t else [] for t in whole])
-        fits = a_fits & b_fits
-        a, b = a[np.repeat(fits, n_a)], b[np.repeat(fits, n_b)]
-        return aligned(a, np.where(fits, n_a, 0), self.a_size[a], b, np.where(fits, n_b, 0), self.b_size[b])
+        distinct, at, n = self.units(texts)
+        numbers = distinct[at]
+        a, b = _spread(self.a, self.n_a, numbers), _spread(self.b, self.n_b, numbers)
+        return aligned(a, _sums(self.n_a[numbers], n), self.a_size[a], b, _sums(self.n_b[numbers], n), self.b_size[b])
 
     def group_texts(self, x: Alignment) -> list[str]:
         """``a1,a2|b1;a3|b2,b3`` of each text; empty without tokens."""
@@ -243,19 +302,23 @@ def _blocks(rows: DataFrame, a_path: str, b_path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sides, block = once(shared, Sides), TaskContext.get().partitionId() << 32
         for keys, texts in _gathered(batches):
-            x = sides.align(texts)
-            pairs, of = np.unique(x.a[x.link_a] << 32 | x.b[x.link_b], return_inverse=True)
-            held, times = np.unique(x.link_text * max(1, len(pairs)) + of, return_counts=True)
+            distinct, at, n = sides.units(texts)
+            n_a, n_b, n_groups, n_links = (_sums(x[distinct][at], n) for x in (sides.n_a, sides.n_b, sides.n_groups, sides.n_links))
+            # pairs are told apart among the block's distinct units, then go where their units occur
+            pairs, of = np.unique(_spread(sides.links, sides.n_links, distinct), return_inverse=True)
+            held, times = np.unique(np.repeat(np.arange(len(texts)), n_links) * max(1, len(pairs)) + _spread(of, sides.n_links[distinct], at), return_counts=True)
             text, of = held // max(1, len(pairs)), held % max(1, len(pairs))
-            n = np.bincount(of, minlength=len(pairs))
+            holders = np.bincount(of, minlength=len(pairs))
             per_text = np.bincount(text, minlength=len(texts))
             first = np.append(True, text[1:] != text[:-1])[: len(of)]
             steps = of - np.where(first, 0, np.append(0, of[:-1])[: len(of)])
-            digests = [hashlib.sha256(g.encode()).hexdigest() if g else "" for g in sides.group_texts(x)]
-            n_links = np.bincount(x.link_text, minlength=len(texts))
+            names = sides.groups
+            groups = [names[k] for k in distinct[at].tolist()]
+            ends = np.cumsum(n).tolist()
+            digests = [hashlib.sha256(";".join(groups[s:e]).encode()).hexdigest() if s < e else "" for s, e in zip([0, *ends], ends)]
             columns = [
-                pa.array([block]), pa.ListArray.from_arrays(pa.array([0, len(keys)], pa.int32()), keys), *(pa.array([v.tolist()], pa.list_(pa.int64())) for v in (x.n_a, x.n_b, x.n_groups, n_links)),
-                pa.array([digests], pa.list_(pa.string())), pa.ListArray.from_arrays(pa.array([0, len(pairs)], pa.int32()), pa.StructArray.from_arrays([pa.array(pairs >> 32, pa.int32()), pa.array(pairs & 0xFFFFFFFF, pa.int32()), pa.array(n, pa.int64())], ["a", "b", "n"])),
+                pa.array([block]), pa.ListArray.from_arrays(pa.array([0, len(keys)], pa.int32()), keys), *(pa.array([v.tolist()], pa.list_(pa.int64())) for v in (n_a, n_b, n_groups, n_links)),
+                pa.array([digests], pa.list_(pa.string())), pa.ListArray.from_arrays(pa.array([0, len(pairs)], pa.int32()), pa.StructArray.from_arrays([pa.array(pairs >> 32, pa.int32()), pa.array(pairs & 0xFFFFFFFF, pa.int32()), pa.array(holders, pa.int64())], ["a", "b", "n"])),
                 *(pa.array([_planes(v)], pa.binary()) for v in (per_text, steps, times)),
             ]
             yield pa.RecordBatch.from_arrays(columns, ["block", "keys", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "pairs", "per_text", "steps", "times"])

@@ -116,3 +116,57 @@ def test_align_and_counts(docs):
     counts = {(r.a, r.b): r.n for r in alignment.pair_counts(table, *PATHS).collect()}
     held = collections.Counter(p for r in x.values() for p in {(q.a, q.b) for q in r.links})
     assert counts == held
+
+
+def test_what_repeats_is_aligned_once(monkeypatch):
+    sides, seen, plain = alignment.Sides(PATHS), [], alignment.aligned
+    monkeypatch.setattr(alignment, "aligned", lambda a, *rest: seen.append(len(a)) or plain(a, *rest))
+    text = "The same words, in each of many texts.\nThe end "
+    for _ in range(3):
+        distinct, at, n = sides.units([text] * 100 + [None])
+        assert n.tolist() == [10] * 100 + [0] and len(at) == 1000
+        assert ";".join(sides.groups[k] for k in distinct[at][:10].tolist()) == sides.group_texts(plain(*_line(text)))[0]
+    assert seen == [len(tokens_of(text)[0])]
+
+
+def _line(text):
+    """Tokens of one whole text, as ``aligned`` takes them."""
+    return [np.array(x) for s in tokens_of(text) for x in ([t[0] for t in s], [len(s)], [t[2] - t[1] for t in s])]
+
+
+def test_forgetting_keeps_what_is_used_and_results(monkeypatch):
+    monkeypatch.setattr(alignment, "REMEMBERED", 20)
+    sides = alignment.Sides(PATHS)
+    for k in range(60):
+        texts = [f"the word {k} {k * 7919} stays, x{k}y\n é{k} ", "the x▁y word", None, TEXTS[k % len(TEXTS)]]
+        distinct, at, n = sides.units(texts)
+        numbers = distinct[at]
+        want = brute([*enumerate(texts)])
+        ends = np.cumsum(n).tolist()
+        for s, e, (_, n_a, n_b, n_groups, n_links, _, _, sha) in zip([0, *ends], ends, want):
+            assert [x[numbers[s:e]].sum() for x in (sides.n_a, sides.n_b, sides.n_groups, sides.n_links)] == [n_a, n_b, n_groups, n_links]
+            assert (hashlib.sha256(";".join(sides.groups[i] for i in numbers[s:e]).encode()).hexdigest() if s < e else "") == sha
+        assert len(sides.number) < 20 + 20 and (k == 0 or {" the", " word"} <= set(sides.number))
+    assert len(sides.groups) == len(sides.number) == len(sides.fits) == len(sides.used)
+
+
+def test_pieces_end_before_a_blank_behind_any_character():
+    every = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for lo in range(0, len(every), 4096):
+        text = "".join(f"{c} b" for c in every[lo : lo + 4096])
+        starts = {s for _, (s, _) in A.pre_tokenizer.pre_tokenize_str(text)}
+        units = SIDES.split(f" {text}")
+        assert "".join(units)[1:] == text
+        cuts = set((np.cumsum([*map(len, units)]) - 1).tolist()[:-1])
+        assert cuts <= starts and len(cuts) >= sum(not c.isspace() and c != "᠎" for c in every[lo : lo + 4096])
+
+
+def test_long_units_are_encoded_from_blank_to_blank(monkeypatch):
+    sides, plain, longest = alignment.Sides(PATHS), SIDES.second.encode, []
+    text = "one\n two\n\t  three\n" * 3
+    monkeypatch.setattr(sides, "_second", lambda chunks, f=sides._second: longest.append(max(map(len, chunks))) or f(chunks))
+    distinct, at, n = sides.units([text, text * 2000])
+    assert n.tolist() == [1, 1] and longest == [len(" three\none\n") + 1]
+    numbers = distinct[at]
+    assert sides.n_b[numbers].tolist() == [len(plain(text)), len(plain(text * 2000))]
+    assert sides.groups[numbers[0]] == sides.group_texts(alignment.aligned(*_line(text)))[0]
