@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from kireme.functions.arrays import let
 
 REFERENCE = r"&(#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)"
+CLOSED = r"&(#[0-9]+;|#[xX][0-9a-fA-F]+;|[a-zA-Z][a-zA-Z0-9]{0,30};)"
 LONGEST = 33
 
 
@@ -51,19 +52,23 @@ def _named(name: Column) -> Column:
     return F.coalesce(whole, begun, F.concat(F.lit("&"), name))
 
 
-def _decoded(ref: Column) -> Column:
-    """A reference without its ampersand."""
+def _decoded(ref: Column, closed: bool = False) -> Column:
+    """A reference without its ampersand; ``closed`` knows whole names only."""
     digits = F.regexp_replace(ref, "^#[xX]?0*|;$", "")
     digits = F.when(digits == "", "0").otherwise(digits)
     number = F.when(F.lower(F.substring(ref, 2, 1)) == "x", F.conv(digits, 16, 10)).otherwise(digits)
     # more digits than a code point has are beyond the last one
     cp = F.when(F.char_length(digits) > 9, F.lit(0x110000)).otherwise(number.cast("long"))
-    return F.when(ref.startswith("#"), let(cp, _numeric)).otherwise(_named(ref))
+    return F.when(ref.startswith("#"), let(cp, _numeric)).otherwise(F.coalesce(F.element_at(_constant(html5), ref), F.concat(F.lit("&"), ref)) if closed else _named(ref))
 
 
-def unescape_references(text: Column) -> Column:
-    """A text with its character references decoded; null for null. Ampersands that begin none stay."""
-    refs = F.regexp_extract_all(text, F.lit(REFERENCE), F.lit(1))
-    parts = F.split(text, REFERENCE, -1)
-    joined = F.zip_with(parts, F.transform(refs, _decoded), lambda p, r: F.concat(p, F.coalesce(r, F.lit(""))))
+def unescape_references(text: Column, closed: bool = False) -> Column:
+    """A text with its character references decoded; null for null. Ampersands that begin none stay.
+
+    ``closed`` leaves those without a semicolon as they are, as also names that only begin with a known one.
+    """
+    pattern = CLOSED if closed else REFERENCE
+    refs = F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
+    parts = F.split(text, pattern, -1)
+    joined = F.zip_with(parts, F.transform(refs, lambda r: _decoded(r, closed)), lambda p, r: F.concat(p, F.coalesce(r, F.lit(""))))
     return F.when(F.contains(text, F.lit("&")), F.array_join(joined, "")).otherwise(text)

@@ -193,13 +193,16 @@ def lexicon_words(rows: DataFrame, column: str = "_c0", shortest: int = 2, longe
     return rows.select(word.alias("word")).filter(F.length("word").between(shortest, longest)).filter("word <> ''").distinct()
 
 
-def clean_ruby_html(html: Column) -> Column:
-    """Lines of a book page, as an array: the main text without ruby, notes and tags, split after sentence ends."""
+def clean_ruby_html(html: Column, closed: bool = False) -> Column:
+    """Lines of a book page, as an array: the main text without ruby, notes and tags, split after sentence ends.
+
+    Character references need no semicolon where the standard asks for none, unless ``closed``.
+    """
     main = F.regexp_extract(html, r'(?s)(<div class="main_text">.*?)(?:<div class="bibliographical_information">|\z)', 1)
     body = F.when(main != "", main).otherwise(F.regexp_extract(html, r'(?s)\A(.*?)(?:<div class="bibliographical_information">|\z)', 1))
     for pattern, by in ((r"(?s)<rp>.*?</rp>", ""), (r"(?s)<rt>.*?</rt>", ""), (r"(?s)［＃.*?］", ""), (r"<br\s*/?>", "\n"), (r"<[^>]+>", "")):
         body = F.regexp_replace(body, pattern, by)
-    lines = F.transform(F.split(unescape_references(body), "\n"), lambda x: F.replace(F.regexp_replace(x, r"^[\s 　]+|[\s 　]+$", ""), F.lit("　"), F.lit("")))
+    lines = F.transform(F.split(unescape_references(body, closed), "\n"), lambda x: F.replace(F.regexp_replace(x, r"^[\s 　]+|[\s 　]+$", ""), F.lit("　"), F.lit("")))
     parts = F.flatten(F.transform(lines, lambda x: F.split(x, "(?<=[。！？])")))
     return F.filter(F.transform(parts, lambda x: F.regexp_replace(x, r"^[\s ]+|[\s ]+$", "")), lambda x: x != "")
 

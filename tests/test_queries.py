@@ -14,3 +14,9 @@ def test_entry(spark):
 
     assert entry.entry(spark).columns == ["doc_id", "line_no", "word_idx", "start", "end", "surface"]
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_pages_cut_inside_a_reference(spark, tmp_path):
+    pages = [(1, "a&amp<p>b&amp;c"), (2, "x &lt"), (3, "&#39;&#39 &copy&nbsp;&quot;z. R&am"), (4, "&amp;lt; &ampx; &middot;&middot"), (5, None)]
+    spark.createDataFrame(pages, "page_id long, html string").toPandas().to_parquet(tmp_path / "pages.parquet")
+    same(spark, queries.html_clean_lines, queries.ORACLE_SQL["html_clean_lines"], str(tmp_path))
