@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kireme.llm.storage import stored
+from kireme.llm.storage import shuffled, stored
 
 
 def _state(links: DataFrame) -> tuple:
@@ -26,10 +26,10 @@ def components(links: DataFrame) -> DataFrame:
     while state[0]:
         both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         lowest = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.filter("b > a").join(lowest, "a").select("b", "m").filter("b <> m").distinct()
+        large = both.filter("b > a").join(shuffled(lowest), "a").select("b", "m").filter("b <> m").distinct()
         # now every row has b > m: the small star of b
         least = large.groupBy("b").agg(F.min("m").alias("low"))
-        small = large.join(least, "b").select(F.explode(F.array(F.struct("m", "low"), F.struct(F.col("b").alias("m"), "low"))).alias("x")).select(F.col("x.low").alias("a"), F.col("x.m").alias("b")).filter("a <> b").distinct()
+        small = large.join(shuffled(least), "b").select(F.explode(F.array(F.struct("m", "low"), F.struct(F.col("b").alias("m"), "low"))).alias("x")).select(F.col("x.low").alias("a"), F.col("x.m").alias("b")).filter("a <> b").distinct()
         links = stored(small, "links")
         before, state = state, _state(links)
         if state == before:

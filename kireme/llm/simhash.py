@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kireme.llm.components import components
-from kireme.llm.storage import raw, stored
+from kireme.llm.storage import raw, shuffled, stored
 
 SEED = 42
 #: Shingles that are hashed and counted at once, so that a very long text needs no more memory than this many.
@@ -76,9 +76,9 @@ def links(fps: DataFrame) -> DataFrame:
     """
     halves = fps.select("fp", F.shiftrightunsigned("fp", 32).alias("hi"), F.col("fp").bitwiseAND(F.lit(LOW)).alias("lo"))
     equal = halves.select("fp", F.inline(F.array(F.struct(F.lit(0).alias("seg"), F.col("hi").alias("key"), F.col("lo").alias("other")), F.struct(F.lit(1).alias("seg"), F.col("lo").alias("key"), F.col("hi").alias("other")))))
-    sized = equal.join(equal.groupBy("seg", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), ["seg", "key"])
+    sized = equal.join(shuffled(equal.groupBy("seg", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")), ["seg", "key"])
     few = sized.filter(F.col("n") <= PAIRED_EQUAL)
-    paired = few.select("seg", "key", F.col("fp").alias("a")).join(few.select("seg", "key", F.col("fp").alias("b")), ["seg", "key"]).filter((F.col("a") < F.col("b")) & _linked("a", "b")).select("a", "b")
+    paired = few.select("seg", "key", F.col("fp").alias("a")).join(shuffled(few.select("seg", "key", F.col("fp").alias("b"))), ["seg", "key"]).filter((F.col("a") < F.col("b")) & _linked("a", "b")).select("a", "b")
     pairs_of_bits = F.array(*[F.lit((1 << i) | (1 << j)) for i, j in combinations(range(32), 2)])
     hubs = sized.filter(F.col("n") > PAIRED_EQUAL).select("fp", "seg", "key", "other", F.explode(pairs_of_bits).alias("out")).select("fp", "seg", "key", "out", F.col("other").bitwiseAND(F.bitwise_not("out")).alias("rest"))
     stars = _stars(hubs, "seg", "key", "out", "rest")
@@ -86,10 +86,10 @@ def links(fps: DataFrame) -> DataFrame:
     bits = F.array(*[F.lit(1 << i) for i in range(32)])
     wild = halves.select("fp", "hi", "lo", F.explode(bits).alias("out")).select("fp", "lo", "out", F.col("hi").bitwiseAND(F.bitwise_not("out")).alias("key"), (F.col("hi").bitwiseAND(F.col("out")) != 0).alias("on"))
     counts = wild.groupBy("out", "key").agg(F.count_if("on").alias("n1"), F.count_if(~F.col("on")).alias("n0")).filter("n1 > 0 AND n0 > 0")
-    wild = wild.join(counts, ["out", "key"])
+    wild = wild.join(shuffled(counts), ["out", "key"])
     small = F.col("n1") * F.col("n0") <= (F.col("n1") + F.col("n0")) * (PAIRED_WILD // 2)
     on, off = wild.filter(small & F.col("on")), wild.filter(small & ~F.col("on"))
-    crossed = on.select("out", "key", F.col("fp").alias("x")).join(off.select("out", "key", F.col("fp").alias("y")), ["out", "key"]).filter(_linked("x", "y")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    crossed = on.select("out", "key", F.col("fp").alias("x")).join(shuffled(off.select("out", "key", F.col("fp").alias("y"))), ["out", "key"]).filter(_linked("x", "y")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
     many = wild.filter(~small).select("fp", "out", "key", "lo", F.explode(bits).alias("out2")).select("fp", "out", "key", "out2", F.col("lo").bitwiseAND(F.bitwise_not("out2")).alias("rest"))
     return paired.unionByName(stars).unionByName(crossed).unionByName(_stars(many, "out", "key", "out2", "rest"))
 
@@ -108,7 +108,7 @@ def _stars(keyed: DataFrame, *keys: str) -> DataFrame:
 def _labelled(distinct: DataFrame) -> DataFrame:
     """Distinct fingerprints (column ``fp``) with ``component``, the smallest fingerprint that links reach."""
     found = components(links(distinct.select("fp")))
-    return distinct.join(found.select(F.col("node").alias("fp"), "component"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    return distinct.join(shuffled(found.select(F.col("node").alias("fp"), "component")), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
 
 
 def representatives(docs: DataFrame, key: str, words: int = 3) -> DataFrame:
@@ -129,5 +129,5 @@ def near_duplicates(docs: DataFrame, words: int = 3) -> DataFrame:
     prints = stored(fingerprints(docs, words), "fingerprints")
     labelled = _labelled(stored(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct"))
     names = labelled.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    named = labelled.join(names, "component").select("fp", "component_id")
-    return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    named = labelled.join(shuffled(names), "component").select("fp", "component_id")
+    return prints.join(shuffled(named), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -47,6 +47,14 @@ def stored(df: DataFrame, name: str = "table", codec: str | None = None) -> Data
     return spark.read.schema(df.schema).parquet(path)
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """A side of a join that grows with the input, and so is never broadcast.
+
+    Spark sizes a side by its columns and not by its rows: what an explode or a compressed file makes may be many times larger.
+    """
+    return df.hint("merge")
+
+
 def ranked(df: DataFrame, *keys: str, rank: str = "rank", name: str = "ranked") -> DataFrame:
     """Gapless global position (from 0) of every row in the order of ``keys``, without a single-task window.
 

@@ -369,3 +369,11 @@ def test_awkward_markup():
     html_text.main_text("<p " + "a" * 20_000 + " " + "=" * 20_000 + ">x</p>")
     assert time.time() - start < 1
     assert html_text.main_text("<article><p>The value <math><mi>x</mi> = 2</math> holds</p><p hidden>no</p><p hidden=''>no</p></article>") == "The value x = 2 holds"
+
+
+def test_near_duplicates_broadcast_no_table(spark):
+    fps = spark.range(300).select(F.xxhash64("id").alias("fp"))
+    frames = [simhash.links(fps), simhash._labelled(fps), simhash.near_duplicates(spark.range(9).select(F.col("id").alias("doc_id"), F.lit("a b c d").alias("text")))]
+    for df in frames:
+        # what an explode makes grows with the input, whatever size Spark expects
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
