@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from kireme.llm import decontamination, packing, pii, quality, simhash
 from kireme.llm.queries import table, word_vocabulary
-from kireme.llm.storage import stored
+from kireme.llm.storage import shuffled, stored
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -26,7 +26,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one row of each component: that of the smallest id, null ids last, and of equal ids one."""
     rows = stored(docs.select(*COLUMNS).withColumn("_row", F.monotonically_increasing_id()), "rows")
-    return rows.join(simhash.representatives(rows, "_row"), "_row", "left_semi").select(*COLUMNS)
+    return rows.join(shuffled(simhash.representatives(rows, "_row")), "_row", "left_semi").select(*COLUMNS)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
