@@ -33,18 +33,25 @@ def _start(spark: SparkSession, model: str = "") -> DataFrame:
     return steps.parameter_table(spark, start_values(), model)
 
 
-def turn_examples(spark: SparkSession, sf_dir: str, model: str = "") -> DataFrame:
-    """An example for each gap of a turn's text: does a blank follow? A capital letter is a cluster of two rows, vowels beside the gap are features."""
-    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").filter("length(text) > 1").select("turn", F.split("text", "").alias("c"))
-    gaps = turns.select("turn", "c", F.explode(F.sequence(F.lit(0), F.size("c") - 2)).alias("p"))
+def turn_examples(spark: SparkSession, sf_dir: str, model: str = "", where: str = "true") -> DataFrame:
+    """Examples of the gaps of turns' texts: does a blank follow? A capital letter is a cluster of two rows, vowels beside the gap are features.
+
+    An example hangs on the characters around its gap alone, so equal windows are counted first and are one row with their number, ``times``.
+    """
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").filter(where).filter("length(text) > 1").select(F.split("text", "").alias("c"))
+    gaps = turns.select("c", F.explode(F.sequence(F.lit(0), F.size("c") - 2)).alias("p"))
+    places = range(1 - SHAPE.window, SHAPE.window + 1)
+    near = {o: f"c{o + SHAPE.window}" for o in places}
+    windows = gaps.select(*[F.when(F.col("p") + o >= 0, F.get("c", F.col("p") + o)).alias(near[o]) for o in places]).groupBy(*near.values()).agg(F.count(F.lit(1)).alias("times"))
 
     def rows(ch: Column) -> Column:
         own = F.ascii(ch) % 13 + 2
         return F.when(ch.isNull(), F.array(F.lit(0))).when(ch.between("A", "Z"), F.array(own, F.lit(15))).otherwise(F.array(own))
 
-    slots = F.array(*[rows(F.when(F.col("p") + o >= 0, F.get("c", F.col("p") + o))) for o in range(1 - SHAPE.window, SHAPE.window + 1)])
-    vowel = lambda k, feature: F.when(F.get("c", F.col("p") + k).isin(*VOWELS), F.lit(feature))
-    return gaps.select(F.lit(model).alias("model"), "turn", (F.get("c", F.col("p") + 1) == " ").cast("int").alias("label"), slots.alias("slots"), F.array_compact(F.array(vowel(0, 3), vowel(1, 7))).alias("features"))
+    slots = F.array(*[rows(F.col(near[o])) for o in places])
+    vowel = lambda o, feature: F.when(F.col(near[o]).isin(*VOWELS), F.lit(feature))
+    examples = windows.select(F.lit(model).alias("model"), (F.col(near[1]) == " ").cast("int").alias("label"), slots.alias("slots"), F.array_compact(F.array(vowel(0, 3), vowel(1, 7))).alias("features"), "times")
+    return steps.merged(examples)
 
 
 def _values(params: DataFrame) -> DataFrame:
@@ -62,13 +69,13 @@ def train_step(spark: SparkSession, sf_dir: str) -> DataFrame:
 def adam_step(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parameters after one step of Adam over the first turns; embedding rows that they lack stay."""
     params = _start(spark)
-    grads = steps.gradients(turn_examples(spark, sf_dir).filter("turn = 0"), params, SHAPE)
+    grads = steps.gradients(turn_examples(spark, sf_dir, where="turn = 0"), params, SHAPE)
     return _values(steps.adam_step(params, steps.adam_start(params), grads, 0.01, decay=0.5)[0])
 
 
 def train_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
     passed = steps.forward(turn_examples(spark, sf_dir), _start(spark), SHAPE)
-    return R.confusion_metrics(passed.select("label", (F.col("y") > 0).alias("cut")))
+    return R.confusion_metrics(passed.select("label", (F.col("y") > 0).alias("cut"), "times"), times="times")
 
 
 def _diffused(spark: SparkSession, sf_dir: str, rule: str) -> DataFrame:

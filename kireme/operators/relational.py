@@ -380,10 +380,14 @@ def boundary_metrics(gold: DataFrame, predicted: DataFrame, key: str = "line_no"
     return sums.select(p.alias("precision"), r.alias("recall"), F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(0.0).alias("f1"), F.coalesce("gold", F.lit(0)).cast("long").alias("gold_boundaries"), "sentences")
 
 
-def confusion_metrics(rows: DataFrame, label: str = "label", cut: str = "cut") -> DataFrame:
-    """tp, fp, fn, tn, precision, recall, f1 and accuracy of decisions; the ratios are 0 without a true positive."""
+def confusion_metrics(rows: DataFrame, label: str = "label", cut: str = "cut", times: str | None = None) -> DataFrame:
+    """tp, fp, fn, tn, precision, recall, f1 and accuracy of decisions; the ratios are 0 without a true positive.
+
+    With ``times`` a row stands for so many equal decisions.
+    """
     y, c = F.col(label).cast("int") == 1, F.col(cut)
-    sums = rows.agg(F.count_if(y & c).alias("tp"), F.count_if(~y & c).alias("fp"), F.count_if(y & ~c).alias("fn"), F.count_if(~y & ~c).alias("tn"))
+    count = lambda test: F.count_if(test) if times is None else F.coalesce(F.sum(F.when(test, F.col(times))), F.lit(0)).cast("long")
+    sums = rows.agg(count(y & c).alias("tp"), count(~y & c).alias("fp"), count(y & ~c).alias("fn"), count(~y & ~c).alias("tn"))
     tp = F.col("tp")
     p, r = tp / (tp + F.col("fp")), tp / (tp + F.col("fn"))
     ok = tp > 0

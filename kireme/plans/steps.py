@@ -2,7 +2,8 @@
 
 Parameters are rows (model, name, at, vec): an embedding row, the weights of a hidden unit in a slot (``at`` is slot x
 hidden + unit), a feature's column, and the vectors ``b1``, ``w2``, ``b2`` and ``feedback``. ``model`` tells apart models that
-learn side by side. Examples are rows (model, label, slots, features). A step joins each example with its model's
+learn side by side. Examples are rows (model, label, slots, features); with a column ``times`` a row stands for so many equal
+examples, and ``merged`` makes such rows. A step joins each example with its model's
 packed parameters (as large as the model, so broadcast), computes the example's part of each gradient in its own row,
 and sums these parts by (model, name, at), partly before the one shuffle. These forms explain a result and check it
 in SQL; the numpy form of the same arithmetic (``plans.network``) trains whole epochs.
@@ -46,6 +47,18 @@ def parameter_table(spark: SparkSession, p: Parameters, model: str = "", feedbac
     return spark.createDataFrame([(model, n, i, [float(x) for x in v]) for n, rows in parts.items() for i, v in enumerate(rows)], TABLE)
 
 
+def _times(examples: DataFrame) -> Column:
+    return F.col("times").cast("double") if "times" in examples.columns else F.lit(1.0)
+
+
+def merged(examples: DataFrame) -> DataFrame:
+    """Equal examples as one row with their number, dealt to all cores: a pass costs much more than an example's bytes tell."""
+    keys = ["model", "label", "slots", "features"]
+    n = F.sum("times") if "times" in examples.columns else F.count(F.lit(1))
+    found = examples.groupBy(*keys).agg(n.alias("times"))
+    return found.repartition(examples.sparkSession.sparkContext.defaultParallelism, *keys)
+
+
 def _dot(u: Column, v: Column) -> Column:
     return F.aggregate(F.zip_with(u, v, lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
 
@@ -93,7 +106,8 @@ def gradients(examples: DataFrame, params: DataFrame, shape: Shape, rule: str =
     passed = forward(examples, params, s)
     error = 1.0 / (1.0 + F.exp(-c("y"))) - c("label")
     back = F.get(c("w2" if rule == "backpropagation" else "feedback"), F.lit(0))
-    rows = passed.withColumn("_e", error)
+    times = _times(examples)
+    rows = passed.withColumn("_e", error * times)
     rows = rows.withColumn("_da", F.zip_with(back, c("a"), lambda w, a: F.when(a > 0, c("_e") * w * (1.0 if rule == "backpropagation" else diffusion)).otherwise(0.0)))
     part = lambda name, at, vec: F.struct(F.lit(name).alias("name"), at.cast("int").alias("at"), vec.alias("vec"))
     zero = F.lit(0)
@@ -106,7 +120,7 @@ def gradients(examples: DataFrame, params: DataFrame, shape: Shape, rule: str =
     share = lambda k: let(d_x(k), lambda v: F.transform(F.get(c("slots"), k), lambda r: part("emb", r, F.transform(v, lambda q: q / F.size(F.get(c("slots"), k))))))
     parts = F.concat(
         F.flatten(F.transform(_range(s.slots), slot)), F.flatten(F.transform(_range(s.slots), share)), F.transform("features", lambda f: part("wdict", f, c("_da"))),
-        F.array(part("b1", zero, c("_da")), part("w2", zero, F.transform("a", lambda a: F.greatest(a, F.lit(0.0)) * c("_e"))), part("b2", zero, F.array(c("_e"))), part("loss", zero, F.array(bce(c("y"), c("label").cast("double")), F.lit(1.0)))),
+        F.array(part("b1", zero, c("_da")), part("w2", zero, F.transform("a", lambda a: F.greatest(a, F.lit(0.0)) * c("_e"))), part("b2", zero, F.array(c("_e"))), part("loss", zero, F.array(bce(c("y"), c("label").cast("double")) * times, times))),
     )
     wide = max(s.dim, s.hidden, 2)
     sums = rows.select("model", F.inline(parts)).groupBy(*KEYS).agg(*[F.sum(F.get("vec", F.lit(i))).alias(f"_{i}") for i in range(wide)])

@@ -118,3 +118,19 @@ def test_no_examples(spark):
     empty = examples(spark, "").filter("label > 1")
     grads = S.gradients(empty, table, SHAPE)
     assert grads.count() == 0 and S.sgd_step(table, grads).exceptAll(table).count() == 0
+
+
+def test_equal_examples_are_one_row_with_their_number(spark, tmp_path):
+    from kireme import network_queries as Q
+
+    p = start(3)
+    table, each = S.parameter_table(spark, p, "p"), examples(spark, *["p"] * 3).unionByName(examples(spark, "p").filter("label = 1"))
+    one = S.merged(each)
+    assert sorted(r.times for r in one.collect()) == [3, 3, 4, 4] and sorted(r.times for r in S.merged(one.unionByName(one)).collect()) == [6, 6, 8, 8]
+    for rule in ("backpropagation", "hybrid"):
+        own = S.signed_start(table, SHAPE.hidden)
+        want, got = ({(r.name, r.at): r.vec for r in S.gradients(x, own, SHAPE, rule).collect()} for x in (each, one))
+        assert want.keys() == got.keys() and all(np.allclose(want[k], got[k], atol=1e-12) for k in want)
+    spark.createDataFrame([(i, i % 3, "Ab a b") for i in range(50)], "conv_id long, turn int, text string").toPandas().to_parquet(tmp_path / "conversations.parquet")
+    rows = Q.turn_examples(spark, str(tmp_path)).collect()
+    assert len(rows) == 5 and {r.times for r in rows} == {50}
