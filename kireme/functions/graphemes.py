@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Callable
 from functools import cache
 
 import numpy as np
@@ -219,7 +220,10 @@ def _needs_rules() -> str:
     hard = hard[(hard < 0xD800) | (hard > 0xDFFF)]
     cut = np.flatnonzero(np.diff(hard) > 1)
     assert p[hard].all()
-    return "[" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in zip(hard[np.append(0, cut + 1)].tolist(), hard[np.append(cut, len(hard) - 1)].tolist(), strict=True)) + "]"
+    ranges = "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in zip(hard[np.append(0, cut + 1)].tolist(), hard[np.append(cut, len(hard) - 1)].tolist(), strict=True))
+    # most characters are told from them by one comparison
+    assert hard[0] == 0x0D and hard[1] >= 0x300
+    return f"(?:(?=[^\\x{{0}}-\\x{{C}}\\x{{E}}-\\x{{2FF}}\\x{{3100}}-\\x{{A66E}}])[{ranges}])"
 
 
 def class_letters(text: Column) -> Column:
@@ -238,6 +242,40 @@ def marked_letters(text: Column) -> Column:
 _GAP = "(?<=.)(?=.)(?!" + "|".join([f"(?<=[^RNC])[{_ALWAYS}]", "(?<=P)[^RNC]", *(f"(?<=[{a}])[{b}]" for a, b in _JOINED)]) + ")"
 
 
+#: Characters that a piece has in the mean at least; texts of smaller ones are one piece, as a piece's rules cost more than its characters.
+LEAST_CHARS = 32
+#: Put between the pieces of a text; texts that hold it are one piece.
+_MARK = "\uffff"
+
+
+def _pieces(text: Column) -> Column:
+    """Pieces of a text: stretches of characters that join others, with another character on each side, and what is between them.
+
+    Two characters that join nothing are always parted, and no rule looks beyond such a gap, so pieces have clusters of their own.
+    """
+    hard, plain = _needs_rules(), f"(?:(?!{_needs_rules()}).)"
+    # what is rare is asked first
+    cut = F.regexp_replace(text, f"(?s)(?=..{hard})({plain})(?={plain})", f"$1{_MARK}")
+    cut = F.regexp_replace(cut, f"(?s)({hard}{plain})(?={plain})", f"$1{_MARK}")
+    few = let(F.split(cut, _MARK, -1), lambda ps: F.when(F.size(ps) * LEAST_CHARS > F.char_length(text), F.array(text)).otherwise(ps))
+    return F.when(~text.rlike(_needs_rules()) | F.contains(text, F.lit(_MARK)), F.array(text)).otherwise(few)
+
+
+def _by_piece(text: Column, plain: Callable[[Column], Column], ruled: Callable[[Column], Column]) -> Column:
+    """The arrays of all pieces, one behind the other; null for null."""
+    return F.when(text.isNotNull(), F.flatten(F.transform(_pieces(text), lambda p: F.when(p.rlike(_needs_rules()), ruled(p)).otherwise(plain(p)))))
+
+
+def _ruled_sizes(piece: Column) -> Column:
+    return F.transform(F.split(marked_letters(piece), _GAP, -1), F.char_length)
+
+
+def _ruled_texts(piece: Column) -> Column:
+    cut = lambda x: F.zip_with(x["n"], x["e"], lambda n, e: F.array_join(F.slice(x["c"], (e - n + 1).cast("int"), n), ""))
+    ends = lambda sizes: running_sums(F.transform(sizes, lambda n: n.cast("long")))
+    return let(_ruled_sizes(piece), lambda sizes: let(F.struct(F.split(piece, "").alias("c"), sizes.alias("n"), ends(sizes).alias("e")), cut))
+
+
 def cluster_sizes(text: Column) -> Column:
     """Characters of each cluster, in order; empty for the empty text, null for null. Expressions only, linear in the text.
 
@@ -260,11 +298,27 @@ def cluster_texts(text: Column) -> Column:
     return let(cluster_sizes(text), cut)
 
 
+#: Runs of characters of 1, 2, 3 and 4 bytes.
+WIDTHS = r"[\x{0}-\x{7F}]++|[\x{80}-\x{7FF}]++|[\x{800}-\x{FFFF}]++|[\x{10000}-\x{10FFFF}]++"
+
+
+def equal_runs(text: Column) -> Column:
+    """Runs (n, w) of n characters of w bytes each; there are few of them in most texts."""
+    run = lambda r: let(F.char_length(r), lambda n: F.struct(n.cast("long").alias("n"), (F.octet_length(r) / n).cast("long").alias("w")))
+    return F.transform(F.regexp_extract_all(text, F.lit(WIDTHS), F.lit(0)), run)
+
+
+def run_ends(runs: Column) -> Column:
+    """Where each of the things ends that runs (n, w) stand for: n things of size w for each run. Sums are made over runs, not over things."""
+    things = lambda r, e: F.sequence(e - (r["n"] - 1) * r["w"], e, r["w"])
+    return let(runs, lambda rs: F.flatten(F.zip_with(rs, running_sums(F.transform(rs, lambda r: r["n"] * r["w"])), things)))
+
+
 def egc_split(text: Column) -> Column:
     """Byte offsets of cluster starts and the text's size (``[0]`` for the empty text); null for a null text and for invalid UTF-8."""
-    zero = F.array(F.lit(0).cast("long"))
-    offsets = lambda t: F.concat(zero, running_sums(F.transform(cluster_texts(t), lambda c: F.octet_length(c).cast("long"))))
-    return F.when(F.is_valid_utf8(text), let(F.try_validate_utf8(text), offsets)).cast("array<int>")
+    one, zero = F.lit(1).cast("long"), F.array(F.lit(0).cast("long"))
+    runs = lambda t: _by_piece(t, equal_runs, lambda p: F.transform(_ruled_texts(p), lambda c: F.struct(one.alias("n"), F.octet_length(c).cast("long").alias("w"))))
+    return F.when(F.is_valid_utf8(text), let(F.try_validate_utf8(text), lambda t: F.concat(zero, run_ends(runs(t))))).cast("array<int>")
 
 
 def break_tests(lines: DataFrame, line: str = "line") -> DataFrame:
@@ -273,8 +327,9 @@ def break_tests(lines: DataFrame, line: str = "line") -> DataFrame:
     # a code point's bytes are written as UTF-32, which is decoded as a whole
     text = lambda part: F.decode(F.unhex(F.array_join(F.transform(F.regexp_extract_all(part, F.lit("([0-9A-F]+)"), F.lit(1)), lambda h: F.lpad(h, 8, "0")), "")), "UTF-32")
     parts = F.filter(F.split(body, "÷"), lambda p: F.trim(p) != "")
-    found = lines.filter(body.rlike(r"^÷( [0-9A-F]{4,6} [÷×])+$"))
-    return found.withColumn("_body", body).select("*", text(F.col("_body")).alias("text"), F.transform(parts, lambda p: F.size(F.regexp_extract_all(p, F.lit("[0-9A-F]+"), F.lit(0)))).alias("clusters")).drop("_body")
+    # a generator, so that no filter moves below it and makes a line once more
+    found = lines.select("*", F.explode(F.array(body)).alias("_body")).filter(F.col("_body").rlike(r"^÷(?> [0-9A-F]{4,6} [÷×])++$"))
+    return found.select("*", text(F.col("_body")).alias("text"), F.transform(parts, lambda p: F.size(F.regexp_extract_all(p, F.lit("[0-9A-F]+"), F.lit(0)))).alias("clusters")).drop("_body")
 
 
 def break_test_line(text: Column) -> Column:

@@ -130,7 +130,7 @@ _MOVED = "q AS (SELECT name, at, i, v, CASE WHEN name = 'w2' AND (v - 5 * d) * (
 
 def break_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words as lines of a break test file and back: how many clusters and characters each line has."""
-    words = _clustered_words(spark, sf_dir).select(F.concat(break_test_line(F.col("word")), F.lit("\t# "), F.col("word")).alias("line"))
+    words = _clustered_words(spark, sf_dir).select(F.explode(F.array(F.concat(break_test_line(F.col("word")), F.lit("\t# "), F.col("word")))).alias("line"))
     found = break_tests(words)
     return found.select(F.col("text").alias("word"), F.size("clusters").cast("long").alias("n"), F.array_join(F.col("clusters").cast("array<string>"), ",").alias("sizes"))
 

@@ -76,3 +76,15 @@ def test_break_test_lines(spark):
 def test_no_python_in_the_plan(spark):
     df = spark.createDataFrame([("a",)], "t string").select(G.egc_split(F.col("t")))
     assert "Python" not in df._jdf.queryExecution().executedPlan().toString() and "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_pieces_with_rules_are_short(spark):
+    found = ["plain words " * 400 + "e\u0301 \U0001f468\u200d\U0001f469x", "a\u0301b\u0301c d e\u0301", "none", "", "\uffffe\u0301 x", "\r\n x\r\ny", "\U0001f1ef\U0001f1f5 a\U0001f1ef"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(found)], "i int, t string").select("i", G._pieces(F.col("t")).alias("p"), G.cluster_sizes(F.col("t")).alias("n"), G.egc_split(F.col("t")).alias("at"))
+    for r in rows.collect():
+        t, want = found[r.i], reference(found[r.i]) if found[r.i] else []
+        assert "".join(r.p) == t and (r.i != 1 or len(r.p) == 1) and r.n == want
+        assert r.at == [len(t[:k].encode()) for k in np.cumsum([0, *want])]
+        if r.i < 1:
+            # what needs no rules is by itself
+            assert all(len(p) < 10 or p.isascii() for p in r.p) and len(r.p) > 1
