@@ -39,6 +39,23 @@ def char_type(cp: Column) -> Column:
     return out.otherwise("O")
 
 
+def _type_of(cp: int) -> str:
+    return next((t for t, ranges in TYPE_RANGES.items() if any(a <= cp <= b for a, b in ranges)), "O")
+
+
+def type_letters(text: Column) -> Column:
+    """The type letter of each (normalized) character, as a text of as many characters.
+
+    ASCII and what normalization changes are translated, which leaves no other ASCII letters; the other characters are replaced by ranges.
+    """
+    named = [*map(chr, range(0x80)), *(c for c in NORMALIZED if ord(c) >= 0x80)]
+    out = F.translate(text, "".join(named), "".join(_type_of(ord(NORMALIZED.get(c, c))) for c in named))
+    for letter, ranges in TYPE_RANGES.items():
+        own = "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in ranges if a >= 0x80)
+        out = F.regexp_replace(out, f"[{own}]", letter)
+    return F.regexp_replace(out, r"[^\x{0}-\x{7F}]", "O")
+
+
 def chars(text: Column) -> Column:
     """The characters of a text as an array; empty for the empty text."""
     return F.when(text != "", F.split(text, "")).when(text == "", F.expr("cast(array() as array<string>)"))

@@ -14,8 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kireme.functions.arrays import let, running_sums
-from kireme.functions.graphemes import cluster_sizes, cluster_texts
-from kireme.functions.text import chars, normalize
+from kireme.functions.graphemes import WIDTHS, cluster_sizes, cluster_texts
+from kireme.functions.text import chars, normalize, type_letters
 from kireme.sources.models import LinearModel, NeuralModel
 
 KEYS = ("doc_id", "line_no")
@@ -35,10 +35,14 @@ def lines(docs: DataFrame) -> DataFrame:
 
 def byte_offsets(line_rows: DataFrame) -> DataFrame:
     """Keys, pos, ch, byte_start and byte_end of each character in its line. Sums run along the line's array; nothing is shuffled."""
-    sized = line_rows.filter("text <> ''").select(*KEYS, chars(F.col("text")).alias("_c"))
-    ends = running_sums(F.transform("_c", lambda c: F.octet_length(c).cast("long")))
-    rows = sized.select(*KEYS, F.posexplode(F.arrays_zip(F.col("_c").alias("ch"), ends.alias("byte_end"))).alias("pos", "_x"))
-    return rows.select(*KEYS, "pos", "_x.ch", (F.col("_x.byte_end") - F.octet_length("_x.ch")).alias("byte_start"), "_x.byte_end")
+    runs = line_rows.filter("text <> ''").select(*KEYS, F.regexp_extract_all("text", F.lit(WIDTHS), F.lit(0)).alias("_r"))
+    before = lambda size: F.concat(F.array(F.lit(0).cast("long")), running_sums(F.transform("_r", lambda r: size(r).cast("long"))))
+    # all characters of a run have the same size, so sums are made over runs
+    placed = runs.select(*KEYS, F.inline(F.zip_with(F.arrays_zip(F.col("_r").alias("r"), F.slice(before(F.char_length), F.lit(1), F.size("_r")).alias("p")), before(F.octet_length), lambda x, b: F.struct(x["r"].alias("_run"), x["p"].alias("_p"), b.alias("_b")))))
+    placed = placed.filter("_run IS NOT NULL").withColumn("_w", (F.octet_length("_run") / F.char_length("_run")).cast("long"))
+    rows = placed.select(*KEYS, "_p", "_b", "_w", F.posexplode(F.split("_run", "")).alias("_i", "ch"))
+    start = F.col("_b") + F.col("_i") * F.col("_w")
+    return rows.select(*KEYS, (F.col("_p") + F.col("_i")).cast("int").alias("pos"), "ch", start.alias("byte_start"), (start + F.col("_w")).alias("byte_end"))
 
 
 def type_runs(line_rows: DataFrame) -> DataFrame:
@@ -84,10 +88,21 @@ def ngrams(line_rows: DataFrame, longest: int, source: str = "norm") -> DataFram
     return places.select(*KEYS, "n_chars", "start", F.inline(grams)).filter("gram IS NOT NULL")
 
 
-def type_string(text: Column) -> Column:
-    from kireme.functions.text import char_type
+def ngram_counts(line_rows: DataFrame, longest: int, source: str = "norm") -> DataFrame:
+    """``gram`` and ``n``, how often each n-gram up to ``longest`` occurs.
 
-    return F.array_join(F.transform(F.split(normalize(text), ""), lambda c: char_type(F.ascii(c))), "")
+    The longest gram at each place is counted first; shorter ones are its beginnings, and come from the distinct ones.
+    """
+    text = normalize(F.col("text")) if source == "norm" else type_string(F.col("text"))
+    split = line_rows.filter("text <> ''").select(F.split(text, "").alias("_c"))
+    places = split.select("_c", F.explode(F.sequence(F.lit(0), F.size("_c") - 1)).alias("_p"))
+    # beyond the line's end there is nothing to add
+    whole = places.select(F.concat(*[F.coalesce(F.get("_c", F.col("_p") + k), F.lit("")) for k in range(longest)]).alias("_g")).groupBy("_g").agg(F.count(F.lit(1)).alias("_n"))
+    return whole.select("_n", F.explode(F.sequence(F.lit(1), F.char_length("_g"))).alias("_k"), "_g").select(F.expr("substring(_g, 1, _k)").alias("gram"), "_n").groupBy("gram").agg(F.sum("_n").alias("n"))
+
+
+def type_string(text: Column) -> Column:
+    return type_letters(text)
 
 
 def boundaries(line_rows: DataFrame) -> DataFrame:
@@ -224,8 +239,43 @@ def gap_lists(pairs: Column, n_gaps: Column) -> Column:
     return F.when(n_gaps > 0, F.transform(F.slice(F.split(listed, "[|]"), 2, F.greatest(n_gaps, F.lit(1))), numbers)).otherwise(F.expr("cast(array() as array<array<int>>)"))
 
 
-def network_scores(units: Column, m: NeuralModel, precision: str = "int32", features: Column | None = None) -> Column:
-    """Scores of all gaps between units (characters or clusters, normalized) as an array, in the row.
+#: Numbers that a gap's score may add up in one flat expression.
+FLAT_NUMBERS = 96
+
+
+def _flat_score(m: NeuralModel) -> Callable[[Callable[[int], Column]], Column] | None:
+    """The exact score of a gap from the rows of the single characters around it, by slot, as one expression without
+    inner arrays; None for networks that are too large for that or have dictionaries."""
+    from kireme.functions.numeric import I32, clamp
+    from kireme.operators.scoring import NeuralScorer
+
+    h, slots, _ = m.w1.shape
+    if any(m.dictionaries) or h * slots > FLAT_NUMBERS or len(m.emb) * slots * h > TABLED_NUMBERS:
+        return None
+    scorer = NeuralScorer(m, "int32")
+    # parts by unit, slot and row
+    parts = np.stack([scorer.block((r,), j) for j in range(slots) for r in range(len(m.emb))]).astype(int).T
+    made = [[_constant(parts[k, j * len(m.emb) : (j + 1) * len(m.emb)].tolist(), "array<bigint>") for j in range(slots)] for k in range(h)]
+
+    def score(row: Callable[[int], Column]) -> Column:
+        y = F.lit(int(scorer.b2_q)).cast("long")
+        for k in range(h):
+            acc = F.lit(int(scorer.b1_q[k])).cast("long")
+            for j in range(slots):
+                acc = acc + F.get(made[k][j], row(j))
+            y = y + F.greatest(acc, F.lit(0).cast("long")) * F.lit(int(m.w2[k])).cast("long")
+        return clamp(y, *I32).cast("long")
+
+    return score
+
+
+def _row_of(unit: Column, m: NeuralModel) -> Column:
+    """The embedding row of a single character: from 2 on those of the vocabulary in order, 1 is what it lacks, 0 what is beyond the line."""
+    return F.coalesce(F.call_function("locate", unit, F.lit("".join(map(chr, m.vocabulary)))) + 1, F.lit(0))
+
+
+def network_scores(units: Column, m: NeuralModel, precision: str = "int32", features: Column | None = None, single: bool = False) -> Column:
+    """Scores of all gaps between units (characters or clusters, normalized) as an array, in the row. ``single`` tells that units are characters.
 
     A unit's part in a slot is the mean of its characters' vectors times the slot's weights, rounded to accumulator units;
     ``features`` are active dictionary features of each gap, ascending. ``int32`` sums are exact; ``int16`` folds parts of
@@ -235,6 +285,8 @@ def network_scores(units: Column, m: NeuralModel, precision: str = "int32", feat
     from kireme.functions.numeric import I16, I32, clamp, relu_dot, requant
     from kireme.operators.scoring import NeuralScorer
 
+    if single and precision == "int32" and features is None and (flat := _flat_score(m)) is not None:
+        return let(F.transform(units, lambda u: _row_of(u, m)), lambda rows: F.when(F.size(rows) > 1, F.transform(F.sequence(F.lit(0), F.size(rows) - 2), lambda g: flat(lambda j: F.coalesce(F.get(rows, g + (j - m.window + 1)), F.lit(0))))).otherwise(F.expr("cast(array() as array<bigint>)")))
     scorer, small_sums = NeuralScorer(m, precision), precision == "int16"
     h, slots, d = m.w1.shape
     vocabulary = "".join(map(chr, m.vocabulary))
@@ -314,7 +366,16 @@ def network_lines(line_rows: DataFrame, m: NeuralModel, precision: str = "int32"
 
 
 def neural_scores(line_rows: DataFrame, m: NeuralModel) -> DataFrame:
-    """Keys, boundary and the exact score of a network over characters (each a cluster of its own)."""
+    """Keys, boundary and the exact score of a network over characters (each a cluster of its own).
+
+    Small networks score each gap in a row of its own, from its neighbours in the line's array, others all gaps in the line's row.
+    """
+    if (flat := _flat_score(m)) is not None:
+        lines_ = line_rows.filter(F.char_length("text") > 1).select(*KEYS, F.split(normalize(F.col("text")), "").alias("_u"))
+        gaps = lines_.select(*KEYS, "_u", F.explode(F.sequence(F.lit(0), F.size("_u") - 2)).alias("boundary"))
+        near = [f"_r{j}" for j in range(2 * m.window)]
+        rows = gaps.select(*KEYS, "boundary", *[_row_of(F.get("_u", F.col("boundary") + (j - m.window + 1)), m).alias(n) for j, n in enumerate(near)])
+        return rows.select(*KEYS, "boundary", flat(lambda j: F.col(near[j])).alias("score"))
     return network_lines(line_rows, m, clustered=False).select(*KEYS, F.posexplode("scores").alias("boundary", "score"))
 
 

@@ -72,6 +72,41 @@ def test_running_sums_of_any_size(spark):
         assert row.s == np.cumsum(x).tolist()
 
 
+def test_flat_scores_equal_the_arrow_scorer(spark, lines):
+    from kireme.queries import saturating_model
+    from kireme.plans.segmenter import space_model
+
+    for m in (saturating_model(), space_model()):
+        u = scoring.units(LINES, False)
+        want = scoring.NeuralScorer(m, "int32").scores(u).tolist()
+        assert R._flat_score(m) is not None
+        rows = R.neural_scores(lines, m)
+        assert [r.score for r in rows.sort("line_no", "boundary").collect()] == want
+        # gaps are scored in generated code, not by functions on inner arrays
+        assert "lambdafunction" not in rows._jdf.queryExecution().optimizedPlan().toString()
+        arrays = lines.select("line_no", R.network_scores(F.split(R.normalize(F.col("text")), ""), m, single=True).alias("s"))
+        assert [x for r in arrays.sort("line_no").collect() for x in r.s] == want
+    assert R._flat_score(Q.cluster_model()) is None
+
+
+def test_offsets_are_summed_over_runs(spark):
+    text = "a" * 90_000 + "é" * 3 + "日\U0001f468x" + "ñb" * 5
+    rows = R.byte_offsets(spark.createDataFrame([(1, 0, text)], "doc_id long, line_no long, text string")).sort("pos").collect()
+    ends = np.cumsum([len(c.encode()) for c in text]).tolist()
+    assert [(r.pos, r.ch, r.byte_end) for r in rows] == [(i, c, e) for i, (c, e) in enumerate(zip(text, ends, strict=True))]
+    assert [r.byte_start for r in rows] == [0, *ends[:-1]]
+
+
+def test_counted_grams_and_type_letters(spark, lines):
+    from kireme.functions.text import char_type, type_letters
+
+    every = spark.range(0x110000).filter("id NOT BETWEEN 55296 AND 57343").select(F.decode(F.unhex(F.lpad(F.hex("id"), 8, "0")), "UTF-32").alias("c")).filter("c <> ''")
+    assert every.filter(type_letters(F.col("c")) != char_type(F.ascii(R.normalize(F.col("c"))))).count() == 0
+    for source in ("norm", "type"):
+        want = R.ngrams(lines, 3, source).groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+        assert sorted(map(tuple, R.ngram_counts(lines, 3, source).collect())) == sorted(map(tuple, want.collect()))
+
+
 def test_gap_lists(spark):
     pairs = spark.sql("select array(named_struct('boundary', 2, 'feature', 10), named_struct('boundary', 0, 'feature', 9), named_struct('boundary', 2, 'feature', 3), named_struct('boundary', 2, 'feature', 10)) p, 4 n")
     assert pairs.select(R.gap_lists(F.col("p"), F.col("n"))).first()[0] == [[9], [], [3, 10], []]
